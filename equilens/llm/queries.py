@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing
+from . import bpe, chat, jaccard, langid, packing, sharding
 from .common import read_table
 
 
@@ -15,6 +15,44 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = chat.format_chats(turns.unionByName(odd))
+    back = chats.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 AS goes_on,
+    length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?s>|/?INST\])', '\1#\2', 'g')) AS text_chars,
+    length(regexp_replace(replace(role, '\', '\\'), '(<|\[)(/?s>|/?INST\])', '\1#\2', 'g')) AS role_chars
+  FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(text_chars + 6 + 7 + CASE WHEN goes_on THEN 0 ELSE 3 + role_chars + 4 END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
@@ -28,6 +66,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards under the law of nearly equal bytes."""
+    placed = sharding.shard(read_table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by links at a similarity of 0.9 or more over three-word shingles."""
+    return jaccard.join(read_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, learned from three folds of four."""
     docs = read_table(spark, sf_dir, "documents")
@@ -36,5 +85,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_bpe": op3_bpe, "op10_language": op10_language}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
+    "op5_sharding": op5_sharding,
+    "op9_jaccard": op9_jaccard,
+    "op10_language": op10_language,
+}
+ORACLE_SQL = {"op1_chat": OP1_SQL}
