@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, packing, sharding
+from . import bpe, chat, fingerprint, jaccard, langid, packing, pii, sharding
 from .common import read_table
 
 
@@ -72,6 +72,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    found = fingerprint.compare_edits(read_table(spark, sf_dir, "documents"))
+    text = lambda c: fingerprint.as_text(F.col(c)).alias(c)
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data, and what was replaced."""
+    found = pii.replace(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), "pii_entities")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by links at a similarity of 0.9 or more over three-word shingles."""
     return jaccard.join(read_table(spark, sf_dir, "documents"), 3, 90, 100)
@@ -90,6 +103,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op5_sharding": op5_sharding,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_language": op10_language,
 }
