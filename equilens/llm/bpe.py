@@ -17,9 +17,9 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import struct
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import without
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: The split pattern of byte-level BPE with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -157,40 +157,43 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids: pre-tokens by the pattern, each through the transducer; short words are remembered."""
+    """Texts to ids (little-endian unsigned 32-bit): pre-tokens by the pattern, each through the transducer; short words are remembered."""
 
     def __init__(self, model: Model):
         self.model, self.transducer = model, Transducer(model)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
-        return (*self.transducer.feed(data), *self.transducer.finish())
+        return packed([*self.transducer.feed(data), *self.transducer.finish()])
 
-    def stretch(self, text: str) -> Iterable[int]:
+    def stretch(self, text: str) -> bytes:
         """Ids of a stretch of text without special tokens."""
         memo, words = self.memo, self.model.split.findall(text)
-        for w in set(words).difference(memo):
-            if len(w) <= 64:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                    return chain.from_iterable(map(self.word, words))
+        new = set(words).difference(memo)
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = set(words)
+        for w in new:
+            if len(w) <= 64 and len(memo) < MEMO_WORDS:
                 memo[w] = self.word(w)
         try:
-            return chain.from_iterable([memo[w] for w in words])
-        except KeyError:  # some words are too long to be remembered
-            return chain.from_iterable(memo[w] if w in memo else self.word(w) for w in words)
-
-    def encode(self, text: str) -> array:
-        ids, at = array("I"), 0
-        if self.model.split_special and any(s in text for s in self.model.special):
-            for m in self.model.split_special.finditer(text):
-                ids.extend(self.stretch(text[at : m.start()]))
-                ids.append(self.model.special[m[0]])
-                at = m.end()
-            text = text[at:]
-        ids.extend(self.stretch(text))
-        return ids
+            return b"".join([memo[w] for w in words])
+        except KeyError:  # some words are too long, or too many, to be remembered
+            return b"".join([memo[w] if w in memo else self.word(w) for w in words])
+
+    def encode(self, text: str) -> bytes:
+        if not self.model.split_special or not any(s in text for s in self.model.special):
+            return self.stretch(text)
+        ids, at = [], 0
+        for m in self.model.split_special.finditer(text):
+            ids += [self.stretch(text[at : m.start()]), packed([self.model.special[m[0]]])]
+            at = m.end()
+        return b"".join([*ids, self.stretch(text[at:])])
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Decoder:
@@ -233,7 +236,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = on_worker(tokenizer_path, Encoder)
         for batch in texts:
-            yield pd.Series([encoder.encode(t).tobytes() for t in batch], dtype=object)
+            yield pd.Series([encoder.encode(t) for t in batch], dtype=object)
 
     return without(docs, ids_col).withColumn(ids_col, ids_of(F.coalesce(docs[text_col], F.lit(""))))
 

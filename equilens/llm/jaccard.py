@@ -7,10 +7,13 @@ n2 - k2 = 1 second-level parts are enumerated, and the elements in such a subset
 in at most k elements share one.  Empty subsets are left out where enough others must agree, so that they do not
 gather unrelated documents.
 
-Copies (equal sets) are one class.  Classes that share a signature are compared with the smallest of them first;
-links join classes into components, and only where a signature still holds classes of several components are its
-other pairs compared, in a second pass.  All comparisons count the true intersection, so no link is lost and none is
-made up (but for equal 64-bit hashes of different n-grams).
+Copies (equal sets) are one class.  Classes that share a signature are compared with a leader; links join classes
+into components, and where a signature still holds classes of several components, those go on to a round with
+another leader, the one with most links so far.  What is left after the last round is compared in blocks of sets: no pair
+leaves a task unless it is a link.  So
+every two classes that share a signature are compared unless they are known to be in one component.  All
+comparisons count the true intersection: no link that matters is lost, and none is made up (but for equal 64-bit
+hashes of different n-grams).
 
 Defined results: null text, empty text and text without words have an empty set, linked with nothing; a text with
 fewer words than n has its whole sequence as one element; repeated rows and copies are in one component; equal ids
@@ -37,6 +40,10 @@ from .components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Classes in the second pass are compared through broadcast while they are at most so many (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Rounds with a further leader for each signature, before what is left is compared in blocks.
+ROUNDS = 1
+#: Sets of a block, on average.
+BLOCK = 256
 #: Classes whose signatures a task remembers, so that it gives those of copies once.
 SEEN = 1 << 16
 
@@ -138,6 +145,74 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return near.join(a, "a").join(b, "b").where(den * both.cast("long") >= num * (n_a + n_b - both)).select("a", "b")
 
 
+def block_links(a: list[np.ndarray], b: list[np.ndarray], of_a: np.ndarray, of_b: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Places of linked pairs of different components.
+
+    Sets are first compared by a vector of many small hash parts: it differs in no more parts than the sets in elements.
+    """
+    n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    most = 2 * max(n_a.max(), n_b.max()) * (den - num) // (den + num) + 1
+    parts = 1 << min(15, max(8, int(8 * most).bit_length()))
+
+    def vectors(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), parts), np.uint16)
+        for row, elements in zip(out, sets, strict=True):
+            mixed = mix(elements.view(np.uint64))
+            sums = np.bincount((mixed % np.uint64(parts)).astype(np.int64), (mixed >> np.uint64(40)).astype(float), parts)
+            row[:] = sums.astype(np.int64) & 0xFFFF
+        return out
+
+    of, against = vectors(a), vectors(b)
+    for i in range(len(a)):
+        differ = (n_a[i] + n_b) * (den - num) // (den + num)
+        open_ = np.flatnonzero((of_b != of_a[i]) & (np.minimum(n_a[i], n_b) * den >= np.maximum(n_a[i], n_b) * num))
+        if len(open_):
+            near = open_[(against[open_] != of[i]).sum(axis=1) <= differ[open_]]
+            for j in near:
+                both = len(np.intersect1d(a[i], b[j], assume_unique=True))
+                if den * both >= num * (n_a[i] + n_b[j] - both):
+                    yield i, int(j)
+
+
+def in_blocks(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between classes of different components that share a signature. rest: (signature, class, component)."""
+    led = rest.join(rest.groupBy("signature").agg(F.min("class").alias("least")), "signature")
+    near = components(led.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    members = rest.select("class", "component").distinct().join(near.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class", "left")
+    members = members.withColumn("cluster", F.coalesce("cluster", "class"))
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    kept = written(dealt.join(sets, "class").groupBy("cluster", "block").agg(F.collect_list(F.struct("class", "component", "elements")).alias("sets")), "jaccard-blocks")
+    pairs = blocks.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_a"), "blocks")
+    pairs = pairs.select("cluster", "block_a", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
+
+    def side(of: str) -> DataFrame:
+        return kept.select("cluster", F.col("block").alias(f"block_{of}"), *[F.col(f"sets.{c}").alias(f"{c}_{of}") for c in ("class", "component", "elements")])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b = ([np.asarray(x, np.int64) for x in of] for of in (row.elements_a, row.elements_b))
+                found = block_links(a, b, np.asarray(row.component_a), np.asarray(row.component_b), num, den)
+                # Links that join nothing new in this pair of blocks are left out.
+                root: dict[int, int] = {}
+
+                def top(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                out = []
+                for i, j in found:
+                    if (p := top(row.class_a[i])) != (q := top(row.class_b[j])):
+                        root[p] = q
+                        out.append((row.class_a[i], row.class_b[j]))
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    both = pairs.join(side("a"), ["cluster", "block_a"]).join(side("b"), ["cluster", "block_b"])
+    return both.select(*[f"{c}_{of}" for c in ("class", "component", "elements") for of in "ab"]).mapInPandas(compare, "a long, b long")
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link where den * intersection >= num * union."""
     rows = written(classes(docs, n, num, den, id_col, text_col), "jaccard-classes")
@@ -156,14 +231,25 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
 
     links = written(verified(pairs, sets, num, den), "jaccard-links")
     labels = components(links)
-    label = lambda df, of, to: df.join(labels.select(F.col("node").alias(of), F.col("component").alias("label")), of, "left").withColumn(to, F.coalesce("label", of)).drop("label")
-    marked = label(label(shared, "class", "of_class"), "first", "of_first")
-    mixed = marked.where("of_class != of_first").select("signature").distinct()
-    rest = written(marked.join(mixed, "signature", "left_semi").select("signature", "class", "of_class"), "jaccard-rest")
-    if rest.limit(1).count():
-        other = rest.select("signature", F.col("class").alias("b"), F.col("of_class").alias("of_b"))
-        more = rest.join(other, "signature").where("class < b and of_class != of_b").select(F.col("class").alias("a"), "b").distinct()
-        links = written(links.union(verified(more, sets, num, den)), "jaccard-links")
+    # The leader of a signature has met all others; the rest of it goes on where it holds several components.
+    rest = shared.select("signature", "class")
+    for turn in range(ROUNDS + 1):
+        linked = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
+        labelled = rest.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        of_signature = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        mixed = labelled.join(of_signature.where("least != most").select("signature"), "signature", "left_semi")
+        rest = written(mixed.join(linked, "class", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "jaccard-rest")
+        if not rest.limit(1).count():
+            break
+        if turn < ROUNDS:
+            # Who has most links joins most components.
+            leader = F.max(F.struct("degree", "class", "component")).alias("leader")
+            led = rest.join(rest.groupBy("signature").agg(leader), "signature").where("class != leader.class")
+            pairs = led.where("component != leader.component").select(F.least("leader.class", "class").alias("a"), F.greatest("leader.class", "class").alias("b"))
+            rest, more = led.select("signature", "class"), verified(pairs.distinct(), sets, num, den)
+        else:
+            more = in_blocks(rest, sets, num, den)
+        links = written(links.union(more), "jaccard-links")
         labels = components(links)
 
     labelled = rows.select("id", "size", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

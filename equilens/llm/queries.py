@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, packing, pii, sharding
+from . import bpe, chat, fingerprint, html, jaccard, langid, neardup, packing, pii, sharding
 from .common import read_table
 
 
@@ -66,12 +66,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = html.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards under the law of nearly equal bytes."""
     placed = sharding.shard(read_table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all vectors by links at a cosine of 0.95 or more."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     found = fingerprint.compare_edits(read_table(spark, sf_dir, "documents"))
@@ -102,10 +113,30 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
     "op5_sharding": op5_sharding,
+    "op6_neardup": op6_neardup,
     "op7_fingerprint": op7_fingerprint,
     "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op1_chat": OP1_SQL}
+OP6_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), unit AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vectors WHERE list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS node, vec_id AS to_node FROM embeddings
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.to_node = links.a
+), least AS (SELECT node, min(to_node) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON e.vec_id = node LEFT JOIN degree ON e.vec_id = a
+"""
+
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_neardup": OP6_SQL}
