@@ -51,7 +51,8 @@ def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint")
     kmers = F.transform(heads, lambda w, i: packed(F.xxhash64(w, *[F.get(a, i + j) for j in range(1, K)]), i))
     numbered = lambda x, n: packed(F.xxhash64(hash_of(x), n.cast("int")), x.bitwiseAND(F.lit(PLACE)))
     bin_of = lambda x: F.shiftright(x, HASH_BITS + PLACE_BITS - BIN_BITS)
-    b, again, runs, kept, bins = F.col("_b"), F.col("_again"), F.col("_runs"), F.col("_kept"), F.col("_bins")
+    # No column is defined anew under a name in use: a lambda beside it would see the new one.
+    b, c, again, runs, kept, bins = F.col("_b"), F.col("_c"), F.col("_again"), F.col("_runs"), F.col("_kept"), F.col("_bins")
 
     def later(start: Column, j: Column) -> Column:
         """Second and further occurrences of one k-mer."""
@@ -67,10 +68,10 @@ def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint")
     df = without(df, out)
     df = df.withColumn("_a", F.regexp_extract_all(text, F.lit(r"\S{1,16}"), F.lit(0)))
     df = df.withColumn("_b", F.sort_array(F.when(F.size(a) >= K, kmers).otherwise(short))).drop("_a")
-    df = df.withColumns({"_again": F.filter(b, lambda x, i: hash_of(F.get(b, i - 1)) == hash_of(x)), "_b": F.filter(b, lambda x, i: (i == 0) | (hash_of(F.get(b, i - 1)) != hash_of(x)))})
+    df = df.withColumns({"_again": F.filter(b, lambda x, i: hash_of(F.get(b, i - 1)) == hash_of(x)), "_first": F.filter(b, lambda x, i: (i == 0) | (hash_of(F.get(b, i - 1)) != hash_of(x)))})
     df = df.withColumn("_runs", starts("_again"))
-    df = df.withColumn("_b", F.sort_array(F.concat(F.transform(b, lambda x: numbered(x, F.lit(0))), F.flatten(F.transform(runs, later)))))
-    df = df.withColumn("_kept", F.filter(b, lambda x, i: (i < L) | (bin_of(F.get(b, i - L)) != bin_of(x)))).drop("_b", "_again", "_runs")
+    df = df.withColumn("_c", F.sort_array(F.concat(F.transform("_first", lambda x: numbered(x, F.lit(0))), F.flatten(F.transform(runs, later)))))
+    df = df.withColumn("_kept", F.filter(c, lambda x, i: (i < L) | (bin_of(F.get(c, i - L)) != bin_of(x)))).drop("_b", "_first", "_again", "_runs", "_c")
     df = df.withColumn("_bins", starts("_kept", key=bin_of))
     return df.withColumn(out, F.transform(bins, of_bin)).drop("_kept", "_bins")
 
