@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,15 +37,14 @@ def filled_score(score: Column) -> Column:
     return F.coalesce(F.nanvl(score, F.lit(None).cast("double")), F.lit(0.5))
 
 
-@F.pandas_udf("double")
-def tissue_fraction(pixels: pd.Series) -> pd.Series:
-    """Part of the pixels whose saturation is above 0.07 (X19); pixels: flat RGB bytes decoded by the caller."""
+def saturated_part(raw: bytes | None) -> float | None:
+    if not raw:
+        return None
+    rgb = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(float)
+    high, low = rgb.max(axis=1), rgb.min(axis=1)
+    return float(((high - low) / (high + 1e-6) > 0.07).mean())
 
-    def one(raw: bytes | None) -> float | None:
-        if not raw:
-            return None
-        rgb = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(float)
-        high, low = rgb.max(axis=1), rgb.min(axis=1)
-        return float(((high - low) / (high + 1e-6) > 0.07).mean())
 
-    return pixels.map(one)
+def tissue_fraction(pixels: Column) -> Column:
+    """Part of the pixels whose saturation is above 0.07 (X19); pixels: flat RGB bytes decoded by the caller."""
+    return F.pandas_udf(lambda batch: batch.map(saturated_part), "double")(pixels)

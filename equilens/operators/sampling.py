@@ -97,10 +97,10 @@ def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> D
     u = hash_number(seed, F.lit("draw"), F.col(key)) / F.lit(float(1 << 52))
 
     def times(mean: Column) -> Column:
-        # (term, cumulated, count) while the cumulated probability stays below u; 64 terms serve any mean up to 20
+        # (term, cumulated, count) while the cumulated probability stays below u; ten deviations beyond the mean no more come
         start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("count"))
         step = lambda a, k: F.struct((a["term"] * mean / k).alias("term"), (a["sum"] + a["term"] * mean / k).alias("sum"), (a["count"] + (a["sum"] < u).cast("int")).alias("count"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda a: a["count"])
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean) + 10).cast("int")), start, step, lambda a: a["count"])
 
     counted = df.crossJoin(F.broadcast(total)).withColumn("_times", times(mean)).drop("_total")
     return counted.where("_times > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_", "_times")
