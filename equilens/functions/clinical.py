@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Modelled groups and words for "not reported".
 RACES = {"white": "White", "black or african american": "Black", "asian": "Asian"}
@@ -15,9 +14,7 @@ NSCLC = {"LUAD": 0, "LUSC": 1}
 GLIOMA = {"LGG": 0, "GBM": 1}
 RACE_STATUSES = ["mapped", "missing", "not_reported", "unsupported_category"]
 
-CASE = T.StructType.fromDDL(
-    "submitter_id string, project struct<project_id:string>, demographic struct<race:string, sex_at_birth:string, days_to_birth:double>, diagnoses array<struct<primary_diagnosis:string>>"
-)
+CASE = "submitter_id string, project struct<project_id:string>, demographic struct<race:string, sex_at_birth:string, days_to_birth:double>, diagnoses array<struct<primary_diagnosis:string>>"
 
 
 def clean(value: Column) -> Column:

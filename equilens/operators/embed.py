@@ -27,7 +27,8 @@ def embed(df: DataFrame, payload: str, embed_fn: EmbedFn, out: str = "vector", b
                     found[j] = None if v is None else np.asarray(v, np.float32)
             yield pd.Series(found, dtype=object)
 
-    return df.withColumn(out, vectors(F.col(payload)))
+    # Not deterministic as far as the optimiser knows: else a filter on the vector would run the model a second time.
+    return df.withColumn(out, vectors.asNondeterministic()(F.col(payload)))
 
 
 def with_key(df: DataFrame, model_key: str, config: str, payload: str) -> DataFrame:

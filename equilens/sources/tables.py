@@ -60,10 +60,10 @@ def hospital_folds(spark: SparkSession, path: str) -> DataFrame:
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """The cases of a response file; a total that differs from the number of cases is an error."""
-    schema = f"data struct<hits: array<{CASE.simpleString()}>, pagination: struct<total: long>>"
+    schema = f"data struct<hits: array<struct<{CASE}>>, pagination: struct<total: long>>"
     response = spark.read.schema(schema).option("multiLine", True).json(path)
     n = F.size("data.hits").cast("long")
-    whole_ = F.when(n == F.col("data.pagination.total"), F.col("data.hits")).otherwise(F.raise_error(F.lit("incomplete response")).cast(f"array<{CASE.simpleString()}>"))
+    whole_ = F.when(n == F.col("data.pagination.total"), F.col("data.hits")).otherwise(F.raise_error(F.lit("incomplete response")).cast(f"array<struct<{CASE}>>"))
     return response.select(F.explode(whole_).alias("c")).select("c.*")
 
 
