@@ -99,7 +99,10 @@ _spaces: dict[tuple[int, int], Space] = {}
 
 
 def on_worker(dimensions: int, seed: int) -> Space:
-    return _spaces.setdefault((dimensions, seed), None) or _spaces.__setitem__((dimensions, seed), Space(dimensions, seed)) or _spaces[dimensions, seed]
+    """One space for each Python worker."""
+    if (dimensions, seed) not in _spaces:
+        _spaces[dimensions, seed] = Space(dimensions, seed)
+    return _spaces[dimensions, seed]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> Prototypes:
@@ -112,7 +115,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
                 keys = [ngram_keys(t) for t in texts]
                 if sum(map(len, keys)):
                     sums[lang] = sums.get(lang, 0) + space.bundle(*np.unique(np.concatenate(keys), return_counts=True))
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).dropna()
     sums = rows.mapInPandas(bundled, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
