@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import hash_rank, numbered
 from .metrics import arm_metrics
 
 ARMS = ["control", "posthoc", "pretraining"]
@@ -33,15 +34,18 @@ def run_summary(scores: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     return contrasts(arm_metrics(scores, ["arm", "run"], group, groups), ["run"])
 
 
+def each_iteration(iterations: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))
+
+
 def multiplicities(patients: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(it, patient_id, times): in every iteration as many draws with replacement from each label as it has patients (B1).
 
     patients: (patient_id, y), one row each. Slots and draws are hashes, so they do not depend on order or partitions.
     """
-    ranked = patients.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("patient_id")) - 1)
+    ranked = numbered(patients, ["y"], hash_rank("bootstrap", F.col("patient_id")), "patient_id", "k")
     sizes = patients.groupBy("y").agg(F.count("*").alias("of_y"))
-    its = patients.sparkSession.range(iterations).withColumnRenamed("id", "it")
-    slots = ranked.join(F.broadcast(sizes), "y").crossJoin(F.broadcast(its))  # one row for each draw, by definition
+    slots = ranked.join(F.broadcast(sizes), "y").withColumn("it", F.explode(each_iteration(iterations)))  # one row for each draw, by definition
     drawn = slots.select("it", "y", draw(seed, "it", "y", F.col("k").cast("string"), below=F.col("of_y")).alias("k"))
     times = drawn.groupBy("it", "y", "k").agg(F.count("*").alias("times"))
     return times.join(ranked, ["y", "k"]).select("it", "patient_id", "times")
@@ -50,9 +54,7 @@ def multiplicities(patients: DataFrame, iterations: int, seed: int) -> DataFrame
 def run_draws(scores: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(it, run, run_times): as many draws of runs with replacement as there are runs (B2)."""
     runs = scores.select("run").distinct().withColumn("k", F.row_number().over(Window.orderBy("run")) - 1)  # a handful of runs
-    n = runs.agg(F.count("*").alias("of"))
-    its = scores.sparkSession.range(iterations).withColumnRenamed("id", "it")
-    slots = runs.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(its))
+    slots = runs.withColumn("of", F.count("*").over(Window.partitionBy())).withColumn("it", F.explode(each_iteration(iterations)))
     drawn = slots.select("it", draw(seed, F.lit("run"), "it", F.col("k").cast("string"), below=F.col("of")).alias("k"))
     return drawn.groupBy("it", "k").agg(F.count("*").alias("run_times")).join(F.broadcast(runs), "k").select("it", "run", "run_times")
 

@@ -12,11 +12,21 @@ ECE_EDGES = [k * 0.1 for k in range(1, 10)]
 
 
 def average_rank(df: DataFrame, order: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """``df`` with ranks that ties share."""
-    keys = by or []
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count("*").over(Window.partitionBy(*keys, order))
-    return df.withColumn(out, rank + (ties - 1) / 2)
+    """``df`` with ranks that ties share.
+
+    Distinct values are counted, ranked inside a score bucket and offset by the buckets below, as in ``auc_by``; rows
+    then look up their value, so no window holds all rows of a group.
+    """
+    keys = by or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(0))
+    counts = df.groupBy(*keys, order).agg(F.count("*").alias("_n")).withColumn("_b", bucket_of(F.col(order)))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    lower = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).withColumn("_lower", lower).drop("_m")
+    ranks = counts.withColumn("_up_to", inside).join(buckets, [*keys, "_b"])
+    # The last rank of a value is what lies below and up to it; its ties share the mean.
+    ranks = ranks.select(*keys, order, (F.col("_lower") + F.col("_up_to") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranks, [*keys, order]).drop("_all")
 
 
 def bucket_of(score: Column) -> Column:

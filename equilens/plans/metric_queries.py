@@ -133,7 +133,7 @@ def draw_sql(parts: str, below: str) -> str:
 
 
 SQL["bootstrap_decision"] = f"""WITH {ARM_SCORES}, {ELIGIBLE},
-ranked AS (SELECT patient_id, y, row_number() OVER (PARTITION BY y ORDER BY patient_id) - 1 AS k, count(*) OVER (PARTITION BY y) AS of_y FROM (SELECT DISTINCT patient_id, y FROM scores)),
+ranked AS (SELECT patient_id, y, row_number() OVER (PARTITION BY y ORDER BY sha256('bootstrap:' || patient_id), patient_id) - 1 AS k, count(*) OVER (PARTITION BY y) AS of_y FROM (SELECT DISTINCT patient_id, y FROM scores)),
 its AS (SELECT range AS it FROM range({ITERATIONS})),
 times AS (SELECT it, y, {draw_sql("it || ':' || y || ':' || k", "of_y")} AS k, count(*) AS times FROM ranked, its GROUP BY ALL),
 drawn AS (SELECT it, patient_id, times FROM times JOIN ranked USING (y, k)),
