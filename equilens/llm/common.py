@@ -19,9 +19,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    Tables of one application are in one folder, to be removed when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

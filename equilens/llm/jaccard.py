@@ -128,10 +128,12 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
                 given.append(bands.signatures(np.asarray(elements, np.int64)) if new else np.empty(0, np.int64))
             yield batch.assign(signatures=given)
 
-    sets = docs.select(docs[id_col].alias("id"), shingles(docs[text_col], n).alias("elements"))
+    # As text, ids with nulls among them stay exact on their way through pandas.
+    sets = docs.select(docs[id_col].cast("string").alias("id"), shingles(docs[text_col], n).alias("elements"))
     keyed = sets.select("id", F.size("elements").cast("long").alias("size"), F.xxhash64(F.sort_array("elements")).alias("class"), "elements")
     kind = docs.schema[id_col].dataType.simpleString()
-    return keyed.mapInPandas(signed, f"id {kind}, size long, class long, signatures array<long>")
+    out = keyed.mapInPandas(signed, "id string, size long, class long, signatures array<long>")
+    return out.withColumn("id", F.col("id").cast(kind))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -167,13 +167,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id
 
         def flush() -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
-            out["id"] = out["id"].astype(object)
             rows.clear()
             return out
 
         for batch in batches:
-            for doc, text in zip(batch["id"].array.astype(object), batch["text"]):
-                doc = None if pd.isna(doc) else doc
+            for doc, text in zip(batch["id"], batch["text"], strict=True):
                 ids = np.append(tokenizer.ids(text), np.uint32(end_id))
                 whole = len(ids) // capacity * capacity
                 for start in range(0, whole, capacity):
@@ -191,6 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id
         yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    packed = narrow.mapInPandas(run, f"id {kind}, {SCHEMA}")
-    return packed.select(F.col("id").alias(id_col), *[c for c in packed.columns if c != "id"])
+    # As text, ids with nulls among them stay exact on their way through pandas.
+    narrow = docs.select(docs[id_col].cast("string").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    packed = narrow.mapInPandas(run, f"id string, {SCHEMA}")
+    return packed.select(F.col("id").cast(kind).alias(id_col), *[c for c in packed.columns if c != "id"])
