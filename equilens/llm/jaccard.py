@@ -4,8 +4,8 @@ A document's set holds the hashes of its word n-grams.  Sets are put into size b
 in one band or in neighbouring ones, and then differ in at most k elements, k following from the band.  The domain
 is partitioned by hash into n1 parts of n2 = 2 second-level parts each, with 2 * n1 > k; of each part the subsets of
 n2 - k2 = 1 second-level parts are enumerated, and the elements in such a subset make a signature.  Sets that differ
-in at most k elements share one.  Empty subsets are left out where enough others must agree, so that they do not
-gather unrelated documents.
+in at most k elements share one.  Subsets that are empty, or hold only n-grams that many documents share, are left
+out where enough others must agree, so that common lines and passages do not gather unrelated documents.
 
 Copies (equal sets) are one class.  Classes that share a signature are compared with a leader; links join classes
 into components, and where a signature still holds classes of several components, those go on to a round with
@@ -18,7 +18,7 @@ hashes of different n-grams).
 Defined results: null text, empty text and text without words have an empty set, linked with nothing; a text with
 fewer words than n has its whole sequence as one element; repeated rows and copies are in one component; equal ids
 stay separate rows of their classes; a null id is carried along, and a component without any id has a null one; an
-empty table gives no rows; other columns are ignored by ``classes`` and ``links``.
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,12 @@ from .components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Classes in the second pass are compared through broadcast while they are at most so many (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Different texts among which frequent n-grams are looked for, on average, and in how many of them one is frequent.
+SAMPLE, FREQUENT = 5000, 10
+#: The part of a set's elements that is taken to be rare when room for parts without rare elements is made.
+RARE_PART = 0.8
+#: Parts in which a class's elements are counted for the first comparison.
+PROFILE = 256
 #: Rounds with a further leader for each signature, before what is left is compared in blocks.
 ROUNDS = 1
 #: Sets of a block, on average.
@@ -70,9 +76,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Bands:
     """Size bands for a similarity of at least num / den, and the parts of each."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None):
         self.num, self.den = num, den
         self.ends = [0]
+        self.frequent = np.zeros(1, np.int64) if frequent is None or not len(frequent) else np.sort(frequent)
 
     def band(self, size: int) -> int:
         """1 for the smallest sets."""
@@ -87,8 +94,8 @@ class Bands:
         k = 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
         least = self.ends[max(band - 2, 0)] + 1
         n = k + 1
-        for _ in range(8):  # room for the parts that chance leaves empty
-            empty = n * math.exp(-least / n)
+        for _ in range(8):  # room for the parts that chance leaves without a rare element
+            empty = n * math.exp(-RARE_PART * least / n)
             n = k + 1 + (math.ceil(empty + 4 * math.sqrt(empty)) if k else 0)
         return k, n + n % 2 if k else 1
 
@@ -97,6 +104,8 @@ class Bands:
         if not len(elements):
             return np.empty(0, np.int64)
         own, out = self.band(len(elements)), []
+        at = np.searchsorted(self.frequent, elements)
+        rare = self.frequent[np.minimum(at, len(self.frequent) - 1)] != elements
         for band in (own, own + 1):
             k, n = self.parts(band)
             seed = mix(np.array([band], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
@@ -107,16 +116,51 @@ class Bands:
             values = np.zeros(n, np.uint64)
             values[places] = np.add.reduceat(mix(mixed[order] ^ seed), starts)
             given = mix(values ^ mix(seed + np.arange(1, n + 1, dtype=np.uint64)))
-            # At least n - k parts agree; if fewer are empty here, one of those that agree is not.
-            out.append(given[places] if n - len(places) < n - k else given)
+            # At least n - k parts agree; if fewer are without a rare element here (or empty), one of those that agree is not.
+            telling = np.unique(part[rare])
+            out.append(given[telling] if len(telling) > k else given[places] if len(places) > k else given)
         return np.concatenate(out).view(np.int64)
 
 
-def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, class, signatures): class is a hash of the set, null for an empty one."""
+def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
+    """Hashes of n-grams that many documents of a bounded sample hold; at most the sample's n-grams / FREQUENT.
+
+    Any set would give whole results: parts without a rare element are left out only where others must agree.
+    """
+    text = docs[text_col]
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(every)) == 0).select(text.alias("text")).distinct()
+    counts = sample.select(F.explode(shingles(F.col("text"), n)).alias("element")).groupBy("element").agg(F.count("*").alias("documents"))
+    return np.array([r["element"] for r in counts.where(F.col("documents") >= FREQUENT).select("element").collect()], np.int64)
+
+
+def sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, class, elements): class is a hash of the set. As text, ids with nulls among them stay exact in pandas."""
+    sets = docs.select(docs[id_col].cast("string").alias("id"), shingles(docs[text_col], n).alias("elements"))
+    return sets.select("id", F.size("elements").cast("long").alias("size"), F.xxhash64(F.sort_array("elements")).alias("class"), "elements")
+
+
+def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, class, profile): profile counts the elements in PROFILE hash parts, a byte each."""
+
+    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for elements in batch.pop("elements"):
+                part = (mix(np.asarray(elements, np.int64).view(np.uint64)) % np.uint64(PROFILE)).astype(np.int64)
+                made.append(np.minimum(np.bincount(part, minlength=PROFILE), 255).astype(np.uint8).tobytes())
+            yield batch.assign(profile=made)
+
+    out = sets_of(docs, n, id_col, text_col).mapInPandas(profiled, "id string, size long, class long, profile binary")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+
+
+def signatures(docs: DataFrame, n: int, num: int, den: int, text_col: str = "text") -> DataFrame:
+    """(signature, class) of all sets that are not empty; they go straight into the shuffle and are not kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, text_col))
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands, seen = Bands(num, den), set()
+        bands, seen = Bands(num, den, shared.value), set()
         for batch in batches:
             given = []
             for own, elements in zip(batch["class"], batch.pop("elements"), strict=True):
@@ -128,22 +172,29 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
                 given.append(bands.signatures(np.asarray(elements, np.int64)) if new else np.empty(0, np.int64))
             yield batch.assign(signatures=given)
 
-    # As text, ids with nulls among them stay exact on their way through pandas.
-    sets = docs.select(docs[id_col].cast("string").alias("id"), shingles(docs[text_col], n).alias("elements"))
-    keyed = sets.select("id", F.size("elements").cast("long").alias("size"), F.xxhash64(F.sort_array("elements")).alias("class"), "elements")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = keyed.mapInPandas(signed, "id string, size long, class long, signatures array<long>")
-    return out.withColumn("id", F.col("id").cast(kind))
+    sets = sets_of(docs, n, text_col, text_col).where("size > 0").select("class", "elements")
+    return sets.mapInPandas(signed, "class long, signatures array<long>").select(F.explode("signatures").alias("signature"), "class")
+
+
+def verified(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose similarity is num / den or more.
+
+    Profiles differ by no more than the sets do, so what differs too much in them is dropped before the sets meet.
+    """
 
+    @F.pandas_udf("long")
+    def apart(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, PROFILE).astype(np.int16) for x in (of_a, of_b))
+        return pd.Series(np.abs(a - b).sum(axis=1, dtype=np.int64))
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose similarity is num / den or more."""
+    side = lambda of: profiles.select(F.col("class").alias(of), F.col("size").alias(f"n_{of}"), F.col("profile").alias(f"p_{of}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    near = sized.where(apart("p_a", "p_b") <= most).select("a", "b")
     a = sets.select(F.col("class").alias("a"), F.col("elements").alias("of_a"))
     b = sets.select(F.col("class").alias("b"), F.col("elements").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     n_a, n_b = F.size("of_a"), F.size("of_b")
-    sized = pairs.join(sets.select(F.col("class").alias("a"), F.size("elements").alias("n_a")), "a").join(sets.select(F.col("class").alias("b"), F.size("elements").alias("n_b")), "b")
-    near = sized.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b")
     return near.join(a, "a").join(b, "b").where(den * both.cast("long") >= num * (n_a + n_b - both)).select("a", "b")
 
 
@@ -217,8 +268,8 @@ def in_blocks(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link where den * intersection >= num * union."""
-    rows = written(classes(docs, n, num, den, id_col, text_col), "jaccard-classes")
-    found = rows.where("size > 0").select(F.explode("signatures").alias("signature"), "class")
+    rows = written(classes(docs, n, id_col, text_col), "jaccard-classes")
+    found = signatures(docs, n, num, den, text_col)
     first = F.first("class").over(Window.partitionBy("signature").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
     shared = written(found.withColumn("first", first).where("class != first").distinct(), "jaccard-shared")
 
@@ -231,7 +282,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     sets = sets.select(F.xxhash64(F.sort_array("elements")).alias("class"), "elements").dropDuplicates(["class"])
     sets = written(sets.join(wanted, "class", "left_semi"), "jaccard-sets")
 
-    links = written(verified(pairs, sets, num, den), "jaccard-links")
+    profiles = written(rows.select("class", "size", "profile").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "jaccard-profiles")
+    links = written(verified(pairs, profiles, sets, num, den), "jaccard-links")
     labels = components(links)
     # The leader of a signature has met all others; the rest of it goes on where it holds several components.
     rest = shared.select("signature", "class")
@@ -248,7 +300,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
             leader = F.max(F.struct("degree", "class", "component")).alias("leader")
             led = rest.join(rest.groupBy("signature").agg(leader), "signature").where("class != leader.class")
             pairs = led.where("component != leader.component").select(F.least("leader.class", "class").alias("a"), F.greatest("leader.class", "class").alias("b"))
-            rest, more = led.select("signature", "class"), verified(pairs.distinct(), sets, num, den)
+            rest, more = led.select("signature", "class"), verified(pairs.distinct(), profiles, sets, num, den)
         else:
             more = in_blocks(rest, sets, num, den)
         links = written(links.union(more), "jaccard-links")
