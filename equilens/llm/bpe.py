@@ -30,6 +30,8 @@ from .common import without
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 MEMO_WORDS = 250_000
+#: Rows that a task hands back at once.
+ROWS = 256
 #: The split pattern of byte-level BPE with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -229,6 +231,12 @@ def on_worker(path: str, kind: type):
     return _loaded[path, kind]
 
 
+def slices(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch in parts, so that results do not wait for each other in memory."""
+    for i in range(0, len(batch), ROWS):
+        yield batch.iloc[i : i + ROWS]
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``: the ids of the whole text as little-endian unsigned 32-bit integers (binary)."""
 
@@ -236,7 +244,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = on_worker(tokenizer_path, Encoder)
         for batch in texts:
-            yield pd.Series([encoder.encode(t) for t in batch], dtype=object)
+            for part in slices(batch):
+                yield pd.Series([encoder.encode(t) for t in part], dtype=object)
 
     return without(docs, ids_col).withColumn(ids_col, ids_of(F.coalesce(docs[text_col], F.lit(""))))
 
@@ -248,6 +257,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
     def text_of(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = on_worker(tokenizer_path, Decoder)
         for batch in ids:
-            yield pd.Series([decoder.decode(b) for b in batch], dtype=object)
+            for part in slices(batch):
+                yield pd.Series([decoder.decode(b) for b in part], dtype=object)
 
     return without(df, text_col).withColumn(text_col, text_of(F.coalesce(df[ids_col], F.lit(b""))))
