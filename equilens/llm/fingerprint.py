@@ -107,31 +107,33 @@ def bucket_of(docs: DataFrame, id_col: str) -> Column:
     return F.when(row == 0, 0).otherwise((row - 1) * wide + up_to(F.get(literal, row - 1)))
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """``docs`` with next_<column> of the row that follows by (id, text hash); after the last row comes the first.
+def with_ends(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` and, marked by ``_end``, a copy of the first row of every bucket in the bucket before it; the last bucket gets that of the first.
 
-    Every bucket gets a copy of the first row of the bucket that follows, so neighbours are found inside buckets.
-    Expects columns ``_order`` (text hash) and ``_bucket``.
+    So the row that follows another by (id, text hash) is found inside a bucket. Expects columns ``_order`` (text hash)
+    and ``_bucket``.
     """
     spark = docs.sparkSession
     firsts = docs.groupBy("_bucket").agg(F.min(F.struct(F.col(id_col).alias("id"), "_order")).alias("first")).orderBy("_bucket").collect()  # MOST_BUCKETS rows at most
-    if not firsts:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in carried})
     moved = [(firsts[i - 1]["_bucket"], f["_bucket"], f["first"]["id"], f["first"]["_order"]) for i, f in enumerate(firsts)]
     kind = docs.schema[id_col].dataType.simpleString()
     table = F.broadcast(spark.createDataFrame(moved, f"_to int, _from int, _id {kind}, _key long"))
     ends = docs.join(table, docs[id_col].eqNullSafe(table["_id"]) & (docs["_order"] == table["_key"]) & (docs["_bucket"] == table["_from"])).dropDuplicates(["_to"])
-    ends = ends.withColumn("_bucket", F.col("_to")).drop("_to", "_from", "_id", "_key").withColumn("_end", F.lit(1))
+    ends = ends.withColumn("_bucket", F.col("_to")).drop("_to", "_from", "_id", "_key")
+    return docs.withColumn("_end", F.lit(0)).unionByName(ends.withColumn("_end", F.lit(1)))
+
+
+def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+    """What ``with_ends`` gives, without the copies and with next_<column> of the row that follows."""
     order = Window.partitionBy("_bucket").orderBy("_end", F.col(id_col).asc_nulls_first(), "_order")
-    both = docs.withColumn("_end", F.lit(0)).unionByName(ends)
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_end = 0").drop("_end")
+    return docs.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_end = 0").drop("_end")
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text with its edited text (second half from the next document): ``id_col``, n_chars, edited, fingerprints, likenesses."""
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     base = base.withColumns({"_order": F.xxhash64("text"), "_bucket": bucket_of(base, "id").cast("int")})
-    pairs = with_next(fingerprint(base, "text", "own"), "id", ["text", "own"])
+    pairs = with_next(fingerprint(with_ends(base, "id"), "text", "own"), "id", ["text", "own"])
     half = (F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
     out = fingerprint(pairs.select("id", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own"), "edited", "other")
