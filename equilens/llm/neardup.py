@@ -36,6 +36,8 @@ SUBSPACES, CODES = 8, 64
 MARGIN = 4.0
 #: Rows of a block of a list, and of a block of queries, on average.
 BLOCK = 1024
+#: Queries that are looked up at once.
+LOOKUP = 256
 SEED = 7
 
 
@@ -95,16 +97,22 @@ class Index:
 def block_pairs(index: Index, at: int, least: float, queries: np.ndarray, entries: np.ndarray, codes: np.ndarray, errors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(query, entries with a cosine of at least ``least``) by table lookups, then exactly."""
     bound = (index.radius + errors) ** 2 + 1e-9
-    for i, q in enumerate(queries):
-        residual = q - index.centres[at]
-        total = np.zeros(len(codes))
+    for start in range(0, len(queries), LOOKUP):
+        part = queries[start : start + LOOKUP]
+        residual = part - index.centres[at]
+        total = np.zeros((len(part), len(codes)))
         for s, (a, b) in enumerate(zip(index.cuts, index.cuts[1:])):
-            total += ((residual[a:b] - index.books[s]) ** 2).sum(1)[codes[:, s]]
-        near = np.flatnonzero(total <= bound)
-        if len(near):
-            near = near[entries[near] @ q >= least]
-            if len(near):
-                yield i, near
+            own, book = residual[:, a:b], index.books[s]
+            table = (own**2).sum(1)[:, None] + (book**2).sum(1) - 2 * own @ book.T
+            total += table[:, codes[:, s]]
+        near = total <= bound
+        asked, met = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(asked):
+            continue
+        linked = near[np.ix_(asked, met)] & (part[asked] @ entries[met].T >= least)
+        for i, row in zip(asked, linked, strict=True):
+            if row.any():
+                yield start + int(i), met[row]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
