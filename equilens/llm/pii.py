@@ -4,7 +4,7 @@ One pattern with an alternative for each kind of entity cuts a text into entitie
 entity's canonical form (digits only, lower case, ...) and a key decide its surrogate, so that all mentions in all
 documents get the same one.  Surrogates keep kind, length, letter case, digits' places and punctuation; card
 numbers keep their first digit and a valid check digit, access keys their prefix, addresses their number of parts,
-names the gender of their title and their script, telephone numbers what precedes the last ten digits; mail addresses and hosts end in a reserved domain.
+names the gender of their title, their script and number of words, telephone numbers what precedes the last ten digits; mail addresses and hosts end in a reserved domain.
 
 Collisions are checked over the corpus: where two entities of a kind would get one surrogate, or one the form of
 an entity that occurs, all but the first try again with the next attempt number until all are distinct.
@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 from .chat import let
 from .common import without, written
 
-#: Given names by gender and script, and surnames by script.
+#: Fixed values by script: given names by gender, and the letters and the ending of surnames.
 NAMES = {
     "latin": {
         "f": ["Alice", "Clara", "Emma", "Greta", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sara", "Teresa", "Vera"],
         "m": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"],
-        "last": ["Adler", "Bauer", "Castro", "Dupont", "Ellis", "Fischer", "Garcia", "Hansen", "Keller", "Lambert", "Moreau", "Novak", "Olsen", "Parker", "Romero", "Stone", "Turner", "Vidal", "Weber", "Young"],
+        "last": ("bdfghklmnprstvwz", "aeiou", "n"),
     },
     "cyrillic": {
         "f": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"],
         "m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Олег", "Павел", "Семён"],
-        "last": ["Белых", "Бондаренко", "Гриценко", "Коваленко", "Кравчук", "Седых", "Ткаченко", "Шевчук"],
+        "last": ("бвгджзклмнпрстфх", "аеиоу", "ко"),
     },
 }
 #: Titles that show a gender.
@@ -51,7 +51,9 @@ KINDS = {
     "name": rf"(?<![\p{{L}}])(?:{_title})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Attempts to find a free surrogate; spaces are so large that the second rarely fails.
+#: Syllables of a surname at the first attempt, of 80 each; every further attempt has one more, so that names never run out.
+SYLLABLES = 3
+#: Attempts to find a free surrogate.
 MOST_ATTEMPTS = 30
 #: Overridden attempts that are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -129,21 +131,32 @@ def in_format(entity: Column, digits: Column) -> Column:
     return characters(entity, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, before(i) + 1, F.lit(1))).otherwise(c))
 
 
-def renamed(entity: Column, form: Column, stream: Column) -> Column:
+def title_of(entity: Column) -> Column:
+    return F.regexp_extract(entity, rf"^((?:{_title})\.? )", 1)
+
+
+def female(entity: Column) -> Column:
+    return F.regexp_replace(title_of(entity), r"[. ]", "").isin(TITLES["f"])
+
+
+def surname(stream: Column, attempt: Column, consonants: str, vowels: str, ending: str) -> Column:
+    """Syllables drawn from a stream, one more for each attempt: spaces of different attempts are apart."""
+    syllables = "".join(c + v for c in consonants for v in vowels)
+    drawn = F.transform(F.sequence(F.lit(1), attempt + SYLLABLES), lambda i: F.substring(F.lit(syllables), (draw(stream, i * 6, len(syllables) // 2) * 2 + 1).cast("int"), F.lit(2)))
+    return F.concat(F.initcap(F.array_join(drawn, "")), F.lit(ending))
+
+
+def renamed(entity: Column, form: Column, stream: Column, attempt: Column) -> Column:
     """A name of the same gender, script and number of parts."""
-    title = F.regexp_extract(entity, rf"^((?:{_title})\.? )", 1)
-    female = F.regexp_replace(title, r"[. ]", "").isin(TITLES["f"])
+    title = title_of(entity)
     cyrillic = form.rlike(r"\p{IsCyrillic}")
 
-    def one(names: list[str], place: int) -> Column:
-        return F.get(F.array(*[F.lit(n) for n in names]), draw(stream, F.lit(place), len(names)).cast("int"))
-
-    def by_script(part: str, place: int) -> Column:
-        return F.when(cyrillic, one(NAMES["cyrillic"][part], place)).otherwise(one(NAMES["latin"][part], place))
+    def given(script: str) -> Column:
+        one = lambda names: F.get(F.array(*[F.lit(n) for n in names]), draw(stream, F.lit(0), len(names)).cast("int"))
+        return F.when(female(entity), one(NAMES[script]["f"])).otherwise(one(NAMES[script]["m"]))
 
-    first = F.when(female, by_script("f", 0)).otherwise(by_script("m", 0))
-    # A second surname from the stream makes the space of names large enough to be distinct.
-    last = F.concat_ws("-", by_script("last", 10), by_script("last", 20))
+    first = F.when(cyrillic, given("cyrillic")).otherwise(given("latin"))
+    last = F.when(cyrillic, surname(stream, attempt, *NAMES["cyrillic"]["last"])).otherwise(surname(stream, attempt, *NAMES["latin"]["last"]))
     return F.when(form.contains(" "), F.concat(title, first, F.lit(" "), last)).otherwise(F.concat(title, last))
 
 
@@ -164,7 +177,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
             .when(kind == "iban", F.concat(F.substring(form, 1, 2), redrawn(F.substring(form, F.lit(3), F.length(form)), stream)))
             .when(kind == "phone", in_format(entity, F.concat(F.substring(form, F.lit(1), F.length(form) - 10), F.substring(digits, -10, 10))))
             .when(kind == "ssn", in_format(entity, digits))
-            .otherwise(renamed(entity, form, stream))
+            .otherwise(renamed(entity, form, stream, attempt))
         )
 
     return let(stream, made)
@@ -172,23 +185,26 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, attempt) of those entities that cannot have their first surrogate. entities: (kind, entity)."""
-    known = entities.select("kind", canonical(F.col("kind"), F.col("entity")).alias("form"), "entity").groupBy("kind", "form").agg(F.min("entity").alias("entity"))
-    known = written(known, "pii-known")
-    taken = known.select("kind", F.col("form").alias("given"))
+    woman = (F.col("kind") == "name") & female(F.col("entity"))
+    known = entities.select("kind", canonical(F.col("kind"), F.col("entity")).alias("form"), woman.alias("woman"), "entity").groupBy("kind", "form", "woman").agg(F.min("entity").alias("entity"))
+    known = written(known.drop("woman"), "pii-known")
+    taken = known.select("kind", F.col("form").alias("given")).distinct()
     now = known.withColumn("attempt", F.lit(0))
     given = lambda df: df.withColumn("given", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
-    order = Window.partitionBy("kind", "given").orderBy("attempt", "form")
+    # A name that occurs for both genders has a row for each; the two may share a surrogate and try again together.
+    rivals, variants = Window.partitionBy("kind", "given"), Window.partitionBy("kind", "form")
     for _ in range(MOST_ATTEMPTS):
         tried = given(now)
         real = taken.withColumn("real", F.lit(True))
-        judged = tried.withColumn("again", F.row_number().over(order) > 1).join(real, ["kind", "given"], "left")
-        judged = written(judged.select("kind", "form", "entity", "attempt", (F.col("again") | F.coalesce("real", F.lit(False))).alias("again")), "pii-attempts")
+        judged = tried.withColumn("again", F.min(F.struct("attempt", "form")).over(rivals)["form"] != F.col("form")).join(real, ["kind", "given"], "left")
+        again = F.max(F.col("again") | F.coalesce("real", F.lit(False))).over(variants)
+        judged = written(judged.select("kind", "form", "entity", "attempt", again.alias("again")), "pii-attempts")
         if not judged.where("again").limit(1).count():
             break
         now = judged.select("kind", "form", "entity", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
     else:
         raise RuntimeError("no distinct surrogates; the space of some kind is too small")
-    return written(judged.where("attempt > 0").select("kind", "form", "attempt"), "pii-overrides")
+    return written(judged.where("attempt > 0").select("kind", "form", "attempt").distinct(), "pii-overrides")
 
 
 def entities_of(text: Column) -> Column:

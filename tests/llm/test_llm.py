@@ -311,6 +311,34 @@ def test_surrogates_stay_distinct(spark, monkeypatch, rows):
 # 9
 
 
+def test_names_never_run_out(spark, monkeypatch):
+    def given_to(texts):
+        out = {}
+        for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+            (e,) = r["pii_entities"]
+            assert e["kind"] == "name" and e["entity"] == texts[r["doc_id"]] and r["text"] == e["surrogate"]
+            out[e["entity"]] = e["surrogate"]
+        return out
+
+    rng = random.Random(8)
+    words = lambda letters, n: sorted({"".join(rng.choices(letters, k=6)).capitalize() for _ in range(n)})
+    latin, cyrillic = words("abcdefghiklmnoprstuvz", 3000), words("абвгдежзиклмнопрсту", 3000)
+    given = given_to([f"Mr {w}" for w in latin] + [f"Frau {w}" for w in latin[::2]] + [f"Господин {w}" for w in cyrillic])
+    form = {k: v.split(" ", 1)[1] for k, v in given.items()}
+    assert len({form[f"Mr {w}"] for w in latin}) == len(latin) and len({form[f"Господин {w}"] for w in cyrillic}) == len(cyrillic)
+    assert not set(form.values()) & {*latin, *cyrillic} and all(form[f"Frau {w}"] == form[f"Mr {w}"] for w in latin[::2])
+    assert all(re.fullmatch("[А-Я][а-я]+" if k.startswith("Г") else "[A-Z][a-z]+", f) for k, f in form.items())
+
+    # In a tiny space, names of both genders are told apart too, whichever title stands first.
+    monkeypatch.setattr(pii, "NAMES", {"latin": {"f": ["Ann", "Kim"], "m": ["Bob", "Kim"], "last": ("b", "ao", "n")}, "cyrillic": pii.NAMES["cyrillic"]})
+    given = given_to([f"{t} {w} {w}" for w in latin[:150] for t in ("Mr", "Mrs")])
+    form = {k: v.split(" ", 1)[1] for k, v in given.items()}
+    owners = collections.defaultdict(set)
+    for k, f in form.items():
+        owners[f].add(k.split(" ", 1)[1])
+    assert max(map(len, owners.values())) == 1 and len(owners) >= 150
+
+
 def plain_classes(docs, n, num, den):
     sets = []
     for _, t in docs:
