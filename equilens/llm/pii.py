@@ -42,7 +42,7 @@ _title = "|".join(TITLES["f"] + TITLES["m"])
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -80,7 +80,7 @@ def kind_of(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """What mentions of one entity have in common."""
     return (
-        F.when(kind == "email", F.lower(entity))
+        F.when(kind.isin("email", "secret"), F.lower(entity))
         .when(kind.isin("ssn", "card"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "phone", F.regexp_replace(entity, r"\D", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" ")))
@@ -131,6 +131,12 @@ def in_format(entity: Column, digits: Column) -> Column:
     return characters(entity, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, before(i) + 1, F.lit(1))).otherwise(c))
 
 
+def in_case(entity: Column, lower: Column) -> Column:
+    """``lower`` in the case of ``entity``, character by character where that is mixed."""
+    mixed = characters(lower, lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.when(entity == F.lower(entity), lower).when(entity == F.upper(entity), F.upper(lower)).otherwise(mixed)
+
+
 def title_of(entity: Column) -> Column:
     return F.regexp_extract(entity, rf"^((?:{_title})\.? )", 1)
 
@@ -171,7 +177,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         return (
             F.when(kind == "email", F.concat(redrawn(local, stream), F.lit("@"), redrawn(host, F.reverse(stream)), F.lit(".example")))
             .when(kind == "key", F.concat(F.substring(form, 1, 4), redrawn(F.substring(form, F.lit(5), F.length(form)), stream)))
-            .when(kind == "secret", F.substring(F.concat(stream, stream), F.lit(1), F.length(form)))
+            .when(kind == "secret", in_case(entity, F.substring(stream, F.lit(1), F.length(form))))
             .when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in range(4)]))
             .when(kind == "card", in_format(entity, with_check_digit(F.concat(F.substring(form, 1, 1), F.substring(digits, F.lit(2), F.length(form))))))
             .when(kind == "iban", F.concat(F.substring(form, 1, 2), redrawn(F.substring(form, F.lit(3), F.length(form)), stream)))

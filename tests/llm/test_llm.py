@@ -339,6 +339,19 @@ def test_names_never_run_out(spark, monkeypatch):
     assert max(map(len, owners.values())) == 1 and len(owners) >= 150
 
 
+def test_secrets_in_any_case(spark):
+    lower = [hashlib.sha256(bytes([n])).hexdigest()[:n] for n in (32, 40, 64)]
+    forms = [f for h in lower for f in (h, h.upper(), "".join(c.upper() if i % 3 else c for i, c in enumerate(h)))]
+    texts = [f'TOKEN = "{f}"' for f in forms] + [f'token = "{lower[1]}"'.upper(), "DEADBEEF" * 6, "DEADBEEF" * 3 + "G" * 8]
+    got = [r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    given = [[(e["kind"], e["entity"], e["surrogate"]) for e in r["pii_entities"]] for r in got]
+    assert [[x[:2] for x in g] for g in given[:9]] == [[("secret", f)] for f in forms] and given[9] == given[4] and not given[10] + given[11]
+    made = [g[0][2] for g in given[:9]]
+    assert [r["text"] for r in got[:9]] == [f'TOKEN = "{m}"' for m in made]
+    for h, low, up, mixed in zip(lower, made[::3], made[1::3], made[2::3], strict=True):
+        assert re.fullmatch(f"[0-9a-f]{{{len(h)}}}", low) and low != h and up == low.upper() and mixed.lower() == low and mixed not in (low, up)
+
+
 def plain_classes(docs, n, num, den):
     sets = []
     for _, t in docs:
