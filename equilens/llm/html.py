@@ -3,7 +3,9 @@
 A page is cut into blocks at its block-level tags.  Each block is described by its number of words and its link
 density, by those of the blocks before and after it, and by where it stands: inside an article, inside something
 that its tag, class, id or role calls a menu, header, footer, sidebar, notice, advert, form or comment, or in
-neither.  A decision tree trained on the small labelled table below tells main text from the rest.
+neither.  A decision tree trained on the small labelled table below tells main text from the rest: in each place
+words and densities, its own and those around it, decide.  The main and the article with the most words, and
+whatever holds them, are never set apart, whatever their names say.
 
 Defined results: a null, empty or text-free page has no blocks and an empty text; broken markup is read as far as
 it goes (an unclosed element ends with the one around it, an unclosed comment, script or style with the page);
@@ -13,6 +15,7 @@ repeated rows give the same text; existing columns with the outputs' names are r
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,24 +28,28 @@ from .common import without
 
 NEITHER, ARTICLE, ASIDE = 0, 1, 2
 
-#: The labelled table, by hand: place, words, link density, words and link density of the block before and of that after, main text.
+#: Examples of what the letters of the labelled table stand for: words of a block (short, medium, long, very long), its link
+#: density (poor, half, dense), and (words, link density) of a neighbour (none, links, or a short, medium or long text).
+WORDS_OF = {"s": (1, 4, 9), "m": (10, 24, 59), "l": (60, 89), "x": (90, 300, 2500)}
+DENSITY_OF = {"p": (0.0, 0.1, 0.3), "h": (0.31, 0.5), "d": (0.61, 1.0)}
+BESIDE_OF = {"0": ((0, 0.0),), "d": ((1, 1.0), (12, 0.5), (60, 0.8)), "s": ((1, 0.0), (9, 0.3)), "m": ((10, 0.0), (59, 0.3)), "l": ((60, 0.0), (2500, 0.3))}
+ANY = "0dsml"
+#: The labelled table, by hand: place, words, link density, the blocks before and after, main text. The first row that fits counts.
 LABELLED = [
-    (ARTICLE, 8, 0.0, 5, 1.0, 60, 0.0, 1), (ARTICLE, 60, 0.0, 8, 0.0, 45, 0.0, 1), (ARTICLE, 45, 0.1, 60, 0.0, 1, 0.0, 1), (ARTICLE, 1, 0.0, 45, 0.1, 80, 0.0, 1),
-    (ARTICLE, 2, 0.0, 1, 0.0, 1, 0.0, 1), (ARTICLE, 12, 0.5, 40, 0.0, 40, 0.0, 1), (ARTICLE, 200, 0.02, 3, 0.0, 0, 0.0, 1), (ARTICLE, 3, 0.0, 0, 0.0, 0, 0.0, 1),
-    (ARTICLE, 5, 1.0, 50, 0.0, 50, 0.0, 1), (ARTICLE, 30, 0.0, 20, 0.0, 6, 0.5, 1), (ARTICLE, 1, 0.0, 0, 0.0, 25, 0.0, 1), (ARTICLE, 15, 0.2, 1, 1.0, 9, 0.0, 1),
-    (ASIDE, 1, 1.0, 0, 0.0, 1, 1.0, 0), (ASIDE, 1, 1.0, 1, 1.0, 1, 1.0, 0), (ASIDE, 2, 1.0, 1, 1.0, 12, 0.0, 0), (ASIDE, 12, 0.0, 1, 1.0, 8, 0.0, 0),
-    (ASIDE, 9, 0.0, 60, 0.0, 0, 0.0, 0), (ASIDE, 40, 0.0, 60, 0.0, 0, 0.0, 0), (ASIDE, 80, 0.05, 90, 0.0, 30, 0.0, 0), (ASIDE, 6, 0.3, 70, 0.0, 4, 1.0, 0),
-    (ASIDE, 3, 0.0, 3, 0.0, 3, 0.0, 0), (ASIDE, 150, 0.0, 20, 0.0, 100, 0.0, 0), (ASIDE, 25, 0.4, 9, 0.0, 15, 0.9, 0), (ASIDE, 1, 0.0, 0, 0.0, 0, 0.0, 0),
-    (NEITHER, 60, 0.0, 8, 0.0, 45, 0.0, 1), (NEITHER, 45, 0.1, 60, 0.0, 30, 0.0, 1), (NEITHER, 8, 0.0, 1, 1.0, 60, 0.0, 1), (NEITHER, 5, 0.0, 50, 0.0, 70, 0.0, 1),
-    (NEITHER, 25, 0.2, 30, 0.0, 2, 1.0, 1), (NEITHER, 18, 0.0, 0, 0.0, 0, 0.0, 1), (NEITHER, 4, 0.0, 40, 0.0, 35, 0.1, 1), (NEITHER, 100, 0.0, 4, 1.0, 3, 1.0, 1),
-    (NEITHER, 1, 1.0, 1, 1.0, 1, 1.0, 0), (NEITHER, 3, 1.0, 2, 1.0, 50, 0.0, 0), (NEITHER, 4, 1.0, 60, 0.0, 3, 1.0, 0), (NEITHER, 2, 0.0, 1, 1.0, 1, 1.0, 0),
-    (NEITHER, 14, 0.9, 20, 0.0, 10, 0.9, 0), (NEITHER, 20, 0.7, 5, 1.0, 6, 1.0, 0), (NEITHER, 6, 0.6, 30, 0.0, 30, 0.0, 0), (NEITHER, 3, 0.0, 2, 0.0, 2, 0.0, 0),
+    # In an article, a label among links is none; text is main, links only within prose.
+    (ARTICLE, "s", "p", "d", "d", 0), (ARTICLE, "smlx", "p", ANY, ANY, 1), (ARTICLE, "sm", "h", "ml", "ml", 1), (ARTICLE, "lx", "h", ANY, ANY, 1),
+    (ARTICLE, "s", "d", "ml", "ml", 1), (ARTICLE, "smlx", "hd", ANY, ANY, 0),
+    # What is set apart is main only where it is very long, poor in links and beside another long text.
+    (ASIDE, "x", "p", "l", ANY, 1), (ASIDE, "x", "p", ANY, "l", 1), (ASIDE, "smlx", "phd", ANY, ANY, 0),
+    # In neither, a short block is main as a heading between texts or before a long one, a medium one unless among links.
+    (NEITHER, "s", "p", "ml", "ml", 1), (NEITHER, "s", "p", ANY, "l", 1), (NEITHER, "m", "p", "d", "d", 0), (NEITHER, "mlx", "p", ANY, ANY, 1),
+    (NEITHER, "lx", "h", "ml", "ml", 1), (NEITHER, "smlx", "phd", ANY, ANY, 0),
 ]
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select option button canvas".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are never main text, and words in class, id or role that say so.
+#: Elements that are never main text; words in class, id or role that say so, and words that may stand beside them in one name.
 ASIDE_TAGS = frozenset("nav header footer aside form head dialog menu fieldset".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
@@ -52,29 +59,67 @@ ASIDE_WORDS = frozenset(
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+BESIDE = frozenset("area bar block bottom box col column container content global inner item left list main outer page panel primary right section secondary site top wrap wrapper".split())
 WORDS = re.compile(r"[a-z]+")
 
 
-def set_apart(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in ASIDE_TAGS and not (tag == "header" and in_article):
-        return True
+def set_apart(tag: str, attributes: str) -> bool:
+    """Whether an element's attributes say so."""
     if not attributes or tag in ("html", "body"):
         return False
     if HIDDEN.search(attributes):
         return True
     for m in NAMING.finditer(attributes):
-        name = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
-        if not ASIDE_WORDS.isdisjoint(WORDS.findall(name)):
-            return True
+        # Whole names count: "ad-banner" and "site-footer" are set apart, "share-enabled" and "no-sidebar" are not.
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+            if not ASIDE_WORDS.isdisjoint(words) and words <= ASIDE_WORDS | BESIDE:
+                return True
     return False
 
 
+def places(elements: list[tuple[int, str, bool]], blocks: list[tuple[str, int, float, int]]) -> list[int]:
+    """The place inside each element and, as the last, outside of all."""
+    words, home = [0] * len(elements), [-1] * len(elements)
+    for _, n, _, of in blocks:
+        if of >= 0:
+            words[of] += n
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i][0] >= 0:
+            words[elements[i][0]] += words[i]
+    # The main with the most words, and the article with the most, within that main where there is one.
+    most = lambda found: max(found, key=lambda i: (words[i], -i), default=-1)
+    main = most(i for i, e in enumerate(elements) if e[1] == "main")
+    for i, (around, _, _) in enumerate(elements):
+        home[i] = main if i == main else home[around] if around >= 0 else -1
+    article = most(i for i, e in enumerate(elements) if e[1] == "article" and home[i] == main)
+    never = set()
+    for i in (main, article):
+        while i >= 0 and i not in never:
+            never.add(i)
+            i = elements[i][0]
+    out: list[int] = []
+    for i, (around, tag, apart) in enumerate(elements):
+        place = out[around] if around >= 0 else NEITHER
+        if i not in never and (place == ASIDE or apart or (tag in ASIDE_TAGS and not (tag == "header" and place == ARTICLE))):
+            out.append(ASIDE)
+        else:
+            out.append(ARTICLE if tag in ("article", "main") else place)
+    return [*out, NEITHER]
+
+
 def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, place) of the blocks in page order."""
-    out: list[tuple[str, int, float, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the place inside them
+    out: list[tuple[str, int, float, int]] = []  # with the element at first
+    elements: list[tuple[int, str, bool]] = []  # the one around it, tag, whether its attributes set it apart
+    stack: list[tuple[str, int]] = []  # open elements
     parts: list[tuple[str, bool]] = []
-    place, links, at = NEITHER, 0, 0
+    inside, links, at = -1, 0, 0
+
+    def opened(tag: str, apart: bool) -> int:
+        stack.append((tag, len(elements)))
+        elements.append((inside, tag, apart))
+        return len(elements) - 1
 
     def text(upto: int) -> None:
         if upto > at and (piece := page[at:upto]):
@@ -106,20 +151,19 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
             parts.append((" ", False))
         if tag in VOID:
             if tag == "hr":
-                close(place)
+                close(inside)
             continue
         if tag in INLINE:
             if end:
                 if stack and stack[-1][0] == tag:
-                    close(place)
+                    close(inside)
                     stack.pop()
-                    place = stack[-1][1] if stack else NEITHER
-            elif attributes and place != ASIDE and tag != "a" and set_apart(tag, attributes, place == ARTICLE):
-                close(place)  # an inline element that is set apart is a block of its own
-                stack.append((tag, ASIDE))
-                place = ASIDE
+                    inside = stack[-1][1] if stack else -1
+            elif attributes and tag != "a" and set_apart(tag, attributes):
+                close(inside)  # an inline element that is set apart is a block of its own
+                inside = opened(tag, True)
             continue
-        close(place)
+        close(inside)
         links = 0
         if end:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -128,15 +172,13 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
         elif not attributes.endswith("/"):
             while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE or stack[-1][0] == tag in ("li", "td", "th", "tr", "dt", "dd")):
                 stack.pop()
-            around = stack[-1][1] if stack else NEITHER
-            if around == ASIDE or set_apart(tag, attributes, around == ARTICLE):
-                stack.append((tag, ASIDE))
-            else:
-                stack.append((tag, ARTICLE if tag in ("article", "main") else around))
-        place = stack[-1][1] if stack else NEITHER
+            inside = stack[-1][1] if stack else -1
+            opened(tag, set_apart(tag, attributes))
+        inside = stack[-1][1] if stack else -1
     text(len(page))
-    close(place)
-    return out
+    close(inside)
+    where = places(elements, out)
+    return [(words, n, density, where[of]) for words, n, density, of in out]
 
 
 def features(blocks: list[tuple[str, int, float, int]]) -> np.ndarray:
@@ -148,7 +190,7 @@ def features(blocks: list[tuple[str, int, float, int]]) -> np.ndarray:
 class Tree:
     """A decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 16):
         self.value, self.cut = y.mean() >= 0.5, None
         if depth == 0 or y.min() == y.max():
             return
@@ -165,7 +207,7 @@ class Tree:
             self.low, self.high = Tree(x[left], y[left], depth - 1), Tree(x[~left], y[~left], depth - 1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        if not self.cut:
+        if not self.cut or not len(x):
             return np.full(len(x), self.value)
         left = x[:, self.cut[0]] <= self.cut[1]
         out = np.empty(len(x), bool)
@@ -174,7 +216,12 @@ class Tree:
 
 
 def train(labelled: list[tuple] = LABELLED) -> Tree:
-    table = np.array(labelled, float)
+    """The tree of all examples of the labelled rows."""
+    rows: dict[tuple, int] = {}
+    for place, words, density, before, after, main in labelled:
+        for w, d, b, a in itertools.product(*[[x for k in kinds for x in of[k]] for of, kinds in ((WORDS_OF, words), (DENSITY_OF, density), (BESIDE_OF, before), (BESIDE_OF, after))]):
+            rows.setdefault((place, w, d, *b, *a), main)
+    table = np.array([(*x, main) for x, main in rows.items()], float)
     return Tree(table[:, :-1], table[:, -1])
 
 

@@ -176,6 +176,34 @@ def test_all_pages_of_the_table(spark):
         assert got[r["page_id"]] == "\n\n".join(x for x in parts if x)
 
 
+def main_of(page):
+    blocks = html.blocks_of(page)
+    return [b[0] for b, m in zip(blocks, html.train().predict(html.features(blocks)), strict=True) if m]
+
+
+def test_words_and_densities_decide_in_each_place():
+    tree = html.train()
+    main = lambda *row: bool(tree.predict(np.array([row], float))[0])
+    # Own length and density, and the blocks around, turn the decision within one place.
+    assert main(html.ASIDE, 150, 0.02, 120, 0.0, 1, 1.0) and main(html.ASIDE, 150, 0.02, 1, 1.0, 120, 0.0) and not main(html.ASIDE, 150, 0.02, 2, 1.0, 3, 0.0)
+    assert not main(html.ASIDE, 150, 0.8, 120, 0.0, 120, 0.0) and not main(html.ASIDE, 16, 0.0, 200, 0.0, 150, 0.0)
+    assert main(html.ARTICLE, 3, 1.0, 40, 0.0, 50, 0.0) and not main(html.ARTICLE, 3, 1.0, 4, 1.0, 5, 1.0) and not main(html.ARTICLE, 30, 0.9, 60, 0.0, 40, 0.0)
+    assert main(html.ARTICLE, 2, 0.0, 4, 0.0, 5, 1.0) and not main(html.ARTICLE, 2, 0.0, 4, 1.0, 5, 1.0)
+    assert main(html.NEITHER, 3, 0.0, 80, 0.0, 70, 0.0) and not main(html.NEITHER, 3, 0.0, 2, 0.0, 2, 0.0)
+    assert main(html.NEITHER, 15, 0.0, 30, 0.0, 1, 1.0) and not main(html.NEITHER, 15, 0.0, 1, 1.0, 1, 1.0)
+
+
+def test_what_holds_the_article_is_not_set_apart():
+    text = " ".join(["word"] * 30)
+    for around in ('<div class="promo">', '<form id="search">', '<div class="widget social-share-enabled">', '<aside>'):
+        assert main_of(f'{around}<article class="post comments"><p>{text}<p>Short end.</article>') == [text, "Short end."]
+        assert main_of(f"{around}<main><p>{text}<p>Short end.</main>") == [text, "Short end."]
+    # Another article is set apart by its own name or its wrapper's, and so are parts of the protected one.
+    assert main_of(f'<main><article><p>{text}<div class="ad-banner">Buy this now</div></article><div class="comments"><article><p>I like it</article></div></main>') == [text]
+    # Whole names count.
+    assert main_of(f'<div class="no-sidebar with-comments"><p>{text}</div><div class="site-footer"><p>{text}</div>') == [text]
+
+
 # 5
 
 
