@@ -10,14 +10,12 @@ from equilens.llm.common import read_table, written
 from equilens.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is rejected unless its cosine with some language's prototype is above this.
-LEAST_SCORE = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are in a language; those without a letter or unlike every language go."""
-    found = langid.predict(docs, langid.train(langid.training_rows(docs)))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") > LEAST_SCORE)).select(*COLUMNS)
+    prototypes = langid.train(langid.training_rows(docs))
+    return langid.in_language(docs, prototypes, langid.least_score(docs, prototypes)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ prototype bundles its training texts.  A text gets the language whose prototype
 Counts of all training rows go into the prototypes: each task bundles what it reads, Spark sums by language and
 component.  Only the prototypes (languages x dimensions numbers) come to the driver.
 
+Whether a text is in one of the languages at all is judged by its cosine and its number of different n-grams: few
+n-grams cannot come near a prototype, so the least cosine grows with that number up to ``FULL`` of them.
+It is derived from all labelled texts: half of what all but 1 % of the correctly recognised ones reach.
+
 Defined results: a text that is null or has no letter gets ``und`` and 0; so do all texts when nothing could be
 learned; equal cosines go to the language first by name; repeated rows count each time; other columns pass
 through, existing columns with the outputs' names are replaced.
@@ -31,6 +35,11 @@ SEED = 20240611
 #: n-gram vectors that a worker remembers; beyond it the memory starts anew.
 MEMO = 49_152
 UNDETERMINED = "und"
+#: Different n-grams from which a text must reach the full least score.
+FULL = 64
+#: The least score is this share of this quantile, and at most so many standard deviations of an unrelated text's cosine (tables
+#: of a few texts are learned by heart).
+SHARE, QUANTILE, MOST_DEVIATIONS = 0.5, 0.01, 8
 #: Languages a model may have; more are taken for a wrong label column and refused.
 MAX_LANGUAGES = 10_000
 
@@ -130,11 +139,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return Prototypes(languages, vectors / np.linalg.norm(vectors, axis=1, keepdims=True).clip(1e-12), seed)
 
 
-def predict(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language of the whole text and its cosine, cut to 0..1."""
+def predict(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", grams_out: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language of the whole text and its cosine, cut to 0..1; in ``grams_out`` the number of its different n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
 
-    @F.pandas_udf("language string, score double")
+    @F.pandas_udf("language string, score double, grams long")
     def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         space = on_worker(known.vectors.shape[1], known.seed)
@@ -142,18 +151,39 @@ def predict(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lan
             out = []
             for text in batch:
                 keys = ngram_keys(text) if text is not None else ()
-                found = (UNDETERMINED, 0.0)
+                found = (UNDETERMINED, 0.0, 0)
                 if len(keys) and known.languages:
-                    vector = space.bundle(*np.unique(keys, return_counts=True))
+                    different, counts = np.unique(keys, return_counts=True)
+                    vector = space.bundle(different, counts)
                     if norm := np.linalg.norm(vector):
                         cosines = known.vectors @ vector / norm
                         best = int(np.argmax(cosines))
-                        found = known.languages[best], float(min(1.0, max(0.0, cosines[best])))
+                        found = known.languages[best], float(min(1.0, max(0.0, cosines[best]))), len(different)
                 out.append(found)
-            yield pd.DataFrame(out, columns=["language", "score"])
+            yield pd.DataFrame(out, columns=["language", "score", "grams"])
+
+    added = {lang_out: F.col("_language.language"), score_out: F.col("_language.score")} | ({grams_out: F.col("_language.grams")} if grams_out else {})
+    out = without(docs, *added, "_language").withColumn("_language", classify(docs[text_col]))
+    return out.withColumns(added).drop("_language")
+
+
+def allowance(grams: Column) -> Column:
+    """The part of the least score that a text of so many different n-grams must reach."""
+    return F.least(grams / FULL, F.lit(1.0))
+
+
+def least_score(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang") -> float:
+    """The least score of texts in one of the languages, from all labelled texts; 0 where none is recognised."""
+    labelled = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).dropna()
+    right = predict(labelled, prototypes, grams_out="grams").where("lang_pred = lang and grams > 0")
+    found = right.agg(F.percentile_approx(F.col("lang_score") / allowance(F.col("grams")), QUANTILE)).first()[0]
+    return min(SHARE * (found or 0.0), MOST_DEVIATIONS / prototypes.vectors.shape[1] ** 0.5)
+
 
-    out = without(docs, lang_out, score_out, "_language").withColumn("_language", classify(docs[text_col]))
-    return out.withColumns({lang_out: F.col("_language.language"), score_out: F.col("_language.score")}).drop("_language")
+def in_language(docs: DataFrame, prototypes: Prototypes, least: float, text_col: str = "text") -> DataFrame:
+    """Those of ``docs`` that are in one of the languages, with lang_pred, lang_score and lang_grams."""
+    found = predict(docs, prototypes, text_col, grams_out="lang_grams")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") > least * allowance(F.col("lang_grams"))))
 
 
 def held_out(doc_id: Column) -> Column:

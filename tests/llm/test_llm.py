@@ -472,6 +472,22 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"} and langid.predict(empty(spark), none).count() == 0
 
 
+def test_texts_in_no_language_go(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*p.COLUMNS)
+    letters = ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщыьэюя")
+    junk = [" ".join("".join(rng.choices(a, k=rng.randrange(2, 9))) for _ in range(n)) for a in letters for n in (20, 100, 500) for _ in range(10)]
+    junk += ["Bugün hava çok güzel ve çocuklar parkta oynuyor, akşam eve dönecekler.", "Tänään on kaunis ilma ja lapset leikkivät puistossa, illalla he palaavat kotiin.", "Сегодня хорошая погода и дети играют в парке, вечером они вернутся домой."]
+    kept = p.language(spark, docs.unionByName(spark.createDataFrame([(-1 - i, t, None, None, None) for i, t in enumerate(junk)], DOCS)), SF)
+    kept = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    given = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert not {d for d in kept if d < 0}
+    short = {d for d, t in given.items() if len(t) <= 60 and re.fullmatch(r"[^\W\d_]+( [^\W\d_]+)+\.", t)}
+    assert short and short <= kept and len(kept) > 0.998 * len(given)
+
+
 # Pipeline
 
 
