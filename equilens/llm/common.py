@@ -10,23 +10,48 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The shared folder for written intermediates: spark.checkpoint.dir.
+
+    Where that is unset, a session that runs in one process gets a fresh local folder; on a cluster it is an error,
+    since executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing.
+class Tables:
+    """Intermediates of one run of an operator, as Parquet in the shared folder: lineage ends there, and a lost executor
+    costs nothing.  They are dropped by name as soon as nothing reads them any more; what a returned DataFrame still
+    reads stays in the folder of the application."""
 
-    Tables of one application are in one folder, to be removed when it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back; a table that had the name before is dropped once the new one stands."""
+        before, path = self.paths.get(name), f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if before:
+            self._delete(before)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

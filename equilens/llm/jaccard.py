@@ -2,18 +2,27 @@
 
 A document's set holds the hashes of its word n-grams.  Sets are put into size bands; two sets similar enough lie
 in one band or in neighbouring ones, and then differ in at most k elements, k following from the band.  The domain
-is partitioned by hash into n1 parts of n2 = 2 second-level parts each, with 2 * n1 > k; of each part the subsets of
-n2 - k2 = 1 second-level parts are enumerated, and the elements in such a subset make a signature.  Sets that differ
-in at most k elements share one.  Subsets that are empty, or hold only n-grams that many documents share, are left
-out where enough others must agree, so that common lines and passages do not gather unrelated documents.
-
-Copies (equal sets) are one class.  Classes that share a signature are compared with a leader; links join classes
-into components, and where a signature still holds classes of several components, those go on to a round with
-another leader, the one with most links so far.  What is left after the last round is compared in blocks of sets: no pair
-leaves a task unless it is a link.  So
-every two classes that share a signature are compared unless they are known to be in one component.  All
-comparisons count the true intersection: no link that matters is lost, and none is made up (but for equal 64-bit
-hashes of different n-grams).
+is partitioned by hash into n1 parts of n2 second-level parts each; of each part all subsets of n2 - k2 second-level
+parts are enumerated, and the elements in such a subset make a signature.  At most q = floor(k / (k2 + 1)) parts can
+differ in more than k2 second-level parts, so where n1 > q, sets that differ in at most k elements share a signature.
+For each band (n1, n2, k2) are those that give the fewest signatures with about as many elements as those of large sets
+have: large sets need one second-level part, small ones several with subsets enumerated.
+
+A part is whole if none of its signatures is without elements.  A set gives its signatures that have elements under one
+partition; where not more than q parts are whole, it adds those under the next partition, and so on.  Of two similar
+sets one ends first, under a partition that the other uses too, and of its whole parts one agrees.  (A set without
+such a partition among ``TURNS`` gives those without elements too.)  In the same way a set of one partition may leave
+out signatures that more than ``HOT`` sets hold, which come from common lines and passages, while more than q parts
+are left whole: how many hold a signature is the same for all who hold it.
+
+Copies (equal sets) are one class.  Classes are compared in three steps, and each step leaves out what the one before
+has shown to be in one component.  First all classes of a signature with its smallest; then, where a signature still
+holds several components, all others in blocks inside tasks.  Pairs are first compared by sketches, the parities of the
+elements' numbers in many hash parts: sketches differ in no more places than sets in elements, so what differs too much
+is not similar.  What passes, nearly all of it links, is decided by the true intersection of both sets.  So no link that
+matters is lost, and none is made up (but for equal 64-bit hashes of different n-grams within one pair of sets).
+Classes are known by 64-bit hashes of their sets; a second hash checks them, and sets that share the first alone are
+told apart by both.
 
 Defined results: null text, empty text and text without words have an empty set, linked with nothing; a text with
 fewer words than n has its whole sequence as one element; repeated rows and copies are in one component; equal ids
@@ -26,30 +35,36 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .chat import let
-from .common import written
+from .common import Tables
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Classes in the second pass are compared through broadcast while they are at most so many (8 bytes each).
-BROADCAST_IDS = 1_000_000
-#: Different texts among which frequent n-grams are looked for, on average, and in how many of them one is frequent.
-SAMPLE, FREQUENT = 5000, 10
-#: The part of a set's elements that is taken to be rare when room for parts without rare elements is made.
-RARE_PART = 0.8
-#: Parts in which a class's elements are counted for the first comparison.
-PROFILE = 256
-#: Rounds with a further leader for each signature, before what is left is compared in blocks.
-ROUNDS = 1
-#: Sets of a block, on average.
+#: Keys of texts that are broadcast at most (16 bytes each); more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: A signature holds this share, at least, of the elements that one of so large a set holds with one second-level part, where the
+#: band allows it; second-level parts that may differ at most.
+HELD, LARGE, MOST_K2 = 0.95, 4096, 3
+#: The part of a set's elements that is taken to be rare when room for parts that say little is made, and whole parts beyond q
+#: that a partition must leave on average.
+RARE_PART, ENOUGH = 0.85, 0.6
+#: Partitions that a set tries.
+TURNS = 32
+#: Classes that a signature may have before sets that can do without it leave it out.
+HOT = 64
+#: Classes of a block, on average.
 BLOCK = 256
+#: Elements whose signatures a task makes at once, and classes of one signature among them that go by their smallest.
+CHUNK, TOGETHER = 1 << 19, 8
 #: Classes whose signatures a task remembers, so that it gives those of copies once.
 SEEN = 1 << 16
 
@@ -73,241 +88,367 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Parts(NamedTuple):
+    n1: int
+    n2: int
+    k2: int
+    #: Parts that may differ in more than k2 second-level parts.
+    q: int
+
+
 class Bands:
     """Size bands for a similarity of at least num / den, and the parts of each."""
 
-    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None):
+    def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.ends = [0]
-        self.frequent = np.zeros(1, np.int64) if frequent is None or not len(frequent) else np.sort(frequent)
+        self.held = 0.0
+        large = int(self.band(np.array([LARGE]))[0])
+        self.held = HELD * self._least(large) / self.parts(large).n1
+        self.parts.cache_clear()
 
-    def band(self, size: int) -> int:
+    def _least(self, band: int) -> int:
+        return self.ends[max(band - 2, 0)] + 1
+
+    def band(self, sizes: np.ndarray) -> np.ndarray:
         """1 for the smallest sets."""
-        while self.ends[-1] < size:
+        while len(sizes) and self.ends[-1] < sizes.max():
             self.ends.append((self.ends[-1] + 1) * self.den // self.num)
-        return int(np.searchsorted(self.ends, size))
+        return np.searchsorted(self.ends, sizes)
 
     @functools.cache  # noqa: B019  one object for each task
-    def parts(self, band: int) -> tuple[int, int]:
-        """(k, second-level parts in all) for pairs of sets in this band and the one below."""
-        self.band(self.ends[-1] + 1) if band >= len(self.ends) else None
+    def parts(self, band: int) -> Parts:
+        """For pairs of sets in this band and the one below."""
+        while band >= len(self.ends):
+            self.ends.append((self.ends[-1] + 1) * self.den // self.num)
         k = 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
-        least = self.ends[max(band - 2, 0)] + 1
-        n = k + 1
-        for _ in range(8):  # room for the parts that chance leaves without a rare element
-            empty = n * math.exp(-RARE_PART * least / n)
-            n = k + 1 + (math.ceil(empty + 4 * math.sqrt(empty)) if k else 0)
-        return k, n + n % 2 if k else 1
-
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """Of one set, given as distinct hashes."""
-        if not len(elements):
-            return np.empty(0, np.int64)
-        own, out = self.band(len(elements)), []
-        at = np.searchsorted(self.frequent, elements)
-        rare = self.frequent[np.minimum(at, len(self.frequent) - 1)] != elements
-        for band in (own, own + 1):
-            k, n = self.parts(band)
-            seed = mix(np.array([band], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
-            mixed = mix(elements.view(np.uint64) ^ seed)
-            part = (mixed % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            places, starts = np.unique(part[order], return_index=True)
-            values = np.zeros(n, np.uint64)
-            values[places] = np.add.reduceat(mix(mixed[order] ^ seed), starts)
-            given = mix(values ^ mix(seed + np.arange(1, n + 1, dtype=np.uint64)))
-            # At least n - k parts agree; if fewer are without a rare element here (or empty), one of those that agree is not.
-            telling = np.unique(part[rare])
-            out.append(given[telling] if len(telling) > k else given[places] if len(places) > k else given)
-        return np.concatenate(out).view(np.int64)
-
-
-def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
-    """Hashes of n-grams that many documents of a bounded sample hold; at most the sample's n-grams / FREQUENT.
-
-    Any set would give whole results: parts without a rare element are left out only where others must agree.
-    """
-    text = docs[text_col]
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(every)) == 0).select(text.alias("text")).distinct()
-    counts = sample.select(F.explode(shingles(F.col("text"), n)).alias("element")).groupBy("element").agg(F.count("*").alias("documents"))
-    return np.array([r["element"] for r in counts.where(F.col("documents") >= FREQUENT).select("element").collect()], np.int64)
-
-
-def sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, class, elements): class is a hash of the set. As text, ids with nulls among them stay exact in pandas."""
-    sets = docs.select(docs[id_col].cast("string").alias("id"), shingles(docs[text_col], n).alias("elements"))
-    return sets.select("id", F.size("elements").cast("long").alias("size"), F.xxhash64(F.sort_array("elements")).alias("class"), "elements")
-
-
-def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, class, profile): profile counts the elements in PROFILE hash parts, a byte each."""
-
-    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for elements in batch.pop("elements"):
-                part = (mix(np.asarray(elements, np.int64).view(np.uint64)) % np.uint64(PROFILE)).astype(np.int64)
-                made.append(np.minimum(np.bincount(part, minlength=PROFILE), 255).astype(np.uint8).tobytes())
-            yield batch.assign(profile=made)
-
-    out = sets_of(docs, n, id_col, text_col).mapInPandas(profiled, "id string, size long, class long, profile binary")
-    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-
-
-def signatures(docs: DataFrame, n: int, num: int, den: int, text_col: str = "text") -> DataFrame:
-    """(signature, class) of all sets that are not empty; they go straight into the shuffle and are not kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, text_col))
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands, seen = Bands(num, den, shared.value), set()
+        least = self._least(band)
+        if not k:
+            return Parts(1, 1, 0, 0)
+        found = []
+        for k2 in range(min(k, MOST_K2) + 1):
+            q = k // (k2 + 1)
+            for n2 in range(k2 + 1, k2 + 5) if k2 else (1,):
+                for n1 in range(q + 1, 4 * q + 8):
+                    filled = 1 - math.exp(-RARE_PART * least / (n1 * n2))
+                    whole = n1 * sum(math.comb(n2, j) * filled**j * (1 - filled) ** (n2 - j) for j in range(k2 + 1, n2 + 1))
+                    if whole >= q + ENOUGH:
+                        found.append((max(0.0, self.held - least * (n2 - k2) / (n1 * n2)), n1 * math.comb(n2, k2), Parts(n1, n2, k2, q)))
+                        break
+        return min(found)[2] if found else Parts(k + 1, 1, 0, k)
+
+    def _placed(self, band: int, turn: int, elements: np.ndarray, owner: np.ndarray) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        p = self.parts(band)
+        seed = mix(np.array([band * TURNS + turn], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
+        mixed = mix(elements ^ seed)
+        return seed, mixed, owner * (p.n1 * p.n2) + (mixed % np.uint64(p.n1 * p.n2)).astype(np.int64)
+
+    def spare(self, band: int, elements: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+        """The number of whole parts beyond q in the first partition."""
+        p = self.parts(band)
+        filled = np.zeros(sets * p.n1 * p.n2, bool)
+        filled[self._placed(band, 0, elements, owner)[2]] = True
+        return ((filled.reshape(sets, p.n1, p.n2).sum(axis=2) > p.k2).sum(axis=1) - p.q).clip(0)
+
+    def signatures(self, band: int, elements: np.ndarray, owner: np.ndarray, sets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(set, signature) of sets in this band or the one below; the lowest bit of a signature is that of the band."""
+        p = self.parts(band)
+        subsets = np.array(list(combinations(range(p.n2), p.n2 - p.k2)))
+        left = np.arange(sets)
+        for turn in range(TURNS):
+            seed, mixed, place = self._placed(band, turn, elements, owner)
+            order = np.argsort(place)
+            ordered = place[order]
+            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            values, filled = np.zeros(len(left) * p.n1 * p.n2, np.uint64), np.zeros(len(left) * p.n1 * p.n2, bool)
+            values[ordered[starts]] = np.add.reduceat(mix(mixed[order] ^ seed), starts)
+            filled[ordered[starts]] = True
+            names = mix(seed + np.arange(1, p.n1 * len(subsets) + 1, dtype=np.uint64)).reshape(p.n1, -1)
+            sums = values.reshape(-1, p.n1, p.n2)[:, :, subsets].sum(axis=3, dtype=np.uint64)
+            given = (mix(sums ^ names) & ~np.uint64(1)) | np.uint64(band & 1)
+            filled = filled.reshape(-1, p.n1, p.n2)
+            told, vague = filled[:, :, subsets].any(axis=3), (filled.sum(axis=2) > p.k2).sum(axis=1) <= p.q
+            yield left[np.nonzero(told)[0]], given[told].view(np.int64)
+            if turn == 0:
+                empty = left, ~told, given
+            if not vague.any():
+                return
+            # Sets of which too few parts are whole take a further partition.
+            left, new, of = left[vague], np.cumsum(vague) - 1, vague[owner]
+            elements, owner = elements[of], new[owner[of]]
+        at, rest, given = empty
+        rest &= np.isin(at, left)[:, None, None]
+        yield at[np.nonzero(rest)[0]], given[rest].view(np.int64)
+
+
+def by_band(bands: Bands, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(band, places of the sets, their elements, the owner of each): every set in its own band and the next."""
+    sizes = np.array([len(x) for x in sets])
+    own = bands.band(sizes)
+    for band in sorted({*own.tolist(), *(own + 1).tolist()} - {0}):
+        at = np.flatnonzero(((own == band) | (own + 1 == band)) & (sizes > 0))
+        if len(at):
+            yield band, at, np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), sizes[at])
+
+
+def sketch_bits(size: int, num: int, den: int) -> int:
+    """A power of two, about four times the elements in which similar sets of that size may differ."""
+    return 1 << max(6, (8 * size * (den - num) // (den + num)).bit_length())
+
+
+def sketch(elements: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of the numbers of elements in hash parts; the first half over the second is the sketch of half the length."""
+    bits = sketch_bits(len(elements), num, den)
+    counts = np.bincount((mix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def sets_in(batch: pa.RecordBatch) -> list[np.ndarray]:
+    lists = batch.column("elements")
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
+
+
+def class_of(elements: Column) -> tuple[Column, Column]:
+    """The class and the hash that checks it."""
+    ordered = F.sort_array(elements)
+    return F.xxhash64(ordered).alias("class"), F.xxhash64(ordered, F.lit(1)).alias("check")
+
+
+def told_apart(sets: DataFrame, clashes: list[int]) -> DataFrame:
+    """Classes of different sets with one hash are named by both hashes."""
+    if not clashes:
+        return sets.drop("check")
+    return sets.withColumn("class", F.when(F.col("class").isin(clashes), F.xxhash64("class", "check")).otherwise(F.col("class"))).drop("check")
+
+
+def text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("key"), F.xxhash64(text, F.lit(1)).alias("key2")]
+
+
+def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, key2, size, class, check, sketch, spare): the keys are those of the text, spare is that of even and odd bands."""
+    fields = "key long, key2 long, class long, check long, size long, sketch binary, spare array<long>"
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for batch in batches:
-            given = []
-            for own, elements in zip(batch["class"], batch.pop("elements"), strict=True):
-                new = own not in seen
-                if new:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(own)
-                given.append(bands.signatures(np.asarray(elements, np.int64)) if new else np.empty(0, np.int64))
-            yield batch.assign(signatures=given)
+            if not len(batch):
+                continue
+            sets = sets_in(batch)
+            spare = np.zeros((len(sets), 2), np.int64)
+            for band, at, elements, owner in by_band(bands, sets):
+                spare[at, band & 1] = bands.spare(band, elements, owner, len(at))
+            columns = [batch.column(c) for c in ("id", "key", "key2", "class", "check")]
+            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x, num, den) for x in sets], pa.binary()), pa.array(spare.tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "key2", "class", "check", "size", "sketch", "spare"])
 
-    sets = sets_of(docs, n, text_col, text_col).where("size > 0").select("class", "elements")
-    return sets.mapInPandas(signed, "class long, signatures array<long>").select(F.explode("signatures").alias("signature"), "class")
+    text = docs[text_col]
+    sets = docs.select(docs[id_col].alias("id"), *text_keys(text), shingles(text, n).alias("elements"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return sets.select("id", "key", "key2", *class_of(F.col("elements")), "elements").mapInArrow(described, f"id {kind}, {fields}")
 
 
-def verified(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose similarity is num / den or more.
+def signatures(docs: DataFrame, n: int, num: int, den: int, clashes: list[int], text_col: str = "text") -> DataFrame:
+    """(signature, salt, class) of all sets that are not empty; they go straight into the shuffle and are not kept.
 
-    Profiles differ by no more than the sets do, so what differs too much in them is dropped before the sets meet.
+    Where a task finds many classes with one signature, only the smallest goes by the signature alone (salt 0); all
+    of them go by signature and that class too. So no group is much larger than the number of tasks or what one holds.
     """
 
-    @F.pandas_udf("long")
-    def apart(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, PROFILE).astype(np.int16) for x in (of_a, of_b))
-        return pd.Series(np.abs(a - b).sum(axis=1, dtype=np.int64))
-
-    side = lambda of: profiles.select(F.col("class").alias(of), F.col("size").alias(f"n_{of}"), F.col("profile").alias(f"p_{of}"))
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den), set()
+
+        def of(sets: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+            given, own, classes = [], [], np.array(owners, np.int64)
+            for band, at, elements, owner in by_band(bands, sets):
+                for whose, signature in bands.signatures(band, elements, owner, len(at)):
+                    given.append(signature)
+                    own.append(classes[at[whose]])
+            signature, own = np.concatenate(given), np.concatenate(own)
+            order = np.lexsort((own, signature))
+            signature, own = signature[order], own[order]
+            first = np.concatenate(([True], signature[1:] != signature[:-1]))
+            starts = np.flatnonzero(first)
+            many = np.diff(np.append(starts, len(signature))) >= TOGETHER
+            run = np.cumsum(first) - 1
+            salted = many[run]
+            alone = ~salted | first
+            leader = own[starts][run]
+            salt = np.concatenate((np.zeros(alone.sum(), np.int64), leader[salted]))
+            columns = [np.concatenate((signature[alone], signature[salted])), salt, np.concatenate((own[alone], own[salted]))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "salt", "class"])
+
+        sets, owners, held = [], [], 0
+        for batch in batches:
+            for own, elements in zip(batch.column("class").to_numpy(zero_copy_only=False).tolist(), sets_in(batch) if len(batch) else (), strict=True):
+                if own in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(own)
+                sets.append(elements)
+                owners.append(own)
+                held += len(elements)
+                if held >= CHUNK:
+                    yield of(sets, owners)
+                    sets, owners, held = [], [], 0
+        if sets:
+            yield of(sets, owners)
+
+    sets = docs.select(shingles(docs[text_col], n).alias("elements")).where(F.size("elements") > 0)
+    sets = told_apart(sets.select("elements", *class_of(F.col("elements"))), clashes)
+    return sets.select("class", "elements").mapInArrow(signed, "signature long, salt long, class long")
+
+
+def may_be_similar(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each pair in turn: whether sizes and sketches allow a similarity of num / den."""
+    out = np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num
+    lengths = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+    for length in np.unique(lengths[out]):
+        at = np.flatnonzero(out & (lengths == length))
+        x, y = (folded([of[i] for i in at], int(length)) for of in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1) <= (n_a[at] + n_b[at]) * (den - num) // (den + num)
+    return out
+
+
+def folded(sketches: list[bytes], length: int) -> np.ndarray:
+    """Sketches of ``length`` bytes or any doubling of it, as words of 64 bits."""
+    out = np.zeros((len(sketches), length), np.uint8)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, length), axis=0)
+    return out.view(np.uint64)
+
+
+def alike(pairs: DataFrame, of_class: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that sizes and sketches do not tell apart."""
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        return pd.Series(may_be_similar(list(a), list(b), n_a.to_numpy(), n_b.to_numpy(), num, den))
+
+    side = lambda of: of_class.select(F.col("class").alias(of), F.col("size").alias(f"n_{of}"), F.col("sketch").alias(f"s_{of}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    near = sized.where(apart("p_a", "p_b") <= most).select("a", "b")
+    return sized.where(may("s_a", "s_b", "n_a", "n_b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, of_class: DataFrame, n: int, num: int, den: int, clashes: list[int], text_col: str, tables: Tables) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose similarity is num / den or more, by their sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    keys = tables.write(of_class.join(wanted, "class", "left_semi").select("key", "key2"), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    text = docs[text_col]
+    texts = docs.select(text.alias("text"), *text_keys(text)).join(keys, ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
+    sets = texts.select(shingles(F.col("text"), n).alias("elements"))
+    sets = tables.write(told_apart(sets.select("elements", *class_of(F.col("elements"))), clashes), "sets")
     a = sets.select(F.col("class").alias("a"), F.col("elements").alias("of_a"))
     b = sets.select(F.col("class").alias("b"), F.col("elements").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     n_a, n_b = F.size("of_a"), F.size("of_b")
-    return near.join(a, "a").join(b, "b").where(den * both.cast("long") >= num * (n_a + n_b - both)).select("a", "b")
-
-
-def block_links(a: list[np.ndarray], b: list[np.ndarray], of_a: np.ndarray, of_b: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Places of linked pairs of different components.
-
-    Sets are first compared by a vector of many small hash parts: it differs in no more parts than the sets in elements.
-    """
-    n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    most = 2 * max(n_a.max(), n_b.max()) * (den - num) // (den + num) + 1
-    parts = 1 << min(15, max(8, int(8 * most).bit_length()))
-
-    def vectors(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), parts), np.uint16)
-        for row, elements in zip(out, sets, strict=True):
-            mixed = mix(elements.view(np.uint64))
-            sums = np.bincount((mixed % np.uint64(parts)).astype(np.int64), (mixed >> np.uint64(40)).astype(float), parts)
-            row[:] = sums.astype(np.int64) & 0xFFFF
-        return out
-
-    of, against = vectors(a), vectors(b)
-    for i in range(len(a)):
-        differ = (n_a[i] + n_b) * (den - num) // (den + num)
-        open_ = np.flatnonzero((of_b != of_a[i]) & (np.minimum(n_a[i], n_b) * den >= np.maximum(n_a[i], n_b) * num))
-        if len(open_):
-            near = open_[(against[open_] != of[i]).sum(axis=1) <= differ[open_]]
-            for j in near:
-                both = len(np.intersect1d(a[i], b[j], assume_unique=True))
-                if den * both >= num * (n_a[i] + n_b[j] - both):
-                    yield i, int(j)
-
-
-def in_blocks(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes of different components that share a signature. rest: (signature, class, component)."""
-    led = rest.join(rest.groupBy("signature").agg(F.min("class").alias("least")), "signature")
-    near = components(led.select(F.col("class").alias("a"), F.col("least").alias("b")))
-    members = rest.select("class", "component").distinct().join(near.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class", "left")
-    members = members.withColumn("cluster", F.coalesce("cluster", "class"))
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    kept = written(dealt.join(sets, "class").groupBy("cluster", "block").agg(F.collect_list(F.struct("class", "component", "elements")).alias("sets")), "jaccard-blocks")
-    pairs = blocks.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_a"), "blocks")
-    pairs = pairs.select("cluster", "block_a", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
-
-    def side(of: str) -> DataFrame:
-        return kept.select("cluster", F.col("block").alias(f"block_{of}"), *[F.col(f"sets.{c}").alias(f"{c}_{of}") for c in ("class", "component", "elements")])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = tables.write(pairs.join(a, "a").join(b, "b").where(den * both.cast("long") >= num * (n_a + n_b - both)).select("a", "b"), "links")
+    tables.drop("keys", "sets")
+    return found
+
+
+def kept_members(members: DataFrame, of_class: DataFrame) -> DataFrame:
+    """(signature, class) without those that a class can do without."""
+    hot = members.groupBy("signature").count().where(F.col("count") > HOT).select("signature", F.lit(True).alias("hot"))
+    marked = members.join(hot, "signature", "left").withColumn("odd", F.col("signature").bitwiseAND(F.lit(1)))
+    counted = marked.where("hot").groupBy("class", "odd").count()
+    spare = F.get("spare", F.col("odd").cast("int"))
+    without_them = counted.join(of_class.select("class", "spare"), "class").where(F.col("count") < spare).select("class", "odd", F.lit(True).alias("spared"))
+    return marked.join(without_them, ["class", "odd"], "left").where("hot is null or spared is null").select("signature", "class")
+
+
+def block_pairs(left: tuple, right: tuple | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of classes of different components that may be similar, within one block or between two: (class, component, size, sketch)."""
+    (own, component, n, sketches), (own_b, component_b, n_b, sketches_b) = left, right or left
+    lengths, lengths_b = (np.array([len(s) for s in x]) for x in (sketches, sketches_b))
+    each = {int(x): tuple(folded([s if len(s) >= x else bytes(x) for s in of], int(x)) for of in (sketches, sketches_b)) for x in {*lengths, *lengths_b}}
+    out = []
+    for i in range(len(own)):
+        at = np.flatnonzero((component_b != component[i]) & (np.minimum(n_b, n[i]) * den >= np.maximum(n_b, n[i]) * num))
+        if right is None:
+            at = at[at > i]
+        shorter = np.minimum(lengths_b[at], lengths[i])
+        for length in np.unique(shorter).tolist():
+            these, (x, y) = at[shorter == length], each[length]
+            apart = np.bitwise_count(x[i] ^ y[these]).sum(axis=1)
+            out += [(own[i], own_b[j]) for j in these[apart <= (n[i] + n_b[these]) * (den - num) // (den + num)]]
+    return out
+
+
+def in_blocks(rest: DataFrame, of_class: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a signature and may be similar. rest: (signature, class, component)."""
+    counts = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    mixed = rest.groupBy("signature").agg(*counts).where("least != most")
+    # Signatures with the same classes are compared once.
+    chosen = tables.write(mixed.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
+    sketched = rest.join(chosen, "signature").join(of_class.select("class", "size", "sketch"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    kept = tables.write(sketched.groupBy("signature", "blocks", "block").agg(F.collect_list(F.struct("class", "component", "size", "sketch")).alias("sets")), "blocks")
+    fields = ("class", "component", "size", "sketch")
+    left = kept.select("signature", "blocks", "block", *[F.col(f"sets.{c}").alias(f"{c}_a") for c in fields])
+    right = kept.where("blocks > 1").select("signature", F.col("block").alias("other"), *[F.col(f"sets.{c}").alias(f"{c}_b") for c in fields])
+    others = left.where("blocks > 1 and block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                a, b = ([np.asarray(x, np.int64) for x in of] for of in (row.elements_a, row.elements_b))
-                found = block_links(a, b, np.asarray(row.component_a), np.asarray(row.component_b), num, den)
-                # Links that join nothing new in this pair of blocks are left out.
-                root: dict[int, int] = {}
+            for i in range(len(batch)):
+                side = lambda s: [batch.column(f"{c}_{s}")[i].as_py() if c in ("class", "sketch") else batch.column(f"{c}_{s}")[i].values.to_numpy() for c in fields]  # noqa: E731, B023
+                pairs = block_pairs(tuple(side("a")), tuple(side("b")) if "class_b" in batch.schema.names else None, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
-                def top(x: int) -> int:
-                    while root.setdefault(x, x) != x:
-                        root[x] = x = root[root[x]]
-                    return x
+    within = left.select([f"{c}_a" for c in fields]).mapInArrow(compare, "a long, b long")
+    between = others.join(right, ["signature", "other"]).select([f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compare, "a long, b long")
+    return within.unionByName(between).distinct()
 
-                out = []
-                for i, j in found:
-                    if (p := top(row.class_a[i])) != (q := top(row.class_b[j])):
-                        root[p] = q
-                        out.append((row.class_a[i], row.class_b[j]))
-                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    both = pairs.join(side("a"), ["cluster", "block_a"]).join(side("b"), ["cluster", "block_b"])
-    return both.select(*[f"{c}_{of}" for c in ("class", "component", "elements") for of in "ab"]).mapInPandas(compare, "a long, b long")
+def labelled(df: DataFrame, labels: DataFrame, of: str = "class", as_: str = "component") -> DataFrame:
+    """``df`` with the component of the class in ``of``; a class without links is its own."""
+    named = labels.select(F.col("node").alias(of), F.col("component").alias(as_))
+    return df.join(named, of, "left").withColumn(as_, F.coalesce(as_, of))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link where den * intersection >= num * union."""
-    rows = written(classes(docs, n, id_col, text_col), "jaccard-classes")
-    found = signatures(docs, n, num, den, text_col)
-    first = F.first("class").over(Window.partitionBy("signature").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
-    shared = written(found.withColumn("first", first).where("class != first").distinct(), "jaccard-shared")
-
-    pairs = written(shared.select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    ids = written(rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id").distinct(), "jaccard-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    sets = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").select(shingles(F.col("text"), n).alias("elements"))
-    sets = sets.select(F.xxhash64(F.sort_array("elements")).alias("class"), "elements").dropDuplicates(["class"])
-    sets = written(sets.join(wanted, "class", "left_semi"), "jaccard-sets")
-
-    profiles = written(rows.select("class", "size", "profile").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "jaccard-profiles")
-    links = written(verified(pairs, profiles, sets, num, den), "jaccard-links")
-    labels = components(links)
-    # The leader of a signature has met all others; the rest of it goes on where it holds several components.
-    rest = shared.select("signature", "class")
-    for turn in range(ROUNDS + 1):
-        linked = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
-        labelled = rest.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        of_signature = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        mixed = labelled.join(of_signature.where("least != most").select("signature"), "signature", "left_semi")
-        rest = written(mixed.join(linked, "class", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "jaccard-rest")
-        if not rest.limit(1).count():
-            break
-        if turn < ROUNDS:
-            # Who has most links joins most components.
-            leader = F.max(F.struct("degree", "class", "component")).alias("leader")
-            led = rest.join(rest.groupBy("signature").agg(leader), "signature").where("class != leader.class")
-            pairs = led.where("component != leader.component").select(F.least("leader.class", "class").alias("a"), F.greatest("leader.class", "class").alias("b"))
-            rest, more = led.select("signature", "class"), verified(pairs.distinct(), profiles, sets, num, den)
-        else:
-            more = in_blocks(rest, sets, num, den)
-        links = written(links.union(more), "jaccard-links")
-        labels = components(links)
-
-    labelled = rows.select("id", "size", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = labelled.where("size > 0").groupBy("component").agg(F.min("id").alias("least"))
-    out = labelled.where("size > 0").join(least, "component").select("id", "size", F.col("least").alias("component_id"))
+    tables = Tables(docs.sparkSession, "jaccard")
+    rows = tables.write(classes(docs, n, num, den, id_col, text_col), "rows")
+    same_hash = rows.groupBy("class").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least != most")
+    clashes = [r["class"] for r in same_hash.select("class").collect()]  # as few as 64-bit hashes make
+    rows = told_apart(rows, clashes)
+
+    first = F.first("class").over(Window.partitionBy("signature", "salt").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    shared = signatures(docs, n, num, den, clashes, text_col).withColumn("first", first).where("class != first")
+    members = tables.write(shared.select("signature", F.explode(F.array("first", "class")).alias("class")).distinct(), "members")
+    described = [F.min(c).alias(c) for c in ("size", "sketch", "spare")] + [F.min(F.struct("key", "key2")).alias("of_text")]
+    of_class = rows.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(*described)
+    of_class = tables.write(of_class.select("class", "size", "sketch", "spare", "of_text.*"), "classes")
+    kept = tables.write(kept_members(members, of_class), "kept")
+    tables.drop("members")
+
+    # All classes of a signature meet its smallest.
+    leaders = tables.write(kept.groupBy("signature").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader != last").select("signature", "leader"), "leaders")
+    others = kept.join(leaders, "signature").where("class != leader")
+    pairs = tables.write(others.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    near = tables.write(alike(pairs, of_class, num, den), "near")
+    tables.drop("pairs")
+    # One pair of each class joins most; of the others only those between components matter.
+    check = lambda found: verified(found, docs, of_class, n, num, den, clashes, text_col, tables)
+    labels = components(check(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "jaccard-first")
+    open_ = labelled(labelled(near, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b").select("a", "b")
+    # Then all others of a signature meet each other where it still holds several components.
+    rest = tables.write(labelled(others.select("signature", "class"), labels), "rest")
+    found = tables.write(open_.unionByName(in_blocks(rest, of_class, num, den, tables)).distinct(), "open")
+    tables.drop("rest", "blocks", "mixed", "kept", "leaders", "near")
+    links = labelled(labelled(check(found), labels, "a", "of_a"), labels, "b", "of_b")
+    merged = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "jaccard-second")
+
+    # The smallest id of each component, by class: rows of a class are summed up before they meet anything.
+    of_id = rows.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
+    of_id = tables.write(labelled(labelled(of_id, labels).withColumnRenamed("component", "first"), merged, "first").select("class", "component", "least"), "ids")
+    least = of_id.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_id = tables.write(of_id.join(least, "component").select("class", "component_id"), "ids")
+    tables.drop("classes", "open", "links")
+    out = rows.where("size > 0").select("id", "size", "class").join(of_id, "class").select("id", "size", "component_id")
     alone = rows.where("size = 0").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

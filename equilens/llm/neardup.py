@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 from .components import components
 
 #: Rows on which centres and codebooks are fitted.
@@ -117,18 +117,18 @@ def block_pairs(index: Index, at: int, least: float, queries: np.ndarray, entrie
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    spark = vectors.sparkSession
+    spark, tables = vectors.sparkSession, Tables(vectors.sparkSession, "vectors")
     given = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sound = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     given = given.withColumn("norm", F.when(sound, norm))
     unit = F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.transform("v", lambda x: x / F.col("norm")))
-    rows = written(given.select("id", unit.alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "vectors")
+    rows = tables.write(given.select("id", unit.alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "vectors")
     dimension = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dimension is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     # A vector is known by the hash of its components; equal ones are one entry with a number.
-    entries = written(rows.where(F.size("v") == dimension["d"]).groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("copies")), "vector-entries")
+    entries = tables.write(rows.where(F.size("v") == dimension["d"]).groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("copies")), "vector-entries")
     n = entries.count()
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
     sample = np.array([r["v"] for r in entries.select("v", "key").orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").collect()])
@@ -142,7 +142,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
             codes, errors = index.code(x, at)
             yield batch.assign(list=at, codes=[c.tobytes() for c in codes], error=errors, probes=index.probes(x))
 
-    indexed = written(entries.mapInPandas(coded, "key long, v array<double>, copies long, list long, codes binary, error double, probes array<long>"), "vector-index")
+    indexed = tables.write(entries.mapInPandas(coded, "key long, v array<double>, copies long, list long, codes binary, error double, probes array<long>"), "vector-index")
     sizes = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # MOST_LISTS rows at most
     probing = indexed.select("key", "v", F.explode("probes").alias("list"))
     asked = F.broadcast(probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("asked")))
@@ -181,7 +181,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
                 yield pd.DataFrame(out, columns=["key", "links", "joined"])
 
     fields = ["list", F.col("queries.key").alias("q_key"), F.col("queries.v").alias("q_v"), F.col("entries.key").alias("e_key"), F.col("entries.v").alias("e_v"), F.col("entries.copies").alias("copies"), F.col("entries.codes").alias("codes"), F.col("entries.error").alias("error")]
-    found = written(both.select(*fields).mapInPandas(compare, "key long, links long, joined array<long>"), "vector-links")
+    found = tables.write(both.select(*fields).mapInPandas(compare, "key long, links long, joined array<long>"), "vector-links")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))  # with itself and its copies
     labels = components(found.select(F.col("key").alias("a"), F.explode("joined").alias("b")))
     known = entries.select("key").join(counts, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chat import let
-from .common import without, written
+from .common import Tables, without
 
 #: Fixed values by script: given names by gender, and the letters and the ending of surnames.
 NAMES = {
@@ -189,11 +189,11 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     return let(stream, made)
 
 
-def attempts(entities: DataFrame, key: str) -> DataFrame:
+def attempts(entities: DataFrame, key: str, tables: Tables) -> DataFrame:
     """(kind, form, attempt) of those entities that cannot have their first surrogate. entities: (kind, entity)."""
     woman = (F.col("kind") == "name") & female(F.col("entity"))
     known = entities.select("kind", canonical(F.col("kind"), F.col("entity")).alias("form"), woman.alias("woman"), "entity").groupBy("kind", "form", "woman").agg(F.min("entity").alias("entity"))
-    known = written(known.drop("woman"), "pii-known")
+    known = tables.write(known.drop("woman"), "known")
     taken = known.select("kind", F.col("form").alias("given")).distinct()
     now = known.withColumn("attempt", F.lit(0))
     given = lambda df: df.withColumn("given", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
@@ -204,13 +204,13 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         real = taken.withColumn("real", F.lit(True))
         judged = tried.withColumn("again", F.min(F.struct("attempt", "form")).over(rivals)["form"] != F.col("form")).join(real, ["kind", "given"], "left")
         again = F.max(F.col("again") | F.coalesce("real", F.lit(False))).over(variants)
-        judged = written(judged.select("kind", "form", "entity", "attempt", again.alias("again")), "pii-attempts")
+        judged = tables.write(judged.select("kind", "form", "entity", "attempt", again.alias("again")), "attempts")
         if not judged.where("again").limit(1).count():
             break
         now = judged.select("kind", "form", "entity", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
     else:
         raise RuntimeError("no distinct surrogates; the space of some kind is too small")
-    return written(judged.where("attempt > 0").select("kind", "form", "attempt").distinct(), "pii-overrides")
+    return tables.write(judged.where("attempt > 0").select("kind", "form", "attempt").distinct(), "overrides")
 
 
 def entities_of(text: Column) -> Column:
@@ -223,7 +223,7 @@ def replace(docs: DataFrame, key: str = "surrogates-1", text_col: str = "text",
     docs = without(docs, found_col)
     text = docs[text_col]
     hits = docs.select(F.explode(entities_of(text)).alias("e")).select("e.kind", "e.entity").where("kind is not null")
-    overrides = attempts(hits, key)
+    overrides = attempts(hits, key, Tables(docs.sparkSession, "pii"))
 
     many = overrides.count()
     if not many:

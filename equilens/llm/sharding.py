@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 
 #: Groups that a block places, on average.
 BLOCK_GROUPS = 8192
@@ -46,7 +46,7 @@ def greedy(demand: np.ndarray, residual: np.ndarray, capacity: np.ndarray, first
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, size, tokens, text_crc32, shard, slot."""
-    text = docs[text_col]
+    tables, text = Tables(docs.sparkSession, "shard"), docs[text_col]
     rows = docs.select(
         docs[id_col].alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("bytes"),
@@ -55,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(rows, "shard-rows")
+    rows = tables.write(rows, "rows")
     total = rows.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens")).first()
     capacity = np.array([total[k] or 0 for k in DEMAND], float) / shards
     sums = [F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
@@ -65,7 +65,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     large = rows.groupBy("key").agg(*sums).where((share > 1) & (F.col("n") > 1)).select("key", F.ceil(share).alias("parts"))
     rows = rows.join(F.broadcast(large), "key", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
-    groups = written(rows.groupBy("key", "part").agg(*sums), "shard-groups")
+    groups = tables.write(rows.groupBy("key", "part").agg(*sums), "groups")
     is_heavy = F.greatest(*[F.col(k) * (HEAVY_PART / max(c, 1.0)) for k, c in zip(DEMAND, capacity, strict=True)]) > 1
 
     def place_heavy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         return pdf[["key", "part", *DEMAND]].assign(shard=greedy(pdf[list(DEMAND)].to_numpy(float), residual, capacity, 0))
 
     heavy = groups.where(is_heavy).withColumn("block", F.lit(0)).groupBy("block").applyInPandas(place_heavy, "key string, part long, bytes long, tokens long, n long, shard long")
-    heavy = written(heavy, "shard-heavy")
+    heavy = tables.write(heavy, "heavy")
     residual = np.tile(capacity, (shards, 1))
     for r in heavy.groupBy("shard").agg(*[F.sum(k).alias(k) for k in DEMAND]).collect():
         residual[r["shard"]] -= [r[k] for k in DEMAND]
@@ -93,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     places = heavy.select("key", "part", "shard").unionByName(light)
     buckets = max(1, -(-(total["n"] or 0) // BUCKET_ROWS))
     placed = rows.join(places, ["key", "part"]).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(buckets)))
-    placed = written(placed.select("id", "bytes", "tokens", "text_crc32", "row", F.col("shard").cast("int"), "bucket"), "shard-placed")
+    placed = tables.write(placed.select("id", "bytes", "tokens", "text_crc32", "row", F.col("shard").cast("int"), "bucket"), "placed")
 
     counts = placed.groupBy("shard", "bucket").count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).drop("count")

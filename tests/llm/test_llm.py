@@ -438,17 +438,53 @@ def test_jaccard_empty_and_long(spark):
     assert got == plain_classes(docs, 5, 80, 100)
 
 
-def test_signatures_of_similar_sets_meet():
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_with_hot_signatures_and_small_blocks(spark, monkeypatch, num):
+    for name, value in dict(HOT=3, TOGETHER=2, BLOCK=3, CHUNK=400, SEEN=5, BROADCAST_KEYS=0).items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(num)
+    line = " ".join(f"c{i}" for i in range(25))
+    docs = variants(rng, 4, 14, 30, 3) + variants(rng, 12, 3, 20, 1)
+    docs = [(i, f"{line} {t}" if i % 3 else f"{t} {line}") for i, (_, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    assert sorted((tuple(r) for r in jaccard.join(df, 3, num, 100).collect()), key=repr) == plain_classes(docs, 3, num, 100)
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    df = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "class long, check long")
+    assert len({r["class"] for r in jaccard.told_apart(df, [5]).collect()}) == 3
+
+
+def test_subsets_are_enumerated_where_bands_are_small():
+    for num in (80, 90):
+        bands = jaccard.Bands(num, 100)
+        found = [bands.parts(b) for b in range(1, 40)]
+        assert any(p.k2 >= 1 and p.n2 - p.k2 >= 2 for p in found) and len({p[1:3] for p in found}) > 1
+        for b, p in enumerate(found, 1):
+            k = 2 * bands.ends[b] * (100 - num) // (100 + num)
+            assert p.q == k // (p.k2 + 1) and p.n1 > p.q and p.n2 > p.k2 and p.n1 * p.n2 < 3 * bands.ends[b] + 8
+
+
+@pytest.mark.parametrize(("num", "den", "turns"), [(4, 5, 32), (9, 10, 32), (1, 2, 32), (4, 5, 1)])
+def test_signatures_of_similar_sets_meet(num, den, turns, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", turns)
     rng = np.random.default_rng(9)
-    bands = jaccard.Bands(4, 5)
+    bands = jaccard.Bands(num, den)
+    draw = lambda n: rng.integers(-(2**63), 2**63 - 1, n).view(np.uint64)
     for _ in range(300):
         n = int(rng.integers(1, 300))
-        a = rng.integers(-(2**63), 2**63 - 1, n)
-        moved = int(rng.integers(0, n // 9 + 1))
-        b = np.concatenate([a[moved:], rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, moved + 1)))])
+        a = draw(n)
+        moved = int(rng.integers(0, n // 3 + 1))
+        b = np.concatenate([a[moved:], draw(int(rng.integers(0, moved + 1)))])
         both = n - moved
-        if 5 * both >= 4 * (n + len(b) - both):
-            assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+        if den * both >= num * (n + len(b) - both):
+            met = [set(), set()]
+            for band, at, elements, owner in jaccard.by_band(bands, [a, b]):
+                for whose, given in bands.signatures(band, elements, owner, len(at)):
+                    for w, g in zip(at[whose], given, strict=True):
+                        met[w].add(int(g))
+            assert met[0] & met[1]
+            assert jaccard.may_be_similar(*([jaccard.sketch(x, num, den)] for x in (a, b)), np.array([n]), np.array([len(b)]), num, den)[0]
 
 
 # 10
