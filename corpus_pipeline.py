@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.llm import jaccard, langid, packing, pii
-from equilens.llm.common import read_table, written
+from equilens.llm.common import Tables, read_table
 from equilens.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, tables = read_table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = tables.write(stage(spark, docs, sf_dir), "documents")
     return STAGES[-1][1](spark, docs, sf_dir)
