@@ -13,6 +13,7 @@ texts of any column other than the two named are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +24,23 @@ from pyspark.sql import functions as F
 
 #: Remainders that wait at once in a task; packing starts when they are reached.
 POOL = 4096
+#: A run of so many characters is very long.
+RUN = 1024
+SPACES = re.compile(rf"\s{{{RUN}}}")
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
+def has_long_run(text: str) -> bool:
+    return len(text) > RUN and (max(map(len, text.split()), default=0) > RUN or SPACES.search(text) is not None)
+
+
 class Tokenizer:
     """Ids as the tokenizers library gives them.
 
     Texts of Latin-1 characters go through the other library's reader of the same vocabulary, which is three times
-    as fast; there the two agree on every character class.  All others go through the tokenizers library itself.
+    as fast; there the two agree on every character class.  All others go through the tokenizers library itself, and so
+    do texts with a very long run of white space or of other characters, for which the other is not made.
     """
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -54,7 +63,7 @@ class Tokenizer:
             self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not has_long_run(text):
             try:
                 text.encode("latin-1")
                 return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
