@@ -1,19 +1,23 @@
-"""Data-parallel fit of a linear head with an adversary on vectors.
+"""Data-parallel fit of a task head that forgets attributes.
 
-Every epoch is one pass: tasks turn Arrow batches into sums of gradients, Spark adds them up, the driver takes one
-step with the few parameters.  Methods:
+The head maps a vector to a hidden layer, and that to a score.  Every epoch is one pass: tasks turn Arrow batches into
+sums of gradients, Spark adds them up, the driver takes one step with the parameters, whose number does not depend on
+the data.  Methods, all against any number of attributes at once:
 
-* ``dann``      the shared projection descends on the task and ascends on the attribute;
-* ``fino``      as dann, but the attribute's gradient is taken from the projection normalised by row;
-* ``pcgrad``    the task's gradient has its part along the attribute's gradient removed, ``gt - l (gt.gd / |gd|^2) gd``;
-* ``contrastive`` the projection descends on the task and on the distance of attribute means (per condition if given).
+* ``dann``        an adversary with a hidden layer finds the attribute, the hidden layer of the head ascends on its loss;
+* ``fino``        as dann, but the adversary is a bank of prototypes: normalised class means of the hidden layer, moved
+  by an exponential average after each epoch and never trained; logits are cosines over a temperature;
+* ``pcgrad``      the task's gradient has its part along the adversary's removed, ``gt - l (gt.gd / |gd|^2) gd``;
+* ``contrastive`` rows of other attribute values in a block are drawn together, by the loss of ``pairwise``.
 
-With ``lambda_`` = 0 the pool of unlabelled-task rows has no influence.
+``conditions`` > 0 makes all this conditional: rows with a condition use the adversary or prototypes of their own
+condition, rows without one those of the marginal bank (0); contrastive positives share the condition.  With
+``lambda_`` = 0 neither attributes nor the pool of rows without a task label have any influence on scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,67 +25,197 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics, pairwise, probe
+
 METHODS = ("dann", "fino", "pcgrad", "contrastive")
+Arrays = dict[str, np.ndarray]
+
+
+@dataclass
+class Settings:
+    """What a head is made of. groups: classes of each attribute; conditions: strata, 0 for a marginal head."""
+
+    groups: dict[str, int]
+    method: str = "dann"
+    conditions: int = 0
+    width: int = 8
+    temperature: float = 0.1
+    ema: float = 0.9
+
+    def __post_init__(self) -> None:
+        if self.method not in METHODS:
+            raise ValueError(f"unknown method {self.method}")
+
+    @property
+    def learned(self) -> bool:
+        return self.method in ("dann", "pcgrad")
 
 
 @dataclass
 class Head:
-    """Projection, task and adversary weights; ``cosines`` holds the cosine of both gradients before and after projecting."""
+    """Parameters by name; ``cosines`` holds that of both gradients before and after projecting, for each epoch."""
 
-    projection: np.ndarray
-    task: np.ndarray
-    adversary: np.ndarray
+    settings: Settings
+    arrays: Arrays
     cosines: list[tuple[float, float]] = field(default_factory=list)
 
     @classmethod
-    def new(cls, dimension: int, width: int, groups: int, seed: int) -> Head:
-        rng = np.random.default_rng(seed)
-        scale = 1 / np.sqrt(dimension)
-        return cls(rng.normal(0, scale, (dimension, width)), rng.normal(0, 0.1, (width + 1, 1)), rng.normal(0, 0.1, (width + 1, groups)))
+    def new(cls, dimension: int, settings: Settings, seed: int) -> Head:
+        rng, w = np.random.default_rng(seed), settings.width
+        layer = lambda n, m, *lead: np.concatenate([rng.normal(0, np.sqrt(2 / n), (*lead, n, m)), np.zeros((*lead, 1, m))], axis=-2)
+        arrays = {"trunk": layer(dimension, w), "task": layer(w, 1)}
+        for a, n in settings.groups.items():
+            banks = settings.conditions + 1
+            if settings.learned:
+                arrays |= {f"hidden:{a}": layer(w, w, banks), f"logits:{a}": layer(w, n, banks)}
+            elif settings.method == "fino":
+                arrays[f"prototypes:{a}"] = np.zeros((banks, n, w))
+        return cls(settings, arrays)
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(with_one(x) @ self.arrays["trunk"], 0)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        h = np.c_[x @ self.projection, np.ones(len(x))]
-        return 1 / (1 + np.exp(-np.clip(h @ self.task, -30, 30)[:, 0]))
+        return sigmoid(with_one(self.hidden(x)) @ self.arrays["task"])[:, 0]
 
 
-def gradients(head: Head, x: np.ndarray, y: np.ndarray, s: np.ndarray, groups: int, method: str, conditional: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Sums over rows. y: 0, 1 or -1 for pool rows; s: group or -1. Conditional: weights of the adversary's rows."""
-    z = x @ head.projection
-    h = np.c_[z, np.ones(len(z))]
-    known = y >= 0
-    p = 1 / (1 + np.exp(-np.clip(h @ head.task, -30, 30)[:, 0]))
-    dt = np.where(known, p - y, 0.0)[:, None]
-    out = {"task": h.T @ dt, "projection_task": x.T @ (dt @ head.task[:-1].T), "n_task": np.array([known.sum()], float)}
+def with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((*x.shape[:-1], 1))], axis=-1)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-6)
+    return x / size, size
+
+
+def softmax_loss(logits: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sum of the cross-entropies, and its gradient."""
+    top = logits - logits.max(axis=1, keepdims=True)
+    logp = top - np.log(np.exp(top).sum(axis=1, keepdims=True))
+    at = np.arange(len(s))
+    gradient = np.exp(logp)
+    gradient[at, s] -= 1
+    return float(-logp[at, s].sum()), gradient
+
+
+def adversary(head: Head, h: np.ndarray, s: np.ndarray, bank: np.ndarray, a: str) -> tuple[Arrays, np.ndarray]:
+    """Sums of loss, rows and gradients of the adversary on one attribute, and the gradient of the hidden layer."""
+    back, loss = np.zeros_like(h), 0.0
+    learned = {k: np.zeros_like(head.arrays[k]) for k in (f"hidden:{a}", f"logits:{a}") if k in head.arrays}
+    for b in np.unique(bank[s >= 0]):
+        at = np.flatnonzero((s >= 0) & (bank == b))
+        if head.settings.learned:
+            one, two = head.arrays[f"hidden:{a}"][b], head.arrays[f"logits:{a}"][b]
+            inner = with_one(h[at])
+            active = np.maximum(inner @ one, 0)
+            part, g = softmax_loss(with_one(active) @ two, s[at])
+            down = (g @ two[:-1].T) * (active > 0)
+            learned[f"hidden:{a}"][b] += inner.T @ down
+            learned[f"logits:{a}"][b] += with_one(active).T @ g
+            back[at] = down @ one[:-1].T
+        else:
+            bank_, t = unit(head.arrays[f"prototypes:{a}"][b])[0], head.settings.temperature
+            u, size = unit(h[at])
+            part, g = softmax_loss(u @ bank_.T / t, s[at])
+            du = g @ bank_ / t
+            back[at] = (du - u * (du * u).sum(axis=1, keepdims=True)) / size
+        loss += part
+    return learned | {f"loss:{a}": np.array([loss]), f"rows:{a}": np.array([float((s >= 0).sum())])}, back
+
+
+def class_means(h: np.ndarray, s: np.ndarray, bank: np.ndarray, banks: int, n: int) -> np.ndarray:
+    """Sums of the hidden layer and numbers of rows by bank and class."""
+    out = np.zeros((banks, n, h.shape[1] + 1))
     has = s >= 0
-    logits = h @ head.adversary
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    q = e / e.sum(axis=1, keepdims=True)
-    q[has, s[has]] -= 1
-    q[~has] = 0
-    if conditional is not None:
-        q *= conditional[:, None]
-    out |= {"adversary": h.T @ q, "n_adversary": np.array([has.sum()], float)}
-    back = q @ head.adversary[:-1].T
-    if method == "fino":
-        size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
-        unit = z / size
-        back = (back - unit * (back * unit).sum(axis=1, keepdims=True)) / size
-    out["projection_adversary"] = x.T @ back
-    sums = np.zeros((groups, x.shape[1] + 1))
-    np.add.at(sums, s[has], np.c_[x[has], np.ones(has.sum())])
-    out["means"] = sums
+    np.add.at(out, (bank[has], s[has]), with_one(h[has]))
     return out
 
 
-def epoch_sums(df: DataFrame, head: Head, groups: int, method: str) -> dict[str, np.ndarray]:
-    """One pass over (features array, y, s): partial sums in the tasks, added up by Spark."""
+def contrast(h: np.ndarray, s: np.ndarray, c: np.ndarray | None, temperature: float) -> tuple[float, int, np.ndarray]:
+    """Of one block: summed loss of the anchors with a positive, their number, and the gradient of the hidden layer.
+
+    Positives are the rows of another attribute value (and the same condition); all other rows are in the denominator.
+    """
+    known = np.flatnonzero((s >= 0) if c is None else (s >= 0) & (c >= 0))
+    back = np.zeros_like(h)
+    if len(known) < 2:
+        return 0.0, 0, back
+    u, size = unit(h[known])
+    positive = s[known][:, None] != s[known][None, :]
+    if c is not None:
+        positive &= c[known][:, None] == c[known][None, :]
+    valid = positive.any(axis=1)
+    logits = u @ u.T / temperature
+    np.fill_diagonal(logits, -np.inf)
+    top = logits - logits.max(axis=1, keepdims=True)
+    p = np.exp(top)
+    logp = top - np.log(p.sum(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    wanted = positive / np.maximum(positive.sum(axis=1, keepdims=True), 1)
+    loss = -np.where(positive, logp, 0.0) * wanted
+    g = (p - wanted) * valid[:, None] / temperature
+    du = (g + g.T) @ u
+    back[known] = (du - u * (du * u).sum(axis=1, keepdims=True)) / size
+    return float(loss[valid].sum()), int(valid.sum()), back
+
+
+def gradients(head: Head, x: np.ndarray, y: np.ndarray, s: dict[str, np.ndarray], c: np.ndarray, block: np.ndarray) -> Arrays:
+    """Sums over rows. y: 0, 1 or -1 for pool rows; s: class of each attribute or -1; c: condition or -1; block: for contrastive."""
+    settings, h = head.settings, head.hidden(x)
+    x1, h1, on = with_one(x), with_one(h), h > 0
+    known = y >= 0
+    score = h1 @ head.arrays["task"]
+    dt = np.where(known[:, None], sigmoid(score) - y[:, None], 0.0)
+    loss = np.logaddexp(0, score[:, 0]) - y * score[:, 0]
+    out = {"task": h1.T @ dt, "trunk_task": x1.T @ ((dt @ head.arrays["task"][:-1].T) * on), "n_task": np.array([float(known.sum())]), "loss_task": np.array([loss[known].sum()])}
+    banks = settings.conditions + 1
+    bank = np.where((c >= 0) & (c < settings.conditions), c + 1, 0)
+    for a, n in settings.groups.items():
+        if settings.method == "contrastive":
+            total, anchors, back = 0.0, 0, np.zeros_like(h)
+            for b in np.unique(block):
+                at = np.flatnonzero(block == b)
+                part, valid, back[at] = contrast(h[at], s[a][at], c[at] if settings.conditions else None, settings.temperature)
+                total, anchors = total + part, anchors + valid
+            out |= {f"loss:{a}": np.array([total]), f"rows:{a}": np.array([float(anchors)])}
+        else:
+            learned, back = adversary(head, h, s[a], bank, a)
+            out |= learned
+            if settings.method == "fino":
+                out[f"means:{a}"] = class_means(h, s[a], bank, banks, n)
+        out[f"trunk:{a}"] = x1.T @ (back * on)
+    return out
+
+
+def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches that end where a block ends; rows come in the order of their blocks."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            last = batch["block"] == batch["block"].iloc[-1]
+            if not last.all() or (held and held[-1]["block"].iloc[-1] != batch["block"].iloc[0]):
+                yield pd.concat([*held, batch[~last]])
+                held = []
+            held.append(batch[last])
+    if held:
+        yield pd.concat(held)
+
+
+def epoch_sums(df: DataFrame, head: Head) -> Arrays:
+    """One pass over ``prepared`` rows: partial sums in the tasks, added up by Spark."""
     shared = df.sparkSession.sparkContext.broadcast(head)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
-        for b in batches:
+        total: Arrays = {}
+        settings = shared.value.settings
+        for b in whole_blocks(batches) if settings.method == "contrastive" else batches:
             if len(b):
-                got = gradients(shared.value, np.array(b["x"].tolist(), float), b["y"].to_numpy(), b["s"].to_numpy(), groups, method)
+                s = {a: b[f"s_{a}"].to_numpy() for a in settings.groups}
+                got = gradients(shared.value, np.array(b["x"].tolist(), float), b["y"].to_numpy(), s, b["c"].to_numpy(), b["block"].to_numpy())
                 total = {k: total.get(k, 0) + v for k, v in got.items()}
         if total:
             yield pd.DataFrame({"name": list(total), "value": [v.ravel().tolist() for v in total.values()]})
@@ -103,47 +237,108 @@ def projected(gt: np.ndarray, gd: np.ndarray, lambda_: float, only_if_aligned: b
     return gt - lambda_ * along / max((gd * gd).sum(), 1e-12) * gd
 
 
-def fit(task: DataFrame, pool: DataFrame | None, dimension: int, groups: int, lambda_: float, method: str = "dann", width: int = 8, epochs: int = 20, rate: float = 0.5, seed: int = 42) -> Head:
-    """task: (x array, y 0/1, s group or -1); pool: (x, s), used by the attribute's part alone."""
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method}")
-    rows = task.select("x", F.col("y").cast("long").alias("y"), F.coalesce("s", F.lit(-1)).cast("long").alias("s"))
+def moved(bank: np.ndarray, sums: np.ndarray, ema: float) -> np.ndarray:
+    """Prototypes after an epoch: normalised means, the first copied; classes that did not occur keep theirs."""
+    n = sums[..., -1:]
+    mean = unit(sums[..., :-1] / np.maximum(n, 1))[0]
+    first = ~bank.any(axis=-1, keepdims=True)
+    return np.where(n > 0, np.where(first, mean, ema * bank + (1 - ema) * mean), bank)
+
+
+def prepared(task: DataFrame, pool: DataFrame | None, settings: Settings, lambda_: float, key: str | None = None) -> DataFrame:
+    """(x, y, s_<attribute>, c, block) of both; unknown values are -1. A block is about 256 rows, for contrastive alone."""
+
+    def rows(df: DataFrame, y) -> DataFrame:
+        known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) if c in df.columns else F.lit(-1).cast("long")
+        return df.select("x", y.cast("long").alias("y"), *[known(a).alias(f"s_{a}") for a in settings.groups], known("condition").alias("c"), (F.col(key) if key else F.col("x")).alias("_key"))
+
+    out = rows(task, F.col("y"))
     if pool is not None and lambda_ != 0:
-        rows = rows.unionByName(pool.select("x", F.lit(-1).cast("long").alias("y"), F.coalesce("s", F.lit(-1)).cast("long").alias("s")))
-    rows = rows.persist()
-    head = Head.new(dimension, width, groups, seed)
+        out = out.unionByName(rows(pool, F.lit(-1)))
+    if settings.method != "contrastive":
+        return out.drop("_key").withColumn("block", F.lit(0).cast("long"))
+    return pairwise.blocks(out, "_key").drop("_key").repartition("block").sortWithinPartitions("block")
+
+
+def step(head: Head, g: Arrays, lambda_: float, rate: float) -> None:
+    """One step down the task's gradient, with the attributes' part of the method."""
+    settings, arrays = head.settings, head.arrays
+    per = lambda name, n: g[name] / max(1.0, g[n][0])
+    gt = per("trunk_task", "n_task").reshape(arrays["trunk"].shape)
+    gd = sum(per(f"trunk:{a}", f"rows:{a}") for a in settings.groups).reshape(gt.shape) if settings.groups else np.zeros_like(gt)
+    if lambda_ == 0:
+        down = gt
+    elif settings.method == "pcgrad":
+        down = projected(gt, gd, lambda_)
+        head.cosines.append((cosine(gt, gd), cosine(down, gd)))
+    else:
+        down = gt + (lambda_ if settings.method == "contrastive" else -lambda_) * gd
+    arrays["trunk"] = arrays["trunk"] - rate * down
+    arrays["task"] = arrays["task"] - rate * per("task", "n_task").reshape(arrays["task"].shape)
+    for a in settings.groups:
+        for name in (f"hidden:{a}", f"logits:{a}"):
+            if name in arrays:
+                arrays[name] = arrays[name] - rate * per(name, f"rows:{a}").reshape(arrays[name].shape)
+        if settings.method == "fino":
+            bank = arrays[f"prototypes:{a}"]
+            arrays[f"prototypes:{a}"] = moved(bank, g[f"means:{a}"].reshape(*bank.shape[:2], -1), settings.ema)
+
+
+def fit(task: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambda_: float, epochs: int = 20, rate: float = 0.5, seed: int = 42, key: str | None = None) -> Head:
+    """task: (x array, y 0/1, attributes and condition as 0, 1, ... or null); pool: the same without y, for the attributes' part alone."""
+    rows = prepared(task, pool, settings, lambda_, key).persist()
+    head = Head.new(dimension, settings, seed)
     for _ in range(epochs):
-        g = epoch_sums(rows, head, groups, method)
-        n_t, n_a = max(1.0, g["n_task"][0]), max(1.0, g["n_adversary"][0])
-        gt = g["projection_task"].reshape(head.projection.shape) / n_t
-        gd = g["projection_adversary"].reshape(head.projection.shape) / n_a
-        if method == "pcgrad":
-            step = projected(gt, gd, lambda_)
-            head.cosines.append((cosine(gt, gd), cosine(step, gd)))
-        elif method == "contrastive":
-            sums = g["means"].reshape(groups, -1)
-            seen = sums[:, -1] > 0
-            means = sums[seen, :-1] / sums[seen, -1:]
-            apart = means - means.mean(axis=0)
-            step = gt + lambda_ * apart.T @ (apart @ head.projection) / max(1, len(means))
-        else:
-            step = gt - lambda_ * gd
-        head.projection = head.projection - rate * step
-        head.task = head.task - rate * g["task"].reshape(head.task.shape) / n_t
-        head.adversary = head.adversary - rate * g["adversary"].reshape(head.adversary.shape) / n_a
+        step(head, epoch_sums(rows, head), lambda_, rate)
     rows.unpersist()
     return head
 
 
 def predict(df: DataFrame, head: Head, vector: str = "x", score: str = "score", hidden: str | None = None) -> DataFrame:
-    """``df`` with scores, and with the projected vectors where a name is given (M6 scoring)."""
+    """``df`` with scores, and with the hidden layer where a name is given."""
     shared = df.sparkSession.sparkContext.broadcast(head)
 
     @F.pandas_udf("score double, hidden array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b.tolist(), float).reshape(len(b), -1)
-            yield pd.DataFrame({"score": shared.value.scores(x), "hidden": list(x @ shared.value.projection)})
+            yield pd.DataFrame({"score": shared.value.scores(x), "hidden": list(shared.value.hidden(x))})
 
     out = df.withColumn("_p", scored(F.col(vector))).withColumn(score, F.col("_p.score"))
     return (out.withColumn(hidden, F.col("_p.hidden")) if hidden else out).drop("_p")
+
+
+def out_of_fold(tiles: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambda_: float, folds: Sequence[int], carried: Sequence[str] = (), **fit_options) -> DataFrame:
+    """(patient_id, y, fold, carried, score, hidden, n_tiles): every fold scored by a head of the others, tiles averaged to patients (M6).
+
+    tiles: (patient_id, fold, x, y, attributes). With ``lambda_`` = 0 this is the plain task head.
+    """
+    out = None
+    for f in folds:
+        head = fit(tiles.where(F.col("fold") != f), pool, dimension, settings, lambda_, **fit_options)
+        part = predict(tiles.where(F.col("fold") == f), head, hidden="hidden")
+        out = part if out is None else out.unionByName(part)
+    keys = ["patient_id", "y", "fold", *carried]
+    scores = pairwise.mean_scores(out, keys, "score")
+    return scores.join(pairwise.mean_vectors(out, ["patient_id"], "hidden", "hidden").drop("n"), "patient_id")
+
+
+def comparison(tiles: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambdas: Sequence[float], folds: Sequence[int], min_n: int = 20, **fit_options) -> DataFrame:
+    """(lambda, attribute, overall_auc, leakage_auc, attr_overall_auc, auc_delta, ece_delta, es_auc, n_eligible): heads side by side.
+
+    Leakage is how well a linear probe, itself cross-validated over the folds, finds the attribute in the hidden layer.
+    """
+    out = None
+    for lambda_ in lambdas:
+        scored = out_of_fold(tiles, pool, dimension, settings, lambda_, folds, list(settings.groups), **fit_options).persist()
+        report = metrics.gaps(scored, list(settings.groups), min_n=min_n)
+        overall = metrics.auc_by(scored, []).select(F.col("auc").alias("overall_auc"))
+        for a in settings.groups:
+            known = probe.features(scored.where(F.col(a).isNotNull()), "hidden")
+            leak = F.lit(probe.leakage_auc(known, a, list(folds))).cast("double")
+            row = report.where(F.col("attribute") == a).crossJoin(F.broadcast(overall))
+            # A handful of rows; made now, so that the scores need not be kept.
+            part = tiles.sparkSession.createDataFrame(row.select(F.lit(float(lambda_)).alias("lambda"), "*", leak.alias("leakage_auc")).collect(), "lambda double, attribute string, n_eligible long, attr_overall_auc double, auc_delta double, ece_delta double, es_auc double, overall_auc double, leakage_auc double")
+            out = part if out is None else out.unionByName(part)
+        scored.unpersist()
+    return out
