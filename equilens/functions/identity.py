@@ -43,24 +43,29 @@ def site_code(patient: Column) -> Column:
     return F.when((F.get(parts, F.lit(0)) == "TCGA") & (F.size(parts) >= 2), F.get(parts, F.lit(1)))
 
 
-def id_set_digest(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
-    """(by, n, sha256) of the sorted distinct ids, each with a line feed, by groups of patient-set size."""
-    lines = F.concat(F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), "\n"), F.lit("\n"))
-    return df.groupBy(*(by or [])).agg(F.countDistinct(key).alias("n"), F.sha2(lines.cast("binary"), 256).alias("sha256"))
+def bucketed_digest(df: DataFrame, line: Column, order: Column, bucket: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, n, sha256): the rows' lines in order, digested by bucket, then the buckets' digests in order; for sets of any size.
+
+    Buckets are the caller's and have to be of bounded size; an empty set has no row where there are groups.
+    """
+    keys = by or []
+    lines = df.select(*keys, bucket.alias("_bucket"), F.struct(order.alias("o"), line.alias("l")).alias("_line"))
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda s: s["l"]), "\n").cast("binary"), 256)
+    parts = lines.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), joined("_line").alias("_digest"))
+    of_buckets = F.struct(F.col("_bucket").alias("o"), F.col("_digest").alias("l"))
+    return parts.groupBy(*keys).agg(F.sum("_n").alias("n"), joined(of_buckets).alias("sha256"))
 
 
-def bucketed_digest(df: DataFrame, line: Column, order: Column, bucket: Column) -> DataFrame:
-    """(n, sha256) of the ordered digests of buckets, for sets of any size (A20, A21 at scale)."""
-    lines = df.select(bucket.alias("bucket"), F.struct(order.alias("o"), line.alias("l")).alias("s"))
-    of = lines.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), "\n").cast("binary"), 256).alias("d"))
-    return of.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"]), "\n").cast("binary"), 256).alias("sha256"))
+def id_set_digest(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n, sha256) of the distinct ids, whatever their order, in 4,096 buckets by the digest of the id."""
+    ids = df.select(*(by or []), F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
+    return bucketed_digest(ids, F.col("_id"), F.col("_id"), F.substring(F.sha2(F.col("_id").cast("binary"), 256), 1, 3), by)
 
 
-def payload_digest(df: DataFrame, order: str, key: str, payload: str, per: str) -> DataFrame:
-    """(per, n, sha256) over place, id, length and payload digest of every row in order."""
+def payload_digest(df: DataFrame, order: str, key: str, payload: str, per: str, rows: int = 4096) -> DataFrame:
+    """(per, n, sha256) over place, id, length and payload digest of every row in order, by ranges of ``rows`` places."""
     line = F.concat_ws("\t", F.col(order).cast("string"), F.col(key), F.length(payload).cast("string"), F.sha2(payload, 256))
-    rows = df.select(per, F.struct(F.col(order).alias("o"), line.alias("l")).alias("s"))
-    return rows.groupBy(per).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), "\n").cast("binary"), 256).alias("sha256"))
+    return bucketed_digest(df, line, F.col(order), F.floor(F.col(order) / rows), [per])
 
 
 def last_wins(df: DataFrame, key: str, ordinal: str) -> DataFrame:

@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.identity import id_set_digest
 
 RECEIPT = ["file_count", "total_bytes", "names_sha256", "sizes_sha256", "stats_sha256"]
 #: Bytes that a content digest holds in memory.
@@ -35,28 +38,31 @@ def inventory(listed: DataFrame) -> DataFrame:
     )
 
 
-def content_digests(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """(name, size, sha256) of every file, a task for each, through the file system that Spark reads.
+def opened(path: str):
+    """A stream of a file for a task, by the file system that its path names."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
 
-    The reader hands out a file at a time; files beyond its limit of 2 GB have to be digested in parts by the caller.
-    """
-    paths = [r["path"] for r in listed.select("path").collect()]  # the list of files, not their contents
-    if not paths:
-        return listed.select("name", "size", F.lit(None).cast("string").alias("sha256"))
-    raw = spark.read.format("binaryFile").load(paths)
+def content_digests(listed: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(name, size, sha256) of every file; paths are dealt out to tasks, which read CHUNK bytes at a time."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for content in b["content"]:
-                h, view = hashlib.sha256(), memoryview(content)
-                for i in range(0, len(view), CHUNK):
-                    h.update(view[i : i + CHUNK])
+            for path in b["path"]:
+                h = hashlib.sha256()
+                with opened(path) as stream:
+                    while part := stream.read(CHUNK):
+                        h.update(part)
                 out.append(h.hexdigest())
-            yield pd.DataFrame({"path": b["path"], "size": b["size"], "sha256": out})
+            yield b[["name", "size"]].assign(sha256=out)
 
-    done = raw.select("path", F.col("length").alias("size"), "content").mapInPandas(digest, "path string, size long, sha256 string")
-    return done.select(F.substring_index("path", "/", -1).alias("name"), "size", "sha256")
+    paths = listed.select("name", "size", "path")
+    paths = paths.repartition(tasks, "path") if tasks else paths.repartition("path")
+    return paths.mapInPandas(digest, "name string, size long, sha256 string")
 
 
 def manifest(digests: DataFrame) -> DataFrame:
@@ -64,16 +70,23 @@ def manifest(digests: DataFrame) -> DataFrame:
     return digests.agg(F.count("*").alias("file_count"), lines_digest(F.concat("name", F.lit("\t"), F.col("size").cast("string"), F.lit("\t"), "sha256", F.lit("\n"))).alias("content_sha256"))
 
 
-def schema_violations(spark: SparkSession, paths: list[str], expected: str) -> DataFrame:
-    """(path, field, expected, found) where a file's own schema is not exactly the contract's (C4)."""
-    from pyspark.sql.types import StructType
-
+def schema_violations(listed: DataFrame, expected: str) -> DataFrame:
+    """(path, field, expected, found) where a file's own schema is not exactly the contract's; tasks read the footers (C4)."""
     want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(expected)}
-    rows = []
-    for p in paths:  # footers alone, one for each file of the contract
-        have = {f.name: f.dataType.simpleString() for f in spark.read.parquet(p).schema}
-        rows += [(p, n, want.get(n), have.get(n)) for n in sorted(want.keys() | have.keys()) if want.get(n) != have.get(n)]
-    return spark.createDataFrame(rows, "path string, field string, expected string, found string")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                system, name = fs.FileSystem.from_uri(path)
+                have = {f.name: from_arrow_type(f.type).simpleString() for f in parquet.read_schema(name, filesystem=system)}
+                rows += [(path, n, want.get(n), have.get(n)) for n in sorted(want.keys() | have.keys()) if want.get(n) != have.get(n)]
+            yield pd.DataFrame(rows, columns=["path", "field", "expected", "found"])
+
+    return listed.select("path").repartition("path").mapInPandas(compared, "path string, field string, expected string, found string")
 
 
 def shard_completeness(listed: DataFrame, n: int, name: str = "shard-%05d.parquet") -> DataFrame:
@@ -103,10 +116,41 @@ def stray_files(found: DataFrame, listed: DataFrame) -> DataFrame:
     return found.select("path").join(listed.select("path"), "path", "left_anti")
 
 
+def receipt(current: DataFrame, content: DataFrame, dataset: str, revision: str, total_rows: int) -> DataFrame:
+    """One row: what a dataset was when it was checked (K4). current: ``inventory``; content: ``manifest``."""
+    named = {"schema": "dataset-receipt/v1", "dataset": dataset, "revision": revision}
+    return current.crossJoin(content.select("content_sha256")).select(*[F.lit(v).alias(k) for k, v in named.items()], *RECEIPT, "content_sha256", F.lit(total_rows).cast("long").alias("total_rows"))
+
+
+def pool_receipt(pool: DataFrame, strata: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row: seed, counts by stratum and the digest of the selected ids (K4). strata: (stratum, candidates, selected)."""
+    counts = strata.agg(F.sum("candidates").alias("candidates"), F.sum("selected").alias("selected"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stratum", "selected")))).alias("strata"))
+    return counts.crossJoin(id_set_digest(pool, key).select("sha256")).select(F.lit("balanced-pool/v1").alias("schema"), F.lit(seed).alias("seed"), "candidates", "selected", "strata", F.col("sha256").alias("selected_sha256"))
+
+
+def pairs_of(row: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """(field, name) of a one-row table."""
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields])
+    return row.select(F.explode(entries).alias("p")).select("p.*")
+
+
+def contract_mismatches(row: DataFrame, contract: dict[str, object]) -> DataFrame:
+    """(field, expected, observed) of a receipt against a pinned contract: schema, dataset, revision, counts and digests."""
+    wanted = [(k, str(v)) for k, v in contract.items()]
+    expected = row.sparkSession.createDataFrame(wanted, "field string, expected string")
+    both = expected.join(pairs_of(row, list(contract), "observed"), "field", "left")
+    return both.where(~F.col("expected").eqNullSafe(F.col("observed")))
+
+
+def artifact_mismatches(receipt_digests: DataFrame, digests: DataFrame) -> DataFrame:
+    """(name, expected, observed) of artifacts that are absent or not those of the receipt (C10, V13). Both: (name, sha256)."""
+    both = receipt_digests.select("name", F.col("sha256").alias("expected")).join(digests.select("name", F.col("sha256").alias("observed")), "name", "left")
+    return both.where(~F.col("expected").eqNullSafe(F.col("observed")))
+
+
 def receipt_mismatches(receipt: DataFrame, current: DataFrame, fields: list[str] = RECEIPT) -> DataFrame:
     """(field, expected, observed)."""
-    pair = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields])).alias("p")).select("p.*")
-    both = pair(receipt, "expected").join(pair(current, "observed"), "field", "full")
+    both = pairs_of(receipt, fields, "expected").join(pairs_of(current, fields, "observed"), "field", "full")
     return both.where(~F.col("expected").eqNullSafe(F.col("observed")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clinical import CASE, clean, whole
-from ..functions.identity import last_wins, patient_of_path
+from ..functions.identity import last_wins, patient_of_path, patient_of_slide
 
 PREDICTION = "patient_id string, y_true int, y_score double, race string, sex string, age double, outer_fold int, tss string, site string, prediction_role string, original_fold int, calibration_outer_fold int, inner_fold int"
 IMAGE_COLUMNS = ["jpeg", "image", "image_bytes"]
@@ -18,10 +18,17 @@ def tile_index(spark: SparkSession, folder: str) -> DataFrame:
     return tiles.select("path", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_index"), patient_of_path(F.col("path")).alias("patient_id"))
 
 
-def slide_tiles(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder with ``file`` and ``row_index``."""
+def slide_tiles(spark: SparkSession, folder: str, allowed: DataFrame | None = None, patient: str = "patient_id") -> DataFrame:
+    """All files below a folder with ``file`` and ``row_index``, of the allowed patients alone where those are given.
+
+    The patient is read from the file's name, so the files of all others are not opened.
+    """
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    if allowed is None:
+        return df
+    named = df.withColumn(patient, patient_of_slide(F.regexp_replace("file", r"\.parquet$", "")))
+    return named.join(allowed.select(patient).distinct(), patient, "left_semi")
 
 
 def payload_of_files(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
@@ -83,6 +90,14 @@ def factor_maps(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("discrete").alias("factor", "ids")).select("factor", F.explode("ids").alias("patient_id", "id"))
 
 
+def factor_values(spark: SparkSession, path: str) -> DataFrame:
+    """(factor, patient_id, values, width) of a metadata file's continuous part, scalars and arrays of numbers."""
+    df = spark.read.schema("continuous map<string, map<string, string>>").option("multiLine", True).json(path)
+    long = df.select(F.explode("continuous").alias("factor", "of")).select("factor", F.explode("of").alias("patient_id", "text"))
+    values = F.coalesce(F.from_json("text", "array<double>"), F.array(F.col("text").try_cast("double")))
+    return long.select("factor", "patient_id", values.alias("values"), F.size(values).alias("width"))
+
+
 def run_results(spark: SparkSession, path: str) -> DataFrame:
     """One row per result file."""
     schema = "lambda_adv double, reliable_fairness struct<schema:string, core_task:string, split_seed:int, head_seed:int, prediction_artifact:struct<sha256:string, record_count:long>, checkpoint_identity:struct<sha256:string>>"
