@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite_prediction
+from ..sources.contracts import receipt_mismatches
 
 
 def prediction_rows(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, patient_id, problem): no id, bad label or score, repeated patient (V1)."""
+    """(by, patient_id, problem): no id, bad label or score, repeated patient; without ``by``, no rows at all is a problem too (V1)."""
     keys = by or []
     problem = F.when(F.coalesce(F.trim("patient_id"), F.lit("")) == "", "no id").when(~finite_prediction(F.col("y_true"), F.col("y_score")), "label or score")
     bad = predictions.select(*keys, "patient_id", problem.alias("problem")).where("problem is not null")
     repeated = predictions.groupBy(*keys, "patient_id").count().where("count > 1").select(*keys, "patient_id", F.lit("repeated").alias("problem"))
-    return bad.unionByName(repeated)
+    found = bad.unionByName(repeated)
+    if not keys:
+        none = predictions.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("patient_id"), F.lit("no rows").alias("problem"))
+        found = found.unionByName(none)
+    return found
 
 
 def arm_alignment(records: DataFrame, compared: list[str], reference: tuple[str, int]) -> DataFrame:
@@ -86,8 +91,8 @@ def checks(row: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(failed).alias("check"))
 
 
-def study_contract(contract: DataFrame, seed: int) -> DataFrame:
-    """The study declaration's own rules (V6)."""
+def study_contract(contract: DataFrame, seed: int, lambda_: float | None = None, command: dict[str, object] | None = None) -> DataFrame:
+    """The study declaration's own rules; the strength of a run and the fields of its command, where given, have to be those declared (V6)."""
     seeds = F.col("planned_head_seeds")
     required = ["study", "fold_seed", "head_architecture", "primary_estimand", "sensitive", "method"]
     rules = {f"{c} present": F.col(c).isNotNull() for c in required}
@@ -95,13 +100,18 @@ def study_contract(contract: DataFrame, seed: int) -> DataFrame:
         "seeds unique": F.size(F.array_distinct(seeds)) == F.size(seeds), "at most five seeds": F.size(seeds).between(1, 5), "seed declared": F.array_contains(seeds, seed),
         "margin": F.col("utility_noninferiority_margin") >= 0, "lambda": F.col("posthoc_lambda") >= 0, "temperature": F.col("temperature") > 0,
     }
+    if lambda_ is not None:
+        rules["lambda of the run"] = F.lit(lambda_).isin(0.0) | (F.lit(lambda_) == F.col("posthoc_lambda"))
+    rules |= {f"{k} of the command": F.col(k).eqNullSafe(F.lit(v)) for k, v in (command or {}).items()}
     return checks(contract, rules)
 
 
 def provenance(runs: DataFrame, files: DataFrame, posthoc_lambda: float) -> DataFrame:
     """(arm, run, problem) of run results against prediction files.
 
-    runs: (arm, run, schema, seed, task, lambda_adv, checkpoint, sha256, n); files: (arm, run, sha256, n).
+    runs: (arm, run, schema, seed, task, lambda_adv, checkpoint, sha256, n), and where a study records them split_seed,
+    contract_sha256, intervention (whether the checkpoint was trained with one) and inputs (digests by name);
+    files: (arm, run, sha256, n).
     """
     both = runs.join(files.select("arm", "run", F.col("sha256").alias("_sha"), F.col("n").alias("_n")), ["arm", "run"], "left")
     expected = F.when(F.col("arm") == "posthoc", posthoc_lambda).otherwise(0.0)
@@ -109,6 +119,17 @@ def provenance(runs: DataFrame, files: DataFrame, posthoc_lambda: float) -> Data
     bad = both.select("arm", "run", problem.alias("problem")).where("problem is not null")
     one = lambda df, by, c, says: df.groupBy(*by).agg(F.countDistinct(c).alias("n"), F.min("arm").alias("arm") if "arm" not in by else F.lit(1).alias("_")).where("n > 1").select("arm", (F.col("run") if "run" in by else F.lit(None).cast("int")).alias("run"), F.lit(says).alias("problem"))
     constant = one(runs, ["arm"], "checkpoint", "checkpoint differs between seeds").unionByName(one(runs, ["arm"], "schema", "schema")).unionByName(one(runs, ["run"], "seed", "seed order")).unionByName(one(runs, ["run"], "task", "task"))
+    same = {"split_seed": "split seed", "contract_sha256": "contract digest"}
+    for c in [c for c in same if c in runs.columns]:
+        whole = runs.withColumn("arm", F.lit(None).cast("string")).groupBy("arm").agg(F.countDistinct(c).alias("n"), F.count(F.when(F.col(c).isNull(), 1)).alias("absent"))
+        constant = constant.unionByName(whole.where("n > 1 or absent > 0").select("arm", F.lit(None).cast("int").alias("run"), F.lit(same[c]).alias("problem")))
+    if "intervention" in runs.columns:
+        wrong = runs.where(~F.col("intervention").eqNullSafe(F.col("arm") == "pretraining"))
+        constant = constant.unionByName(wrong.select("arm", "run", F.lit("intervention").alias("problem")))
+    if "inputs" in runs.columns:
+        blank = F.coalesce(F.size("inputs"), F.lit(0)) <= 0
+        unrecorded = runs.where(blank | F.exists(F.map_values("inputs"), lambda d: F.coalesce(d, F.lit("")) == ""))
+        constant = constant.unionByName(unrecorded.select("arm", "run", F.lit("inputs not recorded").alias("problem")))
     reused = files.groupBy("sha256").agg(F.count("*").alias("n"), F.min("arm").alias("arm"), F.min("run").alias("run")).where("n > 1").select("arm", "run", F.lit("file reused").alias("problem"))
     of = runs.groupBy("arm").agg(F.min("checkpoint").alias("c"))
     wide = of.agg(*[F.max(F.when(F.col("arm") == a, F.col("c"))).alias(a) for a in ("control", "posthoc", "pretraining")])
@@ -124,6 +145,21 @@ def coverage_agreement(coverage: DataFrame, predictions: DataFrame) -> DataFrame
     return coverage.join(n, "task", "left").select("task", problem.alias("problem")).where("problem is not null")
 
 
+def digests_disagree(receipts: DataFrame) -> DataFrame:
+    """(field, values) of digests that receipts name differently or not at all (V8). receipts: (receipt, field, sha256)."""
+    return receipts.groupBy("field").agg(F.countDistinct("sha256").alias("values"), F.count(F.when(F.col("sha256").isNull(), 1)).alias("absent")).where("values != 1 or absent > 0").select("field", "values")
+
+
+def checkpoint_holdout(checkpoint: DataFrame, task: str) -> DataFrame:
+    """(check) of a checkpoint that did not hold out the task's patients (V11). checkpoint: one row (holdout_task)."""
+    return checks(checkpoint, {"holdout task": F.col("holdout_task") == task})
+
+
+def training_inputs(config: DataFrame, receipt: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, expected, observed) of a training configuration against the metadata receipt, both one row."""
+    return receipt_mismatches(receipt, config, fields)
+
+
 def leaked(training: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
     """Holdout ids that occur in training."""
     return training.select(key).distinct().join(holdout.select(key), key, "left_semi")

@@ -34,24 +34,28 @@ def run_summary(scores: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     return contrasts(arm_metrics(scores, ["arm", "run"], group, groups), ["run"])
 
 
-def each_iteration(iterations: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))
+#: Rows of scores times iterations that are joined at once.
+CHUNK_ROWS = 50_000_000
 
 
-def multiplicities(patients: DataFrame, iterations: int, seed: int) -> DataFrame:
+def each_iteration(iterations: range) -> Column:
+    return F.sequence(F.lit(iterations.start).cast("long"), F.lit(iterations.stop - 1).cast("long"))
+
+
+def multiplicities(patients: DataFrame, iterations: range, seed: int) -> DataFrame:
     """(it, patient_id, times): in every iteration as many draws with replacement from each label as it has patients (B1).
 
     patients: (patient_id, y), one row each. Slots and draws are hashes, so they do not depend on order or partitions.
     """
     ranked = numbered(patients, ["y"], hash_rank("bootstrap", F.col("patient_id")), "patient_id", "k")
     sizes = patients.groupBy("y").agg(F.count("*").alias("of_y"))
-    slots = ranked.join(F.broadcast(sizes), "y").withColumn("it", F.explode(each_iteration(iterations)))  # one row for each draw, by definition
+    slots = ranked.join(sizes, "y").withColumn("it", F.explode(each_iteration(iterations)))  # one row for each draw, by definition
     drawn = slots.select("it", "y", draw(seed, "it", "y", F.col("k").cast("string"), below=F.col("of_y")).alias("k"))
     times = drawn.groupBy("it", "y", "k").agg(F.count("*").alias("times"))
     return times.join(ranked, ["y", "k"]).select("it", "patient_id", "times")
 
 
-def run_draws(scores: DataFrame, iterations: int, seed: int) -> DataFrame:
+def run_draws(scores: DataFrame, iterations: range, seed: int) -> DataFrame:
     """(it, run, run_times): as many draws of runs with replacement as there are runs (B2)."""
     runs = scores.select("run").distinct().withColumn("k", F.row_number().over(Window.orderBy("run")) - 1)  # a handful of runs
     slots = runs.withColumn("of", F.count("*").over(Window.partitionBy())).withColumn("it", F.explode(each_iteration(iterations)))
@@ -59,12 +63,27 @@ def run_draws(scores: DataFrame, iterations: int, seed: int) -> DataFrame:
     return drawn.groupBy("it", "k").agg(F.count("*").alias("run_times")).join(F.broadcast(runs), "k").select("it", "run", "run_times")
 
 
-def paired_bootstrap(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """(it, fairness_advantage, utility_delta): medians over drawn runs; iterations with an undefined AUROC are dropped."""
+def paired_bootstrap(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """(it, fairness_advantage, utility_delta): medians over drawn runs; iterations with an undefined AUROC are dropped.
+
+    Iterations are cut into chunks of at most ``chunk_rows`` rows of scores.
+    """
     patients = scores.select("patient_id", "y").distinct()
-    sampled = scores.join(multiplicities(patients, iterations, seed), "patient_id").join(F.broadcast(run_draws(scores, iterations, seed)), ["it", "run"])
+    at_once = iterations if chunk_rows is None else max(1, min(iterations, chunk_rows // max(1, scores.count())))
+    out = None
+    for start in range(0, iterations, at_once):
+        part = _drawn(scores, patients, group, groups, range(start, min(iterations, start + at_once)), seed)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _drawn(scores: DataFrame, patients: DataFrame, group: str, groups: DataFrame, iterations: range, seed: int) -> DataFrame:
+    draws = run_draws(scores, iterations, seed)
+    drawn = scores.join(multiplicities(patients, iterations, seed), "patient_id").join(draws.select("it", "run"), ["it", "run"], "left_semi")
+    # Before anything is ranked, rows of one score are summed up.
+    sampled = drawn.groupBy("it", "arm", "run", group, "y", "score").agg(F.sum("times").alias("times"))
     metrics = arm_metrics(sampled, ["it", "arm", "run"], group, groups, weight=F.col("times"))
-    per_run = contrasts(metrics, ["it", "run"]).join(F.broadcast(run_draws(scores, iterations, seed)), ["it", "run"])
+    per_run = contrasts(metrics, ["it", "run"]).join(draws, ["it", "run"])
     repeated = per_run.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("run_times").cast("int"))))
     whole = F.count("fairness_advantage") == F.count("*")
     medians = repeated.groupBy("it").agg(whole.alias("whole"), F.percentile("fairness_advantage", 0.5).alias("fairness_advantage"), F.percentile("utility_delta", 0.5).alias("utility_delta"))

@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import bucketed_digest
+
 #: Takes a list of payloads, returns an array of vectors, or None in place of one that failed.
 EmbedFn = Callable[[list[bytes]], list]
+STORED = "content_key string, vector array<float>, payload_bytes int, model_key string"
 
 
 def embed(df: DataFrame, payload: str, embed_fn: EmbedFn, out: str = "vector", batch: int = 64) -> DataFrame:
@@ -41,7 +44,7 @@ def store(spark: SparkSession, path: str) -> DataFrame | None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.parquet(path) if there else None
+    return spark.read.schema(STORED).parquet(path) if there else None
 
 
 def embed_new(df: DataFrame, path: str, model_key: str, config: str, payload: str, embed_fn: EmbedFn) -> DataFrame:
@@ -58,7 +61,28 @@ def embed_new(df: DataFrame, path: str, model_key: str, config: str, payload: st
     fresh = embed(missing, payload, embed_fn).where("vector is not null")
     fresh = fresh.select("content_key", "vector", F.length(payload).alias("payload_bytes"), F.lit(model_key).alias("model_key"))
     fresh.write.mode("append").partitionBy("model_key").parquet(path)
-    return keyed.join(spark.read.parquet(path).where(F.col("model_key") == model_key).select("content_key", "vector"), "content_key", "left")
+    # With its schema given, a store that holds no vector yet can be read too.
+    stored = spark.read.schema(STORED).parquet(path).where(F.col("model_key") == model_key).select("content_key", "vector")
+    return keyed.join(stored, "content_key", "left")
+
+
+def reuse_violations(df: DataFrame, stored: DataFrame, model_key: str, config: str, payload: str, key: str) -> DataFrame:
+    """(key, problem) of rows whose stored vector may not be used again: absent, of another payload length, not finite (V9).
+
+    The key of a stored vector is the digest of model, configuration and payload, so a changed payload is an absent one.
+    """
+    own = stored.where(F.col("model_key") == model_key).select("content_key", "vector", "payload_bytes")
+    both = with_key(df.where(F.col(payload).isNotNull()), model_key, config, payload).join(own, "content_key", "left")
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    problem = F.when(F.col("vector").isNull(), "absent").when(F.col("payload_bytes") != F.length(payload), "payload length").when(~finite, "not finite")
+    return both.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def entry_digest(stored: DataFrame, model_key: str) -> DataFrame:
+    """(n, sha256) of a model's entries in the order of their keys, bucket by bucket (V9)."""
+    own = stored.where(F.col("model_key") == model_key)
+    line = F.concat_ws("\t", "content_key", F.col("payload_bytes").cast("string"), F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary"), 256))
+    return bucketed_digest(own, line, F.col("content_key"), F.substring("content_key", 1, 3))
 
 
 def store_violations(stored: DataFrame, dimension: int) -> DataFrame:

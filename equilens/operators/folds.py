@@ -47,7 +47,7 @@ def stratified_folds(patients: DataFrame, patient: str, label: str, race: str, t
     """
     known = patients.where(F.col(label).isNotNull()).withColumn("_race", F.coalesce(F.nullif(F.col(race), F.lit("")), F.lit("__missing__")))
     sizes = known.groupBy(label, "_race").agg((F.count("*") >= n_splits).alias("_dense"))
-    strata = known.join(F.broadcast(sizes), [label, "_race"]).withColumn("_stratum", F.when(F.col("_dense"), F.col("_race")).otherwise("__sparse__"))
+    strata = known.join(sizes, [label, "_race"]).withColumn("_stratum", F.when(F.col("_dense"), F.col("_race")).otherwise("__sparse__"))
     dealt = numbered(strata, [label, "_stratum"], hash_rank(seed, F.lit(task), F.col(patient)), patient)
     offset = hash_number(seed, F.lit(task), F.col(label), F.col("_stratum")) % n_splits
     return dealt.withColumn("fold", ((F.col("position") + offset) % n_splits).cast("int")).drop("_race", "_dense", "_stratum", "position")
@@ -64,5 +64,5 @@ def k_folds(df: DataFrame, patient: str, label: str, k: int = 5, seed: int = 42,
     counts = df.groupBy(*keys, label).agg(F.count("*").alias("_n"))
     least = counts.groupBy(*keys).agg(F.greatest(F.lit(2), F.least(F.lit(k), F.min("_n"))).alias("_k"))
     dealt = numbered(df, [*keys, label], hash_rank(seed, F.col(patient)), patient)
-    dealt = dealt.join(F.broadcast(least), keys) if keys else dealt.crossJoin(F.broadcast(least))
+    dealt = dealt.join(least, keys) if keys else dealt.crossJoin(F.broadcast(least))
     return dealt.withColumn("fold", (F.col("position") % F.col("_k")).cast("int")).drop("position", "_k")

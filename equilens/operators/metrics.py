@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score buckets in which ranks are counted; a bucket is a task's work, so no window covers all scores.
-SCORE_BUCKETS = 256
+#: Score buckets for each doubling of a score, in which ranks are counted; a bucket is a task's work, so no window covers all.
+PER_DOUBLING = 64
 #: Inner edges of ten equal bins, as the doubles k * 0.1.
 ECE_EDGES = [k * 0.1 for k in range(1, 10)]
 
@@ -15,7 +15,8 @@ def average_rank(df: DataFrame, order: str, by: list[str] | None = None, out: st
     """``df`` with ranks that ties share.
 
     Distinct values are counted, ranked inside a score bucket and offset by the buckets below, as in ``auc_by``; rows
-    then look up their value, so no window holds all rows of a group.
+    then look up their value, so no window holds all rows of a group. Rows with a null value or key have no rank and
+    are left out.
     """
     keys = by or ["_all"]
     df = df if by else df.withColumn("_all", F.lit(0))
@@ -30,14 +31,17 @@ def average_rank(df: DataFrame, order: str, by: list[str] | None = None, out: st
 
 
 def bucket_of(score: Column) -> Column:
-    return F.least(F.greatest(F.floor(score * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1))
+    """A number that rises with the score, over probabilities, logits and any other range: 64 for each doubling, both signs."""
+    level = lambda x: F.floor(F.log2(x) * PER_DOUBLING) + 2000 * PER_DOUBLING  # noqa: E731  above 0 for every double
+    x = score.cast("double")
+    return F.when(x > 0, level(x)).when(x < 0, -level(-x)).otherwise(F.lit(0)).cast("long")
 
 
 def auc_by(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", weight: Column | None = None) -> DataFrame:
     """(keys, n, n_pos, n_neg, auc) by the rank statistic; ties count half, one class alone gives null (A3, A4).
 
     Scores are first summed up by distinct value, ranked inside a bucket, and offset by the negatives of all buckets
-    below; so a group of any size is spread over SCORE_BUCKETS tasks.
+    below; so a group of any size is spread over many tasks.
     """
     w = F.lit(1) if weight is None else weight
     keys = keys or ["_all"]
@@ -102,6 +106,18 @@ def gaps(df: DataFrame, attributes: list[str], y: str = "y", score: str = "score
     )
 
 
+def extreme_groups(df: DataFrame, attributes: list[str], y: str = "y", score: str = "score", min_n: int = 20, min_class_n: int = 5) -> DataFrame:
+    """(attribute, best, worst): the eligible groups with the highest and the lowest AUROC, the first by name of equals (L3)."""
+    fit = subgroup_report(df, attributes, y, score, min_n, min_class_n).where("eligible_for_gap")
+    return fit.groupBy("attribute").agg(F.min_by("grp", F.struct(-F.col("auc"), F.col("grp"))).alias("best"), F.min_by("grp", F.struct("auc", "grp")).alias("worst"))
+
+
+def support_flags(report: DataFrame) -> DataFrame:
+    """One row (flags): "attribute:group" of all groups without support, in order."""
+    flag = F.when(F.col("insufficient_support"), F.concat_ws(":", "attribute", "grp"))
+    return report.agg(F.array_sort(F.collect_list(flag)).alias("flags"))
+
+
 def eligible_groups(df: DataFrame, group: str, y: str = "y", min_group_n: int = 20, min_class_n: int = 5) -> DataFrame:
     """(group) with enough rows and enough of both classes."""
     counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
@@ -109,14 +125,20 @@ def eligible_groups(df: DataFrame, group: str, y: str = "y", min_group_n: int =
 
 
 def arm_metrics(scores: DataFrame, keys: list[str], group: str, groups: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(keys, overall_auc, auc_gap): overall over all rows, gap over the given groups; null where any AUROC is."""
+    """(keys, overall_auc, auc_gap): overall over all rows, gap over the given groups; null where any AUROC is (A8, see ``undefined``)."""
     overall = auc_by(scores, keys, weight=weight).select(*keys, F.col("auc").alias("overall_auc"))
     of_groups = auc_by(scores.join(F.broadcast(groups), group, "left_semi"), [*keys, group], weight=weight)
-    whole = F.count("auc") == F.lit(groups.count())
-    gap = of_groups.groupBy(*keys).agg(F.when(whole, F.max("auc") - F.min("auc")).alias("auc_gap"))
+    most = groups.agg(F.count("*").alias("_groups"))
+    gap = of_groups.groupBy(*keys).agg(F.count("auc").alias("_n"), (F.max("auc") - F.min("auc")).alias("_gap"))
+    gap = gap.crossJoin(F.broadcast(most)).select(*keys, F.when(F.col("_n") == F.col("_groups"), F.col("_gap")).alias("auc_gap"))
     return overall.join(gap, keys, "left")
 
 
+def undefined(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys) of arms and runs whose metrics are undefined: some AUROC of theirs is."""
+    return metrics.where("overall_auc is null or auc_gap is null").select(*keys)
+
+
 def macro_auc(df: DataFrame, classes: list, label: str, score_of) -> DataFrame:
     """(macro_auc, n_classes): mean one-vs-rest AUROC over the classes that have both outcomes (A10). score_of: class -> column."""
     pairs = F.array(*[F.struct(F.lit(c).alias("class"), score_of(c).alias("score")) for c in classes])

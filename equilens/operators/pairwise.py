@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +16,18 @@ BLOCK_ROWS = 256
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """(keys, out, n): component means in double precision; null vectors are left out (A1, A2)."""
-    long = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    sums = long.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count("*").alias("n"))
-    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out), F.max("n").alias("n"))
+    """(keys, out, n): component means in double precision; null vectors are left out (A1).
+
+    A vector stays one value all the way, summed up before the shuffle and after it.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    found = rows.groupBy(*keys).agg(Summarizer.metrics("mean", "count").summary(F.col("_v")).alias("_s"))
+    return found.select(*keys, vector_to_array("_s.mean").alias(out), F.col("_s.count").alias("n"))
 
 
-def mean_scores(tiles: DataFrame, key: str, score: str) -> DataFrame:
-    """(key, score, n_tiles) (A2)."""
-    return tiles.where(F.col(score).isNotNull()).groupBy(key).agg(F.avg(score).alias(score), F.count("*").alias("n_tiles"))
+def mean_scores(tiles: DataFrame, keys: str | list[str], score: str) -> DataFrame:
+    """(keys, score, n_tiles): tiles without a score are left out (A2)."""
+    return tiles.where(F.col(score).isNotNull()).groupBy(keys).agg(F.avg(score).alias(score), F.count("*").alias("n_tiles"))
 
 
 def prototypes(df: DataFrame, cls: str, vector: str, condition: str | None = None) -> DataFrame:
@@ -62,15 +66,12 @@ def _log_softmax(v: np.ndarray, temperature: float, allowed: np.ndarray) -> np.n
         return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
 
 
-def _relation(kind: str, sensitive: np.ndarray, condition: np.ndarray | None) -> np.ndarray:
-    other = sensitive[:, None] != sensitive[None, :]
-    if kind == "same":
-        return ~other
-    if kind == "different":
-        return other
-    if kind == "same_condition_different":
-        return other & (condition[:, None] == condition[None, :])
-    raise ValueError(f"unknown relation {kind}")
+#: Which pairs of rows are positives, from "other attribute value" and "same condition" of each pair.
+RELATIONS = {
+    "same": lambda other, alike: ~other,
+    "different": lambda other, alike: other,
+    "same_condition_different": lambda other, alike: other & alike,
+}
 
 
 def contrastive_anchors(df: DataFrame, key: str, vector: str, sensitive: str, relation: str = "different", condition: str | None = None, temperature: float = 0.2, consistent: bool = False) -> DataFrame:
@@ -79,6 +80,8 @@ def contrastive_anchors(df: DataFrame, key: str, vector: str, sensitive: str, re
     Rows without sensitive value, or condition where one is named, are left out (F6).  ``consistent`` limits the
     denominator to positives and same-condition rows of the anchor's own group, and asks for both (M11).
     """
+    if relation not in RELATIONS:
+        raise ValueError(f"unknown relation {relation}")
     needed = [vector, sensitive, *([condition] if condition else [])]
     kind = df.schema[key].dataType.simpleString()
 
@@ -87,10 +90,11 @@ def contrastive_anchors(df: DataFrame, key: str, vector: str, sensitive: str, re
         s = pdf["s"].to_numpy()
         c = pdf["c"].to_numpy() if condition else None
         self_ = np.eye(len(v), dtype=bool)
-        positive = _relation(relation, s, c) & ~self_
+        other = s[:, None] != s[None, :]
+        positive = RELATIONS[relation](other, c[:, None] == c[None, :] if condition else True) & ~self_
         allowed = ~self_
         if consistent:
-            negative = (s[:, None] == s[None, :]) & ~self_
+            negative = ~other & ~self_
             negative &= (c[:, None] == c[None, :]) if condition else True
             allowed = (positive | negative) & negative.any(axis=1, keepdims=True)
             positive = positive & allowed

@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import id_set_digest
+from .folds import k_folds
 from .metrics import auc_by, macro_auc
 
 #: The grid of inverse regularisation strengths.
@@ -62,20 +64,36 @@ def grid_scores(df: DataFrame, folds: list[int], grid: list[float]) -> DataFrame
 
 
 def internal_cv(df: DataFrame, folds: list[int], grid: list[float] = C_GRID) -> DataFrame:
-    """Out-of-fold rows of the strength with the best pooled AUROC (M2). df: (patient_id, y, fold, features)."""
-    scores = grid_scores(df.persist(), folds, grid).persist()
-    chosen = best_first(auc_by(scores.where("score is not null"), ["grid_pos", "c"])).select("grid_pos", "auc")
-    return scores.join(F.broadcast(chosen), "grid_pos")
+    """Out-of-fold rows of the strength with the best pooled AUROC (M2). df: (patient_id, y, fold, features).
+
+    The caller keeps ``df`` in memory where it is read again for each of the strengths.
+    """
+    scores = grid_scores(df, folds, grid)
+    best = best_first(auc_by(scores.where("score is not null"), ["grid_pos", "c"])).first()
+    if best is None:
+        return scores.withColumn("auc", F.lit(None).cast("double")).limit(0)
+    return scores.where(F.col("grid_pos") == best["grid_pos"]).withColumn("auc", F.lit(best["auc"]))
 
 
 def external(train: DataFrame, test: DataFrame, folds: list[int], grid: list[float] = C_GRID) -> DataFrame:
     """``test`` scored by a model of all of ``train`` at the strength with the best mean fold AUROC (M3)."""
-    scores = grid_scores(train.persist(), folds, grid)
+    scores = grid_scores(train, folds, grid)
     per_fold = auc_by(scores.where("score is not null"), ["grid_pos", "c", "fold"])
     best = best_first(per_fold.groupBy("grid_pos", "c").agg(F.avg("auc").alias("auc"))).first()
     return fit_predict(train, test, best["c"]).withColumn("c", F.lit(best["c"]))
 
 
+def fitting_folds(df: DataFrame, k: int = 5) -> int:
+    """Folds that the smaller class can fill: at most k, at least 2 (M3)."""
+    counts = [r["count"] for r in df.groupBy("y").count().collect()]
+    return max(2, min([k, *counts]))
+
+
+def external_folds(train: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """``train`` with ``fold``, as many as its smaller class can fill (M3)."""
+    return k_folds(train.drop("fold"), "patient_id", "y", fitting_folds(train, k), seed)
+
+
 def held_out_fold(df: DataFrame, fold: int, c: float) -> DataFrame:
     """Only the rows of one fold, scored by a model of all others (M4)."""
     return fit_predict(df.where(F.col("fold") != fold), df.where(F.col("fold") == fold), c)
@@ -113,8 +131,8 @@ def nested_cross_fit(df: DataFrame, folds: list[int], c: float) -> tuple[DataFra
                 "patient_id", "y", "score", F.lit("outer" if j is None else "inner").alias("prediction_role"), F.col("fold").alias("original_fold"),
                 F.lit(k).alias("calibration_outer_fold"), F.lit(j).cast("int").alias("inner_fold"),
             )
-            ids = F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("patient_id").cast("string"))), "\n").cast("binary"), 256)
-            seen = train.agg(F.lit(k).alias("outer_fold"), F.lit(j).cast("int").alias("inner_fold"), F.array_sort(F.collect_set("fold")).alias("folds"), F.count("*").alias("n"), ids.alias("patients_sha256"))
+            seen = train.agg(F.lit(k).alias("outer_fold"), F.lit(j).cast("int").alias("inner_fold"), F.array_sort(F.collect_set("fold")).alias("folds"), F.count("*").alias("n"))
+            seen = seen.crossJoin(id_set_digest(train, "patient_id").select(F.col("sha256").alias("patients_sha256")))
             predictions = part if predictions is None else predictions.unionByName(part)
             audit = seen if audit is None else audit.unionByName(seen)
     return predictions, audit

@@ -10,12 +10,15 @@ def rates(log: DataFrame, run: str, step: str, seconds: str, counters: list[str]
     """``log`` with <counter>_per_s since the row before; after a validation row the clock starts anew."""
     order = Window.partitionBy(run).orderBy(step)
     keys = [run]
+    own = "_segment"
+    while own in log.columns:
+        own += "_"
     if validation:
-        log = log.withColumn("_segment", F.sum(F.col(validation).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        keys.append("_segment")
+        log = log.withColumn(own, F.sum(F.col(validation).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        keys.append(own)
     before = Window.partitionBy(*keys).orderBy(step)
     elapsed = F.col(seconds) - F.lag(seconds).over(before)
-    return log.withColumns({f"{c}_per_s": (F.col(c) - F.lag(c).over(before)) / F.nullif(elapsed, F.lit(0).cast("double")) for c in counters}).drop("_segment")
+    return log.withColumns({f"{c}_per_s": (F.col(c) - F.lag(c).over(before)) / F.nullif(elapsed, F.lit(0).cast("double")) for c in counters}).drop(own)
 
 
 def cumulative_uniques(seen: DataFrame, run: str, step: str, key: str) -> DataFrame:
@@ -31,8 +34,16 @@ def distinct_counts(df: DataFrame, columns: list[str], by: list[str], exact: boo
     return df.groupBy(*by).agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
+def stop_report(log: DataFrame, run: str, step: str, budgets: dict[str, float]) -> DataFrame:
+    """(run, last_step, <counter>, <counter>_part of its budget, stopped_by): the first counter in order that reached its budget, else "end" (A26)."""
+    last = log.groupBy(run).agg(F.max_by(F.struct(F.col(step).alias("step"), *[F.col(c) for c in budgets]), F.col(step)).alias("last"))
+    parts = {c: F.col(f"last.{c}") / float(b) for c, b in budgets.items()}
+    stopped = F.coalesce(*[F.when(p >= 1, c) for c, p in parts.items()], F.lit("end"))
+    return last.select(run, F.col("last.step").alias("last_step"), *[F.col(f"last.{c}").alias(c) for c in budgets], *[p.alias(f"{c}_part") for c, p in parts.items()], stopped.alias("stopped_by"))
+
+
 def run_report(log: DataFrame, run: str, step: str, seconds: str, counter: str, budget: float) -> DataFrame:
-    """(run, last step, its counter, part of the budget, mean rate)."""
+    """(run, last step, its counter, part of the budget, mean rate); several budgets: ``stop_report``."""
     last = F.max_by(F.struct(F.col(step).alias("step"), F.col(counter).alias("n"), F.col(seconds).alias("s")), F.col(step)).alias("last")
     out = log.groupBy(run).agg(last)
     return out.select(run, F.col("last.step").alias("last_step"), F.col("last.n").alias("n"), (F.col("last.n") / budget).alias("budget_part"), (F.col("last.n") / F.greatest(F.lit(1.0), F.col("last.s"))).alias("mean_rate"))

@@ -34,7 +34,7 @@ def first_slides(slides: DataFrame, pool: DataFrame, patient: str, slide: str, l
 
     pool: (patient, patient_pos).
     """
-    mine = slides.join(F.broadcast(pool), patient).withColumn("r", F.row_number().over(Window.partitionBy(patient).orderBy(slide)))
+    mine = slides.join(pool, patient).withColumn("r", F.row_number().over(Window.partitionBy(patient).orderBy(slide)))
     return mine.orderBy(F.col("r") > 1, "patient_pos", "r").limit(limit)
 
 
@@ -66,7 +66,7 @@ def global_index(rows: DataFrame, shard: str, order: list[str], out: str = "tile
     sizes = rows.groupBy(shard).agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(shard)) - F.col("_n")).drop("_n")  # a row for each shard
     inside = F.row_number().over(Window.partitionBy(shard).orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(F.broadcast(offsets), shard).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    return rows.withColumn("_inside", inside).join(offsets, shard).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
 def class_weights(df: DataFrame, label: str, classes: list, absent: float) -> DataFrame:
@@ -84,7 +84,7 @@ def tile_weights(tiles: DataFrame, label: str, out: str = "weight") -> DataFrame
     counts = tiles.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     # The mean over known tiles of 1 / n is classes / known tiles; that over all tiles is then the same number.
     mean = counts.agg(F.coalesce(F.count("*") / F.sum("_n"), F.lit(1.0)).alias("_mean"))
-    return tiles.join(F.broadcast(counts), label, "left").crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce(1 / F.col("_n"), F.col("_mean")) / F.col("_mean")).drop("_n", "_mean")
+    return tiles.join(counts, label, "left").crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce(1 / F.col("_n"), F.col("_mean")) / F.col("_mean")).drop("_n", "_mean")
 
 
 def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
