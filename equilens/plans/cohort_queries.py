@@ -112,6 +112,14 @@ def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resampled(weighted, "key", "weight", weighted.count()).groupBy("flag").agg(F.count("*").alias("draws"))
 
 
+# Poisson draws by the inverse distribution: with means near 1, sixty terms are all there are.
+SQL["weighted_resample"] = f"""WITH {TILES}, t AS (SELECT *, CASE WHEN flag != 'N' THEN flag END AS label FROM tiles), n AS (SELECT label, 1.0::DOUBLE / count(*) AS w FROM t WHERE label IS NOT NULL GROUP BY label),
+raw AS (SELECT t.flag, coalesce(n.w, (SELECT avg(n.w) FROM t JOIN n USING (label))) AS w, slide || '-' || tile || '-' || part AS key FROM t LEFT JOIN n USING (label)),
+u AS (SELECT flag, w / (SELECT avg(w) FROM raw) AS mean, ('0x' || substr(sha256('42:draw:' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM raw),
+means AS (SELECT DISTINCT mean FROM u), terms AS (SELECT mean, k, sum(exp(-mean) * pow(mean, i) / gamma(i + 1)) AS below FROM means, range(60) a(k), range(60) b(i) WHERE i <= k GROUP BY ALL)
+SELECT flag, sum((SELECT count(*) FROM terms WHERE terms.mean = u.mean AND below < u))::BIGINT AS draws FROM u GROUP BY flag"""
+
+
 # Pools, caps and permutations
 
 
@@ -431,7 +439,9 @@ def id_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.id_set_digest(slides(spark, sf_dir), "patient_id", ["status"])
 
 
-SQL["id_set_digest"] = f"WITH {SLIDES} SELECT status, count(DISTINCT patient_id) AS n, sha256(string_agg(DISTINCT patient_id::VARCHAR, chr(10) ORDER BY patient_id::VARCHAR) || chr(10)) AS sha256 FROM slides GROUP BY status"
+SQL["id_set_digest"] = f"""WITH {SLIDES}, ids AS (SELECT DISTINCT status, patient_id::VARCHAR AS id FROM slides WHERE patient_id IS NOT NULL),
+b AS (SELECT status, substr(sha256(id), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS d FROM ids GROUP BY ALL)
+SELECT status, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS sha256 FROM b GROUP BY status"""
 
 
 @query
@@ -440,8 +450,8 @@ def ordered_payload_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.payload_digest(d.withColumn("key", F.col("doc_id").cast("string")), "doc_id", "key", "payload", "source")
 
 
-SQL["ordered_payload_digest"] = """SELECT source, count(*) AS n, sha256(string_agg(doc_id || chr(9) || doc_id || chr(9) || octet_length(encode(coalesce(text, ''))) || chr(9) || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS sha256
-FROM documents GROUP BY source"""
+SQL["ordered_payload_digest"] = """WITH b AS (SELECT source, doc_id // 4096 AS bucket, count(*) AS n, sha256(string_agg(doc_id || chr(9) || doc_id || chr(9) || octet_length(encode(coalesce(text, ''))) || chr(9) || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS d
+FROM documents GROUP BY ALL) SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS sha256 FROM b GROUP BY source"""
 
 
 @query
@@ -597,5 +607,5 @@ SQL["run_header"] = f"WITH {PREDICTIONS} SELECT count(*) AS patients, sum(y)::BI
 @query
 def dataset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory and content manifest of the tables' files themselves."""
-    listed = contracts.files(spark, f"{sf_dir}/orders.parquet", "*.parquet")
-    return contracts.inventory(listed).crossJoin(contracts.manifest(contracts.content_digests(spark, listed)).select("content_sha256"))
+    listed = contracts.files(spark, sf_dir, "*.parquet")
+    return contracts.inventory(listed).crossJoin(contracts.manifest(contracts.content_digests(listed)).select("content_sha256"))

@@ -12,7 +12,7 @@ from .roles import ARM_SCORES, PREDICTIONS, arm_scores, auc_sql, predictions, ta
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 ATTRIBUTES = ["lang", "source"]
-ITERATIONS, SEED = 100, 11
+ITERATIONS, SEED = 2000, 11
 
 
 def query(f):
@@ -145,8 +145,8 @@ repeated AS (SELECT c.* FROM contrasts c JOIN run_draws USING (it, run), range(6
 samples AS (SELECT it, median(fairness_advantage) AS fairness_advantage, median(utility_delta) AS utility_delta FROM repeated GROUP BY it HAVING count(fairness_advantage) = count(*)),
 ci AS (SELECT count(*) AS valid_iterations, {', '.join(f"quantile_cont({c}, 0.025) AS {c}_lower, quantile_cont({c}, 0.975) AS {c}_upper, avg(({c} <= 0)::DOUBLE) AS {c}_le_zero" for c in ("fairness_advantage", "utility_delta"))} FROM samples)
 SELECT valid_iterations, {', '.join(f"round({c}, 6) AS {c}" for k in ("fairness_advantage", "utility_delta") for c in (k + "_lower", k + "_upper", k + "_le_zero"))},
-  CASE WHEN valid_iterations >= 100 THEN fairness_advantage_lower > 0 END AS fairness_superior, CASE WHEN valid_iterations >= 100 THEN utility_delta_lower >= -0.02 END AS utility_noninferior,
-  CASE WHEN valid_iterations >= 100 THEN fairness_advantage_lower > 0 AND utility_delta_lower >= -0.02 END AS supports_pretraining FROM ci"""
+  CASE WHEN valid_iterations >= {ITERATIONS // 2} THEN fairness_advantage_lower > 0 END AS fairness_superior, CASE WHEN valid_iterations >= {ITERATIONS // 2} THEN utility_delta_lower >= -0.02 END AS utility_noninferior,
+  CASE WHEN valid_iterations >= {ITERATIONS // 2} THEN fairness_advantage_lower > 0 AND utility_delta_lower >= -0.02 END AS supports_pretraining FROM ci"""
 
 
 @query
@@ -223,18 +223,35 @@ GROUP BY ALL HAVING count(*) FILTER (WHERE positive) > 0 AND count(*) FILTER (WH
 
 @query
 def preserving_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairwise.preserving_objective(in_blocks(spark, sf_dir), "vec_id", "embedding", "sensitive", "condition", 0.5), "preserve", "fair", "objective")
+    found = pairwise.preserving_objective(in_blocks(spark, sf_dir).withColumn("condition", F.col("condition").cast("int")), "vec_id", "embedding", "sensitive", "condition", 0.5)
+    return found.select(*[F.round(c, 5).alias(c) for c in ("preserve", "fair", "objective")])
+
+
+ANCHORS = f"""WITH same AS ({pairs_sql("true").replace("a.c = b.c AND a.s != b.s AS positive", "a.c = b.c AS positive")} SELECT -avg(logit - lse) AS loss FROM pairs JOIN den USING (block, vec_id) WHERE positive GROUP BY block, vec_id),
+fair AS ({SQL["consistent_disparity"].replace("round(", "(").replace(", 5) AS loss", ") AS loss")})"""
+SQL["preserving_objective"] = ANCHORS + """, m AS (SELECT coalesce((SELECT avg(loss) FROM same), 0) AS preserve, coalesce((SELECT avg(loss) FROM fair), 0) AS fair)
+SELECT round(preserve, 5) AS preserve, round(fair, 5) AS fair, round(preserve + 0.5 * fair, 5) AS objective FROM m"""
 
 
 @query
 def vector_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairwise.uniformity(pairwise.blocks(table(spark, sf_dir, "embeddings"), "vec_id"), "embedding"), "loss")
+    return pairwise.uniformity(in_blocks(spark, sf_dir), "embedding").select(F.round("loss", 5).alias("loss"))
+
+
+SQL["vector_uniformity"] = f"""{pairs_sql("true")}, d AS (SELECT ln(sum(exp(5.0 * 0.2 * logit))) AS l FROM pairs GROUP BY block, vec_id) SELECT round(avg(l), 5) AS loss FROM d"""
 
 
 @query
 def moving_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 100))
-    return pairwise.moving_prototypes(e, "label", "batch", "embedding", 0.9)
+    moved = pairwise.moving_prototypes(e, "label", "batch", "embedding", 0.9)
+    return moved.select("label", F.posexplode("prototype").alias("i", "x")).select("label", "i", F.round("x", 5).alias("x"))
+
+
+# The average in closed form: the first mean fades with every later batch, a later one enters with 0.1.
+SQL["moving_prototypes"] = """WITH m AS (SELECT label, vec_id // 100 AS batch, i - 1 AS i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT range::INTEGER AS i FROM range(1, 65)) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, i ORDER BY batch) AS place, count(*) OVER (PARTITION BY label, i) AS n FROM m)
+SELECT label, i::INTEGER AS i, round(sum(x * pow(0.9::DOUBLE, n - place) * CASE WHEN place = 1 THEN 1 ELSE 0.1::DOUBLE END), 5) AS x FROM k GROUP BY label, i"""
 
 
 def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,14 +261,14 @@ def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def probe_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.internal_cv(probe_rows(spark, sf_dir), [0, 1, 2], [0.01, 0.1, 1.0]).select("patient_id", "y", "fold", "c", F.round("score", 4).alias("score"), F.round("auc", 4).alias("auc"))
+    return probe.internal_cv(probe_rows(spark, sf_dir).persist(), [0, 1, 2]).select("patient_id", "y", "fold", "c", F.round("score", 4).alias("score"), F.round("auc", 4).alias("auc"))
 
 
 @query
 def probe_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = probe_rows(spark, sf_dir)
-    fit, other = rows.where("patient_id % 2 = 0").withColumn("fold", (F.col("patient_id") / 2 % 2).cast("int")), rows.where("patient_id % 2 = 1")
-    return probe.external(fit, other, [0, 1], [0.1, 1.0]).select("patient_id", "y", "c", F.round("score", 4).alias("score"))
+    fit, other = probe.external_folds(rows.where("patient_id % 2 = 0")).persist(), rows.where("patient_id % 2 = 1")
+    return probe.external(fit, other, list(range(probe.fitting_folds(fit)))).select("patient_id", "y", "c", F.round("score", 4).alias("score"))
 
 
 @query
@@ -266,12 +283,26 @@ def nested_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.nested_cross_fit(probe_rows(spark, sf_dir).persist(), [0, 1, 2], 1.0)[0].withColumn("score", F.round("score", 4))
 
 
+def debias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as tiles of patients, ten each, with two attributes and a condition."""
+    e = table(spark, sf_dir, "embeddings")
+    of_label = lambda c, n: (F.col("label") % n).cast("int").alias(c)
+    return e.select("vec_id", normalised(F.col("embedding")).alias("x"), (F.col("label") < 5).cast("int").alias("y"), of_label("sex", 2), of_label("race", 3), (F.col("vec_id") % 4).cast("int").alias("condition"), F.concat_ws("-", F.floor(F.col("vec_id") / 100), "label").alias("patient_id"), (F.floor(F.col("vec_id") / 100) % 2).cast("int").alias("fold"))
+
+
 @query
 def debiased_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a head without and one with an adversary, side by side."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", normalised(F.col("embedding")).alias("x"), (F.col("label") < 5).cast("int").alias("y"), (F.col("label") % 3).alias("s"))
-    out = e
+    """Patients' scores outside their fold, of a plain head and of a conditional one with both attributes projected out."""
+    tiles, out = debias_rows(spark, sf_dir), None
     for name, method, strength in (("plain", "dann", 0.0), ("projected", "pcgrad", 1.0)):
-        head = debias.fit(e, None, 64, 3, strength, method, epochs=5)
-        out = debias.predict(out, head, "x", f"score_{name}")
-    return out.select("vec_id", "y", "s", F.round("score_plain", 6).alias("score_plain"), F.round("score_projected", 6).alias("score_projected"))
+        settings = debias.Settings({"sex": 2, "race": 3}, method, conditions=4)
+        part = debias.out_of_fold(tiles, None, 64, settings, strength, [0, 1], epochs=5)
+        part = part.select("patient_id", "y", "fold", F.round("score", 6).alias(f"score_{name}"))
+        out = part if out is None else out.join(part, ["patient_id", "y", "fold"])
+    return out
+
+
+@query
+def debias_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leakage and gaps of a plain head and one with prototypes, side by side."""
+    return debias.comparison(debias_rows(spark, sf_dir), None, 64, debias.Settings({"sex": 2}, "fino"), [0.0, 1.0], [0, 1], min_n=5, epochs=5)
