@@ -1,9 +1,11 @@
 """Operators on small tables with values worked out by hand or by numpy."""
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equilens.functions import clinical, identity, vectors
@@ -66,7 +68,7 @@ def test_three_arms(spark):
     assert bootstrap.run_summary(scores, "race", groups).first()["fairness_advantage"] == pytest.approx(0.5)
     ci = bootstrap.decision(bootstrap.intervals(bootstrap.paired_bootstrap(scores, "race", groups, 100, 3)), 100).first()
     assert ci["valid_iterations"] == 100 and ci["fairness_advantage_lower"] > 0 and ci["fairness_superior"]
-    times = bootstrap.multiplicities(scores.select("patient_id", "y").distinct(), 5, 3)
+    times = bootstrap.multiplicities(scores.select("patient_id", "y").distinct(), range(5), 3)
     assert {r["sum(times)"] for r in times.groupBy("it").sum("times").collect()} == {40}
 
 
@@ -177,20 +179,81 @@ def test_probe_and_nested(spark):
     assert one.where("score is null").count() == 120
 
 
+SETTINGS = [debias.Settings({"s": 2}), debias.Settings({"s": 2, "r": 3}, conditions=2), debias.Settings({"s": 2, "r": 3}, "fino", conditions=2), debias.Settings({"r": 3}, "pcgrad", conditions=2), debias.Settings({"s": 2}, "contrastive", conditions=2), debias.Settings({"r": 3}, "contrastive")]
+
+
+def head_rows(n=60):
+    rng = np.random.default_rng(3)
+    return rng.normal(size=(n, 4)), rng.integers(-1, 2, n), {"s": rng.integers(-1, 2, n), "r": rng.integers(-1, 3, n)}, rng.integers(-1, 2, n), rng.integers(0, 3, n)
+
+
+def losses(head, x, y, s, c, block):
+    got = debias.gradients(head, x, y, {a: s[a] for a in head.settings.groups}, c, block)
+    return got["loss_task"][0], sum(got[f"loss:{a}"][0] for a in head.settings.groups), got
+
+
+@pytest.mark.parametrize("settings", SETTINGS, ids=lambda s: f"{s.method}-{s.conditions}-{len(s.groups)}")
+def test_gradients_of_the_head_are_those_of_its_losses(settings):
+    x, y, s, c, block = head_rows()
+    head = debias.Head.new(4, settings, 0)
+    for v in head.arrays.values():  # no unit stands exactly at its kink
+        v += np.random.default_rng(4).normal(0, 0.1, v.shape)
+    for a in settings.groups:
+        if settings.method == "fino":
+            head.arrays[f"prototypes:{a}"] = np.random.default_rng(1).normal(size=head.arrays[f"prototypes:{a}"].shape)
+    _, _, got = losses(head, x, y, s, c, block)
+    whole = {"task": (0, got["task"]), "trunk": (0, got["trunk_task"])}
+    checks = [(name, which, g) for name, (which, g) in whole.items()] + [("trunk", 1, sum(got[f"trunk:{a}"] for a in settings.groups))]
+    checks += [(k, 1, got[k]) for k in head.arrays if k.startswith(("hidden:", "logits:"))]
+    rng = np.random.default_rng(2)
+    for name, which, gradient in checks:
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in head.arrays[name].shape)
+            values = []
+            for step in (1e-5, -1e-5):
+                moved = debias.Head(settings, {k: v.copy() for k, v in head.arrays.items()})
+                moved.arrays[name][at] += step
+                values.append(losses(moved, x, y, s, c, block)[which])
+            assert abs((values[0] - values[1]) / 2e-5 - gradient.reshape(head.arrays[name].shape)[at]) < 1e-4, (name, which, at)
+
+
+@pytest.mark.parametrize("settings", SETTINGS[1:5], ids=lambda s: s.method)
+def test_sums_of_an_epoch_do_not_depend_on_partitions(spark, settings):
+    x, y, s, c, _ = head_rows(200)
+    data = [(i, v.tolist(), int(y[i]), *(int(s[a][i]) if s[a][i] >= 0 else None for a in ("s", "r")), int(c[i]) if c[i] >= 0 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "id int, x array<double>, y int, s int, r int, condition int")
+    head = debias.Head.new(4, settings, 0)
+    one, many = (debias.epoch_sums(debias.prepared(d, None, settings, 1.0, "id"), head) for d in (df.coalesce(1), df.repartition(5)))
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
+    if settings.method != "contrastive":
+        alone = debias.gradients(head, x, y, {a: s[a] for a in settings.groups}, c, np.zeros(200))
+        assert all(np.allclose(alone[k].ravel(), one[k]) for k in alone)
+
+
 def test_debias_by_property(spark):
     df = vector_rows(spark)
-    plain = debias.fit(df, None, 4, 2, 0.0, epochs=10)
-    with_pool = debias.fit(df, df.select("x", "s"), 4, 2, 0.0, epochs=10)
-    assert np.allclose(plain.projection, with_pool.projection)
-    turned = debias.fit(df, None, 4, 2, 1.0, "pcgrad", epochs=10)
-    assert all(abs(after) < 1e-9 for _, after in turned.cosines)
-    pdf = df.toPandas()
-    x = np.array(pdf["x"].tolist())
-    head = debias.Head.new(4, 8, 2, 0)
-    whole = debias.gradients(head, x, pdf["y"].to_numpy(), pdf["s"].to_numpy(), 2, "dann")
-    parts = debias.epoch_sums(df.select("x", F.col("y").cast("long"), F.col("s").cast("long")).repartition(5), head, 2, "dann")
-    assert all(np.allclose(whole[k].ravel(), parts[k]) for k in whole)
+    settings = debias.Settings({"s": 2})
+    plain = debias.fit(df, None, 4, settings, 0.0, epochs=10)
+    with_pool = debias.fit(df, df.select("x", "s"), 4, settings, 0.0, epochs=10)
+    assert all(np.allclose(plain.arrays[k], with_pool.arrays[k]) for k in ("trunk", "task"))
+    turned = debias.fit(df, df.select("x", "s"), 4, debias.Settings({"s": 2}, "pcgrad"), 1.0, epochs=10)
+    assert len(turned.cosines) == 10 and all(abs(after) < 1e-9 for _, after in turned.cosines)
     assert metrics.auc_by(debias.predict(df, turned), []).first()["auc"] > 0.9
+    moved = debias.moved(np.zeros((1, 2, 2)), np.array([[[3.0, 4.0, 1.0], [0.0, 0.0, 0.0]]]), 0.9)
+    assert np.allclose(moved, [[[0.6, 0.8], [0, 0]]]) and np.allclose(debias.moved(moved, np.array([[[0.0, 2.0, 2.0], [1.0, 0.0, 1.0]]]), 0.9), [[[0.54, 0.82], [1, 0]]])
+    for method in ("fino", "contrastive"):
+        assert metrics.auc_by(debias.predict(df, debias.fit(df, df.select("x", "s"), 4, debias.Settings({"s": 2}, method), 0.1, epochs=10)), []).first()["auc"] > 0.8
+    with pytest.raises(ValueError, match="unknown method"):
+        debias.Settings({}, "none")
+
+
+def test_comparison_of_heads(spark):
+    tiles = vector_rows(spark).withColumn("patient_id", F.col("patient_id") % 60).drop("fold").withColumn("fold", (F.col("patient_id") % 2).cast("int"))
+    tiles = tiles.withColumn("y", F.first("y").over(Window.partitionBy("patient_id"))).withColumn("s", F.first("s").over(Window.partitionBy("patient_id")))
+    scored = debias.out_of_fold(tiles, None, 4, debias.Settings({"s": 2}), 0.0, [0, 1], ["s"], epochs=3)
+    assert scored.count() == 60 and scored.agg(F.sum("n_tiles")).first()[0] == 120
+    report = debias.comparison(tiles, None, 4, debias.Settings({"s": 2}), [0.0, 1.0], [0, 1], min_n=5, epochs=3).collect()
+    assert [(r["lambda"], r["attribute"]) for r in report] == [(0.0, "s"), (1.0, "s")] and all(0 <= r["leakage_auc"] <= 1 for r in report)
 
 
 def test_audits(spark):
@@ -228,8 +291,12 @@ def test_identities(spark):
     assert [r[0] for r in df.select(identity.strict_patient(F.col("path"))).collect()] == ["TCGA-AB-1234", None]
     with pytest.raises(Exception, match="no patient barcode"):
         df.select(identity.strict_patient(F.col("path"), fail=True)).collect()
-    assert df.select(identity.compact_id(F.col("k"))).where("1 = 1").first()[0] >= 0
+    many = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    ids = many.select(identity.compact_id(F.col("k")).alias("i"), F.xxhash64("k").alias("h"))
+    assert ids.where("i < 0").count() == 0 and ids.where("h < 0").count() > 0 and ids.select("i").distinct().count() == 2000
     digest = identity.bucketed_digest(df, F.col("path"), F.col("k"), F.hex(F.col("k"))).first()
+    inner = [hashlib.sha256(p.encode()).hexdigest() for p in ("TCGA-AB-1234-01Z/TCGA-AB-1234-DX.svs", "odd")]
+    assert digest["sha256"] == hashlib.sha256("\n".join(inner).encode()).hexdigest()
     assert digest["n"] == 2 and digest == identity.bucketed_digest(df.repartition(2), F.col("path"), F.col("k"), F.hex(F.col("k"))).first()
 
 
@@ -292,10 +359,25 @@ def test_contracts(spark, tmp_path):
     receipt = contracts.inventory(listed).persist()
     assert receipt.first()["file_count"] == 3 and contracts.receipt_mismatches(receipt, contracts.inventory(listed)).count() == 0
     assert rows(contracts.shard_completeness(listed, 4)) == [("shard-00003.parquet", "missing")]
-    assert contracts.manifest(contracts.content_digests(spark, listed)).first()["file_count"] == 3
-    paths = [r["path"] for r in listed.collect()]
-    assert contracts.schema_violations(spark, paths, "path string, jpeg binary").count() == 0
-    assert contracts.schema_violations(spark, paths, "path string, jpeg string").count() == 3
+    digests = contracts.content_digests(listed)
+    assert contracts.manifest(digests).first()["file_count"] == 3
+    for r in digests.collect():
+        assert r["sha256"] == hashlib.sha256((tmp_path / "t" / r["name"]).read_bytes()).hexdigest()
+    assert contracts.schema_violations(listed, "path string, jpeg binary").count() == 0
+    assert contracts.schema_violations(listed, "path string, jpeg string").count() == 3
+    made = contracts.receipt(contracts.inventory(listed), contracts.manifest(digests), "pretraining", "r1", 3)
+    assert contracts.contract_mismatches(made, {"dataset": "pretraining", "revision": "r1", "file_count": 3, "total_rows": 3}).count() == 0
+    assert rows(contracts.contract_mismatches(made, {"revision": "r2", "file_count": 3})) == [("revision", "r2", "r1")]
+    # An edit that keeps the size shows in the contents alone.
+    first = tmp_path / "t" / "shard-00000.parquet"
+    edited = bytearray(first.read_bytes())
+    edited[len(edited) // 2] ^= 1
+    before = rows(digests.select("name", "sha256"))
+    first.write_bytes(bytes(edited))
+    changed = rows(contracts.artifact_mismatches(spark.createDataFrame(before, "name string, sha256 string"), contracts.content_digests(contracts.files(spark, root, "shard-*.parquet"))).select("name"))
+    assert changed == [("shard-00000.parquet",)]
+    edited[len(edited) // 2] ^= 1
+    first.write_bytes(bytes(edited))
     index = tables.tile_index(spark, root)
     assert rows(index.select("patient_id", "row_index"))[0] == ("TCGA-AA-0000", 0)
     tiles = tables.slide_tiles(spark, root)
@@ -304,4 +386,125 @@ def test_contracts(spark, tmp_path):
     total = receipt.first()["total_bytes"]
     assert contracts.counts_violations(listed, counts, 3, total, 3).count() == 0
     assert rows(contracts.counts_violations(listed, counts, 2, total, 3)) == [("file count", 2, 3)]
-    assert contracts.stray_files(contracts.files(spark, root, "*"), listed).count() >= 0
+    (tmp_path / "t" / "other.parquet").write_bytes(b"x")
+    assert rows(contracts.stray_files(contracts.files(spark, root, "*.parquet"), listed).select(F.substring_index("path", "/", -1))) == [("other.parquet",)]
+
+
+def test_readers_and_writers_of_files(spark, tmp_path):
+    """Every format that is read or written by name."""
+    (tmp_path / "h.csv").write_text("patient_barcode,fold\nA,1\n ,2\nB,\nC,2.0\n")
+    assert rows(tables.hospital_folds(spark, str(tmp_path / "h.csv"))) == [("A", 1), ("C", 2)]
+    line = {"patient_id": "p", "y_true": 1, "y_score": 0.5, "race": None, "outer_fold": 2}
+    (tmp_path / "p.jsonl").write_text(json.dumps(line) + "\n")
+    got = tables.predictions(spark, str(tmp_path / "p.jsonl")).first()
+    assert (got["patient_id"], got["y_score"], got["outer_fold"], got["inner_fold"], got["file"]) == ("p", 0.5, 2, None, "p.jsonl")
+    result = {"lambda_adv": 0.5, "reliable_fairness": {"schema": "v2", "core_task": "brca", "split_seed": 42, "head_seed": 1, "prediction_artifact": {"sha256": "d", "record_count": 7}, "checkpoint_identity": {"sha256": "c"}}}
+    (tmp_path / "r.json").write_text(json.dumps(result))
+    got = tables.run_results(spark, str(tmp_path / "r.json")).first()
+    assert (got["lambda_adv"], got["schema"], got["task"], got["n"], got["checkpoint"]) == (0.5, "v2", "brca", 7, "c")
+    (tmp_path / "s.json").write_text(json.dumps({"study": "a", "fold_seed": 42, "planned_head_seeds": [1, 2], "posthoc_lambda": 1.0}))
+    contract = tables.study_contract(spark, str(tmp_path / "s.json"))
+    assert contract.first()["planned_head_seeds"] == [1, 2] and contract.first()["method"] is None
+    failed = {r["check"] for r in audit.study_contract(contract, 1, 1.0).collect()}
+    assert "method present" in failed and "seed declared" not in failed and "lambda of the run" not in failed
+    (tmp_path / "m.jsonl").write_text('{"step": 1, "examples": 10.0}\n{"step": 2, "examples": 20.0}\n')
+    log = tables.training_log(spark, str(tmp_path / "m.jsonl"))
+    assert rows(runlog.stop_report(log, "file", "step", {"examples": 15.0}).select("last_step", "stopped_by")) == [(2, "examples")]
+    (tmp_path / "f.json").write_text(json.dumps({"discrete": {"race": {"A": 1}}, "continuous": {"age": {"A": -0.5, "B": 1}, "axis": {"A": [1.0, 2.5]}}}))
+    assert rows(tables.factor_values(spark, str(tmp_path / "f.json"))) == [("age", "A", [-0.5], 1), ("age", "B", [1.0], 1), ("axis", "A", [1.0, 2.5], 2)]
+    df = spark.createDataFrame([("a", 1), ("b", None)], "id string, n int")
+    tables.write_csv(df, str(tmp_path / "out.csv"))
+    tables.write_jsonl(df, str(tmp_path / "out.jsonl"))
+    assert rows(spark.read.option("header", True).schema("id string, n int").csv(str(tmp_path / "out.csv"))) == rows(spark.read.schema("id string, n int").json(str(tmp_path / "out.jsonl"))) == [("a", 1), ("b", None)]
+    for write in (tables.write_csv, tables.write_jsonl):
+        with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+            write(df, str(tmp_path / "out.csv"))
+
+
+def test_tiles_of_allowed_patients_and_of_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(3):
+        t = pa.table({"slide_path": [f"x/TCGA-AA-000{k}-01.svs"] * 3, "image_bytes": [b"one", b"two", b"three"]})
+        pq.write_table(t, tmp_path / f"TCGA-AA-000{k}-01.parquet", row_group_size=1)
+    root = str(tmp_path)
+    assert tables.slide_tiles(spark, root).count() == 9
+    allowed = spark.createDataFrame([("TCGA-AA-0001",), ("TCGA-AA-0009",)], "patient_id string")
+    mine = tables.slide_tiles(spark, root, allowed)
+    assert {r["patient_id"] for r in mine.collect()} == {"TCGA-AA-0001"} and mine.count() == 3
+    files = [r["file"] for r in mine.select("file").distinct().collect()]
+    payload = tables.payload_of_files(spark, files, ["image_bytes"])
+    assert sorted(bytes(r["image_bytes"]) for r in payload.collect()) == [b"one", b"three", b"two"]
+    assert rows(tables.first_row_ids(mine, "slide_path").select("slide_path")) == [("x/TCGA-AA-0001-01.svs",)]
+    assert [r["slides"] for r in tables.slide_per_file(mine).collect()] == [1]
+
+
+def test_what_fails_closed(spark):
+    one = spark.createDataFrame([("a", "1"), ("b", "1")], "id string, x string")
+    with pytest.raises(Exception, match="fewer than two values"):
+        factors.z_scores(one, "id", "x").collect()
+    _, rate = cohort.join_demographics(one.select("id"), one.select(F.concat("id", F.lit("?")).alias("id")), "id")
+    with pytest.raises(Exception, match="no patient has demographics"):
+        rate.collect()
+    empty = spark.createDataFrame([], "patient_id string, y_true int, y_score double")
+    assert rows(audit.prediction_rows(empty)) == [(None, "no rows")]
+    folds_of = spark.createDataFrame([("a", 1)], "id string, outer_fold int")
+    sites = spark.createDataFrame([("a", "AA")], "id string, tss string")
+    assert rows(cohort.annotated(one.where("id = 'a'"), folds_of, sites, "id")) == [("a", "1", 1, "AA")]
+    with pytest.raises(ValueError, match="without a fold: b"):
+        cohort.annotated(one, folds_of, sites, "id")
+    with pytest.raises(ValueError, match="none of"):
+        cohort.first_named(one, ["sex"])
+    with pytest.raises(ValueError, match="unknown task"):
+        cohort.task_cohort("other", one, one, "id")
+    external = cohort.task_cohort("duke", one, one, "id", label="x", k=2)
+    assert {r["label"] for r in external.collect()} == {1} and {r["fold"] for r in external.collect()} == {0, 1}
+    flat = metrics.arm_metrics(spark.createDataFrame([("control", 0, 1, 0.5, "g")], "arm string, run int, y int, score double, lang string"), ["arm", "run"], "lang", spark.createDataFrame([("g",)], "lang string"))
+    assert rows(metrics.undefined(flat, ["arm", "run"])) == [("control", 0)]
+
+
+def test_ranks_of_any_range(spark):
+    values = [-1e9, -3.5, -1e-12, 0.0, 1e-300, 0.25, 0.5, 0.5, 1.0, 7.0, 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r["v"]: r["rank"] for r in metrics.average_rank(df, "v").collect()}
+    assert got == {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in values}
+    logits = spark.createDataFrame([(y, s) for y, s in zip([0, 1, 0, 1, 1], [-40.0, -2.0, 3.0, 9.0, 250.0])], "y int, score double")
+    assert abs(metrics.auc_by(logits, []).first()["auc"] - 5 / 6) < 1e-12
+
+
+def test_store_without_vectors_and_reuse(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(b"bad")), ("b", None)], "patient_id string, payload binary")
+    path = str(tmp_path / "store")
+    assert rows(embed.embed_new(df, path, "m", "cfg", "payload", lambda ps: [None] * len(ps)).select("patient_id", "vector")) == [("a", None)]
+    ok = spark.createDataFrame([("a", bytearray(b"one")), ("c", bytearray(b"four"))], "patient_id string, payload binary")
+    embed.embed_new(ok, path, "m", "cfg", "payload", lambda ps: [[float(len(p))] for p in ps]).collect()
+    stored = embed.store(spark, path)
+    assert embed.reuse_violations(ok, stored, "m", "cfg", "payload", "patient_id").count() == 0
+    edited = ok.withColumn("payload", F.when(F.col("patient_id") == "a", F.lit(b"two")).otherwise(F.col("payload")))
+    assert rows(embed.reuse_violations(edited, stored, "m", "cfg", "payload", "patient_id")) == [("a", "absent")]
+    assert embed.entry_digest(stored, "m").first() == embed.entry_digest(stored.repartition(3), "m").first() and embed.entry_digest(stored, "m").first()["n"] == 2
+
+
+def test_bootstrap_chunks_change_nothing(spark):
+    scores = spark.createDataFrame([(a, r, f"p{i}", i % 2, (i * 7 + r + len(a)) % 10 / 10, "AB"[i // 2 % 2]) for a in bootstrap.ARMS for r in range(2) for i in range(24)], "arm string, run int, patient_id string, y int, score double, race string")
+    groups = spark.createDataFrame([("A",), ("B",)], "race string")
+    whole, cut = (rows(bootstrap.paired_bootstrap(scores, "race", groups, 7, 5, chunk_rows=n)) for n in (None, 300))
+    assert len(whole) == 7 and np.allclose(np.array(whole, float), np.array(cut, float))
+
+
+def test_probe_folds_and_held_out(spark):
+    df = probe.features(vector_rows(spark), "x").persist()
+    few = df.where("y = 1").unionByName(df.where("y = 0").limit(3))
+    assert probe.fitting_folds(few) == 3 and probe.external_folds(few).select("fold").distinct().count() == 3
+    held = probe.held_out_fold(df, 1, 1.0)
+    assert held.select("fold").distinct().collect()[0][0] == 1 and held.where("score is null").count() == 0
+
+
+def test_duplicates_and_runs(spark):
+    assert rows(contracts.duplicates(spark.createDataFrame([("a",), ("a",), ("b",)], "name string"))) == [("a",)]
+    runs = spark.createDataFrame([("control", 0), ("control", 1), ("posthoc", 0)], "arm string, run int")
+    assert rows(audit.run_counts(runs)) == [("posthoc", 1)]
+    assert rows(pairwise.mean_scores(spark.createDataFrame([("p", 0.25), ("p", 0.75), ("p", None)], "k string, v double"), "k", "v")) == [("p", 0.5, 2)]
+    filled = spark.createDataFrame([(None,), (float("nan"),), (0.25,)], "v double").select(vectors.filled_score(F.col("v")))
+    assert [r[0] for r in filled.collect()] == [0.5, 0.5, 0.25]

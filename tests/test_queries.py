@@ -20,7 +20,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["probe_cross_validation", "nested_predictions", "debiased_scores", "dataset_inventory", "moving_prototypes"])
+@pytest.mark.parametrize("name", ["probe_cross_validation", "nested_predictions", "debiased_scores", "debias_comparison", "dataset_inventory", "probe_external", "attribute_leakage"])
 def test_query_without_sql_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
