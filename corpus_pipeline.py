@@ -13,7 +13,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that are in a language; those without a letter or unlike every language go."""
+    """Keep the documents that are in a language; those without a letter or unlike every language go.
+
+    A null or empty text goes, whatever its other columns; a null language only means that nothing is learned from the
+    row. Equal cosines go to the language first by name, repeated rows are judged alike, an empty table stays empty, and
+    a table without any labelled text keeps nothing, since no language is known. Other columns are dropped.
+    """
     prototypes = langid.train(langid.training_rows(docs))
     return langid.in_language(docs, prototypes, langid.least_score(docs, prototypes)).select(*COLUMNS)
 
@@ -21,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class: links at a similarity of 0.8 or more over five-word shingles.
 
-    Documents without words and those without an id stay, and so do repeated rows of the one that stays.
+    Documents without words and those without an id stay, and so do repeated rows of the one that stays; of equal texts
+    that with the smallest id is the one. An empty table stays empty; other columns are dropped.
     """
     classes = jaccard.join(docs, 5, 80, 100)
     gone = classes.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
@@ -29,13 +35,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put surrogates in the place of personal data; all documents stay."""
+    """Put surrogates in the place of personal data; all documents stay.
+
+    A null text stays null, with a null number of characters; equal entities get equal surrogates in all rows, repeated
+    rows are replaced alike, an empty table stays empty; other columns are dropped.
+    """
     replaced = pii.replace(docs)
     return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens.
+
+    A null text is packed as its end alone; repeated rows and null ids are packed like any other; an empty table gives
+    no pieces.
+    """
     pieces = packing.pack(docs, tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
