@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,14 +114,19 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
     out: list[tuple[str, int, float, int]] = []  # with the element at first
     elements: list[tuple[int, str, bool]] = []  # the one around it, tag, whether its attributes set it apart
     stack: list[tuple[str, int]] = []  # open elements
+    unclosed: Counter[str] = Counter()  # their tags
     parts: list[tuple[str, bool]] = []
     inside, links, at = -1, 0, 0
 
     def opened(tag: str, apart: bool) -> int:
         stack.append((tag, len(elements)))
+        unclosed[tag] += 1
         elements.append((inside, tag, apart))
         return len(elements) - 1
 
+    def leave() -> None:
+        unclosed[stack.pop()[0]] -= 1
+
     def text(upto: int) -> None:
         if upto > at and (piece := page[at:upto]):
             parts.append((entities.unescape(piece), links > 0))
@@ -157,7 +163,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
             if end:
                 if stack and stack[-1][0] == tag:
                     close(inside)
-                    stack.pop()
+                    leave()
                     inside = stack[-1][1] if stack else -1
             elif attributes and tag != "a" and set_apart(tag, attributes):
                 close(inside)  # an inline element that is set apart is a block of its own
@@ -166,12 +172,13 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
         close(inside)
         links = 0
         if end:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if unclosed[tag]:
+                while stack[-1][0] != tag:
+                    leave()
+                leave()
         elif not attributes.endswith("/"):
             while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE or stack[-1][0] == tag in ("li", "td", "th", "tr", "dt", "dd")):
-                stack.pop()
+                leave()
             inside = stack[-1][1] if stack else -1
             opened(tag, set_apart(tag, attributes))
         inside = stack[-1][1] if stack else -1
