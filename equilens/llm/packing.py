@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Remainders that wait at once in a task; packing starts when they are reached.
@@ -155,6 +155,18 @@ def at_powers_of_two(pieces: list[tuple], capacity: int) -> Iterator[list[tuple]
         yield sequence
 
 
+def token_count(text: Column, tokenizer_path: str, ranks_path: str | None = None) -> Column:
+    """Tokens of the whole text; none for a null one."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = Tokenizer(tokenizer_path, ranks_path)
+        for batch in texts:
+            yield pd.Series([len(tokenizer.ids(t)) for t in batch], dtype="int64")
+
+    return count(F.coalesce(text, F.lit("")))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, sequence_tokens.
 

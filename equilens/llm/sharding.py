@@ -1,12 +1,13 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Copies of one text form a group that stays together, unless it is larger than a quarter of a shard; then it is
-split by row number hash.  Groups go to the shard whose residual capacity has the largest dot product with their
+split by row number hash (which rows of such a group go where is the only thing that depends on how the input is
+partitioned).  Tokens are counted by the caller; without a count they are not balanced.  Groups go to the shard whose residual capacity has the largest dot product with their
 demand, both relative to capacity, largest group first.  Heavy groups, whose number the totals bound, are placed
 first by one task; all others are dealt into blocks of bounded size, and each block places its own against an
 equal share of what the heavy ones left.  Slots are numbered in buckets with offsets, so no task sees a shard.
 
-Defined results: null text counts as no bytes, no tokens and a group of its own; ties go to the shard first in a
+Defined results: null text counts as no bytes, no tokens and a group of its own; a null count of tokens as none; ties go to the shard first in a
 rotation that depends on the block; repeated rows each get a slot; an empty table gives no rows; other columns are
 ignored.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
@@ -44,17 +45,17 @@ def greedy(demand: np.ndarray, residual: np.ndarray, capacity: np.ndarray, first
     return placed
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, size, tokens, text_crc32, shard, slot."""
     tables, text = Tables(docs.sparkSession, "shard"), docs[text_col]
     rows = docs.select(
         docs[id_col].alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("bytes"),
-        F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"),
+        F.coalesce(F.lit(0) if tokens is None else tokens, F.lit(0)).cast("long").alias("tokens"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"),
         F.monotonically_increasing_id().alias("row"),
-    )
+    ).withColumn("order", F.xxhash64(F.col("id").cast("string"), "key"))
     rows = tables.write(rows, "rows")
     total = rows.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens")).first()
     capacity = np.array([total[k] or 0 for k in DEMAND], float) / shards
@@ -90,13 +91,16 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         return pdf[["key", "part"]].assign(shard=greedy(own, share, share.mean(axis=0), int(pdf["block"].iloc[0]) % shards))
 
     light = light.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks))).groupBy("block").applyInPandas(place_light, "key string, part long, shard long")
-    places = heavy.select("key", "part", "shard").unionByName(light)
+    # Rows of heavy groups look up their place in what is bounded by the totals, and do not meet in one task.
+    few = F.broadcast(heavy.select("key", "part", "shard"))
+    places = rows.join(few, ["key", "part"]).unionByName(rows.join(few.select("key", "part"), ["key", "part"], "left_anti").join(light, ["key", "part"]).select(*rows.columns, "shard"), allowMissingColumns=True)
     buckets = max(1, -(-(total["n"] or 0) // BUCKET_ROWS))
-    placed = rows.join(places, ["key", "part"]).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(buckets)))
-    placed = tables.write(placed.select("id", "bytes", "tokens", "text_crc32", "row", F.col("shard").cast("int"), "bucket"), "placed")
+    placed = places.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(1)), F.lit(buckets)))
+    placed = tables.write(placed.select("id", "bytes", "tokens", "text_crc32", "row", "order", F.col("shard").cast("int"), "bucket"), "placed")
+    tables.drop("rows", "groups", "heavy")
 
     counts = placed.groupBy("shard", "bucket").count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).drop("count")
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row")) - 1
+    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "id", "text_crc32", "row")) - 1
     out = placed.withColumn("number", number).join(before, ["shard", "bucket"])
     return out.select(F.col("id").alias(id_col), F.col("bytes").alias("size"), "tokens", "text_crc32", "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"))
