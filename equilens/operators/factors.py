@@ -9,9 +9,13 @@ from ..functions.clinical import factor_value, number
 
 
 def category_ids(df: DataFrame, column: str) -> DataFrame:
-    """(category, id): 0-based ranks of the sorted distinct values."""
+    """(category, id): 0-based ranks of the sorted distinct values, by their first two characters and inside those."""
     values = df.select(factor_value(F.col(column)).alias("category")).where("category is not null").distinct()
-    return values.withColumn("id", (F.row_number().over(Window.orderBy("category")) - 1).cast("int"))  # a row for each category
+    values = values.withColumn("_start", F.substring("category", 1, 2))
+    counts = values.groupBy("_start").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_start")) - F.col("_n")).drop("_n")  # a row for each two characters
+    inside = F.row_number().over(Window.partitionBy("_start").orderBy("category")) - 1
+    return values.withColumn("_inside", inside).join(before, "_start").select("category", (F.col("_before") + F.col("_inside")).cast("int").alias("id"))
 
 
 def with_category_ids(df: DataFrame, column: str, out: str = "id") -> DataFrame:
