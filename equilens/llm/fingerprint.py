@@ -89,7 +89,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def bucket_of(docs: DataFrame, id_col: str) -> Column:
-    """Buckets of about BUCKET_ROWS rows each, ascending with the id; a null id is in the first."""
+    """Buckets of about BUCKET_ROWS rows each, ascending with the id, which has to be a number; a null id is in the first."""
     rows = docs.count()
     buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
     if buckets < 2:

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chat import let
-from .common import Tables
+from .common import Tables, small_batches
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +63,10 @@ TURNS = 32
 HOT = 64
 #: Classes of a block, on average.
 BLOCK = 256
-#: Elements whose signatures a task makes at once, and classes of one signature among them that go by their smallest.
-CHUNK, TOGETHER = 1 << 19, 8
+#: Texts whose sets go to Python at once.
+BATCH = 1024
+#: Sets that a task describes at once, elements whose signatures it makes at once, and classes of one signature among them that go by their smallest.
+ROWS, CHUNK, TOGETHER = 512, 1 << 19, 8
 #: Classes whose signatures a task remembers, so that it gives those of copies once.
 SEEN = 1 << 16
 
@@ -237,8 +239,9 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 continue
             sets = sets_in(batch)
             spare = np.zeros((len(sets), 2), np.int64)
-            for band, at, elements, owner in by_band(bands, sets):
-                spare[at, band & 1] = bands.spare(band, elements, owner, len(at))
+            for start in range(0, len(sets), ROWS):
+                for band, at, elements, owner in by_band(bands, sets[start : start + ROWS]):
+                    spare[start + at, band & 1] = bands.spare(band, elements, owner, len(at))
             columns = [batch.column(c) for c in ("id", "key", "key2", "class", "check")]
             columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x, num, den) for x in sets], pa.binary()), pa.array(spare.tolist(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "key2", "class", "check", "size", "sketch", "spare"])
@@ -412,14 +415,16 @@ def labelled(df: DataFrame, labels: DataFrame, of: str = "class", as_: str = "co
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link where den * intersection >= num * union."""
     tables = Tables(docs.sparkSession, "jaccard")
-    rows = tables.write(classes(docs, n, num, den, id_col, text_col), "rows")
+    with small_batches(docs.sparkSession, BATCH):
+        rows = tables.write(classes(docs, n, num, den, id_col, text_col), "rows")
     same_hash = rows.groupBy("class").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least != most")
     clashes = [r["class"] for r in same_hash.select("class").collect()]  # as few as 64-bit hashes make
     rows = told_apart(rows, clashes)
 
     first = F.first("class").over(Window.partitionBy("signature", "salt").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
     shared = signatures(docs, n, num, den, clashes, text_col).withColumn("first", first).where("class != first")
-    members = tables.write(shared.select("signature", F.explode(F.array("first", "class")).alias("class")).distinct(), "members")
+    with small_batches(docs.sparkSession, BATCH):
+        members = tables.write(shared.select("signature", F.explode(F.array("first", "class")).alias("class")).distinct(), "members")
     described = [F.min(c).alias(c) for c in ("size", "sketch", "spare")] + [F.min(F.struct("key", "key2")).alias("of_text")]
     of_class = rows.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(*described)
     of_class = tables.write(of_class.select("class", "size", "sketch", "spare", "of_text.*"), "classes")

@@ -33,7 +33,9 @@ DIMENSIONS = 1024
 N = 3
 SEED = 20240611
 #: n-gram vectors that a worker remembers; beyond it the memory starts anew.
-MEMO = 49_152
+MEMO = 32_768
+#: Characters whose n-grams are counted together.
+TOGETHER = 1 << 19
 UNDETERMINED = "und"
 #: Different n-grams from which a text must reach the full least score.
 FULL = 64
@@ -41,7 +43,7 @@ FULL = 64
 #: of a few texts are learned by heart).
 SHARE, QUANTILE, MOST_DEVIATIONS = 0.5, 0.01, 8
 #: Languages a model may have; more are taken for a wrong label column and refused.
-MAX_LANGUAGES = 10_000
+MAX_LANGUAGES = 1000
 
 
 @functools.cache
@@ -121,18 +123,20 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
         space, sums = on_worker(dimensions, seed), {}
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                keys = [ngram_keys(t) for t in texts]
-                if sum(map(len, keys)):
-                    sums[lang] = sums.get(lang, 0) + space.bundle(*np.unique(np.concatenate(keys), return_counts=True))
+                # Texts are counted together, but not so many that their keys fill the memory.
+                for _, some in texts.groupby(texts.str.len().cumsum() // TOGETHER):
+                    keys = np.concatenate([ngram_keys(t) for t in some])
+                    if len(keys):
+                        sums[lang] = sums.get(lang, 0) + space.bundle(*np.unique(keys, return_counts=True))
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).dropna()
     sums = rows.mapInPandas(bundled, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    found = sums.toPandas()
+    found = sums.limit(MAX_LANGUAGES * dimensions + 1).toPandas()
+    if len(found) > MAX_LANGUAGES * dimensions:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col} a language column?")
     languages = tuple(sorted(found["lang"].unique()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; is {lang_col} a language column?")
     if not languages:
         return Prototypes((), np.empty((0, dimensions)), seed)
     vectors = found.pivot(index="lang", columns="i", values="x").loc[list(languages)].to_numpy()
