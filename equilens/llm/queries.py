@@ -74,7 +74,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards under the law of nearly equal bytes."""
-    placed = sharding.shard(read_table(spark, sf_dir, "documents"), 16)
+    docs = read_table(spark, sf_dir, "documents")
+    placed = sharding.shard(docs, 16, tokens=packing.token_count(docs["text"], tokenizer(), tokenizer("byte_bpe_50k.tiktoken")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
@@ -139,4 +140,22 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = com
 FROM embeddings e JOIN least ON e.vec_id = node LEFT JOIN degree ON e.vec_id = a
 """
 
-ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_neardup": OP6_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS both_sizes, count(*) AS shared
+  FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id != b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (both_sizes - shared)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS to_node FROM documents
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.to_node = links.a
+)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT node, min(to_node) AS component_id FROM reach GROUP BY node) ON doc_id = node
+"""
+
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_neardup": OP6_SQL, "op9_jaccard": OP9_SQL}
