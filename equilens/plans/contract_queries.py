@@ -198,10 +198,10 @@ SQL["patients_without_vectors"] = "SELECT vec_id % 20 AS patient_id, count(*) AS
 @query
 def mean_tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = slides(spark, sf_dir).join(tiles(spark, sf_dir), "slide").withColumn("score", F.when(F.col("flag") != "A", F.col("quantity") / 100))
-    return pairwise.mean_scores(scored, "patient_id", "score").withColumn("score", F.round("score", 6))
+    return pairwise.mean_scores(scored, "patient_id", "score").withColumn("score", F.round("score", 9))
 
 
-SQL["mean_tile_scores"] = f"WITH {SLIDES}, {TILES} SELECT patient_id, round(avg(quantity / 100), 6) AS score, count(*) AS n_tiles FROM slides JOIN tiles USING (slide) WHERE flag != 'A' GROUP BY patient_id"
+SQL["mean_tile_scores"] = f"WITH {SLIDES}, {TILES} SELECT patient_id, round(avg(quantity / 100), 9) AS score, count(*) AS n_tiles FROM slides JOIN tiles USING (slide) WHERE flag != 'A' GROUP BY patient_id"
 
 
 # Scores, labels, ids
@@ -315,7 +315,7 @@ def factor_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["factor_metadata"] = f"""WITH {PATIENTS}, n AS (SELECT count(DISTINCT patient_id) AS n FROM patients), long AS (SELECT 'segment' AS factor, patient_id, segment AS category FROM patients WHERE segment IS NOT NULL UNION ALL SELECT 'region', patient_id, region FROM patients)
 SELECT n, factor, patient_id, category, (dense_rank() OVER (PARTITION BY factor ORDER BY category) - 1)::DOUBLE AS value FROM long, n
-UNION ALL SELECT n, 'balance', patient_id, NULL, round((balance - avg(balance) OVER ()) / stddev_samp(balance) OVER (), 5) FROM patients, n"""
+UNION ALL SELECT n, 'balance', patient_id, NULL, round(round((balance - avg(balance) OVER ()) / stddev_samp(balance) OVER (), 8), 5) FROM patients, n"""
 
 
 # Audits and reports
