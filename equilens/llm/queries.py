@@ -1,11 +1,11 @@
-"""Queries of the ten operators with production parameters, and their SQL where there is one."""
+"""Queries of the numbered operators with production parameters, and their SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, jaccard, langid, neardup, packing, pii, sharding
+from . import alignment, bpe, chat, fingerprint, html, jaccard, langid, lattice, neardup, negatives, packing, pii, sharding
 from .common import read_table
 
 
@@ -110,6 +110,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents, with the corpus-wide counts of the linked id pairs."""
+    docs = read_table(spark, sf_dir, "documents")
+    wanted = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    found = alignment.align_and_count(docs, tokenizer(), tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model"), "ends", wanted)
+    return found.select("doc_id", *wanted, "n_best", "count_sum")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with every seventh label moved on by one."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from six folds of seven."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    found = lattice.score(docs, F.coalesce(held_out, F.lit(False)), tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -121,6 +144,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
+    "op12_negatives": op12_negatives,
+    "op13_lattice": op13_lattice,
 }
 OP6_SQL = """
 WITH RECURSIVE vectors AS (
@@ -158,4 +184,21 @@ reach AS (
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT node, min(to_node) AS component_id FROM reach GROUP BY node) ON doc_id = node
 """
 
-ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_neardup": OP6_SQL, "op9_jaccard": OP9_SQL}
+OP12_SQL = """
+WITH taking AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM taking a JOIN taking b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, negative_id, positive_score, negative_score FROM negatives
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_neardup": OP6_SQL, "op9_jaccard": OP9_SQL, "op12_negatives": OP12_SQL}
