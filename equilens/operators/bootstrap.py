@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,56 +40,201 @@ def run_summary(scores: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     return contrasts(arm_metrics(scores, ["arm", "run"], group, groups), ["run"])
 
 
-#: Rows of scores times iterations that are joined at once.
-CHUNK_ROWS = 50_000_000
+#: Iterations that are held as one vector, and patients of a label that a task draws for at once.
+BLOCK, RANGE = 128, 1 << 18
+#: Rows between two of the scores that cut a sorted table into buckets, about.
+BUCKET_ROWS = 1 << 16
+TIMES = np.dtype("<u2")
+PARTIAL = "arm string, run string, block long, grp string, bucket long, pos binary, neg binary, wins binary"
+
+
+def draws_of(label: str, iteration: int, size: int, seed: int) -> np.ndarray:
+    """``draw`` for all slots of a label in one iteration."""
+    start = hashlib.sha256(f"{seed}:{iteration}:{label}:".encode())
+    digests = []
+    for slot in range(size):
+        one = start.copy()
+        one.update(b"%d" % slot)
+        digests.append(one.digest())
+    return (np.frombuffer(b"".join(digests), dtype=">u8")[::4] >> np.uint64(12)).astype(np.int64) % size
+
+
+def multiplicity_vectors(patients: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(label, k, block, times): how often the k-th patient of a label is drawn in each iteration of a block (B1).
+
+    A task makes the matrix of a block of iterations and a range of patients; no draw is ever a row.
+    """
+    sizes = patients.groupBy(F.col("y").cast("string").alias("label")).agg(F.count("*").alias("size"))
+    last = -(-iterations // block) - 1
+    tasks = sizes.select("label", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"))
+    tasks = tasks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(RANGE).cast("long"))).alias("low"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for label, size, at, low in batch.itertuples(index=False, name=None):
+                its = range(at * block, min(iterations, (at + 1) * block))
+                times = np.zeros((min(RANGE, size - low), len(its)), dtype=TIMES)
+                for j, it in enumerate(its):
+                    drawn = draws_of(label, it, size, seed)
+                    times[:, j] = np.bincount(drawn[(drawn >= low) & (drawn < low + RANGE)] - low, minlength=len(times))
+                yield pd.DataFrame({"label": label, "k": np.arange(low, low + len(times)), "block": at, "times": [t.tobytes() for t in times]})
+
+    dealt = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(run, "label string, k long, block long, times binary")
 
 
-def each_iteration(iterations: range) -> Column:
-    return F.sequence(F.lit(iterations.start).cast("long"), F.lit(iterations.stop - 1).cast("long"))
+def numbered_patients(patients: DataFrame) -> DataFrame:
+    """(patient_id, label, k): patients of each label in the order of their hashes."""
+    return numbered(patients, ["y"], hash_rank("bootstrap", F.col("patient_id")), "patient_id", "k").select("patient_id", F.col("y").cast("string").alias("label"), "k")
 
 
-def multiplicities(patients: DataFrame, iterations: range, seed: int) -> DataFrame:
+def multiplicities(patients: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(it, patient_id, times): in every iteration as many draws with replacement from each label as it has patients (B1).
 
-    patients: (patient_id, y), one row each. Slots and draws are hashes, so they do not depend on order or partitions.
+    patients: (patient_id, y), one row each. Draws are hashes of seed, iteration, label and slot, so they do not depend
+    on order or partitions. The vectors are unfolded here; the bootstrap itself works on them as they are.
     """
-    ranked = numbered(patients, ["y"], hash_rank("bootstrap", F.col("patient_id")), "patient_id", "k")
-    sizes = patients.groupBy("y").agg(F.count("*").alias("of_y"))
-    slots = ranked.join(sizes, "y").withColumn("it", F.explode(each_iteration(iterations)))  # one row for each draw, by definition
-    drawn = slots.select("it", "y", draw(seed, "it", "y", F.col("k").cast("string"), below=F.col("of_y")).alias("k"))
-    times = drawn.groupBy("it", "y", "k").agg(F.count("*").alias("times"))
-    return times.join(ranked, ["y", "k"]).select("it", "patient_id", "times")
+    unfold = F.udf(lambda t: np.frombuffer(t, dtype=TIMES).tolist(), "array<int>", useArrow=True)
+    vectors = multiplicity_vectors(patients, iterations, seed).join(numbered_patients(patients), ["label", "k"])
+    each = vectors.select("patient_id", "block", F.posexplode(unfold("times")).alias("j", "times")).where("times > 0")
+    return each.select((F.col("block") * BLOCK + F.col("j")).alias("it"), "patient_id", F.col("times").cast("long").alias("times"))
 
 
-def run_draws(scores: DataFrame, iterations: range, seed: int) -> DataFrame:
+def run_draws(scores: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(it, run, run_times): as many draws of runs with replacement as there are runs (B2)."""
     runs = scores.select("run").distinct().withColumn("k", F.row_number().over(Window.orderBy("run")) - 1)  # a handful of runs
-    slots = runs.withColumn("of", F.count("*").over(Window.partitionBy())).withColumn("it", F.explode(each_iteration(iterations)))
+    its = F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))
+    slots = runs.withColumn("of", F.count("*").over(Window.partitionBy())).withColumn("it", F.explode(its))
     drawn = slots.select("it", draw(seed, F.lit("run"), "it", F.col("k").cast("string"), below=F.col("of")).alias("k"))
-    return drawn.groupBy("it", "k").agg(F.count("*").alias("run_times")).join(F.broadcast(runs), "k").select("it", "run", "run_times")
+    return drawn.groupBy("it", "k").agg(F.count("*").alias("run_times")).join(runs, "k").select("it", "run", "run_times")
+
+
+class Wins:
+    """Rows in ascending order of score in, for every iteration the positives, negatives and pairs won; ties count half.
+
+    What is held is a few vectors: a score that many rows share is summed up before it is compared.
+    """
+
+    def __init__(self, iterations: int):
+        self.pos, self.neg, self.wins, self.open_pos, self.open_neg = np.zeros((5, iterations))
+        self.score: float | None = None
+
+    def close(self) -> None:
+        self.wins += self.open_pos * (self.neg + self.open_neg / 2)
+        self.pos += self.open_pos
+        self.neg += self.open_neg
+        self.open_pos, self.open_neg, self.score = np.zeros_like(self.pos), np.zeros_like(self.pos), None
+
+    def feed(self, scores: np.ndarray, positive: np.ndarray, times: np.ndarray) -> None:
+        starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+        pos, neg = (np.add.reduceat(times * side[:, None], starts) for side in (positive, 1 - positive))
+        if self.score is not None and self.score != scores[0]:
+            self.close()
+        pos[0] += self.open_pos
+        neg[0] += self.open_neg
+        below = np.cumsum(neg[:-1], axis=0) - neg[:-1] + self.neg
+        self.wins += (pos[:-1] * (below + neg[:-1] / 2)).sum(axis=0)
+        self.pos += pos[:-1].sum(axis=0)
+        self.neg += neg[:-1].sum(axis=0)
+        self.open_pos, self.open_neg, self.score = pos[-1], neg[-1], scores[-1]
+
 
+def runs_of_keys(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Parts of sorted batches that have one key each; a key's rows may come in several parts."""
+    for batch in batches:
+        if len(batch):
+            new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+            bounds = [*np.flatnonzero(new), len(batch)]
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                yield tuple(batch[keys].iloc[low]), batch.iloc[low:high]
 
-def paired_bootstrap(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """(it, fairness_advantage, utility_delta): medians over drawn runs; iterations with an undefined AUROC are dropped.
 
-    Iterations are cut into chunks of at most ``chunk_rows`` rows of scores.
+def partial_wins(weighted: DataFrame) -> DataFrame:
+    """PARTIAL of rows (arm, run, block, bucket, score, y, grp, times), in which a null group counts only for all (an empty ``grp``)."""
+    keys = ["arm", "run", "block", "bucket"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, found = None, {}
+
+        def out() -> pd.DataFrame:
+            for w in found.values():
+                w.close()
+            made = [(*at[:3], g, at[3], w.pos.tobytes(), w.neg.tobytes(), w.wins.tobytes()) for g, w in found.items()]
+            return pd.DataFrame(made, columns=["arm", "run", "block", "grp", "bucket", "pos", "neg", "wins"])
+
+        for key, part in runs_of_keys(batches, keys):
+            if key != at and found:
+                yield out()
+                found = {}
+            at = key
+            times = np.frombuffer(b"".join(part["times"]), dtype=TIMES).reshape(len(part), -1).astype(float)
+            scores, positive, groups = part["score"].to_numpy(), part["y"].to_numpy(dtype=float), part["grp"].to_numpy(dtype=object)
+            for g in ["", *part["grp"].dropna().unique()]:
+                of = slice(None) if g == "" else groups == g
+                found.setdefault(g, Wins(times.shape[1])).feed(scores[of], positive[of], times[of])
+        if found:
+            yield out()
+
+    return weighted.repartition(*keys).sortWithinPartitions(*keys, "score").mapInPandas(run, PARTIAL)
+
+
+def whole_aucs(partial: DataFrame) -> DataFrame:
+    """(arm, run, block, grp, auc): the AUROCs of a block's iterations, from the buckets of scores in order; null without both classes."""
+    keys = ["arm", "run", "block", "grp"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, pos, neg, wins = None, 0.0, 0.0, 0.0
+
+        def out() -> pd.DataFrame:
+            auc = [float(w / (p * n)) if p and n else None for w, p, n in zip(wins, pos, neg, strict=True)]
+            return pd.DataFrame([(*at, auc)], columns=[*keys, "auc"])
+
+        for key, part in runs_of_keys(batches, keys):
+            if key != at:
+                if at is not None:
+                    yield out()
+                at, pos, neg, wins = key, 0.0, 0.0, 0.0
+            for p, n, w in zip(*(map(np.frombuffer, part[c]) for c in ("pos", "neg", "wins")), strict=True):
+                wins, pos, neg = wins + w + p * neg, pos + p, neg + n
+        if at is not None:
+            yield out()
+
+    return partial.repartition(*keys).sortWithinPartitions(*keys, "bucket").mapInPandas(run, "arm string, run string, block long, grp string, auc array<double>")
+
+
+def in_buckets(df: DataFrame) -> DataFrame:
+    """``df`` with ``bucket``: ranges of scores that rise with the score; their number follows the rows."""
+    cuts = -(-df.count() // BUCKET_ROWS)
+    bounds = sorted(set(df.approxQuantile("score", [i / cuts for i in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
+    cut = Bucketizer(splits=[float("-inf"), *(bounds or [0.0]), float("inf")], inputCol="score", outputCol="bucket", handleInvalid="keep")
+    return cut.transform(df).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+def resampled_metrics(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(it, arm, run, overall_auc, auc_gap) of every iteration and run: ``arm_metrics`` over drawn patients.
+
+    Multiplicities are vectors over a block of iterations, scores are sorted once for all of them and cut into buckets of
+    scores; AUROCs are prefix sums of vectors inside buckets and then over them. The plan does not depend on the iterations.
     """
     patients = scores.select("patient_id", "y").distinct()
-    at_once = iterations if chunk_rows is None else max(1, min(iterations, chunk_rows // max(1, scores.count())))
-    out = None
-    for start in range(0, iterations, at_once):
-        part = _drawn(scores, patients, group, groups, range(start, min(iterations, start + at_once)), seed)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _drawn(scores: DataFrame, patients: DataFrame, group: str, groups: DataFrame, iterations: range, seed: int) -> DataFrame:
-    draws = run_draws(scores, iterations, seed)
-    drawn = scores.join(multiplicities(patients, iterations, seed), "patient_id").join(draws.select("it", "run"), ["it", "run"], "left_semi")
-    # Before anything is ranked, rows of one score are summed up.
-    sampled = drawn.groupBy("it", "arm", "run", group, "y", "score").agg(F.sum("times").alias("times"))
-    metrics = arm_metrics(sampled, ["it", "arm", "run"], group, groups, weight=F.col("times"))
-    per_run = contrasts(metrics, ["it", "run"]).join(draws, ["it", "run"])
+    times = multiplicity_vectors(patients, iterations, seed, block)
+    known = scores.join(groups.select(F.col(group), F.concat(F.lit("="), F.col(group).cast("string")).alias("grp")), group, "left")
+    placed = known.withColumn("label", F.col("y").cast("string")).join(numbered_patients(patients), ["patient_id", "label"])
+    columns = [F.col("arm").cast("string").alias("arm"), F.col("run").cast("string").alias("run"), "label", "k", F.col("y").cast("int").alias("y"), F.col("score").cast("double").alias("score"), "grp"]
+    weighted = in_buckets(placed.where("score is not null").select(*columns)).join(times, ["label", "k"]).drop("label", "k")
+    aucs = whole_aucs(partial_wins(weighted)).select("arm", "run", "block", "grp", F.posexplode("auc").alias("j", "auc"))
+    each = aucs.select((F.col("block") * block + F.col("j")).alias("it"), "arm", "run", "grp", "auc")
+    of_group = F.when(F.col("grp") != "", F.col("auc"))
+    found = each.groupBy("it", "arm", "run").agg(F.max(F.when(F.col("grp") == "", F.col("auc"))).alias("overall_auc"), F.count(of_group).alias("_n"), (F.max(of_group) - F.min(of_group)).alias("_gap"))
+    most = groups.agg(F.count("*").alias("_groups"))
+    gap = F.when(F.col("_n") == F.col("_groups"), F.col("_gap"))
+    return found.crossJoin(F.broadcast(most)).select("it", "arm", "run", "overall_auc", gap.alias("auc_gap"))  # one row
+
+
+def paired_bootstrap(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(it, fairness_advantage, utility_delta): medians over drawn runs; iterations with an undefined AUROC are dropped."""
+    draws = run_draws(scores, iterations, seed).withColumn("run", F.col("run").cast("string"))
+    per_run = contrasts(resampled_metrics(scores, group, groups, iterations, seed, block), ["it", "run"]).join(draws, ["it", "run"])
     repeated = per_run.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("run_times").cast("int"))))
     whole = F.count("fairness_advantage") == F.count("*")
     medians = repeated.groupBy("it").agg(whole.alias("whole"), F.percentile("fairness_advantage", 0.5).alias("fairness_advantage"), F.percentile("utility_delta", 0.5).alias("utility_delta"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clinical, identity, vectors
 from ..operators import audit, cohort, embed, factors, folds, metrics, pairwise, runlog, sampling
-from ..sources import contracts, tables
+from ..sources import contracts, file_index, tables
 from .roles import ARM_SCORES, PATIENTS, PREDICTIONS, SLIDES, TILES, arm_scores, patients, predictions, slides, table, tiles
 
 QUERIES: dict = {}
@@ -135,6 +135,21 @@ SQL["repeated_names"] = "SELECT p_type AS name FROM part GROUP BY p_type HAVING
 # Files of tiles
 
 
+@query
+def footer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and the range of the key of some tables, from the footers of their files."""
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey", "embeddings": "vec_id"}
+    listed = file_index.listing(spark, sf_dir).withColumn("name", F.regexp_extract("path", r"/(\w+)\.parquet(?:/|$)", 1))
+    found = file_index.footers(listed.where(F.col("name").isin(*keys)), list(keys.values())).join(listed.select("path", "name"), "path")
+    of_key = found.withColumn("r", F.explode("ranges")).where(F.col("r.exact") & F.col("r.low").isNotNull())
+    ranges = of_key.groupBy("name").agg(F.min(F.col("r.low").cast("long")).alias("low"), F.max(F.col("r.high").cast("long")).alias("high"))
+    return found.groupBy("name").agg(F.sum("rows").alias("rows")).join(ranges, "name")
+
+
+SQL["footer_ranges"] = """SELECT 'orders' AS name, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders UNION ALL SELECT 'lineitem', count(*), min(l_orderkey), max(l_orderkey) FROM lineitem
+UNION ALL SELECT 'customer', count(*), min(c_custkey), max(c_custkey) FROM customer UNION ALL SELECT 'embeddings', count(*), min(vec_id), max(vec_id) FROM embeddings"""
+
+
 def tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as tiles in files by supplier."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("slide_path"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_index"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,11 +39,16 @@ def inventory(listed: DataFrame) -> DataFrame:
     )
 
 
-def opened(path: str):
-    """A stream of a file for a task, by the file system that its path names."""
+def located(path: str) -> tuple:
+    """(file system, name in it) of a path as listed, whose characters are not escaped."""
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(quote(path, safe=":/"))
+
+
+def opened(path: str):
+    """A stream of a file for a task, by the file system that its path names."""
+    system, name = located(path)
     return system.open_input_stream(name)
 
 
@@ -75,13 +81,13 @@ def schema_violations(listed: DataFrame, expected: str) -> DataFrame:
     want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(expected)}
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs, parquet
+        from pyarrow import parquet
         from pyspark.sql.pandas.types import from_arrow_type
 
         for b in batches:
             rows = []
             for path in b["path"]:
-                system, name = fs.FileSystem.from_uri(path)
+                system, name = located(path)
                 have = {f.name: from_arrow_type(f.type).simpleString() for f in parquet.read_schema(name, filesystem=system)}
                 rows += [(path, n, want.get(n), have.get(n)) for n in sorted(want.keys() | have.keys()) if want.get(n) != have.get(n)]
             yield pd.DataFrame(rows, columns=["path", "field", "expected", "found"])

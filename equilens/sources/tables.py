@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clinical import CASE, clean, whole
-from ..functions.identity import last_wins, patient_of_path, patient_of_slide
+from ..functions.identity import last_wins, patient_of_path
+from . import file_index
 
 PREDICTION = "patient_id string, y_true int, y_score double, race string, sex string, age double, outer_fold int, tss string, site string, prediction_role string, original_fold int, calibration_outer_fold int, inner_fold int"
 IMAGE_COLUMNS = ["jpeg", "image", "image_bytes"]
@@ -21,14 +22,12 @@ def tile_index(spark: SparkSession, folder: str) -> DataFrame:
 def slide_tiles(spark: SparkSession, folder: str, allowed: DataFrame | None = None, patient: str = "patient_id") -> DataFrame:
     """All files below a folder with ``file`` and ``row_index``, of the allowed patients alone where those are given.
 
-    The patient is read from the file's name, so the files of all others are not opened.
+    The patient of a file is that of its name, else of its first row (``file_index``); only the allowed patients' files are scanned.
     """
+    if allowed is not None:
+        return file_index.planned_scan(spark, file_index.listing(spark, folder), allowed, patient)
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
-    if allowed is None:
-        return df
-    named = df.withColumn(patient, patient_of_slide(F.regexp_replace("file", r"\.parquet$", "")))
-    return named.join(allowed.select(patient).distinct(), patient, "left_semi")
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
 
 
 def payload_of_files(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
@@ -46,11 +45,17 @@ def image_column(df: DataFrame) -> str:
 
 
 def keyed_csv(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """One row per key; of repeated keys the last row of the file; blank keys are dropped."""
+    """One row per key; of repeated keys the last row of the last file, by name; blank keys are dropped."""
     df = spark.read.option("header", True).option("nullValue", "").csv(path)
-    # Rows of one file keep their order in its blocks, so this number rises through the file.
-    df = df.withColumn("_ordinal", F.monotonically_increasing_id()).where(clean(F.col(key)).isNotNull())
-    return last_wins(df, key, "_ordinal").drop("_ordinal")
+    return last_wins(in_file_order(df).where(clean(F.col(key)).isNotNull()), key, "_ordinal").drop("_ordinal")
+
+
+def in_file_order(df: DataFrame, out: str = "_ordinal") -> DataFrame:
+    """``df`` with its place as (file, start of the block, row in the scan), which orders rows as their files do.
+
+    The number of a row in the scan rises inside a block, but blocks and files are dealt to tasks by size.
+    """
+    return df.withColumn(out, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
 def subtype_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from equilens.functions import clinical, identity, vectors
 from equilens.operators import audit, bootstrap, cohort, debias, embed, factors, folds, metrics, pairwise, probe, runlog, sampling
-from equilens.sources import contracts, tables
+from equilens.sources import contracts, file_index, tables
 
 
 def rows(df):
@@ -68,7 +68,7 @@ def test_three_arms(spark):
     assert bootstrap.run_summary(scores, "race", groups).first()["fairness_advantage"] == pytest.approx(0.5)
     ci = bootstrap.decision(bootstrap.intervals(bootstrap.paired_bootstrap(scores, "race", groups, 100, 3)), 100).first()
     assert ci["valid_iterations"] == 100 and ci["fairness_advantage_lower"] > 0 and ci["fairness_superior"]
-    times = bootstrap.multiplicities(scores.select("patient_id", "y").distinct(), range(5), 3)
+    times = bootstrap.multiplicities(scores.select("patient_id", "y").distinct(), 5, 3)
     assert {r["sum(times)"] for r in times.groupBy("it").sum("times").collect()} == {40}
 
 
@@ -486,13 +486,39 @@ def test_store_without_vectors_and_reuse(spark, tmp_path):
     assert embed.entry_digest(stored, "m").first() == embed.entry_digest(stored.repartition(3), "m").first() and embed.entry_digest(stored, "m").first()["n"] == 2
 
 
-def test_bootstrap_chunks_change_nothing(spark):
+def test_bootstrap_blocks_change_nothing(spark):
     scores = spark.createDataFrame([(a, r, f"p{i}", i % 2, (i * 7 + r + len(a)) % 10 / 10, "AB"[i // 2 % 2]) for a in bootstrap.ARMS for r in range(2) for i in range(24)], "arm string, run int, patient_id string, y int, score double, race string")
     groups = spark.createDataFrame([("A",), ("B",)], "race string")
-    whole, cut = (rows(bootstrap.paired_bootstrap(scores, "race", groups, 7, 5, chunk_rows=n)) for n in (None, 300))
+    whole, cut = (rows(bootstrap.paired_bootstrap(scores, "race", groups, 7, 5, block=n)) for n in (128, 3))
     assert len(whole) == 7 and np.allclose(np.array(whole, float), np.array(cut, float))
 
 
+def test_bootstrap_against_repeated_rows(spark, monkeypatch):
+    """Every iteration equals AUROCs of rows that are really repeated; ties, batches that cut a score, and several ranges of patients."""
+    monkeypatch.setattr(bootstrap, "RANGE", 7)
+    monkeypatch.setattr(bootstrap, "BUCKET_ROWS", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        data = [(a, r, f"p{i}", i % 2, (i * 7 + r + len(a)) % 6 / 10 - 0.2, [None, "A", "B"][i // 2 % 3]) for a in bootstrap.ARMS for r in range(2) for i in range(37)]
+        scores, groups = spark.createDataFrame(data, "arm string, run int, patient_id string, y int, score double, race string"), spark.createDataFrame([("A",), ("B",)], "race string")
+        times = {(r["it"], r["patient_id"]): r["times"] for r in bootstrap.multiplicities(scores.select("patient_id", "y").distinct(), 6, 3).collect()}
+        got = {(r["it"], r["arm"], r["run"]): (r["overall_auc"], r["auc_gap"]) for r in bootstrap.resampled_metrics(scores, "race", groups, 6, 3, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 6 * 3 * 2 and {sum(n for (it, _), n in times.items() if it == i) for i in range(6)} == {37}
+    for (it, arm, run), (overall, gap) in got.items():
+        drawn = [(y, s, g) for a, r, p, y, s, g in data if (a, str(r)) == (arm, run) for _ in range(times.get((it, p), 0))]
+        auc = {k: brute_auc([y for y, _, g in drawn if k in ("all", g)], [s for _, s, g in drawn if k in ("all", g)]) for k in ("all", "A", "B")}
+        assert overall == pytest.approx(auc["all"])
+        assert gap is None if None in (auc["A"], auc["B"]) else gap == pytest.approx(abs(auc["A"] - auc["B"]))
+
+
+def test_bootstrap_plan_does_not_grow(spark):
+    scores, groups = three_arms(spark), spark.createDataFrame([("A",), ("B",)], "race string")
+    plans = [bootstrap.paired_bootstrap(scores, "race", groups, n, 3)._jdf.queryExecution().optimizedPlan().toString() for n in (10, 100_000)]
+    assert plans[0].count("\n") == plans[1].count("\n")
+
+
 def test_probe_folds_and_held_out(spark):
     df = probe.features(vector_rows(spark), "x").persist()
     few = df.where("y = 1").unionByName(df.where("y = 0").limit(3))
@@ -508,3 +534,83 @@ def test_duplicates_and_runs(spark):
     assert rows(pairwise.mean_scores(spark.createDataFrame([("p", 0.25), ("p", 0.75), ("p", None)], "k string, v double"), "k", "v")) == [("p", 0.5, 2)]
     filled = spark.createDataFrame([(None,), (float("nan"),), (0.25,)], "v double").select(vectors.filled_score(F.col("v")))
     assert [r[0] for r in filled.collect()] == [0.5, 0.5, 0.25]
+
+
+def write_slides(folder, files):
+    """files: name -> (rows of columns)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, columns in files.items():
+        pq.write_table(pa.table(columns), folder / name, row_group_size=2)
+
+
+def spoil_pages(path):
+    """Overwrite all that is not magic number or footer."""
+    data = bytearray(path.read_bytes())
+    footer = int.from_bytes(data[-8:-4], "little")
+    data[4 : len(data) - 8 - footer] = b"\xff" * (len(data) - 12 - footer)
+    path.write_bytes(bytes(data))
+
+
+def test_planned_scan_opens_only_chosen_files(spark, tmp_path):
+    """A foreign patient's file may be corrupted; names, else first rows, decide whose a file is."""
+    write_slides(tmp_path, {
+        "TCGA-AA-0001-01.parquet": {"slide_path": ["x/TCGA-AA-0001-01.svs"] * 3, "image_bytes": [b"a", b"b", b"c"]},
+        "TCGA-AA-0002-01.parquet": {"slide_path": ["x/TCGA-AA-0002-01.svs"] * 3, "image_bytes": [b"d", b"e", b"f"]},
+        "slide 17.parquet": {"case_id": ["TCGA-AA-0001"], "slide_path": ["x/other.svs"], "image_bytes": [b"g"]},
+        "s18.parquet": {"case_id": [None], "slide_path": ["x/TCGA-AA-0003-01.svs"], "image_bytes": [b"h"]},
+        "s19.parquet": {"slide_path": ["plain"], "image_bytes": [b"i"]},
+    })
+    (tmp_path / "TCGA-AA-0002-01.parquet").write_bytes(b"no parquet at all")
+    (tmp_path / "broken.parquet").write_bytes(b"neither")
+    allow = lambda *ids: spark.createDataFrame([(i,) for i in ids], "patient_id string")
+    scan = lambda *ids: sorted((r["patient_id"], bytes(r["image_bytes"]), r["row_index"]) for r in tables.slide_tiles(spark, str(tmp_path), allow(*ids)).collect())
+    assert scan("TCGA-AA-0001") == [("TCGA-AA-0001", b"a", 0), ("TCGA-AA-0001", b"b", 1), ("TCGA-AA-0001", b"c", 2), ("TCGA-AA-0001", b"g", 0)]
+    assert scan("TCGA-AA-0003", "s19") == [("TCGA-AA-0003", b"h", 0), ("s19", b"i", 0)]
+    assert scan("TCGA-AA-0009") == []
+    with pytest.raises(Exception, match="0002"):
+        scan("TCGA-AA-0002")
+    index = file_index.file_index(file_index.listing(spark, str(tmp_path)), allow("TCGA-AA-0001", "TCGA-AA-0002", "broken"))
+    got = {r["name"]: (r["patient_id"], r["rows"], r["row_groups"], r["problem"] is None) for r in index.collect()}
+    assert got == {"TCGA-AA-0001-01.parquet": ("TCGA-AA-0001", 3, 2, True), "slide 17.parquet": ("TCGA-AA-0001", 1, 1, True), "TCGA-AA-0002-01.parquet": ("TCGA-AA-0002", None, None, False), "broken.parquet": ("broken", None, None, False)}
+
+
+def test_footers_answer_without_data_pages(spark, tmp_path):
+    """Counts and single slides of files whose pages are spoiled; only files with several slides are read."""
+    long = "y" * 80
+    write_slides(tmp_path, {"a.parquet": {"slide_path": ["s1"] * 5}, "b.parquet": {"slide_path": [None, "s2"]}, "c.parquet": {"slide_path": ["s3", "s4", "s3"]}, "d.parquet": {"slide_path": [long] * 2}, "e.parquet": {"slide_path": pa_strings([])}})
+    spoil_pages(tmp_path / "a.parquet")
+    listed = file_index.listing(spark, str(tmp_path))
+    assert rows(file_index.row_counts(listed)) == [("a.parquet", 5), ("b.parquet", 2), ("c.parquet", 3), ("d.parquet", 2), ("e.parquet", 0)]
+    found = {r["path"].rsplit("/", 1)[1]: (r["slide"], r["slides"]) for r in file_index.slides_of_files(spark, listed).collect()}
+    assert found == {"a.parquet": ("s1", 1), "b.parquet": ("s2", 1), "c.parquet": ("s3", 2), "d.parquet": (long, 1), "e.parquet": (None, 0)}
+    with pytest.raises(Exception):  # noqa: B017  the page is really spoiled
+        spark.read.parquet(str(tmp_path / "a.parquet")).collect()
+    checks = contracts.counts_violations(listed, file_index.row_counts(listed), 5, 0, 12).where("check != 'bytes'")
+    assert rows(checks) == [("empty files", 0, 1)]
+
+
+def pa_strings(values):
+    import pyarrow as pa
+
+    return pa.array(values, pa.string())
+
+
+def test_last_row_across_files_of_any_size(spark, tmp_path):
+    """The later file by name wins, whichever is larger, and the later block of a file that is cut into several."""
+    small, large = "k,v\nx,small\n", "k,v\n" + "".join(f"p{i},{i}\n" for i in range(3000)) + "x,large\n"
+    for first, second, want in ((large, small, "small"), (small, large, "large")):
+        folder = tmp_path / want
+        folder.mkdir()
+        (folder / "a.csv").write_text(first)
+        (folder / "b.csv").write_text(second)
+        assert [r["v"] for r in tables.keyed_csv(spark, str(folder), "k").where("k = 'x'").collect()] == [want]
+    (tmp_path / "one.csv").write_text("k,v\n" + "".join(f"x,{i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = tables.keyed_csv(spark, str(tmp_path / "one.csv"), "k")
+        assert spark.read.csv(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 4 and df.first()["v"] == "19999"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
