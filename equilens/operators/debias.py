@@ -1,12 +1,14 @@
 """Data-parallel fit of a task head that forgets attributes.
 
-The head maps a vector to a hidden layer, and that to a score.  Every epoch is one pass: tasks turn Arrow batches into
-sums of gradients, Spark adds them up, the driver takes one step with the parameters, whose number does not depend on
-the data.  Methods, all against any number of attributes at once:
+The head maps a vector to a hidden layer, and that to a score.  Every epoch is one pass for all heads that are wanted, of every
+fold and strength: each task steps through its rows in small batches from the parameters that the driver has sent, and the
+parameters, whose number does not depend on the data, are averaged over the tasks by their rows.  Rows lie in tasks and batches by
+hashes of their keys, so a fit does not depend on how its table was partitioned.  Methods, all against any number of
+attributes at once:
 
 * ``dann``        an adversary with a hidden layer finds the attribute, the hidden layer of the head ascends on its loss;
 * ``fino``        as dann, but the adversary is a bank of prototypes: normalised class means of the hidden layer, moved
-  by an exponential average after each epoch and never trained; logits are cosines over a temperature;
+  by an exponential average after each batch and never trained; logits are cosines over a temperature;
 * ``pcgrad``      the task's gradient has its part along the adversary's removed, ``gt - l (gt.gd / |gd|^2) gd``;
 * ``contrastive`` rows of other attribute values in a block are drawn together, by the loss of ``pairwise``.
 
@@ -25,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, pairwise, probe
+from . import linear, metrics, pairwise, probe
 
 METHODS = ("dann", "fino", "pcgrad", "contrastive")
 Arrays = dict[str, np.ndarray]
+#: Rows of a step, rows that a task holds as a matrix at once, and rows of a task at least, about.
+BATCH_ROWS, SLICE_ROWS, PART_ROWS = 64, 4096, 8192
 
 
 @dataclass
@@ -163,14 +167,16 @@ def contrast(h: np.ndarray, s: np.ndarray, c: np.ndarray | None, temperature: fl
     return float(loss[valid].sum()), int(valid.sum()), back
 
 
-def gradients(head: Head, x: np.ndarray, y: np.ndarray, s: dict[str, np.ndarray], c: np.ndarray, block: np.ndarray) -> Arrays:
-    """Sums over rows. y: 0, 1 or -1 for pool rows; s: class of each attribute or -1; c: condition or -1; block: for contrastive."""
+def gradients(head: Head, x: np.ndarray, y: np.ndarray, s: dict[str, np.ndarray], c: np.ndarray, block: np.ndarray, weights: Sequence[float] = (1.0, 1.0)) -> Arrays:
+    """Sums over rows. y: 0, 1 or -1 for pool rows; s: class of each attribute or -1; c: condition or -1; block: for
+    contrastive; weights: of both values of y."""
     settings, h = head.settings, head.hidden(x)
     x1, h1, on = with_one(x), with_one(h), h > 0
     known = y >= 0
     score = h1 @ head.arrays["task"]
-    dt = np.where(known[:, None], sigmoid(score) - y[:, None], 0.0)
-    loss = np.logaddexp(0, score[:, 0]) - y * score[:, 0]
+    weight = np.where(known, np.asarray(weights)[np.maximum(y, 0)], 0.0)
+    dt = weight[:, None] * (sigmoid(score) - y[:, None])
+    loss = weight * (np.logaddexp(0, score[:, 0]) - y * score[:, 0])
     out = {"task": h1.T @ dt, "trunk_task": x1.T @ ((dt @ head.arrays["task"][:-1].T) * on), "n_task": np.array([float(known.sum())]), "loss_task": np.array([loss[known].sum()])}
     banks = settings.conditions + 1
     bank = np.where((c >= 0) & (c < settings.conditions), c + 1, 0)
@@ -284,14 +290,133 @@ def step(head: Head, g: Arrays, lambda_: float, rate: float) -> None:
             arrays[f"prototypes:{a}"] = moved(bank, g[f"means:{a}"].reshape(*bank.shape[:2], -1), settings.ema)
 
 
-def fit(task: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambda_: float, epochs: int = 20, rate: float = 0.5, seed: int = 42, key: str | None = None) -> Head:
-    """task: (x array, y 0/1, attributes and condition as 0, 1, ... or null); pool: the same without y, for the attributes' part alone."""
-    rows = prepared(task, pool, settings, lambda_, key).persist()
-    head = Head.new(dimension, settings, seed)
-    for _ in range(epochs):
-        step(head, epoch_sums(rows, head), lambda_, rate)
-    rows.unpersist()
-    return head
+@dataclass(frozen=True)
+class Job:
+    """A head to fit: its strength, and the fold whose rows it does not see."""
+
+    lambda_: float
+    out: int | None = None
+
+
+def dealt(task: DataFrame, pool: DataFrame | None, settings: Settings, key: str | None, parts: int) -> DataFrame:
+    """(part, u, x, y, s_<attribute>, c, fold, block) in the order of u, a hash of the key; every block lies in one part.
+
+    Unknown values are -1; pool rows have y = -1 and no fold. A block is about 256 rows.
+    """
+
+    def rows(df: DataFrame, y, fold) -> DataFrame:
+        known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) if c in df.columns else F.lit(-1).cast("long")
+        u = F.xxhash64(F.col(key) if key else F.col("x")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(float(1 << 63))
+        return df.select(u.alias("u"), "x", y.cast("long").alias("y"), *[known(a).alias(f"s_{a}") for a in settings.groups], known("condition").alias("c"), fold.cast("long").alias("fold"))
+
+    out = rows(task, F.col("y"), F.col("fold") if "fold" in task.columns else F.lit(-1))
+    if pool is not None:
+        out = out.unionByName(rows(pool, F.lit(-1), F.lit(-1)))
+    blocks = parts * max(1, -(-out.count() // (parts * pairwise.BLOCK_ROWS))) if settings.method == "contrastive" else parts
+    place = lambda n: F.least(F.floor(F.col("u") * n), F.lit(n - 1)).cast("long")
+    out = out.withColumns({"part": place(parts), "block": place(blocks)})
+    return out.repartition(parts, "part").sortWithinPartitions("part", "u", "y", *[f"s_{a}" for a in settings.groups], "c")
+
+
+class Local:
+    """One head inside a task: batches of rows in, steps of BATCH_ROWS rows; what is left over waits for more."""
+
+    def __init__(self, head: Head, job: Job, rate: float, weights: Sequence[float]):
+        self.head = Head(head.settings, {k: v.copy() for k, v in head.arrays.items()})
+        self.job, self.rate, self.weights, self.rows = job, rate, weights, 0
+        self.waiting: list[dict[str, np.ndarray]] = []
+
+    def wants(self, batch: dict[str, np.ndarray]) -> np.ndarray:
+        seen = np.ones(len(batch["y"]), dtype=bool) if self.job.out is None else batch["fold"] != self.job.out
+        return seen & (batch["y"] >= 0) if self.job.lambda_ == 0 else seen
+
+    def feed(self, batch: dict[str, np.ndarray]) -> None:
+        here = self.wants(batch)
+        self.waiting.append({k: v[here] for k, v in batch.items()})
+        if self.whole_blocks:
+            self.step_through(self.borders())
+        elif sum(len(w["y"]) for w in self.waiting) >= BATCH_ROWS:
+            n = sum(len(w["y"]) for w in self.waiting)
+            self.step_through(list(range(0, n + 1, BATCH_ROWS)))
+
+    @property
+    def whole_blocks(self) -> bool:
+        return self.head.settings.method == "contrastive" and self.job.lambda_ != 0
+
+    def borders(self) -> list[int]:
+        block = np.concatenate([w["block"] for w in self.waiting])
+        return [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
+
+    def step_through(self, borders: list[int]) -> None:
+        """A step for each range between borders; the rows after the last one wait on."""
+        rows = {k: np.concatenate([w[k] for w in self.waiting]) for k in self.waiting[0]}
+        for low, high in zip(borders[:-1], borders[1:], strict=True):
+            b = {k: v[low:high] for k, v in rows.items()}
+            settings = self.head.settings
+            g = gradients(self.head, b["x"], b["y"], {a: b[f"s_{a}"] for a in settings.groups}, b["c"], b["block"], self.weights)
+            step(self.head, g, self.job.lambda_, self.rate)
+            self.rows += high - low
+        self.waiting = [{k: v[borders[-1] :] for k, v in rows.items()}]
+
+    def finished(self) -> np.ndarray:
+        """Rows, then the parameters and the mean cosines times the rows, to be added up over tasks."""
+        if self.waiting and (n := len(self.waiting[0]["y"] if len(self.waiting) == 1 else np.concatenate([w["y"] for w in self.waiting]))):
+            self.step_through([0, n])
+        cosines = np.mean(self.head.cosines, axis=0) if self.head.cosines else np.zeros(2)
+        return np.concatenate([[self.rows], self.rows * cosines, *(self.rows * self.head.arrays[k].ravel() for k in sorted(self.head.arrays))])
+
+
+def averaged(head: Head, sums: np.ndarray) -> Head:
+    """The head with the mean parameters of the tasks."""
+    mean, arrays, at = sums[3:] / max(1.0, sums[0]), {}, 0
+    for k in sorted(head.arrays):
+        size = head.arrays[k].size
+        arrays[k], at = mean[at : at + size].reshape(head.arrays[k].shape), at + size
+    return Head(head.settings, arrays, [*head.cosines, (float(sums[1] / max(1.0, sums[0])), float(sums[2] / max(1.0, sums[0])))])
+
+
+def one_round(rows: DataFrame, heads: list[Head], jobs: Sequence[Job], rate: float, weights: Sequence[float]) -> list[Head]:
+    """One pass for all heads."""
+    shared = rows.sparkSession.sparkContext.broadcast((heads, list(jobs), rate, tuple(weights)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, jobs, rate, weights = shared.value
+        local = [Local(h, j, rate, weights) for h, j in zip(heads, jobs, strict=True)]
+        for b in batches:
+            for at in range(0, len(b), SLICE_ROWS):
+                part = b.iloc[at : at + SLICE_ROWS]
+                columns = {c: part[c].to_numpy() for c in part.columns if c != "x"} | {"x": np.array(part["x"].tolist(), float)}
+                for one in local:
+                    one.feed(columns)
+        done = [one.finished() for one in local]
+        yield pd.DataFrame({"model": range(len(done)), "sums": [d.tobytes() for d in done]})
+
+    sums = linear.added_up(rows.drop("part", "u").mapInPandas(run, "model int, sums binary"))
+    shared.unpersist()
+    return [averaged(h, sums[i]) if i in sums and sums[i][0] else h for i, h in enumerate(heads)]
+
+
+def fit_all(task: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, jobs: Sequence[Job], epochs: int = 20, rate: float = 0.5, seed: int = 42, key: str | None = None, balanced: bool = False) -> list[Head]:
+    """Heads of all jobs in the same passes. task: (x array, y 0/1, attributes and condition as 0, 1, ... or null, fold where jobs
+    leave one out); pool: the same without y, for the attributes' part alone (M12). The rate falls to zero over the epochs.
+    """
+    counts = {r["y"]: r["count"] for r in task.groupBy("y").count().collect()}
+    n = sum(counts.values())
+    weights = [n / (len(counts) * counts[y]) if balanced and y in counts else 1.0 for y in (0, 1)]
+    parts = min(int(task.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, n // PART_ROWS))
+    rows = dealt(task, pool if any(j.lambda_ for j in jobs) else None, settings, key, parts).persist()
+    heads = [Head.new(dimension, settings, seed) for _ in jobs]
+    try:
+        for epoch in range(epochs):
+            heads = one_round(rows, heads, jobs, rate * (1 - epoch / epochs), weights)
+    finally:
+        rows.unpersist()
+    return heads
+
+
+def fit(task: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambda_: float, **options) -> Head:
+    """One head over all rows."""
+    return fit_all(task, pool, dimension, settings, [Job(lambda_)], **options)[0]
 
 
 def predict(df: DataFrame, head: Head, vector: str = "x", score: str = "score", hidden: str | None = None) -> DataFrame:
@@ -308,19 +433,37 @@ def predict(df: DataFrame, head: Head, vector: str = "x", score: str = "score",
     return (out.withColumn(hidden, F.col("_p.hidden")) if hidden else out).drop("_p")
 
 
+def predict_of_fold(df: DataFrame, heads: dict[int, Head]) -> DataFrame:
+    """The rows of the given folds with score and hidden layer, each by the head of its fold."""
+    shared = df.sparkSession.sparkContext.broadcast(heads)
+
+    @F.pandas_udf("score double, hidden array<double>")
+    def scored(xs: pd.Series, folds: pd.Series) -> pd.DataFrame:
+        score, hidden = np.full(len(xs), np.nan), np.empty(len(xs), dtype=object)
+        for f in folds.unique():
+            at = np.flatnonzero((folds == f).to_numpy())
+            x = np.array(xs.iloc[at].tolist(), float).reshape(len(at), -1)
+            score[at] = shared.value[f].scores(x)
+            for i, h in zip(at, shared.value[f].hidden(x), strict=True):
+                hidden[i] = h
+        return pd.DataFrame({"score": score, "hidden": hidden})
+
+    out = df.where(F.col("fold").isin(list(heads))).withColumn("_p", scored("x", "fold"))
+    return out.withColumns({"score": F.col("_p.score"), "hidden": F.col("_p.hidden")}).drop("_p")
+
+
+def of_patients(tiles: DataFrame, heads: dict[int, Head], carried: Sequence[str]) -> DataFrame:
+    out, keys = predict_of_fold(tiles, heads), ["patient_id", "y", "fold", *carried]
+    return pairwise.mean_scores(out, keys, "score").join(pairwise.mean_vectors(out, ["patient_id"], "hidden", "hidden").drop("n"), "patient_id")
+
+
 def out_of_fold(tiles: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambda_: float, folds: Sequence[int], carried: Sequence[str] = (), **fit_options) -> DataFrame:
     """(patient_id, y, fold, carried, score, hidden, n_tiles): every fold scored by a head of the others, tiles averaged to patients (M6).
 
     tiles: (patient_id, fold, x, y, attributes). With ``lambda_`` = 0 this is the plain task head.
     """
-    out = None
-    for f in folds:
-        head = fit(tiles.where(F.col("fold") != f), pool, dimension, settings, lambda_, **fit_options)
-        part = predict(tiles.where(F.col("fold") == f), head, hidden="hidden")
-        out = part if out is None else out.unionByName(part)
-    keys = ["patient_id", "y", "fold", *carried]
-    scores = pairwise.mean_scores(out, keys, "score")
-    return scores.join(pairwise.mean_vectors(out, ["patient_id"], "hidden", "hidden").drop("n"), "patient_id")
+    heads = fit_all(tiles, pool, dimension, settings, [Job(lambda_, f) for f in folds], **fit_options)
+    return of_patients(tiles, dict(zip(folds, heads, strict=True)), carried)
 
 
 def comparison(tiles: DataFrame, pool: DataFrame | None, dimension: int, settings: Settings, lambdas: Sequence[float], folds: Sequence[int], min_n: int = 20, **fit_options) -> DataFrame:
@@ -328,9 +471,10 @@ def comparison(tiles: DataFrame, pool: DataFrame | None, dimension: int, setting
 
     Leakage is how well a linear probe, itself cross-validated over the folds, finds the attribute in the hidden layer.
     """
-    out = None
+    out, jobs = None, [Job(lambda_, f) for lambda_ in lambdas for f in folds]
+    heads = dict(zip(jobs, fit_all(tiles, pool, dimension, settings, jobs, **fit_options), strict=True))
     for lambda_ in lambdas:
-        scored = out_of_fold(tiles, pool, dimension, settings, lambda_, folds, list(settings.groups), **fit_options).persist()
+        scored = of_patients(tiles, {f: heads[Job(lambda_, f)] for f in folds}, list(settings.groups)).persist()
         report = metrics.gaps(scored, list(settings.groups), min_n=min_n)
         overall = metrics.auc_by(scored, []).select(F.col("auc").alias("overall_auc"))
         for a in settings.groups:

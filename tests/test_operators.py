@@ -1,5 +1,6 @@
 """Operators on small tables with values worked out by hand or by numpy."""
 
+import collections
 import hashlib
 import json
 
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equilens.functions import clinical, identity, vectors
-from equilens.operators import audit, bootstrap, cohort, debias, embed, factors, folds, metrics, pairwise, probe, runlog, sampling
+from equilens.operators import audit, bootstrap, cohort, debias, embed, factors, folds, linear, metrics, pairwise, probe, runlog, sampling
 from equilens.sources import contracts, file_index, tables
 
 
@@ -614,3 +615,105 @@ def test_last_row_across_files_of_any_size(spark, tmp_path):
         assert spark.read.csv(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 4 and df.first()["v"] == "19999"
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def spark_logistic(train, reg, weight=None):
+    from pyspark.ml.classification import LogisticRegression
+
+    options = {"weightCol": weight} if weight else {}
+    return LogisticRegression(labelCol="y", regParam=reg, standardization=False, maxIter=500, tol=1e-14, **options).fit(train)
+
+
+def many_rows(spark, classes=2):
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(400):
+        y = int(rng.integers(0, classes)) if rng.random() < 0.8 else 0
+        data.append((f"p{i}", y, i % 3, [float(v) for v in rng.normal(size=5) * [1, 2, 0.5, 1, 1] + np.eye(5)[y] + 3]))
+    return probe.features(spark.createDataFrame(data, "patient_id string, y int, fold int, x array<double>"), "x").persist()
+
+
+def test_many_models_equal_one_at_a_time(spark):
+    """Coefficients of every strength and fold are Spark's, and more models do not take more passes."""
+    df = many_rows(spark)
+    models = probe.grid_models(probe.fold_counts(df), [(0,), (1,), (2,), (0, 1)], probe.C_GRID)
+    fitted = linear.fit_many(df, models)
+    assert fitted.passes <= 15 and linear.fit_many(df, models[:1]).passes <= 15
+    for i in (0, 4, 6, 9, 20, 27):
+        train = df.where(~F.col("fold").isin(*models[i].out))
+        n, pos = train.count(), train.where("y = 1").count()
+        one = spark_logistic(train.withColumn("w", F.when(F.col("y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))), models[i].reg, "w")
+        assert np.allclose(fitted.coefficients[i][:, 0], [*one.coefficients, one.intercept], atol=1e-6)
+
+
+def test_many_models_of_several_classes_and_by_gradients_alone(spark, monkeypatch):
+    df, models = many_rows(spark, 3), [linear.Model((f,), 0.01) for f in range(3)]
+    fitted = linear.fit_many(df, models, classes=3, balanced=False)
+    train = df.where("fold != 1")
+    one = spark_logistic(train, 0.01).transform(train).select("x", "probability").collect()
+    assert np.allclose(fitted.probabilities(np.array([r["x"] for r in one]), 1), [r["probability"].toArray() for r in one], atol=1e-5)
+    newton = linear.fit_many(many_rows(spark), models)
+    monkeypatch.setattr(linear, "MOST_CELLS", 0)
+    assert np.allclose(linear.fit_many(many_rows(spark), models).coefficients, newton.coefficients, atol=1e-5)
+
+
+def test_scaled_models_are_those_of_scaled_rows(spark):
+    from pyspark.ml.feature import StandardScaler
+
+    df, models = many_rows(spark), [linear.Model((2,), 0.05)]
+    fitted = linear.fit_many(df, models, balanced=False, scaled=True)
+    train = df.where("fold != 2")
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    one = spark_logistic(scaler.transform(train).drop("features").withColumnRenamed("scaled", "features"), 0.05)
+    by_spark = [r["probability"][1] for r in one.transform(scaler.transform(df).drop("features").withColumnRenamed("scaled", "features")).orderBy("patient_id").collect()]
+    mine = [r["p"][0][0] for r in linear.scored(df, fitted, {f: [0] for f in range(3)}).orderBy("patient_id").collect()]
+    assert np.allclose(mine, by_spark, atol=1e-6)
+
+
+def test_nested_audit_in_one_pass(spark):
+    df = many_rows(spark)
+    predictions, seen = probe.nested_cross_fit(df, [0, 1, 2], 1.0)
+    ids = collections.defaultdict(set)
+    for r in df.select("patient_id", "fold").collect():
+        ids[r["fold"]].add(r["patient_id"])
+    got = {(r["outer_fold"], r["inner_fold"]): r for r in seen.collect()}
+    assert set(got) == {(k, j) for k in range(3) for j in (None, *[f for f in range(3) if f != k])}
+    for (k, j), r in got.items():
+        left = [f for f in range(3) if f not in (k, j)]
+        assert r["folds"] == left and r["n"] == sum(len(ids[f]) for f in left)
+        alone = identity.id_set_digest(df.where(F.col("fold").isin(left)), "patient_id").first()["sha256"]
+        assert r["patients_sha256"] == alone
+    rows_ = predictions.collect()
+    assert len(rows_) == 3 * 400 and sum(r["prediction_role"] == "outer" for r in rows_) == 400
+    assert all((r["calibration_outer_fold"] == r["original_fold"]) == (r["prediction_role"] == "outer") for r in rows_)
+
+
+def confounded(spark, n=1500):
+    """Labels and an attribute along two axes that lean on each other; in three folds."""
+    rng = np.random.default_rng(9)
+    y, s_ = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    x = rng.normal(size=(n, 6)) * 0.6
+    x[:, 0] += 1.2 * y + 0.2 * s_
+    x[:, 1] += 1.5 * s_
+    data = [(i, i % 3, x[i].tolist(), int(y[i]), int(s_[i])) for i in range(n)]
+    return spark.createDataFrame(data, "patient_id int, fold int, x array<double>, y int, s int").persist()
+
+
+def test_plain_head_reaches_the_probe_and_leakage_falls(spark):
+    df = confounded(spark)
+    by_probe = metrics.auc_by(probe.out_of_fold(probe.features(df, "x"), 1.0, [0, 1, 2]), []).first()["auc"]
+    report = debias.comparison(df, None, 6, debias.Settings({"s": 2}), [0.0, 0.5, 2.0], [0, 1, 2], epochs=30)
+    got = {r["lambda"]: (r["overall_auc"], r["leakage_auc"]) for r in report.collect()}
+    assert abs(got[0.0][0] - by_probe) < 0.01
+    assert got[0.0][1] > got[2.0][1] + 0.02 and got[2.0][0] > by_probe - 0.05
+
+
+def test_fit_does_not_depend_on_partitions_or_company(spark):
+    """A head is the same however its table is cut, and whatever other heads are fitted beside it."""
+    df = confounded(spark, 700)
+    settings = debias.Settings({"s": 2}, "contrastive")
+    jobs = [debias.Job(0.3, 1), debias.Job(0.0, None)]
+    both = debias.fit_all(df.repartition(7), None, 6, settings, jobs, epochs=2, key="patient_id")
+    for job, head in zip(jobs, both):
+        alone = debias.fit_all(df.coalesce(1), None, 6, settings, [job], epochs=2, key="patient_id")[0]
+        assert all(np.allclose(alone.arrays[k], head.arrays[k]) for k in alone.arrays)
