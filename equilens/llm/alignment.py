@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Model
 from .common import Tables
-from .packing import Tokenizer
+from .packing import Tokenizer, has_long_run
 
 #: Entries of A multiplied at once, texts handed back at once, and pairs that are broadcast at most.
 ENTRIES, ROWS, PAIRS = 1 << 18, 256, 1 << 21
@@ -63,7 +63,16 @@ def group_of(ends: np.ndarray, borders: np.ndarray) -> Rows:
 def transpose(matrix: Rows, width: int) -> Rows:
     owners = np.repeat(np.arange(len(matrix.starts) - 1), np.diff(matrix.starts))
     starts = np.append(0, np.cumsum(np.bincount(matrix.columns, minlength=width)))
-    return Rows(starts, owners[np.argsort(matrix.columns, kind="stable")])
+    in_order = not (matrix.columns[1:] < matrix.columns[:-1]).any()
+    return Rows(starts, owners if in_order else owners[np.argsort(matrix.columns, kind="stable")])
+
+
+def run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; products of rows in byte order come sorted already."""
+    if len(keys) and (keys[1:] < keys[:-1]).any():
+        keys = np.sort(keys)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
 def multiply(a: Rows, b: Rows, entries: int = ENTRIES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,7 +85,7 @@ def multiply(a: Rows, b: Rows, entries: int = ENTRIES) -> Iterator[tuple[np.ndar
         rows = np.repeat(np.repeat(np.arange(first, last), np.diff(a.starts[first : last + 1])), sizes)
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         columns = b.columns[np.repeat(b.starts[inner], sizes) + within]
-        keys, sums = np.unique(rows.astype(np.int64) << 32 | columns, return_counts=True)
+        keys, sums = run_lengths(rows.astype(np.int64) << 32 | columns)
         yield keys >> 32, keys & 0xFFFFFFFF, sums
         first = last
 
@@ -96,6 +105,10 @@ def links(a_ends: np.ndarray, b_ends: np.ndarray, kind: str) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
 
 
+def is_latin(text: str) -> bool:
+    return text.isascii() or max(text) < "\u0100"
+
+
 class PlainTokenizer(Tokenizer):
     """The strings of special tokens are text like any other."""
 
@@ -107,6 +120,28 @@ class PlainTokenizer(Tokenizer):
 
             self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=self.fast._mergeable_ranks, special_tokens={})
 
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None and is_latin(text) and not has_long_run(text):
+            return np.array(self.fast.encode_ordinary(text), dtype=np.int64)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+
+class TokenBytes:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array(list(map(len, tokens)), dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.all = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray, want: np.ndarray) -> bool:
+        """Whether the tokens join to these bytes."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if (ends[-1] if len(ends) else 0) != len(want):
+            return False
+        return bool((self.all[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(len(want))] == want).all())
+
 
 class Vocabularies:
     """Both tokenizers, and the bytes of their tokens."""
@@ -116,18 +151,16 @@ class Vocabularies:
 
         self.a = PlainTokenizer(byte_path, ranks_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.a_bytes, self.b_bytes = vocabulary_a(byte_path), vocabulary_b(piece_path)
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, v))) for v in (self.a_bytes, self.b_bytes))
-        digits = [np.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], dtype=object) + after for after in (",", "|", ";")]
+        self.a_bytes, self.b_bytes = TokenBytes(vocabulary_a(byte_path)), TokenBytes(vocabulary_b(piece_path))
+        self.a_sizes, self.b_sizes = self.a_bytes.sizes, self.b_bytes.sizes
+        digits = [np.array([str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))], dtype=object) + after for after in (",", "|", ";")]
         self.written = np.concatenate(digits)
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and the text by A, of the text by B; none where they do not join to the same bytes."""
-        a, b = self.a.ids(" " + text).astype(np.int64), np.array(self.b.encode(text, num_threads=1), dtype=np.int64)
-        want = b" " + text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != want:
-            return a[:0], b[:0]
-        return a, b
+        a, b = self.a.ids(" " + text), np.array(self.b.encode(text, num_threads=1), dtype=np.int64)
+        want = np.frombuffer(b" " + text.encode(), dtype=np.uint8)
+        return (a, b) if self.a_bytes.spell(a, want) and self.b_bytes.spell(b, want) else (a[:0], b[:0])
 
     def groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, borders: np.ndarray) -> str:
         """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
