@@ -14,7 +14,9 @@ Collisions are checked over the corpus: where two units of a kind would get one
 a unit that occurs, all but the first try again with the next attempt number until all are distinct.  The forms are
 written for that and dropped as soon as it is done; what stays for the result holds keyed hashes of them only.
 
-Defined results: a card number with a wrong check digit is no entity; null text stays null, with no entities; equal
+The key is the caller's secret: who has it can tell which surrogate a known entity has.
+
+Defined results: a card number with a wrong check digit is no entity, nor is a mail address of more than 320 characters; null text stays null, with no entities; equal
 entities get equal surrogates wherever they occur; repeated rows are replaced alike; an empty table gives no rows;
 existing columns with the outputs' names are replaced, all others pass through.
 """
@@ -48,14 +50,20 @@ GIVEN = {
 _title = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(n for ns in GIVEN.values() for n in ns.split())
 _initials = "A-ZА-Я"
-_assigned = "password=|passwd=|secret=|api_key=|apikey=|access_token=|auth_token="
+_secret = "password|passwd|secret|api_key|apikey|access_token|auth_token"
+_prefix = "gh[pousr]_|sk-|xox[abprs]-"
+#: Characters of a mail address at most: 64, the sign and 255.
+LONGEST_MAIL = 320
 #: Kinds and their patterns, the first that matches at a place wins.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)++",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])",
-    "password": rf"(?<==)(?<=(?i:{_assigned}))[A-Za-z0-9+/_\-]{{8,}}",
+    "token": rf"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}}|xox[abprs]-[A-Za-z0-9\-]{{10,80}})(?![A-Za-z0-9_])",
+    # After an equals sign any value, after a colon or in quotes one with a digit.
+    "password": rf"(?<=[=:\"']|[=:] )(?:(?<=(?i:{_secret})=)|(?<=(?i:{_secret})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?=[A-Za-z+/_\-]{{0,64}}\d))[A-Za-z0-9+/_\-]{{8,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ip6": r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}(?![A-Za-z0-9:]))(?=[0-9A-Fa-f:]{0,37}::)(?=[0-9A-Fa-f:]{0,39}\d)[0-9A-Fa-f:]{2,39})(?![A-Za-z0-9:])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d\-])[2-6]\d{3}(?:[ \-]?\d{4}){3}(?![\d\-])|(?<!\d)3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\d)",
@@ -64,7 +72,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every text with an entity matches one of these.
-HINTS = ["[0-9@]", "A[KS]IA[A-Z]{16}", "[A-Fa-f]{32}", rf"(?=[{_initials}])(?<!\p{{L}})(?:{_title}|{_given})\.? \p{{Lu}}"]
+HINTS = ["[0-9@]", "A[KS]IA[A-Z]{16}", _prefix, "[A-Fa-f]{32}", rf"(?=[{_initials}])(?<!\p{{L}})(?:{_title}|{_given})\.? \p{{Lu}}"]
 #: Syllables of a name at the first attempt, of 80 each; every further attempt has one more, so that names never run out.
 SYLLABLES = 3
 #: Attempts to find a free surrogate.
@@ -87,14 +95,14 @@ def luhn(digits: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """Null for what only looks like a card number: its check digit is wrong."""
+    """Null for what only looks like a card number, since its check digit is wrong, or like a mail address, since it is too long."""
     out = F.lit("name")
     for kind in reversed([k for k in KINDS if k not in ("name", "password")]):
         out = F.when(entity.rlike(rf"^(?:{KINDS[kind]})$"), kind).otherwise(out)
     out = F.when(entity.rlike(rf"^(?:{KINDS['name']})$"), "name").otherwise(F.when(out == "name", "password").otherwise(out))
     digits = F.regexp_replace(entity, r"\D", "")
     valid = let(digits, lambda d: (luhn(d) + F.substring(d, -1, 1).cast("int")) % 10 == 0)
-    return let(out, lambda kind: F.when((kind != "card") | valid, kind))
+    return let(out, lambda kind: F.when(F.when(kind == "card", valid).when(kind == "email", F.length(entity) <= LONGEST_MAIL).otherwise(True), kind))
 
 
 def title_of(entity: Column) -> Column:
@@ -112,7 +120,7 @@ def canonical(kind: Column, entity: Column) -> Column:
     """What mentions of one entity have in common."""
     digits = F.regexp_replace(entity, r"\D", "")
     return (
-        F.when(kind.isin("email", "secret"), F.lower(entity))
+        F.when(kind.isin("email", "secret", "ip6"), F.lower(entity))
         .when(kind.isin("ssn", "card"), digits)
         .when(kind == "phone", F.substring(digits, -10, 10))
         .when(kind == "iban", F.replace(entity, F.lit(" ")))
@@ -210,6 +218,8 @@ def surrogate_form(kind: Column, form: Column, attempt: Column, key: str) -> Col
         return (
             F.when(kind == "email", F.concat(redrawn(local, stream), F.lit("@"), redrawn(host, F.reverse(stream)), F.lit(".example")))
             .when(kind == "key", F.concat(F.substring(form, 1, 4), redrawn(from_place(form, 5), stream)))
+            .when(kind == "token", let(F.regexp_extract(form, f"^({_prefix})", 1), lambda p: F.concat(p, redrawn(F.substring(form, F.length(p) + 1, F.length(form)), stream))))
+            .when(kind == "ip6", in_format(form, stream, "0-9a-f"))
             .when(kind == "secret", F.substring(stream, F.lit(1), F.length(form)))
             .when((kind == "password") & form.rlike("^[0-9a-f]+$") & (F.length(form) <= 64), F.substring(stream, F.lit(1), F.length(form)))
             .when(kind == "ip", address(form, stream))
@@ -243,7 +253,7 @@ def surrogate(kind: Column, entity: Column, attempts: Column, key: str) -> Colum
         all_digits = F.regexp_replace(entity, r"\D", "")
         number = F.concat(F.substring(all_digits, F.lit(1), F.greatest(F.length(all_digits) - 10, F.lit(0))), first)
         return (
-            F.when(kind.isin("email", "secret"), in_case(entity, first))
+            F.when(kind.isin("email", "secret", "ip6"), in_case(entity, first))
             .when(kind.isin("ssn", "card"), in_format(entity, first, "0-9"))
             .when(kind == "phone", in_format(entity, number, "0-9"))
             .when(kind == "iban", in_format(entity, first, "A-Z0-9"))
@@ -260,7 +270,17 @@ def mention(kind: Column, form: Column, key: str) -> Column:
 
 
 def overridden(found: DataFrame, key: str, tables: Tables) -> DataFrame:
-    """(mention, attempt) of those units that cannot have their first surrogate. found: (kind, form)."""
+    """(mention, attempt) of those units that cannot have their first surrogate. found: (kind, form).
+
+    The forms, which are clear text, are dropped however this ends.
+    """
+    try:
+        return _overridden(found, key, tables)
+    finally:
+        tables.drop("forms", "attempts")
+
+
+def _overridden(found: DataFrame, key: str, tables: Tables) -> DataFrame:
     known = tables.write(found.distinct(), "forms")
     now = known.withColumn("attempt", F.lit(0))
     for _ in range(MOST_ATTEMPTS):
@@ -276,14 +296,12 @@ def overridden(found: DataFrame, key: str, tables: Tables) -> DataFrame:
         now = judged.select("kind", "form", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
     else:
         raise RuntimeError("no distinct surrogates; the space of some kind is too small")
-    out = tables.write(judged.where("attempt > 0").select(mention(F.col("kind"), F.col("form"), key).alias("mention"), "attempt"), "overrides")
-    tables.drop("forms", "attempts")
-    return out
+    return tables.write(judged.where("attempt > 0").select(mention(F.col("kind"), F.col("form"), key).alias("mention"), "attempt"), "overrides")
 
 
 def hinted(text: Column) -> Column:
     """Whether a text may hold an entity, by cheap looks at it."""
-    out = text.contains("=") & text.rlike(f"(?i:{_assigned})")
+    out = (text.contains("=") | text.contains(":")) & text.rlike(rf"(?i:{_secret})[\"']?\s{{0,2}}[:=]")
     for hint in HINTS:
         out = out | text.rlike(hint)
     return out
@@ -298,7 +316,7 @@ def entities_of(text: Column) -> Column:
     return F.when(hinted(text), found).otherwise(F.array().cast(FOUND))
 
 
-def replace(docs: DataFrame, key: str = "surrogates-1", text_col: str = "text", found_col: str = "pii_entities") -> DataFrame:
+def replace(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii_entities") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and the replaced entities (kind, entity, surrogate) in ``found_col``."""
     docs, tables = without(docs, found_col, "_entities", "_attempts", "_all", "_text"), Tables(docs.sparkSession, "pii")
     text = docs[text_col]

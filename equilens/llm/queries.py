@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +93,17 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: equilens.surrogates.key of the session; where that is unset, one is drawn for the session."""
+    name = "equilens.surrogates.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data, and what was replaced."""
-    found = pii.replace(read_table(spark, sf_dir, "documents"))
+    found = pii.replace(read_table(spark, sf_dir, "documents"), surrogate_key(spark))
     return found.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), "pii_entities")
 
 
