@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equilens.llm import jaccard, langid, packing, pii
 from equilens.llm.common import Tables, read_table
-from equilens.llm.queries import tokenizer
+from equilens.llm.queries import surrogate_key, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,11 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document with the smallest id of each class: links at a similarity of 0.8 or more over five-word shingles.
 
     Documents without words and those without an id stay, and so do repeated rows of the one that stays; of equal texts
-    that with the smallest id is the one. An empty table stays empty; other columns are dropped.
+    that with the smallest id is the one. A document is its id and its text: of different texts with one id each is judged
+    by itself, in the order of their hashes. An empty table stays empty; other columns are dropped.
     """
-    classes = jaccard.join(docs, 5, 80, 100)
-    gone = classes.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two")).alias("document"))
+    named = docs.where("doc_id is not null")
+    classes = jaccard.join(named, 5, 80, 100, "document")
+    gone = classes.where("n_shingles > 0 and document != component_id").select("document").distinct()
+    return named.join(gone, "document", "left_anti").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, with a null number of characters; equal entities get equal surrogates in all rows, repeated
     rows are replaced alike, an empty table stays empty; other columns are dropped.
     """
-    replaced = pii.replace(docs)
+    replaced = pii.replace(docs, surrogate_key(spark))
     return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
