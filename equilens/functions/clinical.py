@@ -14,12 +14,20 @@ NSCLC = {"LUAD": 0, "LUSC": 1}
 GLIOMA = {"LGG": 0, "GBM": 1}
 RACE_STATUSES = ["mapped", "missing", "not_reported", "unsupported_category"]
 
+#: The characters that stripping takes from both ends, all white space of Unicode and four separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 CASE = "submitter_id string, project struct<project_id:string>, demographic struct<race:string, sex_at_birth:string, days_to_birth:double>, diagnoses array<struct<primary_diagnosis:string>>"
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(value, F.lit(WHITE))
+
+
 def clean(value: Column) -> Column:
     """Stripped; empty is null."""
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(strip(value), F.lit(""))
 
 
 def is_clean(value: Column) -> Column:
@@ -28,12 +36,12 @@ def is_clean(value: Column) -> Column:
 
 def lookup(value: Column, table: dict[str, str]) -> Column:
     """By lower-case stripped value, else null."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(F.trim(value)))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(strip(value)))
 
 
 def race_status(value: Column) -> Column:
     """mapped, missing, not_reported or unsupported_category."""
-    low = F.lower(F.trim(value))
+    low = F.lower(strip(value))
     return (
         F.when(clean(value).isNull(), "missing")
         .when(low.isin(list(RACES)), "mapped")
@@ -55,7 +63,7 @@ def age_bin(age: Column, cutoff: float = 65) -> Column:
 
 def number(value: Column) -> Column:
     """Double, null for what is none or is not finite."""
-    x = value.try_cast("double")
+    x = strip(value.cast("string")).try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
@@ -66,7 +74,7 @@ def whole(value: Column) -> Column:
 
 def factor_value(value: Column) -> Column:
     """Stripped; empty, nan and None are null."""
-    v = F.trim(value)
+    v = strip(value)
     return F.when(~v.isin("", "nan", "None"), v)
 
 
@@ -76,13 +84,13 @@ def cancer_code(project_id: Column) -> Column:
 
 def diagnoses_joined(names: Column) -> Column:
     """Sorted distinct non-empty names with a vertical bar between."""
-    known = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda d: F.trim(d)), lambda d: d.isNotNull() & (d != ""))
+    known = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), strip), lambda d: d.isNotNull() & (d != ""))
     return F.array_join(F.array_sort(F.array_distinct(known)), "|")
 
 
 def breast_subtype(names: Column) -> Column:
     """ductal, lobular, ambiguous or unclassified."""
-    low = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda d: F.lower(F.trim(F.coalesce(d, F.lit("")))))
+    low = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda d: F.lower(strip(F.coalesce(d, F.lit("")))))
     says = lambda word: F.exists(low, lambda d: d.contains(word) & d.contains("carcinoma"))
     duct, lobe = says("duct"), says("lobular")
     return F.when(duct & lobe, "ambiguous").when(duct, "ductal").when(lobe, "lobular").otherwise("unclassified")

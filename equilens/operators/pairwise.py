@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPS, normalised
@@ -37,18 +39,47 @@ def prototypes(df: DataFrame, cls: str, vector: str, condition: str | None = Non
     return mean_vectors(known, keys, vector, "_mean").select(*keys, normalised(F.col("_mean")).alias("prototype"), "n")
 
 
-def moving_prototypes(df: DataFrame, cls: str, batch: str, vector: str, ema: float, renormalise: bool = False) -> DataFrame:
-    """(class, prototype): batch means in batch order, the first copied, then ema * p + (1 - ema) * mean."""
-    means = mean_vectors(df, [cls, batch], vector, "_m")
-    if renormalise:
-        means = means.withColumn("_m", normalised(F.col("_m")))
-    steps = means.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct(batch, "_m"))).alias("_s"))
+#: Batch numbers of a range in which places of batches are counted.
+RANGE = 4096
+
+
+def places(batches: DataFrame, cls: str, batch: str) -> DataFrame:
+    """(class, batch) with ``_after``, how many batches of the class follow, and ``_first``: counted in ranges of numbers, then over ranges."""
+    ranged = batches.withColumn("_range", F.floor(F.col(batch) / RANGE))
+    up_to = lambda *keys, by: Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(cls, "_range").agg(F.count("*").alias("_n"), F.min(batch).alias("_low"))
+    lowest = F.min("_low").over(Window.partitionBy(cls))
+    beyond = sizes.select(cls, "_range", F.coalesce(F.sum("_n").over(up_to(cls, by="_range")), F.lit(0)).alias("_beyond"), lowest.alias("_low"))
+    inside = ranged.withColumn("_inside", F.count("*").over(up_to(cls, "_range", by=batch)))
+    return inside.join(beyond, [cls, "_range"]).select(cls, batch, (F.col("_beyond") + F.col("_inside")).alias("_after"), (F.col(batch) == F.col("_low")).alias("_first"))
 
-    def blend(p: Column, s: Column) -> Column:
-        mixed = F.when(F.size(p) == 0, s["_m"]).otherwise(F.zip_with(p, s["_m"], lambda a, b: a * ema + b * (1 - ema)))
-        return normalised(mixed) if renormalise else mixed
 
-    return steps.select(cls, F.aggregate("_s", F.array().cast("array<double>"), blend).alias("prototype"))
+def moving_prototypes(df: DataFrame, cls: str, batch: str, vector: str, ema: float, renormalise: bool = False) -> DataFrame:
+    """(class, prototype): batch means in the order of batch numbers, the first copied, then ema * p + (1 - ema) * mean.
+
+    Plainly, a mean counts ema ^ (batches after it), all but the first times 1 - ema; these weights sum to 1, so it is
+    one weighted sum whatever the order. Renormalised after every batch it is a walk: means stream in order past one vector.
+    """
+    means = mean_vectors(df, [cls, batch], vector, "_m").drop("n")
+    if not renormalise:
+        weight = F.pow(F.lit(float(ema)), F.col("_after")) * F.when(F.col("_first"), 1.0).otherwise(1.0 - ema)
+        weighted = means.join(places(means.select(cls, batch), cls, batch), [cls, batch]).select(cls, array_to_vector("_m").alias("_v"), weight.alias("_w"))
+        return weighted.groupBy(cls).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("prototype"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, p = None, None
+        unit = lambda v: v / max(np.linalg.norm(v), EPS)
+        for rows in batches:
+            for key, mean in zip(rows[cls], rows["_m"], strict=True):
+                if p is not None and key != at:
+                    yield pd.DataFrame({cls: [at], "prototype": [p]})
+                    p = None
+                at, p = key, unit(np.array(mean)) if p is None else unit(ema * p + (1 - ema) * unit(np.array(mean)))
+        if p is not None:
+            yield pd.DataFrame({cls: [at], "prototype": [p]})
+
+    known = means.where(F.col(cls).isNotNull())
+    return known.repartition(cls).sortWithinPartitions(cls, batch).mapInPandas(walk, f"{cls} {df.schema[cls].dataType.simpleString()}, prototype array<double>")
 
 
 def blocks(df: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +89,38 @@ def tile_weights(tiles: DataFrame, label: str, out: str = "weight") -> DataFrame
     return tiles.join(counts, label, "left").crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce(1 / F.col("_n"), F.col("_mean")) / F.col("_mean")).drop("_n", "_mean")
 
 
+#: Rows of a bucket of weights, about, and bits of a row's weight below the sum of all.
+BUCKET_ROWS, WEIGHT_BITS = 64, 50
+
+
 def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows with replacement, as often as their weight asks for in expectation.
+    """Exactly ``n`` rows with replacement, each draw of a row with its share of the weights.
 
-    Each row is repeated a Poisson number of times, found from a hash of its key by the inverse distribution.
+    Rows lie on a line in the order of their hashes, each as long as its weight; draws are hashed points on it.  A point
+    finds its bucket by cells of equal length, and its row by comparing it with the few of the bucket; places of
+    buckets are summed up in two levels, so nothing is sorted as a whole.  Weights are whole numbers of 50 bits together: a
+    smaller share is never drawn. Rows with a null key or weight, or one not above 0, are not drawn; without any, none are.
     """
-    total = df.agg(F.sum(weight).alias("_total"))
-    mean = n * F.col(weight) / F.col("_total")
-    u = hash_number(seed, F.lit("draw"), F.col(key)) / F.lit(float(1 << 52))
-
-    def times(mean: Column) -> Column:
-        # (term, cumulated, count) while the cumulated probability stays below u; ten deviations beyond the mean no more come
-        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("count"))
-        step = lambda a, k: F.struct((a["term"] * mean / k).alias("term"), (a["sum"] + a["term"] * mean / k).alias("sum"), (a["count"] + (a["sum"] < u).cast("int")).alias("count"))
-        return F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean) + 10).cast("int")), start, step, lambda a: a["count"])
-
-    counted = df.crossJoin(F.broadcast(total)).withColumn("_times", times(mean)).drop("_total")
-    return counted.where("_times > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_", "_times")
+    df = df.where((F.col(weight) > 0) & F.col(key).isNotNull())
+    found = df.agg(F.sum(weight).alias("total"), F.count("*").alias("rows")).first()
+    bits = max(0, (found["rows"] // BUCKET_ROWS).bit_length())
+    scale = 2.0 ** (WEIGHT_BITS - math.ceil(math.log2(found["total"]))) if found["rows"] else 1.0
+    number = hash_number(seed, F.lit("draw"), F.col(key))
+    items = df.withColumns({"_w": F.round(F.col(weight) * scale).cast("long"), "_rank": hash_rank(seed, F.lit("draw"), F.col(key)), "_bucket": F.shiftright(number, 52 - bits)}).where("_w > 0")
+
+    sums = items.groupBy("_bucket").agg(F.sum("_w").alias("_sum")).withColumn("_upper", F.shiftright("_bucket", bits // 2))
+    uppers = sums.groupBy("_upper").agg(F.sum("_sum").alias("_all"))
+    uppers = uppers.withColumn("_before", F.sum("_all").over(Window.orderBy("_upper")) - F.col("_all"))  # as many rows as the root of the buckets
+    inside = F.sum("_sum").over(Window.partitionBy("_upper").orderBy("_bucket")) - F.col("_sum")
+    buckets = sums.withColumn("_inside", inside).join(uppers, "_upper").select("_bucket", "_sum", (F.col("_before") + F.col("_inside")).alias("_low"))
+
+    total = uppers.agg(F.coalesce(F.sum("_all"), F.lit(0)).alias("t")).first()["t"]
+    width = max(1, total >> bits)
+    cell = lambda x: F.expr(f"({x}) div {width}")
+    cells = buckets.select("_bucket", "_low", "_sum", F.explode(F.sequence(cell("_low"), cell("_low + _sum - 1"))).alias("_cell"))
+    points = df.sparkSession.range(n if total else 0).select((hash_number(seed, F.lit("point"), F.col("id")) % max(1, total)).alias("_at"))
+    placed = points.withColumn("_cell", cell("_at")).join(cells, "_cell").where("_at >= _low and _at < _low + _sum").select("_bucket", (F.col("_at") - F.col("_low")).alias("_at"))
+    order = Window.partitionBy("_bucket").orderBy("_rank", key)
+    ends = items.withColumn("_end", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = placed.join(ends, "_bucket").where("_at < _end and _at >= _end - _w")
+    return drawn.select(*df.columns)

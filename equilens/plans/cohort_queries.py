@@ -112,12 +112,14 @@ def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resampled(weighted, "key", "weight", weighted.count()).groupBy("flag").agg(F.count("*").alias("draws"))
 
 
-# Poisson draws by the inverse distribution: with means near 1, sixty terms are all there are.
+# Rows on a line, each as long as its weight in whole numbers; every hashed point takes the row it falls on.
 SQL["weighted_resample"] = f"""WITH {TILES}, t AS (SELECT *, CASE WHEN flag != 'N' THEN flag END AS label FROM tiles), n AS (SELECT label, 1.0::DOUBLE / count(*) AS w FROM t WHERE label IS NOT NULL GROUP BY label),
 raw AS (SELECT t.flag, coalesce(n.w, (SELECT avg(n.w) FROM t JOIN n USING (label))) AS w, slide || '-' || tile || '-' || part AS key FROM t LEFT JOIN n USING (label)),
-u AS (SELECT flag, w / (SELECT avg(w) FROM raw) AS mean, ('0x' || substr(sha256('42:draw:' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM raw),
-means AS (SELECT DISTINCT mean FROM u), terms AS (SELECT mean, k, sum(exp(-mean) * pow(mean, i) / gamma(i + 1)) AS below FROM means, range(60) a(k), range(60) b(i) WHERE i <= k GROUP BY ALL)
-SELECT flag, sum((SELECT count(*) FROM terms WHERE terms.mean = u.mean AND below < u))::BIGINT AS draws FROM u GROUP BY flag"""
+weighted AS (SELECT flag, key, w / (SELECT avg(w) FROM raw) AS w FROM raw),
+items AS (SELECT flag, key, round(w * pow(2, 50 - ceil(log2((SELECT sum(w) FROM weighted)))))::BIGINT AS w FROM weighted),
+line AS (SELECT flag, (sum(w) OVER (ORDER BY sha256('42:draw:' || key), key ROWS UNBOUNDED PRECEDING))::BIGINT AS high FROM items),
+points AS (SELECT ('0x' || substr(sha256('42:point:' || range), 1, 13))::BIGINT % (SELECT sum(w)::BIGINT FROM items) AS place FROM range((SELECT count(*) FROM items)))
+SELECT flag, count(*) AS draws FROM points ASOF JOIN line ON place < high GROUP BY flag"""
 
 
 # Pools, caps and permutations
@@ -383,7 +385,7 @@ SQL["labelled_cohort"] = f"WITH {PREDICTIONS} SELECT y AS raw, (patient_id % 5):
 @query
 def clinical_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = patients(spark, sf_dir)
-    raw = F.element_at(F.array(*[F.lit(x) for x in (" White ", "black or african american", "Asian", "unknown", "", "martian")]), (F.col("patient_id") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("\tWhite\n", "black or african american\u00a0", " \r\nAsian", "unknown\x0b", "\t \n", "martian")]), (F.col("patient_id") % 6 + 1).cast("int"))
     days = -F.floor(F.abs(F.col("balance")) * 4)
     return p.select("patient_id", clinical.lookup(raw, clinical.RACES).alias("race"), clinical.race_status(raw).alias("race_status"), F.round(days / 365.25, 6).alias("exact"), clinical.age_bin(clinical.age_years(days)).alias("age_bin"))
 
@@ -397,7 +399,7 @@ round(-floor(abs(balance) * 4) / 365.25::DOUBLE, 6) AS exact, CASE WHEN round(fl
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an order as the diagnoses of a case."""
     t, p = tiles(spark, sf_dir), table(spark, sf_dir, "part")
-    words = {"ring": "ductal Carcinoma", "widget": "Lobular carcinoma "}
+    words = {"ring": "\tductal Carcinoma\n", "widget": "Lobular carcinoma \u2003"}
     name = F.substring_index("p_name", " ", -1)
     named = t.join(p, F.col("part") == F.col("p_partkey")).select("slide", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), name), name).alias("d"))
     case = named.groupBy("slide").agg(F.collect_list("d").alias("names"))
@@ -413,7 +415,7 @@ CASE WHEN bool_or(d LIKE 'duct%') AND bool_or(d LIKE 'Lob%') THEN 'ambiguous' WH
 def parsed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
-    return e.select("event_id", clinical.whole(k).alias("k"), clinical.number(F.when(F.col("event_id") % 3 == 0, "nan").otherwise(k)).alias("x"), clinical.factor_value(F.when(F.col("event_id") % 4 == 0, " None ").otherwise(F.col("event_type"))).alias("factor"))
+    return e.select("event_id", clinical.whole(k).alias("k"), clinical.number(F.when(F.col("event_id") % 3 == 0, "nan").otherwise(k)).alias("x"), clinical.factor_value(F.when(F.col("event_id") % 4 == 0, "\n None\t").otherwise(F.col("event_type"))).alias("factor"))
 
 
 SQL["parsed_properties"] = """SELECT event_id, (props->>'$.k')::DOUBLE::INTEGER AS k, CASE WHEN event_id % 3 != 0 THEN (props->>'$.k')::DOUBLE END AS x,

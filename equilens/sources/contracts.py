@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.identity import id_set_digest
+from ..functions.identity import bucketed_digest, id_set_digest
 
 RECEIPT = ["file_count", "total_bytes", "names_sha256", "sizes_sha256", "stats_sha256"]
 #: Bytes that a content digest holds in memory.
@@ -24,19 +24,39 @@ def files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFra
     return df.select(F.substring_index("path", "/", -1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def lines_digest(line: Column) -> Column:
-    """sha256 of the rows' lines in order; for lists of files."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "").cast("binary"), 256)
+def listing_digest(listed: DataFrame, line: Column, out: str) -> DataFrame:
+    """One row (out): lines in the order of names, by 4,096 buckets of names, so no task holds a whole listing."""
+    return bucketed_digest(listed, line, F.struct(F.col("name"), line), F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, 3)).select(F.col("sha256").alias(out))
+
+
+def flat_digest(listed: DataFrame, line: Column) -> DataFrame:
+    """One row (n, sha256): the digest of all lines in order as one text, each with a line feed.
+
+    This is what a single reader would compute. It cannot be cut into parts: sorted lines stream through one task, which
+    holds one of them at a time. Receipts that need not equal such a value use ``inventory``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for text in b["line"]:
+                h.update(text.encode() + b"\n")
+            n += len(b)
+        yield pd.DataFrame({"n": [n], "sha256": [h.hexdigest()]})
+
+    found = listed.select(line.alias("line")).repartition(1).sortWithinPartitions("line").mapInPandas(run, "n long, sha256 string")
+    empty = hashlib.sha256(b"").hexdigest()
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sha256"), F.lit(empty)).alias("sha256"))
 
 
 def inventory(listed: DataFrame) -> DataFrame:
     """One row: count, bytes, digests of names, of names with sizes, of names with sizes and times."""
-    nl, tab = F.lit("\n"), F.lit("\t")
-    size, time = F.col("size").cast("string"), F.col("modified").cast("long").cast("string")
-    return listed.agg(
-        F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), lines_digest(F.concat("name", nl)).alias("names_sha256"),
-        lines_digest(F.concat("name", tab, size, nl)).alias("sizes_sha256"), lines_digest(F.concat("name", tab, size, tab, time, nl)).alias("stats_sha256"),
-    )
+    tab, size, time = F.lit("\t"), F.col("size").cast("string"), F.col("modified").cast("long").cast("string")
+    out = listed.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"))
+    lines = {"names_sha256": F.col("name"), "sizes_sha256": F.concat("name", tab, size), "stats_sha256": F.concat("name", tab, size, tab, time)}
+    for name, line in lines.items():
+        out = out.crossJoin(F.broadcast(listing_digest(listed, line, name)))  # one row each
+    return out
 
 
 def located(path: str) -> tuple:
@@ -73,7 +93,8 @@ def content_digests(listed: DataFrame, tasks: int | None = None) -> DataFrame:
 
 def manifest(digests: DataFrame) -> DataFrame:
     """One row: digest of the ordered names, sizes and content digests."""
-    return digests.agg(F.count("*").alias("file_count"), lines_digest(F.concat("name", F.lit("\t"), F.col("size").cast("string"), F.lit("\t"), "sha256", F.lit("\n"))).alias("content_sha256"))
+    line = F.concat("name", F.lit("\t"), F.col("size").cast("string"), F.lit("\t"), "sha256")
+    return digests.agg(F.count("*").alias("file_count")).crossJoin(F.broadcast(listing_digest(digests, line, "content_sha256")))
 
 
 def schema_violations(listed: DataFrame, expected: str) -> DataFrame:

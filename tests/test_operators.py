@@ -717,3 +717,62 @@ def test_fit_does_not_depend_on_partitions_or_company(spark):
     for job, head in zip(jobs, both):
         alone = debias.fit_all(df.coalesce(1), None, 6, settings, [job], epochs=2, key="patient_id")[0]
         assert all(np.allclose(alone.arrays[k], head.arrays[k]) for k in alone.arrays)
+
+
+def test_exact_draws_equal_points_on_a_line(spark, monkeypatch):
+    """As many rows as are asked for, each point on the row that a plain walk over the line finds; many buckets and a heavy row."""
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(2)
+    data = [(f"k{i}", float(w)) for i, w in enumerate(rng.integers(1, 2000, 300) / 16)] + [("heavy", 9000.0), ("none", 0.0), ("null", None), ("less", -1.0), (None, 3.0)]
+    df = spark.createDataFrame(data, "id string, w double").withColumn("_w", F.lit("clash"))
+    got = collections.Counter(r["id"] for r in sampling.resampled(df.drop("_w"), "id", "w", 5000).collect())
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:13], 16)
+    known = [(k, w) for k, w in data if k and w and w > 0]
+    scale = 2.0 ** (50 - int(np.ceil(np.log2(sum(w for _, w in known)))))
+    line = sorted(known, key=lambda r: (hashlib.sha256(f"42:draw:{r[0]}".encode()).hexdigest(), r[0]))
+    ends = np.cumsum([round(w * scale) for _, w in line])
+    want = collections.Counter(line[int(np.searchsorted(ends, number(f"42:point:{i}") % int(ends[-1]), side="right"))][0] for i in range(5000))
+    assert sum(got.values()) == 5000 and got == want and got["heavy"] > 500
+    assert sampling.resampled(df.where("w < 0").drop("_w"), "id", "w", 10).count() == 0 and sampling.resampled(df.limit(0).drop("_w"), "id", "w", 10).count() == 0
+
+
+def test_moving_prototypes_equal_a_plain_loop(spark):
+    """Ten thousand batches with gaps, of two classes; nothing gathers the batches of a class."""
+    rng = np.random.default_rng(3)
+    data = [(int(k), int(b) * 3, rng.normal(size=3).tolist()) for k in range(2) for b in rng.permutation(10_000)]
+    df = spark.createDataFrame(data, "c int, b int, v array<double>")
+    for again in (False, True):
+        made = pairwise.moving_prototypes(df, "c", "b", "v", 0.99, again)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan
+        got = {r["c"]: r["prototype"] for r in made.collect()}
+        unit = lambda v: v / np.linalg.norm(v) if again else v
+        for k in range(2):
+            p = None
+            for _, _, v in sorted(r for r in data if r[0] == k):
+                p = unit(np.array(v)) if p is None else unit(0.99 * p + 0.01 * unit(np.array(v)))
+            assert np.allclose(got[k], p, atol=1e-9)
+
+
+def test_white_space_of_every_kind(spark):
+    white = "\t\n\x0b\x0c\r\x1c\x1f \x85\u00a0\u2003\u3000"
+    assert clinical.WHITE == "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+    df = spark.createDataFrame([(white + "White" + white, white, f"{white}1.5{white}", f"{white}None\n")], "a string, b string, c string, d string")
+    got = df.select(clinical.lookup(F.col("a"), clinical.RACES), clinical.race_status(F.col("a")), clinical.race_status(F.col("b")), clinical.clean(F.col("b")), clinical.number(F.col("c")), clinical.factor_value(F.col("d"))).first()
+    assert tuple(got) == ("White", "mapped", "missing", None, 1.5, None)
+
+
+def test_digests_of_listings(spark):
+    """By buckets of names, whatever the order; and the flat one that a single reader computes."""
+    data = [(f"s{i}.parquet", i, "2020-01-01") for i in range(500)]
+    df = spark.createDataFrame(data, "name string, size long, day string").withColumn("modified", F.col("day").cast("timestamp"))
+    one, two = contracts.inventory(df).first(), contracts.inventory(df.orderBy(F.desc("size")).repartition(5)).first()
+    assert one == two and one["file_count"] == 500 and one["names_sha256"] != one["sizes_sha256"]
+    buckets = collections.defaultdict(list)
+    for name, size, _ in sorted(data):
+        buckets[hashlib.sha256(name.encode()).hexdigest()[:3]].append(f"{name}\t{size}")
+    of = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert one["sizes_sha256"] == of(of(v) for _, v in sorted(buckets.items()))
+    flat = contracts.flat_digest(df, F.concat("name", F.lit("\t"), F.col("size").cast("string"))).first()
+    assert flat["n"] == 500 and flat["sha256"] == hashlib.sha256("".join(f"{n}\t{s}\n" for n, s, _ in sorted(data)).encode()).hexdigest()
+    assert contracts.flat_digest(df.limit(0), F.col("name")).first()["sha256"] == hashlib.sha256(b"").hexdigest()
