@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from ..functions.identity import bucketed_digest
 
 #: Takes a list of payloads, returns an array of vectors, or None in place of one that failed.
 EmbedFn = Callable[[list[bytes]], list]
-STORED = "content_key string, vector array<float>, payload_bytes int, model_key string"
+STORED = "content_key string, vector array<float>, payload_bytes int, batch string, model_key string"
 
 
 def embed(df: DataFrame, payload: str, embed_fn: EmbedFn, out: str = "vector", batch: int = 64) -> DataFrame:
@@ -39,18 +40,53 @@ def with_key(df: DataFrame, model_key: str, config: str, payload: str) -> DataFr
     return df.withColumn("content_key", F.sha2(F.concat(F.lit(f"{model_key}\n{config}\n").cast("binary"), F.col(payload)), 256))
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Spark's own writers see them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Batches of a store that are whole, in order: each has a file in its manifest."""
+    system, where = _at(spark, f"{path}/committed")
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
+def append(entries: DataFrame, path: str, batch: str | None = None) -> str:
+    """Add a batch to a store: its entries are written first, then it is committed. A batch of a name that is committed is not written again.
+
+    Entries lie in the order of their keys, so a look-up reads the parts of files that can hold them.
+    """
+    spark, batch = entries.sparkSession, batch or uuid.uuid4().hex
+    if batch not in committed(spark, path):
+        rows = entries.select("content_key", "vector", "payload_bytes", "model_key")
+        rows.repartition("content_key").sortWithinPartitions("model_key", "content_key").write.mode("overwrite").partitionBy("model_key").parquet(f"{path}/entries/batch={batch}")
+        system, where = _at(spark, f"{path}/committed/{batch}")
+        system.createNewFile(where)
+    return batch
+
+
 def store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored embeddings, or None before the first batch."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(STORED).parquet(path) if there else None
+    """The stored embeddings, one for each model and content, or None before the first batch.
+
+    Batches that did not end are not seen. Where several hold a content, since runs overlapped or were repeated, the first
+    of the manifest counts.
+    """
+    batches = committed(spark, path)
+    if not batches:
+        return None
+    found = spark.read.schema(STORED).option("basePath", f"{path}/entries").parquet(*[f"{path}/entries/batch={b}" for b in batches])
+    if len(batches) == 1:
+        return found.drop("batch")
+    first = F.min_by(F.struct("vector", "payload_bytes"), "batch").alias("e")
+    return found.groupBy("model_key", "content_key").agg(first).select("content_key", "e.vector", "e.payload_bytes", "model_key")
 
 
-def embed_new(df: DataFrame, path: str, model_key: str, config: str, payload: str, embed_fn: EmbedFn) -> DataFrame:
-    """All rows with their vector; only contents that the store lacks are embedded and appended (M9).
+def embed_new(df: DataFrame, path: str, model_key: str, config: str, payload: str, embed_fn: EmbedFn, batch: str | None = None) -> DataFrame:
+    """All rows with their vector; only contents that the store lacks are embedded and added (M9).
 
-    Keys alone meet the store in the join; payloads are read for what is missing, once for each content.
+    Keys alone meet the store in the join; payloads are read for what is missing, once for each content. Runs may overlap
+    and be repeated: no row of ``df`` gets more than one vector.
     """
     spark = df.sparkSession
     keyed = with_key(df.where(F.col(payload).isNotNull()), model_key, config, payload)
@@ -59,10 +95,8 @@ def embed_new(df: DataFrame, path: str, model_key: str, config: str, payload: st
     if known is not None:
         missing = missing.join(known.where(F.col("model_key") == model_key).select("content_key"), "content_key", "left_anti")
     fresh = embed(missing, payload, embed_fn).where("vector is not null")
-    fresh = fresh.select("content_key", "vector", F.length(payload).alias("payload_bytes"), F.lit(model_key).alias("model_key"))
-    fresh.write.mode("append").partitionBy("model_key").parquet(path)
-    # With its schema given, a store that holds no vector yet can be read too.
-    stored = spark.read.schema(STORED).parquet(path).where(F.col("model_key") == model_key).select("content_key", "vector")
+    append(fresh.select("content_key", "vector", F.length(payload).alias("payload_bytes"), F.lit(model_key).alias("model_key")), path, batch)
+    stored = store(spark, path).where(F.col("model_key") == model_key).select("content_key", "vector")
     return keyed.join(stored, "content_key", "left")
 
 

@@ -26,15 +26,34 @@ def train_validation(df: DataFrame, patient: str, val_fraction: float, seed: int
     return df.withColumn("is_train", split_fraction(seed, F.col(patient)) >= val_fraction)
 
 
+#: Rows of a bucket of hashes, about.
+BUCKET_ROWS = 4096
+
+
+def bucket_bits(rows: int, bucket_rows: int) -> int:
+    """Bits of a hash that cut so many rows into buckets of about ``bucket_rows``."""
+    return max(0, rows // bucket_rows).bit_length()
+
+
+def before_buckets(sums: DataFrame, keys: list[str], amount: str, bits: int, out: str) -> DataFrame:
+    """(keys, _bucket, out): what lies in the buckets before, inside ``keys``; summed up in two levels, each of the root of the buckets."""
+    sums = sums.withColumn("_upper", F.shiftright("_bucket", bits // 2))
+    over = lambda by, order: F.sum(amount).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)) - F.col(amount)
+    uppers = sums.groupBy(*keys, "_upper").agg(F.sum(amount).alias(amount)).withColumn("_lower", over(keys, "_upper")).drop(amount)
+    inside = sums.withColumn("_inside", over([*keys, "_upper"], "_bucket"))
+    return inside.join(uppers, [*keys, "_upper"]).select(*keys, "_bucket", (F.col("_lower") + F.col("_inside")).alias(out))
+
+
 def numbered(df: DataFrame, keys: list[str], rank: Column, tie: str, out: str = "position") -> DataFrame:
     """``df`` with 0-based positions by (rank, tie) inside ``keys``, without a window over a whole stratum.
 
-    The first two hexadecimal digits of the rank make 256 buckets; positions inside a bucket are offset by the rows of
-    the buckets before it.
+    rank: hexadecimal digits of a hash. Its first bits make buckets, the more the more rows there are, so a bucket has about
+    BUCKET_ROWS rows at any size; positions inside a bucket are offset by the rows of the buckets before it.
     """
-    df = df.withColumns({"_rank": rank, "_bucket": F.substring(rank, 1, 2)})
-    counts = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    bits = bucket_bits(df.count(), BUCKET_ROWS)
+    bucket = F.shiftright(F.conv(F.substring(rank, 1, 13), 16, 10).cast("long"), 52 - bits)
+    df = df.withColumns({"_rank": rank, "_bucket": bucket})
+    before = before_buckets(df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")), keys, "_n", bits, "_before")
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_rank", tie)) - 1
     return df.withColumn("_inside", inside).join(before, [*keys, "_bucket"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_rank", "_bucket", "_inside", "_before")
 

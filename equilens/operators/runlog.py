@@ -34,6 +34,31 @@ def distinct_counts(df: DataFrame, columns: list[str], by: list[str], exact: boo
     return df.groupBy(*by).agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
+#: Logarithm of the registers of a sketch; its relative error is about 1.04 / sqrt(registers), 1.6 % here.
+REGISTERS = 12
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, sketch_<column>): sketches of the distinct values, which later runs can merge without any id."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(REGISTERS)).alias(f"sketch_{c}") for c in columns])
+
+
+def merged_sketches(sketches: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Sketches of any number of runs and steps, merged by ``by``."""
+    return sketches.groupBy(*by).agg(*[F.hll_union_agg(f"sketch_{c}").alias(f"sketch_{c}") for c in columns])
+
+
+def sketched_counts(sketches: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, n_<column>) about."""
+    return sketches.select(*by, *[F.hll_sketch_estimate(f"sketch_{c}").alias(f"n_{c}") for c in columns])
+
+
+def cumulative_sketches(sketches: DataFrame, run: str, step: str, column: str) -> DataFrame:
+    """(run, step, unique_so_far) about, from one sketch a step, of bounded size each."""
+    so_far = F.hll_union_agg(f"sketch_{column}").over(Window.partitionBy(run).orderBy(step))
+    return sketches.select(run, step, F.hll_sketch_estimate(so_far).alias("unique_so_far"))
+
+
 def stop_report(log: DataFrame, run: str, step: str, budgets: dict[str, float]) -> DataFrame:
     """(run, last_step, <counter>, <counter>_part of its budget, stopped_by): the first counter in order that reached its budget, else "end" (A26)."""
     last = log.groupBy(run).agg(F.max_by(F.struct(F.col(step).alias("step"), *[F.col(c) for c in budgets]), F.col(step)).alias("last"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import hash_number, hash_rank, numbered
+from .folds import before_buckets, bucket_bits, hash_number, hash_rank, numbered
 
 
 def balanced_pool(patients: DataFrame, patient: str, condition: str, attributes: list[str], limit: int, seed: int = 1337) -> DataFrame:
@@ -103,18 +103,14 @@ def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> D
     """
     df = df.where((F.col(weight) > 0) & F.col(key).isNotNull())
     found = df.agg(F.sum(weight).alias("total"), F.count("*").alias("rows")).first()
-    bits = max(0, (found["rows"] // BUCKET_ROWS).bit_length())
+    bits = bucket_bits(found["rows"], BUCKET_ROWS)
     scale = 2.0 ** (WEIGHT_BITS - math.ceil(math.log2(found["total"]))) if found["rows"] else 1.0
     number = hash_number(seed, F.lit("draw"), F.col(key))
     items = df.withColumns({"_w": F.round(F.col(weight) * scale).cast("long"), "_rank": hash_rank(seed, F.lit("draw"), F.col(key)), "_bucket": F.shiftright(number, 52 - bits)}).where("_w > 0")
 
-    sums = items.groupBy("_bucket").agg(F.sum("_w").alias("_sum")).withColumn("_upper", F.shiftright("_bucket", bits // 2))
-    uppers = sums.groupBy("_upper").agg(F.sum("_sum").alias("_all"))
-    uppers = uppers.withColumn("_before", F.sum("_all").over(Window.orderBy("_upper")) - F.col("_all"))  # as many rows as the root of the buckets
-    inside = F.sum("_sum").over(Window.partitionBy("_upper").orderBy("_bucket")) - F.col("_sum")
-    buckets = sums.withColumn("_inside", inside).join(uppers, "_upper").select("_bucket", "_sum", (F.col("_before") + F.col("_inside")).alias("_low"))
-
-    total = uppers.agg(F.coalesce(F.sum("_all"), F.lit(0)).alias("t")).first()["t"]
+    sums = items.groupBy("_bucket").agg(F.sum("_w").alias("_sum"))
+    buckets = sums.join(before_buckets(sums, [], "_sum", bits, "_low"), "_bucket")
+    total = sums.agg(F.coalesce(F.sum("_sum"), F.lit(0)).alias("t")).first()["t"]
     width = max(1, total >> bits)
     cell = lambda x: F.expr(f"({x}) div {width}")
     cells = buckets.select("_bucket", "_low", "_sum", F.explode(F.sequence(cell("_low"), cell("_low + _sum - 1"))).alias("_cell"))

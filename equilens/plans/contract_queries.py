@@ -412,6 +412,20 @@ def receipts_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["receipts_disagree"] = "SELECT DISTINCT o_orderpriority AS field, CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 1 END::BIGINT AS values FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'"
 
 
+@query
+def counters_of_merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by type of event over two runs of which only sketches are kept, beside the exact count and whether they are near."""
+    e = table(spark, sf_dir, "events").withColumn("run", F.col("event_id") % 2)
+    kept = runlog.distinct_sketches(e, ["user_id"], ["run", "event_type"])
+    about = runlog.sketched_counts(runlog.merged_sketches(kept, ["user_id"], ["event_type"]), ["user_id"], ["event_type"])
+    exact = runlog.distinct_counts(e, ["user_id"], ["event_type"]).withColumnRenamed("n_user_id", "exact")
+    near = F.abs(F.col("n_user_id") - F.col("exact")) <= 0.08 * F.col("exact")  # five times the stated error
+    return exact.join(about, "event_type").select("event_type", "exact", near.alias("near"))
+
+
+SQL["counters_of_merged_runs"] = "SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY event_type"
+
+
 @query
 def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedding store in which keys repeat, vectors are cut short, and components are undefined."""

@@ -321,7 +321,7 @@ def test_embedding_store(spark, tmp_path):
     assert rows(embed.embed_new(df, path, "m1", "cfg", "payload", model).select("patient_id", "vector")) == [("a", [3.0, 1.0]), ("b", [3.0, 1.0]), ("c", None)]
     changed = df.withColumn("payload", F.when(F.col("patient_id") == "a", F.lit(b"three")).otherwise(F.col("payload")))
     embed.embed_new(changed, path, "m1", "cfg", "payload", model).collect()
-    stored = spark.read.parquet(path)
+    stored = embed.store(spark, path)
     assert stored.count() == 2 and embed.store_violations(stored, 2).count() == 0 and embed.store_violations(stored, 3).count() == 2
     assert len(open(calls).read()) == 4
 
@@ -776,3 +776,42 @@ def test_digests_of_listings(spark):
     flat = contracts.flat_digest(df, F.concat("name", F.lit("\t"), F.col("size").cast("string"))).first()
     assert flat["n"] == 500 and flat["sha256"] == hashlib.sha256("".join(f"{n}\t{s}\n" for n, s, _ in sorted(data)).encode()).hexdigest()
     assert contracts.flat_digest(df.limit(0), F.col("name")).first()["sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_overlapping_runs_leave_one_entry(spark, tmp_path):
+    """Two runs that saw the same store, a repeated batch, and one that broke off before it was committed."""
+    path = str(tmp_path / "store")
+    entry = lambda key, value: spark.createDataFrame([(key, [value], 3, "m")], embed.STORED.replace(" batch string,", ""))
+    assert embed.store(spark, path) is None
+    embed.append(entry("a", 1.0), path, "b1")
+    embed.append(entry("a", 2.0), path, "b2")
+    embed.append(entry("b", 3.0), path, "b2")  # committed already: nothing is written
+    entry("c", 4.0).write.partitionBy("model_key").parquet(f"{path}/entries/batch=b3")
+    assert rows(embed.store(spark, path).select("content_key", "vector")) == [("a", [1.0])]
+    df = spark.createDataFrame([("p", bytearray(b"xyz")), ("q", bytearray(b"xyz"))], "patient_id string, payload binary")
+    runs = [embed.embed_new(df, path, "m", "cfg", "payload", lambda ps: [[7.0]] * len(ps)) for _ in range(2)]
+    assert all(rows(r.select("patient_id", "vector")) == [("p", [7.0]), ("q", [7.0])] for r in runs)
+    assert embed.store_violations(embed.store(spark, path), 1).count() == 0
+
+
+def test_numbering_at_any_size(spark, monkeypatch):
+    """Positions are those of a sort, and a bucket's rows stay bounded as the table grows."""
+    monkeypatch.setattr(folds, "BUCKET_ROWS", 16)
+    for n in (0, 1, 200, 5000):
+        df = spark.range(n).withColumn("g", F.col("id") % 2)
+        got = {r["id"]: r["position"] for r in folds.numbered(df, ["g"], folds.hash_rank(1, F.col("id")), "id").collect()}
+        hashes = {i: hashlib.sha256(f"1:{i}".encode()).hexdigest() for i in range(n)}
+        want = {i: k for g in range(2) for k, i in enumerate(sorted(range(g, n, 2), key=lambda i: hashes[i]))}
+        assert got == want
+        bits = folds.bucket_bits(n, 16)
+        assert max(collections.Counter(int(h[:13], 16) >> (52 - bits) for h in hashes.values()).values(), default=0) < 64
+
+
+def test_sketches_of_runs_merge(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("run"), (F.col("id") % 5).alias("step"), (F.col("id") % 20_000).alias("user"))
+    kept = runlog.distinct_sketches(df, ["user"], ["run", "step"])
+    whole = runlog.sketched_counts(runlog.merged_sketches(kept.withColumn("_", F.lit(0)), ["user"], ["_"]), ["user"], ["_"]).first()["n_user"]
+    assert abs(whole - 20_000) < 0.08 * 20_000
+    so_far = {(r["run"], r["step"]): r["unique_so_far"] for r in runlog.cumulative_sketches(kept, "run", "step", "user").collect()}
+    exact = {(r["run"], r["step"]): r["unique_so_far"] for r in runlog.cumulative_uniques(df, "run", "step", "user").collect()}
+    assert so_far.keys() == exact.keys() and all(abs(so_far[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
