@@ -255,6 +255,46 @@ def test_what_holds_the_article_is_not_set_apart():
     assert main_of(f'<div class="no-sidebar with-comments"><p>{text}</div><div class="site-footer"><p>{text}</div>') == [text]
 
 
+def main_of(page):
+    blocks = html.blocks_of(page)
+    return [b[0] for b, m in zip(blocks, html.train().predict(html.features(blocks)), strict=True) if m]
+
+
+def prose(word, n):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+def test_long_asides_are_never_main():
+    article = f"<article><h1>Title of it</h1><p>{prose('a', 120)}</p><div class='advert'><p>{prose('x', 95)}</p></div><p>{prose('b', 100)}</p></article>"
+    comments = f"<section class='comments'><div><p>{prose('c', 100)}</p></div><div><p>{prose('d', 120)}</p></div></section>"
+    footer = f"<footer><p>{prose('e', 100)}</p><p>{prose('f', 110)}</p></footer>"
+    assert main_of(article + comments + footer) == ["Title of it", prose("a", 120), prose("b", 100)]
+    assert main_of(f"<div><p>{prose('a', 70)}</p></div>" + comments + footer) == [prose("a", 70)]
+
+
+def test_attributes_are_read_by_name():
+    keeps = lambda attributes: main_of(f"<div><p {attributes}>{prose('a', 80)}</p><p>{prose('b', 80)}</p></div>") == [prose("a", 80), prose("b", 80)]
+    assert keeps('title="a hidden gem of a town"') and keeps("data-x=\"class='advert' style='display:none'\"") and keeps('class="content" id="search"') and keeps('title="class=footer"')
+    assert not any(map(keeps, ("hidden", 'aria-hidden="true"', "style='color:red; display : none'", "class=advert", 'id="search"', 'CLASS="Footer"', 'class="comment content"')))
+
+
+def test_links_around_blocks_count():
+    cards = "".join(f"<a href='/{i}'><div><h3>{prose('t', 4)}</h3><div>{prose(f'c{i}x', 20)}</div></div></a>" for i in range(3))
+    assert main_of(f"<div>{cards}</div>") == []
+    assert main_of(f"<div><p>{prose('a', 30)} <a href=x>open</p><p>{prose('b', 30)}</p></div>") == [prose("a", 30) + " open", prose("b", 30)]
+
+
+def test_short_paragraphs_without_an_article():
+    assert main_of(f"<body><div><h1>A short title</h1><p>One two three.</p><p>Four five six.</p><p>{prose('a', 30)}</p></div></body>") == ["A short title", "One two three.", "Four five six.", prose("a", 30)]
+    menu = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(6))
+    assert main_of(f"<body><ul>{menu}</ul><div><p>{prose('a', 40)}</p></div></body>") == [prose("a", 40)]
+
+
+def test_formulas_in_prose():
+    page = f"<p>{prose('a', 20)} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds.</p>"
+    assert main_of(page) == [f"{prose('a', 20)} where x=2 holds."]
+
+
 # 5
 
 
