@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,25 +76,29 @@ def nested_records(records: DataFrame, folds: int = 5) -> DataFrame:
     return bad.unionByName(repeated).unionByName(uneven).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def nested_training(audit: DataFrame, folds: list[int]) -> DataFrame:
-    """(outer_fold, inner_fold, problem) of the training audit against the full grid (V5). audit: (outer_fold, inner_fold, folds)."""
+def nested_training(audit: DataFrame, folds: list[int], by: list[str] | None = None) -> DataFrame:
+    """(by, outer_fold, inner_fold, problem) of training audits against the full grid (V5). audit: (by, outer_fold, inner_fold, folds)."""
+    keys = by or []
     grid = [(k, j, [f for f in folds if f not in (k, j)]) for k in folds for j in [None, *[f for f in folds if f != k]]]
     want = audit.sparkSession.createDataFrame(grid, "outer_fold int, inner_fold int, _folds array<int>")
-    a = audit.select("outer_fold", "inner_fold", F.array_sort("folds").alias("folds")).withColumn("_has", F.lit(True))
-    on = want["outer_fold"].eqNullSafe(a["outer_fold"]) & want["inner_fold"].eqNullSafe(a["inner_fold"])
-    both = want.join(a, on, "full")
-    problem = F.when(a["_has"].isNull(), "absent").when(want["_folds"].isNull(), "extra").when(want["_folds"] != a["folds"], "folds")
-    return both.select(F.coalesce(want["outer_fold"], a["outer_fold"]).alias("outer_fold"), F.coalesce(want["inner_fold"], a["inner_fold"]).alias("inner_fold"), problem.alias("problem")).where("problem is not null")
-
-
-def checks(row: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(check) of the rules that a one-row contract does not meet, nulls included."""
+    on = [*keys, "outer_fold", "inner_fold"]
+    want = audit.select(*keys).distinct().crossJoin(F.broadcast(want)) if keys else want  # the grid of each audit, as many rows as models
+    want = want.select(*[F.col(c).alias(f"_{c}") for c in on], "_folds")
+    a = audit.select(*on, F.array_sort("folds").alias("folds")).withColumn("_has", F.lit(True))
+    both = want.join(a, functools.reduce(lambda x, y: x & y, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in on]), "full")
+    problem = F.when(F.col("_has").isNull(), "absent").when(F.col("_folds").isNull(), "extra").when(F.col("_folds") != F.col("folds"), "folds")
+    # Of the keys an inner fold alone may be null, on both sides.
+    return both.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in on], problem.alias("problem")).where("problem is not null")
+
+
+def checks(rows: DataFrame, rules: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """(by, check) of the rules that contracts, one a row, do not meet, nulls included."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda c: c.isNotNull())
-    return row.select(F.explode(failed).alias("check"))
+    return rows.select(*(by or []), F.explode(failed).alias("check"))
 
 
-def study_contract(contract: DataFrame, seed: int, lambda_: float | None = None, command: dict[str, object] | None = None) -> DataFrame:
-    """The study declaration's own rules; the strength of a run and the fields of its command, where given, have to be those declared (V6)."""
+def study_contract(contract: DataFrame, seed: int, lambda_: float | None = None, command: dict[str, object] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, check): a study declaration's own rules; the strength of a run and the fields of its command, where given, have to be those declared (V6)."""
     seeds = F.col("planned_head_seeds")
     required = ["study", "fold_seed", "head_architecture", "primary_estimand", "sensitive", "method"]
     rules = {f"{c} present": F.col(c).isNotNull() for c in required}
@@ -103,7 +109,7 @@ def study_contract(contract: DataFrame, seed: int, lambda_: float | None = None,
     if lambda_ is not None:
         rules["lambda of the run"] = F.lit(lambda_).isin(0.0) | (F.lit(lambda_) == F.col("posthoc_lambda"))
     rules |= {f"{k} of the command": F.col(k).eqNullSafe(F.lit(v)) for k, v in (command or {}).items()}
-    return checks(contract, rules)
+    return checks(contract, rules, by)
 
 
 def provenance(runs: DataFrame, files: DataFrame, posthoc_lambda: float) -> DataFrame:

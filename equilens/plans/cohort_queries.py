@@ -108,13 +108,13 @@ SELECT flag, count(*) AS n, round(avg(w) / (SELECT avg(w) FROM raw), 6) AS weigh
 
 @query
 def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = sampling.tile_weights(labelled_tiles(spark, sf_dir), "label").withColumn("key", F.concat_ws("-", "slide", "tile", "part"))
+    weighted = sampling.tile_weights(labelled_tiles(spark, sf_dir), "label").withColumn("key", F.concat_ws("-", "slide", "tile", "part", "flag"))
     return sampling.resampled(weighted, "key", "weight", weighted.count()).groupBy("flag").agg(F.count("*").alias("draws"))
 
 
 # Rows on a line, each as long as its weight in whole numbers; every hashed point takes the row it falls on.
 SQL["weighted_resample"] = f"""WITH {TILES}, t AS (SELECT *, CASE WHEN flag != 'N' THEN flag END AS label FROM tiles), n AS (SELECT label, 1.0::DOUBLE / count(*) AS w FROM t WHERE label IS NOT NULL GROUP BY label),
-raw AS (SELECT t.flag, coalesce(n.w, (SELECT avg(n.w) FROM t JOIN n USING (label))) AS w, slide || '-' || tile || '-' || part AS key FROM t LEFT JOIN n USING (label)),
+raw AS (SELECT t.flag, coalesce(n.w, (SELECT avg(n.w) FROM t JOIN n USING (label))) AS w, slide || '-' || tile || '-' || part || '-' || t.flag AS key FROM t LEFT JOIN n USING (label)),
 weighted AS (SELECT flag, key, w / (SELECT avg(w) FROM raw) AS w FROM raw),
 items AS (SELECT flag, key, round(w * pow(2, 50 - ceil(log2((SELECT sum(w) FROM weighted)))))::BIGINT AS w FROM weighted),
 line AS (SELECT flag, (sum(w) OVER (ORDER BY sha256('42:draw:' || key), key ROWS UNBOUNDED PRECEDING))::BIGINT AS high FROM items),

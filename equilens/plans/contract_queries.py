@@ -339,28 +339,41 @@ UNION ALL SELECT n, 'balance', patient_id, NULL, round(round((balance - avg(bala
 
 @query
 def nested_training_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds seen by each model of a grid that lacks one and trains another on a fold too many."""
-    p = predictions(spark, sf_dir).select((F.col("patient_id") % 3).cast("int").alias("fold")).distinct()
-    grid = p.select(F.col("fold").alias("outer_fold")).crossJoin(p.select(F.col("fold").alias("inner_fold")))
+    """Folds of patients that each model of a segment's grid has seen; each segment lacks one model, some train one on a fold too many."""
+    p = patients(spark, sf_dir).select("segment", (F.col("patient_id") % 3).cast("int").alias("fold")).distinct()
+    grid = p.select("segment", F.col("fold").alias("outer_fold")).join(p.select("segment", F.col("fold").alias("inner_fold")), "segment")
     grid = grid.withColumn("inner_fold", F.when(F.col("inner_fold") != F.col("outer_fold"), F.col("inner_fold")))
-    seen = grid.crossJoin(F.broadcast(p)).where("fold != outer_fold and not fold <=> inner_fold or (outer_fold = 1 and inner_fold = 2)")
-    audits = seen.groupBy("outer_fold", "inner_fold").agg(F.collect_set("fold").alias("folds"))
-    return audit.nested_training(audits.where("not (outer_fold = 0 and inner_fold <=> 1)"), [0, 1, 2])
+    leaks = (F.col("outer_fold") == 1) & (F.col("inner_fold") == 2) & F.col("segment").contains("U")
+    seen = grid.join(p, "segment").where(((F.col("fold") != F.col("outer_fold")) & ~F.col("fold").eqNullSafe(F.col("inner_fold"))) | leaks)
+    audits = seen.groupBy("segment", "outer_fold", "inner_fold").agg(F.collect_set("fold").alias("folds"))
+    missing = (F.col("outer_fold") == F.length("segment") % 3) & F.col("inner_fold").isNull()
+    return audit.nested_training(audits.where(~missing), [0, 1, 2], ["segment"])
 
 
-SQL["nested_training_audit"] = "SELECT * FROM (VALUES (0, 1, 'absent'), (1, 2, 'folds')) t(outer_fold, inner_fold, problem)"
+SQL["nested_training_audit"] = f"""WITH {PATIENTS}, p AS (SELECT DISTINCT segment, (patient_id % 3)::INTEGER AS fold FROM patients),
+grid AS (SELECT a.segment, a.fold AS k, CASE WHEN b.fold != a.fold THEN b.fold END AS j FROM p a JOIN p b USING (segment)),
+made AS (SELECT g.segment, k, j, list_sort(list(fold)) AS folds FROM grid g JOIN p USING (segment) WHERE (fold != k AND fold IS DISTINCT FROM j) OR (k = 1 AND j = 2 AND contains(g.segment, 'U')) GROUP BY ALL),
+given AS (SELECT * FROM made WHERE NOT (k = length(segment) % 3 AND j IS NULL)),
+wanted AS (SELECT segment, k::INTEGER AS k, CASE WHEN j != k THEN j::INTEGER END AS j, list_sort(list(f::INTEGER)) AS folds FROM (SELECT DISTINCT segment FROM given), range(3) a(k), range(3) b(j), range(3) c(f) WHERE f != k AND f != j GROUP BY ALL)
+SELECT coalesce(w.segment, g.segment) AS segment, coalesce(w.k, g.k) AS outer_fold, coalesce(w.j, g.j) AS inner_fold, CASE WHEN g.segment IS NULL THEN 'absent' WHEN w.segment IS NULL THEN 'extra' ELSE 'folds' END AS problem
+FROM wanted w FULL JOIN given g ON w.segment = g.segment AND w.k = g.k AND w.j IS NOT DISTINCT FROM g.j WHERE g.segment IS NULL OR w.segment IS NULL OR w.folds != g.folds"""
 
 
 @query
 def study_contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A declaration drawn from the regions: its second seed is repeated, a field is blank, the strength is not declared."""
-    names = table(spark, sf_dir, "region").agg(F.min("r_name").alias("study"), F.max("r_regionkey").cast("int").alias("k"))
-    row = names.select("study", F.lit(42).alias("fold_seed"), F.lit(None).cast("string").alias("head_architecture"), F.array("k", "k").alias("planned_head_seeds"), F.lit("gap").alias("primary_estimand"),
-                       F.lit(0.02).alias("utility_noninferiority_margin"), F.lit("race").alias("sensitive"), F.lit("contrastive").alias("method"), F.lit(0.1).alias("temperature"), F.lit(1.0).alias("posthoc_lambda"))
-    return audit.study_contract(row, 4, 0.5, {"method": "contrastive", "sensitive": "sex"})
-
-
-SQL["study_contract_checks"] = """SELECT "check" FROM (SELECT max(r_regionkey) AS k FROM region), (VALUES ('head_architecture present'), ('seeds unique'), ('lambda of the run'), ('sensitive of the command')) t("check") WHERE k = 4"""
+    """A declaration for each nation: fields, seeds, margins, temperatures and strengths follow from its keys."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    rows = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("study"), F.lit(42).alias("fold_seed"), F.when(k % 4 != 0, "linear").alias("head_architecture"), F.array((k % 3).cast("int"), (k % 5).cast("int"), F.lit(7)).alias("planned_head_seeds"), F.lit("gap").alias("primary_estimand"),
+        ((r - 1) * 0.01).alias("utility_noninferiority_margin"), F.when(k % 2 == 0, "race").otherwise("sex").alias("sensitive"), F.lit("contrastive").alias("method"), r.cast("double").alias("temperature"), (k / 2).alias("posthoc_lambda"),
+    )
+    return audit.study_contract(rows, 1, 2.0, {"method": "contrastive", "sensitive": "race"}, ["study"])
+
+
+SQL["study_contract_checks"] = """WITH rules AS (SELECT n_name AS study, unnest([
+  CASE WHEN n_nationkey % 4 = 0 THEN 'head_architecture present' END, CASE WHEN n_nationkey % 3 = n_nationkey % 5 THEN 'seeds unique' END, CASE WHEN n_nationkey % 3 != 1 AND n_nationkey % 5 != 1 THEN 'seed declared' END,
+  CASE WHEN n_regionkey < 1 THEN 'margin' END, CASE WHEN n_regionkey = 0 THEN 'temperature' END, CASE WHEN n_nationkey != 4 THEN 'lambda of the run' END, CASE WHEN n_nationkey % 2 = 1 THEN 'sensitive of the command' END]) AS "check" FROM nation)
+SELECT study, "check" FROM rules WHERE "check" IS NOT NULL"""
 
 
 def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
