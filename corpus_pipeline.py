@@ -10,6 +10,15 @@ from equilens.llm.common import Tables, read_table
 from equilens.llm.queries import surrogate_key, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of whole texts that go to Python at once, at most; ten thousand of them fill a worker's memory.
+BATCH_ROWS = 512
+
+
+def with_small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in small batches; stages run after their function has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row. Equal cosines go to the language first by name, repeated rows are judged alike, an empty table stays empty, and
     a table without any labelled text keeps nothing, since no language is known. Other columns are dropped.
     """
+    with_small_batches(spark)
     prototypes = langid.train(langid.training_rows(docs))
     return langid.in_language(docs, prototypes, langid.least_score(docs, prototypes)).select(*COLUMNS)
 
@@ -30,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that with the smallest id is the one. A document is its id and its text: of different texts with one id each is judged
     by itself, in the order of their hashes. An empty table stays empty; other columns are dropped.
     """
+    with_small_batches(spark)
     docs = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two")).alias("document"))
     named = docs.where("doc_id is not null")
     classes = jaccard.join(named, 5, 80, 100, "document")
@@ -53,6 +64,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is packed as its end alone; repeated rows and null ids are packed like any other; an empty table gives
     no pieces.
     """
+    with_small_batches(spark)
     pieces = packing.pack(docs, tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
