@@ -261,13 +261,13 @@ def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def probe_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.internal_cv(probe_rows(spark, sf_dir).persist(), [0, 1, 2]).select("patient_id", "y", "fold", "c", F.round("score", 4).alias("score"), F.round("auc", 4).alias("auc"))
+    return probe.internal_cv(probe_rows(spark, sf_dir), [0, 1, 2]).select("patient_id", "y", "fold", "c", F.round("score", 4).alias("score"), F.round("auc", 4).alias("auc"))
 
 
 @query
 def probe_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = probe_rows(spark, sf_dir)
-    fit, other = probe.external_folds(rows.where("patient_id % 2 = 0")).persist(), rows.where("patient_id % 2 = 1")
+    fit, other = probe.external_folds(rows.where("patient_id % 2 = 0")), rows.where("patient_id % 2 = 1")
     return probe.external(fit, other, list(range(probe.fitting_folds(fit)))).select("patient_id", "y", "c", F.round("score", 4).alias("score"))
 
 
@@ -280,7 +280,7 @@ def attribute_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nested_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.nested_cross_fit(probe_rows(spark, sf_dir).persist(), [0, 1, 2], 1.0)[0].withColumn("score", F.round("score", 4))
+    return probe.nested_cross_fit(probe_rows(spark, sf_dir), [0, 1, 2], 1.0)[0].withColumn("score", F.round("score", 4))
 
 
 def debias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def debiased_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, out = debias_rows(spark, sf_dir), None
     for name, method, strength in (("plain", "dann", 0.0), ("projected", "pcgrad", 1.0)):
         settings = debias.Settings({"sex": 2, "race": 3}, method, conditions=4)
-        part = debias.out_of_fold(tiles, None, 64, settings, strength, [0, 1], epochs=5)
+        part = debias.out_of_fold(tiles, None, 64, settings, strength, [0, 1], epochs=20)
         part = part.select("patient_id", "y", "fold", F.round("score", 6).alias(f"score_{name}"))
         out = part if out is None else out.join(part, ["patient_id", "y", "fold"])
     return out
@@ -305,4 +305,4 @@ def debiased_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def debias_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leakage and gaps of a plain head and one with prototypes, side by side."""
-    return debias.comparison(debias_rows(spark, sf_dir), None, 64, debias.Settings({"sex": 2}, "fino"), [0.0, 1.0], [0, 1], min_n=5, epochs=5)
+    return debias.comparison(debias_rows(spark, sf_dir), None, 64, debias.Settings({"sex": 2}, "fino"), [0.0, 1.0], [0, 1], min_n=5, epochs=20)
