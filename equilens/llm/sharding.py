@@ -1,7 +1,7 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Copies of one text form a group that stays together, unless it is larger than a quarter of a shard; then it is
-split by row number hash (which rows of such a group go where is the only thing that depends on how the input is
+Copies of one text form a group that stays together, unless it has more than ``split_rows`` rows and is larger than a
+whole shard, so that no placing could balance it; then it is split into quarters of a shard by row number hash (which rows of such a group go where is the only thing that depends on how the input is
 partitioned).  Tokens are counted by the caller; without a count they are not balanced.  Groups go to the shard whose residual capacity has the largest dot product with their
 demand, both relative to capacity, largest group first.  Heavy groups, whose number the totals bound, are placed
 first by one task; all others are dealt into blocks of bounded size, and each block places its own against an
@@ -25,8 +25,8 @@ from .common import Tables
 BLOCK_GROUPS = 8192
 #: A group is heavy beyond this part of a shard's capacity; there are at most 3 x shards x HEAVY_PART of them.
 HEAVY_PART = 512
-#: A group is split beyond this part of a shard's capacity.
-SPLIT_PART = 4
+#: A group that no shard can hold is split into pieces of this part of a shard's capacity, if it has more than so many rows.
+SPLIT_PART, SPLIT_ROWS = 4, 256
 #: Rows of a bucket in which slots are numbered, on average.
 BUCKET_ROWS = 65_536
 DEMAND = ("bytes", "tokens", "n")
@@ -45,8 +45,11 @@ def greedy(demand: np.ndarray, residual: np.ndarray, capacity: np.ndarray, first
     return placed
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, size, tokens, text_crc32, shard, slot."""
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, size, tokens, text_crc32, shard, slot.
+
+    Groups of up to ``split_rows`` equal texts are never split, whatever the table's size; None splits none.
+    """
     tables, text = Tables(docs.sparkSession, "shard"), docs[text_col]
     rows = docs.select(
         docs[id_col].alias("id"),
@@ -62,8 +65,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     sums = [F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
 
     share = F.greatest(*[F.col(k) * (SPLIT_PART / max(c, 1.0)) for k, c in zip(DEMAND, capacity, strict=True)])
-    # Each takes more than 1 / (shards x SPLIT_PART) of some total, so there are at most 3 x shards x SPLIT_PART.
-    large = rows.groupBy("key").agg(*sums).where((share > 1) & (F.col("n") > 1)).select("key", F.ceil(share).alias("parts"))
+    # Each takes more than 1 / shards of some total, so there are at most 3 x shards.
+    too_large = (share > SPLIT_PART) & (F.col("n") > split_rows) if split_rows is not None else F.lit(False)
+    large = rows.groupBy("key").agg(*sums).where(too_large).select("key", F.ceil(share).alias("parts"))
     rows = rows.join(F.broadcast(large), "key", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
     groups = tables.write(rows.groupBy("key", "part").agg(*sums), "groups")

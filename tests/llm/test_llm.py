@@ -312,6 +312,15 @@ def test_shards(spark):
     assert got["size"] == len(row["text"].encode()) + 1 and got["text_crc32"] == zlib.crc32(row["text"].encode())
 
 
+def test_equal_texts_stay_together_at_any_size(spark):
+    rows = [(1, "same"), (2, "same"), (3, "other one"), (4, "third"), (5, None)]
+    small = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).toPandas().set_index("doc_id")["shard"]
+    assert small[1] == small[2]
+    many = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, F.lit("one text")).otherwise(F.col("id").cast("string")).alias("text"))
+    of = lambda split: sharding.shard(many, 16, split_rows=split).toPandas().query("doc_id < 400")["shard"].nunique()
+    assert of(None) == of(400) == 1 and of(399) > 1
+
+
 def plain_greedy(demand, capacity, shards, first):
     """Shards of groups by the largest dot product of relative demand and residual capacity, largest group first."""
     left = [[1.0] * 3 for _ in range(shards)]
