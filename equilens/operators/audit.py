@@ -156,14 +156,14 @@ def digests_disagree(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy("field").agg(F.countDistinct("sha256").alias("values"), F.count(F.when(F.col("sha256").isNull(), 1)).alias("absent")).where("values != 1 or absent > 0").select("field", "values")
 
 
-def checkpoint_holdout(checkpoint: DataFrame, task: str) -> DataFrame:
-    """(check) of a checkpoint that did not hold out the task's patients (V11). checkpoint: one row (holdout_task)."""
-    return checks(checkpoint, {"holdout task": F.col("holdout_task") == task})
+def checkpoint_holdout(checkpoints: DataFrame, task: str, by: list[str] | None = None) -> DataFrame:
+    """(by, check) of checkpoints, one a row, that did not hold out the task's patients (V11). checkpoints: (by, holdout_task)."""
+    return checks(checkpoints, {"holdout task": F.col("holdout_task") == task}, by)
 
 
-def training_inputs(config: DataFrame, receipt: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, expected, observed) of a training configuration against the metadata receipt, both one row."""
-    return receipt_mismatches(receipt, config, fields)
+def training_inputs(config: DataFrame, receipt: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, field, expected, observed) of training configurations against the metadata receipts, one row of each for each ``by``."""
+    return receipt_mismatches(receipt, config, fields, by)
 
 
 def leaked(training: DataFrame, holdout: DataFrame, key: str) -> DataFrame:

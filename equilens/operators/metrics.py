@@ -127,7 +127,7 @@ def eligible_groups(df: DataFrame, group: str, y: str = "y", min_group_n: int =
 def arm_metrics(scores: DataFrame, keys: list[str], group: str, groups: DataFrame, weight: Column | None = None) -> DataFrame:
     """(keys, overall_auc, auc_gap): overall over all rows, gap over the given groups; null where any AUROC is (A8, see ``undefined``)."""
     overall = auc_by(scores, keys, weight=weight).select(*keys, F.col("auc").alias("overall_auc"))
-    of_groups = auc_by(scores.join(F.broadcast(groups), group, "left_semi"), [*keys, group], weight=weight)
+    of_groups = auc_by(scores.join(groups, group, "left_semi"), [*keys, group], weight=weight)
     most = groups.agg(F.count("*").alias("_groups"))
     gap = of_groups.groupBy(*keys).agg(F.count("auc").alias("_n"), (F.max("auc") - F.min("auc")).alias("_gap"))
     gap = gap.crossJoin(F.broadcast(most)).select(*keys, F.when(F.col("_n") == F.col("_groups"), F.col("_gap")).alias("auc_gap"))

@@ -454,11 +454,18 @@ UNION ALL SELECT 'not finite' FROM embeddings WHERE vec_id % 40 = 2 AND list_min
 
 @query
 def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "orders").agg(F.count("*").alias("patients"), F.lit("brca").alias("holdout_task"), F.lit(42).alias("fold_seed"))
-    return audit.training_inputs(r.withColumn("fold_seed", F.lit(41)), r, ["patients", "holdout_task", "fold_seed"]).unionByName(audit.checkpoint_holdout(r, "nsclc").select(F.col("check").alias("field"), F.lit("nsclc").alias("expected"), F.lit("brca").alias("observed")))
-
-
-SQL["training_inputs"] = "SELECT field, expected, observed FROM (SELECT count(*) AS n FROM orders), (VALUES ('fold_seed', '42', '41'), ('holdout task', 'nsclc', 'brca')) t(field, expected, observed) WHERE n > 0"
+    """A receipt for each nation's customers; some configurations have another seed, lack a patient, or held out another task."""
+    k = F.col("c_nationkey")
+    receipts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("patients")).select("c_nationkey", "patients", (k % 4 + 40).alias("fold_seed"), F.when(k % 7 == 2, "nsclc").otherwise("brca").alias("holdout_task"))
+    configs = receipts.select("c_nationkey", (F.col("patients") - (k % 5 == 0).cast("int")).alias("patients"), (F.col("fold_seed") + (k % 3 == 0).cast("int")).alias("fold_seed"))
+    found = audit.training_inputs(configs, receipts, ["patients", "fold_seed"], ["c_nationkey"])
+    held = audit.checkpoint_holdout(receipts, "brca", ["c_nationkey"]).select("c_nationkey", F.col("check").alias("field"), F.lit("brca").alias("expected"), F.lit("nsclc").alias("observed"))
+    return found.unionByName(held)
+
+
+SQL["training_inputs"] = """WITH r AS (SELECT c_nationkey, count(*) AS n, c_nationkey % 4 + 40 AS seed FROM customer GROUP BY c_nationkey)
+SELECT c_nationkey, 'patients' AS field, n::VARCHAR AS expected, (n - 1)::VARCHAR AS observed FROM r WHERE c_nationkey % 5 = 0
+UNION ALL SELECT c_nationkey, 'fold_seed', seed::VARCHAR, (seed + 1)::VARCHAR FROM r WHERE c_nationkey % 3 = 0 UNION ALL SELECT c_nationkey, 'holdout task', 'brca', 'nsclc' FROM r WHERE c_nationkey % 7 = 2"""
 
 
 @query

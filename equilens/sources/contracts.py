@@ -155,10 +155,10 @@ def pool_receipt(pool: DataFrame, strata: DataFrame, key: str, seed: int) -> Dat
     return counts.crossJoin(id_set_digest(pool, key).select("sha256")).select(F.lit("balanced-pool/v1").alias("schema"), F.lit(seed).alias("seed"), "candidates", "selected", "strata", F.col("sha256").alias("selected_sha256"))
 
 
-def pairs_of(row: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """(field, name) of a one-row table."""
+def pairs_of(row: DataFrame, fields: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """(by, field, name) of a table with one row, or one for each ``by``."""
     entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields])
-    return row.select(F.explode(entries).alias("p")).select("p.*")
+    return row.select(*(by or []), F.explode(entries).alias("p")).select(*(by or []), "p.*")
 
 
 def contract_mismatches(row: DataFrame, contract: dict[str, object]) -> DataFrame:
@@ -175,9 +175,9 @@ def artifact_mismatches(receipt_digests: DataFrame, digests: DataFrame) -> DataF
     return both.where(~F.col("expected").eqNullSafe(F.col("observed")))
 
 
-def receipt_mismatches(receipt: DataFrame, current: DataFrame, fields: list[str] = RECEIPT) -> DataFrame:
-    """(field, expected, observed)."""
-    both = pairs_of(receipt, fields, "expected").join(pairs_of(current, fields, "observed"), "field", "full")
+def receipt_mismatches(receipt: DataFrame, current: DataFrame, fields: list[str] = RECEIPT, by: list[str] | None = None) -> DataFrame:
+    """(by, field, expected, observed) of one receipt, or of one for each ``by``."""
+    both = pairs_of(receipt, fields, "expected", by).join(pairs_of(current, fields, "observed", by), [*(by or []), "field"], "full")
     return both.where(~F.col("expected").eqNullSafe(F.col("observed")))
 
 
