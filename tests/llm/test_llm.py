@@ -855,6 +855,17 @@ def test_pipeline(spark, library):
     assert json.dumps(p.ORACLE_SQL) == "null" and [s for s, _ in p.STAGES] == ["language", "near_duplicates", "surrogates", "pack"]
 
 
+def test_ids_shared_by_different_texts(spark):
+    """A document is its id and text: a unique text stays though a copy of another has its id; rows without an id stay."""
+    import corpus_pipeline as p
+
+    t, u = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    rows = [(3, t), (7, t), (7, u), (7, u), (9, u), (None, t), (8, None), (8, "")]
+    kept = p.near_duplicates(spark, spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], DOCS), SF)
+    assert kept.columns == p.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, t), (7, u), (7, u), (None, t), (8, None), (8, "")], key=repr)
+
+
 def test_pipeline_on_an_empty_and_an_awkward_table(spark):
     import corpus_pipeline as p
 
