@@ -40,47 +40,109 @@ def run_summary(scores: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     return contrasts(arm_metrics(scores, ["arm", "run"], group, groups), ["run"])
 
 
-#: Iterations that are held as one vector, and patients of a label that a task draws for at once.
-BLOCK, RANGE = 128, 1 << 18
+#: Iterations that are held as one vector, patients of a label that are counted together (a place among them has 16 bits), and draws of
+#: each iteration that a task makes.
+BLOCK, RANGE, SLOTS = 128, 1 << 16, 1 << 17
 #: Rows between two of the scores that cut a sorted table into buckets, about.
 BUCKET_ROWS = 1 << 16
-TIMES = np.dtype("<u2")
+#: Rows of vectors that are summed up at once.
+TOGETHER = 1 << 16
+TIMES, SUMS, PLACES, SIZES = np.dtype("<u2"), np.dtype("<u4"), np.dtype("<u2"), np.dtype("<u4")
+WEIGHTED = "arm string, run string, block long, bucket long, score double, y int, grp string, times binary"
 PARTIAL = "arm string, run string, block long, grp string, bucket long, pos binary, neg binary, wins binary"
 
 
-def draws_of(label: str, iteration: int, size: int, seed: int) -> np.ndarray:
-    """``draw`` for all slots of a label in one iteration."""
+def draws_of(label: str, iteration: int, slots: range, size: int, seed: int) -> np.ndarray:
+    """``draw`` for some slots of a label in one iteration."""
     start = hashlib.sha256(f"{seed}:{iteration}:{label}:".encode())
     digests = []
-    for slot in range(size):
+    for slot in slots:
         one = start.copy()
         one.update(b"%d" % slot)
         digests.append(one.digest())
     return (np.frombuffer(b"".join(digests), dtype=">u8")[::4] >> np.uint64(12)).astype(np.int64) % size
 
 
-def multiplicity_vectors(patients: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """(label, k, block, times): how often the k-th patient of a label is drawn in each iteration of a block (B1).
+def drawn_places(patients: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(label, block, part, drawn): the patients drawn from a part of a label in a block of iterations (B1).
 
-    A task makes the matrix of a block of iterations and a range of patients; no draw is ever a row.
+    Every draw is hashed once, in one task, and takes two bytes: ``drawn`` holds how many each iteration has and then
+    their places in the part. No draw is ever a row.
     """
     sizes = patients.groupBy(F.col("y").cast("string").alias("label")).agg(F.count("*").alias("size"))
     last = -(-iterations // block) - 1
     tasks = sizes.select("label", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"))
-    tasks = tasks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(RANGE).cast("long"))).alias("low"))
+    tasks = tasks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SLOTS).cast("long"))).alias("low"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for label, size, at, low in batch.itertuples(index=False, name=None):
-                its = range(at * block, min(iterations, (at + 1) * block))
-                times = np.zeros((min(RANGE, size - low), len(its)), dtype=TIMES)
-                for j, it in enumerate(its):
-                    drawn = draws_of(label, it, size, seed)
-                    times[:, j] = np.bincount(drawn[(drawn >= low) & (drawn < low + RANGE)] - low, minlength=len(times))
-                yield pd.DataFrame({"label": label, "k": np.arange(low, low + len(times)), "block": at, "times": [t.tobytes() for t in times]})
+                parts = -(-size // RANGE)
+                counts, places = [], [[] for _ in range(parts)]
+                for it in range(at * block, min(iterations, (at + 1) * block)):
+                    drawn = draws_of(label, it, range(low, min(size, low + SLOTS)), size, seed)
+                    part = drawn // RANGE
+                    counts.append(np.bincount(part, minlength=parts))
+                    ordered = (drawn[np.argsort(part, kind="stable")] % RANGE).astype(PLACES)
+                    for of, some in zip(places, np.split(ordered, np.cumsum(counts[-1])[:-1]), strict=True):
+                        of.append(some)
+                sizes = np.array(counts, dtype=SIZES).T
+                yield pd.DataFrame({"label": label, "block": at, "part": np.arange(parts), "drawn": [n.tobytes() + np.concatenate(of).tobytes() for n, of in zip(sizes, places, strict=True)]})
 
     dealt = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism * 4)
-    return dealt.mapInPandas(run, "label string, k long, block long, times binary")
+    return dealt.mapInPandas(run, "label string, block long, part long, drawn binary")
+
+
+def counted(drawn: pd.Series, width: int, patients: int) -> np.ndarray:
+    """How often each of a part's ``patients`` is drawn in each of ``width`` iterations."""
+    times = np.zeros((width, patients), dtype=SUMS)
+    for one in drawn:
+        ends = np.cumsum(np.frombuffer(one, dtype=SIZES, count=width))
+        for of, some in zip(times, np.split(np.frombuffer(one, dtype=PLACES, offset=width * SIZES.itemsize), ends[:-1]), strict=True):
+            of += np.bincount(some, minlength=patients).astype(SUMS)
+    return np.ascontiguousarray(times.T)
+
+
+def iterations_in(at: int, iterations: int, block: int) -> int:
+    return min(iterations - at * block, block)
+
+
+def multiplicity_vectors(patients: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(label, k, block, times): how often the k-th patient of a label is drawn in each iteration of a block, where it is drawn at all (B1)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        label, at, part = key
+        times = counted(rows["drawn"], iterations_in(at, iterations, block), RANGE)
+        found = np.flatnonzero(times.any(axis=1))
+        return pd.DataFrame({"label": label, "k": part * RANGE + found, "block": at, "times": [t.tobytes() for t in times[found].astype(TIMES)]})
+
+    drawn = drawn_places(patients, iterations, seed, block)
+    return drawn.groupBy("label", "block", "part").applyInPandas(run, "label string, k long, block long, times binary")
+
+
+def drawn_cells(placed: DataFrame, patients: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """WEIGHTED: for rows of equal arm, run, bucket, score, y and group within a part of a label, how often their patients are drawn together.
+
+    placed: (arm, run, label, k, y, score, grp, bucket). Rows of a part meet its draws; the vectors of single patients stay in the task.
+    """
+    cells = placed.groupBy("label", F.expr(f"k div {RANGE}").alias("part"), "arm", "run", "bucket", "score", "y", "grp").agg(F.collect_list((F.col("k") % RANGE).cast("int")).alias("places"))
+    last = -(-iterations // block) - 1
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+
+    def run(key: tuple, drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["arm", "run", "block", "bucket", "score", "y", "grp"]]
+        if not len(rows):
+            return out.assign(times=[])
+        times = counted(drawn["drawn"], iterations_in(key[1], iterations, block), RANGE)
+        sizes = rows["places"].str.len().to_numpy()
+        summed = []
+        for _, some in rows["places"].groupby((np.cumsum(sizes) - sizes) // TOGETHER, sort=False):
+            starts = np.cumsum([0, *map(len, some[:-1])])
+            summed += [t.tobytes() for t in np.add.reduceat(times[np.concatenate(some.to_list())], starts, axis=0, dtype=SUMS)]
+        return out.assign(times=summed)
+
+    keys = ["label", "block", "part"]
+    return drawn_places(patients, iterations, seed, block).groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(run, WEIGHTED)
 
 
 def numbered_patients(patients: DataFrame) -> DataFrame:
@@ -95,7 +157,8 @@ def multiplicities(patients: DataFrame, iterations: int, seed: int) -> DataFrame
     on order or partitions. The vectors are unfolded here; the bootstrap itself works on them as they are.
     """
     unfold = F.udf(lambda t: np.frombuffer(t, dtype=TIMES).tolist(), "array<int>", useArrow=True)
-    vectors = multiplicity_vectors(patients, iterations, seed).join(numbered_patients(patients), ["label", "k"])
+    # Spark takes what Python returns to be as small as what it was given, and would broadcast it.
+    vectors = multiplicity_vectors(patients, iterations, seed).join(numbered_patients(patients).hint("merge"), ["label", "k"])
     each = vectors.select("patient_id", "block", F.posexplode(unfold("times")).alias("j", "times")).where("times > 0")
     return each.select((F.col("block") * BLOCK + F.col("j")).alias("it"), "patient_id", F.col("times").cast("long").alias("times"))
 
@@ -167,7 +230,7 @@ def partial_wins(weighted: DataFrame) -> DataFrame:
                 yield out()
                 found = {}
             at = key
-            times = np.frombuffer(b"".join(part["times"]), dtype=TIMES).reshape(len(part), -1).astype(float)
+            times = np.frombuffer(b"".join(part["times"]), dtype=SUMS).reshape(len(part), -1).astype(float)
             scores, positive, groups = part["score"].to_numpy(), part["y"].to_numpy(dtype=float), part["grp"].to_numpy(dtype=object)
             for g in ["", *part["grp"].dropna().unique()]:
                 of = slice(None) if g == "" else groups == g
@@ -213,15 +276,15 @@ def in_buckets(df: DataFrame) -> DataFrame:
 def resampled_metrics(scores: DataFrame, group: str, groups: DataFrame, iterations: int, seed: int, block: int = BLOCK) -> DataFrame:
     """(it, arm, run, overall_auc, auc_gap) of every iteration and run: ``arm_metrics`` over drawn patients.
 
-    Multiplicities are vectors over a block of iterations, scores are sorted once for all of them and cut into buckets of
-    scores; AUROCs are prefix sums of vectors inside buckets and then over them. The plan does not depend on the iterations.
+    Multiplicities are vectors over a block of iterations, added up over equal scores before they are shuffled; scores are sorted once for
+    all iterations and cut into buckets; AUROCs are prefix sums of vectors inside buckets and then over them. The plan does not depend on
+    the iterations.
     """
     patients = scores.select("patient_id", "y").distinct()
-    times = multiplicity_vectors(patients, iterations, seed, block)
     known = scores.join(groups.select(F.col(group), F.concat(F.lit("="), F.col(group).cast("string")).alias("grp")), group, "left")
     placed = known.withColumn("label", F.col("y").cast("string")).join(numbered_patients(patients), ["patient_id", "label"])
     columns = [F.col("arm").cast("string").alias("arm"), F.col("run").cast("string").alias("run"), "label", "k", F.col("y").cast("int").alias("y"), F.col("score").cast("double").alias("score"), "grp"]
-    weighted = in_buckets(placed.where("score is not null").select(*columns)).join(times, ["label", "k"]).drop("label", "k")
+    weighted = drawn_cells(in_buckets(placed.where("score is not null").select(*columns)), patients, iterations, seed, block)
     aucs = whole_aucs(partial_wins(weighted)).select("arm", "run", "block", "grp", F.posexplode("auc").alias("j", "auc"))
     each = aucs.select((F.col("block") * block + F.col("j")).alias("it"), "arm", "run", "grp", "auc")
     of_group = F.when(F.col("grp") != "", F.col("auc"))

@@ -514,6 +514,26 @@ def test_bootstrap_against_repeated_rows(spark, monkeypatch):
         assert gap is None if None in (auc["A"], auc["B"]) else gap == pytest.approx(abs(auc["A"] - auc["B"]))
 
 
+def test_bootstrap_draws_are_made_once_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "RANGE", 7)
+    monkeypatch.setattr(bootstrap, "SLOTS", 10)
+    scores = spark.createDataFrame([(a, r, f"p{i}", i % 2, i % 5 / 10, "AB"[i // 2 % 2]) for a in bootstrap.ARMS for r in range(2) for i in range(61)], "arm string, run int, patient_id string, y int, score double, race string")
+    patients = scores.select("patient_id", "y").distinct()
+    drawn = bootstrap.drawn_places(patients, 5, 3, 2).collect()
+    assert sum(len(r["drawn"]) - 4 * (1 if r["block"] == 2 else 2) for r in drawn) == 2 * 5 * 61
+    got = collections.Counter({(r["it"], r["label"], r["k"]): r["times"] for r in bootstrap.multiplicities(patients, 5, 3).join(bootstrap.numbered_patients(patients), "patient_id").collect()})
+    want = collections.Counter((it, str(y), int(hashlib.sha256(f"3:{it}:{y}:{slot}".encode()).hexdigest()[:13], 16) % n) for it in range(5) for y, n in ((0, 31), (1, 30)) for slot in range(n))
+    assert got == want
+    found = bootstrap.resampled_metrics(scores, "race", spark.createDataFrame([("A",), ("B",)], "race string"), 5, 3)
+    found.collect()
+    within = None  # the depth of the broadcast that a line of the final plan stands below
+    for line in found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        within = within if within is not None and depth > within else None
+        assert within is None or "Pandas" not in line
+        within = depth if within is None and "BroadcastExchange" in line else within
+
+
 def test_bootstrap_plan_does_not_grow(spark):
     scores, groups = three_arms(spark), spark.createDataFrame([("A",), ("B",)], "race string")
     plans = [bootstrap.paired_bootstrap(scores, "race", groups, n, 3)._jdf.queryExecution().optimizedPlan().toString() for n in (10, 100_000)]
