@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,16 @@ def test_scores_of_awkward_rows_by_broadcast_and_by_shuffle(spark, learned, monk
     assert len(nothing) == 4 and all(r[3] == 0 and r[4] == 0 and r[5] == 0 and r[6] < 0 for r in nothing)
 
 
+def test_groups_of_texts_follow_characters_and_not_batches(spark, monkeypatch):
+    batches = [pd.DataFrame({"text": pd.Series(["a" * n for n in sizes], dtype=object)}) for sizes in ((3, 4), (), (2, 30, 1), (1,), (5,))]
+    for chars, want in ((8, [[3, 4], [2], [30], [1, 1, 5]]), (1, [[3], [4], [2], [30], [1], [1], [5]]), (1000, [[3, 4, 2, 30, 1, 1, 5]])):
+        assert [g["text"].str.len().tolist() for g in lattice.in_groups(iter(batches), chars)] == want
+    asked, small = [], lattice.small_batches
+    monkeypatch.setattr(lattice, "small_batches", lambda s, rows: asked.append(rows) or small(s, rows))
+    lattice.score(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), F.lit(False), queries.tokenizer(PATHS[2]))
+    assert asked == [lattice.TEXTS] * 2 and lattice.LOOKED_UP < lattice.CHARS
+
+
 def test_held_out_texts_teach_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d", False), (2, "a x", False), (3, "a b zzz", True)], "doc_id int, text string, held boolean")
     other = df.withColumn("text", F.when(F.col("held"), "something else altogether").otherwise(F.col("text")))
