@@ -17,9 +17,10 @@ are left whole: how many hold a signature is the same for all who hold it.
 
 Copies (equal sets) are one class.  Classes are compared in three steps, and each step leaves out what the one before
 has shown to be in one component.  First all classes of a signature with its smallest; then, where a signature still
-holds several components, all others in blocks inside tasks.  Pairs are first compared by sketches, the parities of the
-elements' numbers in many hash parts: sketches differ in no more places than sets in elements, so what differs too much
-is not similar.  What passes, nearly all of it links, is decided by the true intersection of both sets.  So no link that
+holds several components, all others in blocks inside tasks, which hold the sets as well and give only links that join
+what they have not joined yet: fewer than a block has classes, however many of its pairs are alike.  Pairs are first compared
+by sketches, the parities of the elements' numbers in many hash parts: sketches differ in no more places than sets in elements,
+so what differs too much is not similar.  What passes is decided by the true intersection of both sets.  So no link that
 matters is lost, and none is made up (but for equal 64-bit hashes of different n-grams within one pair of sets).
 Classes are known by 64-bit hashes of their sets; a second hash checks them, and sets that share the first alone are
 told apart by both.
@@ -34,7 +35,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -61,8 +62,8 @@ RARE_PART, ENOUGH = 0.85, 0.6
 TURNS = 32
 #: Classes that a signature may have before sets that can do without it leave it out.
 HOT = 64
-#: Classes of a block, on average.
-BLOCK = 256
+#: Classes and elements of a block, on average, at most; blocks that go to Python at once.
+BLOCK, HELD_IN_BLOCK, BLOCKS = 256, 1 << 20, 4
 #: Texts whose sets go to Python at once.
 BATCH = 1024
 #: Sets that a task describes at once, elements whose signatures it makes at once, and classes of one signature among them that go by their smallest.
@@ -335,21 +336,27 @@ def alike(pairs: DataFrame, of_class: DataFrame, num: int, den: int) -> DataFram
     return sized.where(may("s_a", "s_b", "n_a", "n_b")).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, of_class: DataFrame, n: int, num: int, den: int, clashes: list[int], text_col: str, tables: Tables) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose similarity is num / den or more, by their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    keys = tables.write(of_class.join(wanted, "class", "left_semi").select("key", "key2"), "keys")
+def sets_of(wanted: DataFrame, docs: DataFrame, of_class: DataFrame, n: int, clashes: list[int], text_col: str, tables: Tables) -> DataFrame:
+    """(class, elements) of the classes in ``wanted``, each made from one text."""
+    keys = tables.write(of_class.join(wanted.select("class").distinct(), "class", "left_semi").select("key", "key2"), "keys")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     text = docs[text_col]
     texts = docs.select(text.alias("text"), *text_keys(text)).join(keys, ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
     sets = texts.select(shingles(F.col("text"), n).alias("elements"))
     sets = tables.write(told_apart(sets.select("elements", *class_of(F.col("elements"))), clashes), "sets")
+    tables.drop("keys")
+    return sets
+
+
+def verified(pairs: DataFrame, docs: DataFrame, of_class: DataFrame, n: int, num: int, den: int, clashes: list[int], text_col: str, tables: Tables) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose similarity is num / den or more, by their sets."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")), docs, of_class, n, clashes, text_col, tables)
     a = sets.select(F.col("class").alias("a"), F.col("elements").alias("of_a"))
     b = sets.select(F.col("class").alias("b"), F.col("elements").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     n_a, n_b = F.size("of_a"), F.size("of_b")
     found = tables.write(pairs.join(a, "a").join(b, "b").where(den * both.cast("long") >= num * (n_a + n_b - both)).select("a", "b"), "links")
-    tables.drop("keys", "sets")
+    tables.drop("sets")
     return found
 
 
@@ -363,43 +370,68 @@ def kept_members(members: DataFrame, of_class: DataFrame) -> DataFrame:
     return marked.join(without_them, ["class", "odd"], "left").where("hot is null or spared is null").select("signature", "class")
 
 
-def block_pairs(left: tuple, right: tuple | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of classes of different components that may be similar, within one block or between two: (class, component, size, sketch)."""
-    (own, component, n, sketches), (own_b, component_b, n_b, sketches_b) = left, right or left
+def block_links(left: tuple, right: tuple | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links within one block or between two that join what is not joined yet: (class, component, sketch, elements).
+
+    Every pair of different components is compared, by sketches and then by sets; a link makes one component of two, so
+    there are fewer links than classes.
+    """
+    (own, component, sketches, sets), (own_b, component_b, sketches_b, sets_b) = left, right or left
+    names, codes = np.unique(np.concatenate([component, component_b]), return_inverse=True)
+    at_a, at_b = codes[: len(component)].copy(), codes[len(component) :].copy() if right else None
+    of_b = at_a if right is None else at_b
+    n, n_b = (np.array([len(x) for x in of]) for of in (sets, sets_b))
     lengths, lengths_b = (np.array([len(s) for s in x]) for x in (sketches, sketches_b))
     each = {int(x): tuple(folded([s if len(s) >= x else bytes(x) for s in of], int(x)) for of in (sketches, sketches_b)) for x in {*lengths, *lengths_b}}
     out = []
     for i in range(len(own)):
-        at = np.flatnonzero((component_b != component[i]) & (np.minimum(n_b, n[i]) * den >= np.maximum(n_b, n[i]) * num))
+        at = np.flatnonzero((of_b != at_a[i]) & (np.minimum(n_b, n[i]) * den >= np.maximum(n_b, n[i]) * num))
         if right is None:
             at = at[at > i]
         shorter = np.minimum(lengths_b[at], lengths[i])
         for length in np.unique(shorter).tolist():
             these, (x, y) = at[shorter == length], each[length]
             apart = np.bitwise_count(x[i] ^ y[these]).sum(axis=1)
-            out += [(own[i], own_b[j]) for j in these[apart <= (n[i] + n_b[these]) * (den - num) // (den + num)]]
+            for j in these[apart <= (n[i] + n_b[these]) * (den - num) // (den + num)].tolist():
+                if of_b[j] == at_a[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets_b[j], assume_unique=True))
+                if den * both >= num * (n[i] + n_b[j] - both):
+                    out.append((own[i], own_b[j]))
+                    gone, stays = of_b[j], at_a[i]
+                    at_a[at_a == gone] = stays
+                    of_b[of_b == gone] = stays
     return out
 
 
-def in_blocks(rest: DataFrame, of_class: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a signature and may be similar. rest: (signature, class, component)."""
-    counts = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
-    mixed = rest.groupBy("signature").agg(*counts).where("least != most")
+def in_blocks(rest: DataFrame, of_class: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, tables: Tables) -> DataFrame:
+    """Links (a, b) that join all components of classes that share a signature and are linked. rest: (signature, class, component);
+    sets: gives (class, elements) of classes."""
+    sized = rest.join(of_class.select("class", "size"), "class")
+    counts = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum("size").alias("held"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    mixed = sized.groupBy("signature").agg(*counts).where("least != most")
     # Signatures with the same classes are compared once.
-    chosen = tables.write(mixed.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
-    sketched = rest.join(chosen, "signature").join(of_class.select("class", "size", "sketch"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    kept = tables.write(sketched.groupBy("signature", "blocks", "block").agg(F.collect_list(F.struct("class", "component", "size", "sketch")).alias("sets")), "blocks")
-    fields = ("class", "component", "size", "sketch")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / HELD_IN_BLOCK)).alias("blocks")
+    chosen = tables.write(mixed.groupBy("n", "held", "x", "y").agg(F.min("signature").alias("signature")).select("signature", blocks), "mixed")
+    asked = tables.write(rest.join(chosen, "signature"), "asked")
+    described = sets(asked).join(of_class.select("class", "sketch"), "class")
+    sketched = asked.join(described, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    kept = tables.write(sketched.groupBy("signature", "blocks", "block").agg(F.collect_list(F.struct("class", "component", "sketch", "elements")).alias("sets")), "blocks")
+    tables.drop("asked", "sets")
+    fields = ("class", "component", "sketch", "elements")
     left = kept.select("signature", "blocks", "block", *[F.col(f"sets.{c}").alias(f"{c}_a") for c in fields])
     right = kept.where("blocks > 1").select("signature", F.col("block").alias("other"), *[F.col(f"sets.{c}").alias(f"{c}_b") for c in fields])
     others = left.where("blocks > 1 and block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(batch: pa.RecordBatch, i: int, s: str) -> tuple:
+            classes, component, sketches, elements = (batch.column(f"{c}_{s}")[i].values for c in fields)
+            return classes.to_pylist(), component.to_numpy(), sketches.to_pylist(), [x.values.to_numpy() for x in elements]
+
         for batch in batches:
             for i in range(len(batch)):
-                side = lambda s: [batch.column(f"{c}_{s}")[i].as_py() if c in ("class", "sketch") else batch.column(f"{c}_{s}")[i].values.to_numpy() for c in fields]  # noqa: E731, B023
-                pairs = block_pairs(tuple(side("a")), tuple(side("b")) if "class_b" in batch.schema.names else None, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+                links = block_links(side(batch, i, "a"), side(batch, i, "b") if "class_b" in batch.schema.names else None, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], ["a", "b"])
 
     within = left.select([f"{c}_a" for c in fields]).mapInArrow(compare, "a long, b long")
     between = others.join(right, ["signature", "other"]).select([f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compare, "a long, b long")
@@ -443,9 +475,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     open_ = labelled(labelled(near, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b").select("a", "b")
     # Then all others of a signature meet each other where it still holds several components.
     rest = tables.write(labelled(others.select("signature", "class"), labels), "rest")
-    found = tables.write(open_.unionByName(in_blocks(rest, of_class, num, den, tables)).distinct(), "open")
-    tables.drop("rest", "blocks", "mixed", "kept", "leaders", "near")
-    links = labelled(labelled(check(found), labels, "a", "of_a"), labels, "b", "of_b")
+    sets = lambda wanted: sets_of(wanted, docs, of_class, n, clashes, text_col, tables)
+    with small_batches(docs.sparkSession, BLOCKS):
+        met = tables.write(in_blocks(rest, of_class, sets, num, den, tables), "met")
+    tables.drop("rest", "blocks", "mixed", "kept", "leaders")
+    links = labelled(labelled(check(tables.write(open_, "open")).unionByName(met), labels, "a", "of_a"), labels, "b", "of_b")
     merged = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "jaccard-second")
 
     # The smallest id of each component, by class: rows of a class are summed up before they meet anything.
@@ -453,7 +487,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     of_id = tables.write(labelled(labelled(of_id, labels).withColumnRenamed("component", "first"), merged, "first").select("class", "component", "least"), "ids")
     least = of_id.groupBy("component").agg(F.min("least").alias("component_id"))
     of_id = tables.write(of_id.join(least, "component").select("class", "component_id"), "ids")
-    tables.drop("classes", "open", "links")
+    tables.drop("classes", "open", "links", "near", "met")
     out = rows.where("size > 0").select("id", "size", "class").join(of_id, "class").select("id", "size", "component_id")
     alone = rows.where("size = 0").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

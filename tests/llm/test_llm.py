@@ -729,6 +729,29 @@ def test_jaccard_with_hot_signatures_and_small_blocks(spark, monkeypatch, num):
     assert sorted((tuple(r) for r in jaccard.join(df, 3, num, 100).collect()), key=repr) == plain_classes(docs, 3, num, 100)
 
 
+def test_jaccard_blocks_give_fewer_links_than_classes():
+    """All pairs of a block are alike, and still no more links come out than join them; chains and pairs between blocks are found."""
+    rng = np.random.default_rng(3)
+    base, far = rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.concatenate((base, rng.integers(0, 1 << 63, 5, dtype=np.uint64))) for _ in range(40)]  # near copies of one text
+    sets += [far[i * 12 : i * 12 + 150] for i in range(12)]  # each is like the next alone
+    side = lambda of: (of, np.array(of), [jaccard.sketch(sets[i], 80, 100) for i in of], [sets[i].view(np.int64) for i in of])
+    mine, yours = list(range(0, 52, 2)), list(range(1, 52, 2))
+
+    def joined(links):
+        root = list(range(52))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return sorted(collections.Counter(root).values())
+
+    whole = jaccard.block_links(side(list(range(52))), None, 80, 100)
+    assert len(whole) == 39 + 11 and joined(whole) == [12, 40]
+    parts = [jaccard.block_links(side(mine), None, 80, 100), jaccard.block_links(side(yours), None, 80, 100), jaccard.block_links(side(mine), side(yours), 80, 100)]
+    assert joined(sum(parts, [])) == [12, 40] and all(len(p) < 52 for p in parts)
+    real = {(a, b) for a in range(52) for b in range(52) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert all(link in real for link in whole + sum(parts, []))
+
+
 def test_sets_with_one_hash_are_told_apart(spark):
     df = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "class long, check long")
     assert len({r["class"] for r in jaccard.told_apart(df, [5]).collect()}) == 3
