@@ -17,10 +17,12 @@ are left whole: how many hold a signature is the same for all who hold it.
 
 Copies (equal sets) are one class.  Classes are compared in three steps, and each step leaves out what the one before
 has shown to be in one component.  First all classes of a signature with its smallest; then, where a signature still
-holds several components, all others in blocks inside tasks, which hold the sets as well and give only links that join
-what they have not joined yet: fewer than a block has classes, however many of its pairs are alike.  Pairs are first compared
-by sketches, the parities of the elements' numbers in many hash parts: sketches differ in no more places than sets in elements,
-so what differs too much is not similar.  What passes is decided by the true intersection of both sets.  So no link that
+holds several components, all others in blocks inside tasks.  Pairs are first compared by sketches, the parities of the
+elements' numbers in many hash parts: sketches differ in no more places than sets in elements, so what differs too much
+is not similar.  Blocks of a signature hold sketches alone and tell which classes pass, and which components these connect.
+Then every class that passed goes with its set, once, into blocks of all that is so connected; they decide by the true intersection
+of both sets, and give only links that join what they have not joined yet: fewer than a block has classes, however many
+of its pairs are alike.  So no link that
 matters is lost, and none is made up (but for equal 64-bit hashes of different n-grams within one pair of sets).
 Classes are known by 64-bit hashes of their sets; a second hash checks them, and sets that share the first alone are
 told apart by both.
@@ -62,8 +64,8 @@ RARE_PART, ENOUGH = 0.85, 0.6
 TURNS = 32
 #: Classes that a signature may have before sets that can do without it leave it out.
 HOT = 64
-#: Classes and elements of a block, on average, at most; blocks that go to Python at once.
-BLOCK, HELD_IN_BLOCK, BLOCKS = 256, 1 << 20, 4
+#: Classes and elements of a block, on average, at most; blocks that go to Python at once, with sets and with sketches alone.
+BLOCK, HELD_IN_BLOCK, BLOCKS, SKETCHED = 256, 1 << 20, 4, 64
 #: Texts whose sets go to Python at once.
 BATCH = 1024
 #: Sets that a task describes at once, elements whose signatures it makes at once, and classes of one signature among them that go by their smallest.
@@ -370,6 +372,25 @@ def kept_members(members: DataFrame, of_class: DataFrame) -> DataFrame:
     return marked.join(without_them, ["class", "odd"], "left").where("hot is null or spared is null").select("signature", "class")
 
 
+def near_in_blocks(left: tuple, right: tuple | None, at_a: np.ndarray, of_b: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places in the other block) that sizes and sketches do not tell apart and that differ in ``at_a`` and ``of_b`` just then;
+    within one block each pair once. A side: (sizes, sketches)."""
+    (n, sketches), (n_b, sketches_b) = left, right or left
+    lengths, lengths_b = (np.array([len(s) for s in x]) for x in (sketches, sketches_b))
+    each = {int(x): tuple(folded([s if len(s) >= x else bytes(x) for s in of], int(x)) for of in (sketches, sketches_b)) for x in {*lengths, *lengths_b}}
+    for i in range(len(n)):
+        at = np.flatnonzero((of_b != at_a[i]) & (np.minimum(n_b, n[i]) * den >= np.maximum(n_b, n[i]) * num))
+        if right is None:
+            at = at[at > i]
+        shorter = np.minimum(lengths_b[at], lengths[i])
+        for length in np.unique(shorter).tolist():
+            these, (x, y) = at[shorter == length], each[length]
+            apart = np.bitwise_count(x[i] ^ y[these]).sum(axis=1)
+            these = these[apart <= (n[i] + n_b[these]) * (den - num) // (den + num)]
+            if len(these):
+                yield i, these
+
+
 def block_links(left: tuple, right: tuple | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links within one block or between two that join what is not joined yet: (class, component, sketch, elements).
 
@@ -381,63 +402,88 @@ def block_links(left: tuple, right: tuple | None, num: int, den: int) -> list[tu
     at_a, at_b = codes[: len(component)].copy(), codes[len(component) :].copy() if right else None
     of_b = at_a if right is None else at_b
     n, n_b = (np.array([len(x) for x in of]) for of in (sets, sets_b))
-    lengths, lengths_b = (np.array([len(s) for s in x]) for x in (sketches, sketches_b))
-    each = {int(x): tuple(folded([s if len(s) >= x else bytes(x) for s in of], int(x)) for of in (sketches, sketches_b)) for x in {*lengths, *lengths_b}}
     out = []
-    for i in range(len(own)):
-        at = np.flatnonzero((of_b != at_a[i]) & (np.minimum(n_b, n[i]) * den >= np.maximum(n_b, n[i]) * num))
-        if right is None:
-            at = at[at > i]
-        shorter = np.minimum(lengths_b[at], lengths[i])
-        for length in np.unique(shorter).tolist():
-            these, (x, y) = at[shorter == length], each[length]
-            apart = np.bitwise_count(x[i] ^ y[these]).sum(axis=1)
-            for j in these[apart <= (n[i] + n_b[these]) * (den - num) // (den + num)].tolist():
-                if of_b[j] == at_a[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets_b[j], assume_unique=True))
-                if den * both >= num * (n[i] + n_b[j] - both):
-                    out.append((own[i], own_b[j]))
-                    gone, stays = of_b[j], at_a[i]
-                    at_a[at_a == gone] = stays
-                    of_b[of_b == gone] = stays
+    for i, these in near_in_blocks((n, sketches), (n_b, sketches_b) if right else None, at_a, of_b, num, den):
+        for j in these.tolist():
+            if of_b[j] == at_a[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets_b[j], assume_unique=True))
+            if den * both >= num * (n[i] + n_b[j] - both):
+                out.append((own[i], own_b[j]))
+                gone, stays = of_b[j], at_a[i]
+                at_a[at_a == gone] = stays
+                of_b[of_b == gone] = stays
     return out
 
 
-def in_blocks(rest: DataFrame, of_class: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, tables: Tables) -> DataFrame:
-    """Links (a, b) that join all components of classes that share a signature and are linked. rest: (signature, class, component);
-    sets: gives (class, elements) of classes."""
-    sized = rest.join(of_class.select("class", "size"), "class")
-    counts = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum("size").alias("held"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
-    mixed = sized.groupBy("signature").agg(*counts).where("least != most")
-    # Signatures with the same classes are compared once.
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / HELD_IN_BLOCK)).alias("blocks")
-    chosen = tables.write(mixed.groupBy("n", "held", "x", "y").agg(F.min("signature").alias("signature")).select("signature", blocks), "mixed")
-    asked = tables.write(rest.join(chosen, "signature"), "asked")
-    described = sets(asked).join(of_class.select("class", "sketch"), "class")
-    sketched = asked.join(described, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    kept = tables.write(sketched.groupBy("signature", "blocks", "block").agg(F.collect_list(F.struct("class", "component", "sketch", "elements")).alias("sets")), "blocks")
-    tables.drop("asked", "sets")
-    fields = ("class", "component", "sketch", "elements")
-    left = kept.select("signature", "blocks", "block", *[F.col(f"sets.{c}").alias(f"{c}_a") for c in fields])
-    right = kept.where("blocks > 1").select("signature", F.col("block").alias("other"), *[F.col(f"sets.{c}").alias(f"{c}_b") for c in fields])
+def block_candidates(left: tuple, right: tuple | None, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(class, component, least) of the classes that are not told apart from all classes of other components by sizes and
+    sketches; least is the smallest of the components that such pairs connect. A side: (class, component, size, sketch).
+    """
+    sides = [left, right] if right else [left]
+    names, codes = np.unique(np.concatenate([s[1] for s in sides]), return_inverse=True)
+    at = np.split(codes, [len(left[0])])[: len(sides)]
+    found, root = [np.zeros(len(s[0]), bool) for s in sides], np.arange(len(names))
+    for i, these in near_in_blocks(left[2:], right[2:] if right else None, at[0], at[-1], num, den):
+        found[0][i] = found[-1][these] = True
+        met = np.unique(root[np.append(at[-1][these], at[0][i])])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    return [(s[0][i], s[1][i], names[root[of[i]]]) for s, of, any_ in zip(sides, at, found, strict=True) for i in np.flatnonzero(any_)]
+
+
+def in_blocks(members: DataFrame, group: str, fields: tuple[str, ...], compare: Callable[[tuple, tuple | None], list[tuple]], out: tuple[str, ...], tables: Tables) -> DataFrame:
+    """Distinct rows (``out``, whole numbers) that ``compare`` makes of each block of a group and of each two blocks of it.
+    members: (group, blocks, class, ...); a side has the ``fields``."""
+    placed = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    kept = tables.write(placed.groupBy(group, "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("sets")), "blocks")
+    left = kept.select(group, "blocks", "block", *[F.col(f"sets.{c}").alias(f"{c}_a") for c in fields])
+    right = kept.where("blocks > 1").select(group, F.col("block").alias("other"), *[F.col(f"sets.{c}").alias(f"{c}_b") for c in fields])
     others = left.where("blocks > 1 and block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(batch: pa.RecordBatch, i: int, s: str) -> tuple:
-            classes, component, sketches, elements = (batch.column(f"{c}_{s}")[i].values for c in fields)
-            return classes.to_pylist(), component.to_numpy(), sketches.to_pylist(), [x.values.to_numpy() for x in elements]
+    def values(of: pa.Array) -> list | np.ndarray:
+        return [x.values.to_numpy() for x in of] if pa.types.is_list(of.type) else of.to_pylist() if pa.types.is_binary(of.type) else of.to_numpy()
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                links = block_links(side(batch, i, "a"), side(batch, i, "b") if "class_b" in batch.schema.names else None, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], ["a", "b"])
+                sides = [tuple(values(batch.column(f"{c}_{s}")[i].values) for c in fields) for s in "ab" if f"class_{s}" in batch.schema.names]
+                rows = np.array(compare(sides[0], sides[1] if len(sides) > 1 else None), np.int64).reshape(-1, len(out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], list(out))
 
-    within = left.select([f"{c}_a" for c in fields]).mapInArrow(compare, "a long, b long")
-    between = others.join(right, ["signature", "other"]).select([f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compare, "a long, b long")
+    schema = ", ".join(f"{c} long" for c in out)
+    within = left.select([f"{c}_a" for c in fields]).mapInArrow(compared, schema)
+    between = others.join(right, [group, "other"]).select([f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compared, schema)
     return within.unionByName(between).distinct()
 
 
+def links_of_rest(rest: DataFrame, of_class: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, tables: Tables) -> DataFrame:
+    """Links (a, b) that join all components of classes that share a signature and are linked. rest: (signature, class, component);
+    sets: gives (class, elements) of classes.
+
+    A class shares many signatures with many others, most of them unlike it. So signatures are compared by sketches alone;
+    what passes connects components into groups, and a class that passes goes with its set into the one group of its component.
+    """
+    spark = rest.sparkSession
+    counts = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    mixed = rest.groupBy("signature").agg(*counts).where("least != most")
+    # Signatures with the same classes are compared once.
+    chosen = tables.write(mixed.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
+    sketched = rest.join(chosen, "signature").join(of_class.select("class", "size", "sketch"), "class")
+    with small_batches(spark, SKETCHED):
+        candidates = in_blocks(sketched, "signature", ("class", "component", "size", "sketch"), lambda a, b: block_candidates(a, b, num, den), ("class", "component", "least"), tables)
+        candidates = tables.write(candidates, "candidates")
+    groups = components(candidates.select(F.col("component").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-groups")
+    asked = labelled(candidates.select("class", "component").distinct(), groups, "component", "group")
+    asked = tables.write(asked.join(of_class.select("class", "size", "sketch"), "class"), "asked")
+    blocks = asked.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / HELD_IN_BLOCK)).alias("blocks"))
+    members = asked.drop("size").join(blocks, "group").join(sets(asked), "class")
+    with small_batches(spark, BLOCKS):
+        met = tables.write(in_blocks(members, "group", ("class", "component", "sketch", "elements"), lambda a, b: block_links(a, b, num, den), ("a", "b"), tables), "met")
+    tables.drop("mixed", "candidates", "asked", "sets", "blocks")
+    return met
+
+
 def labelled(df: DataFrame, labels: DataFrame, of: str = "class", as_: str = "component") -> DataFrame:
     """``df`` with the component of the class in ``of``; a class without links is its own."""
     named = labels.select(F.col("node").alias(of), F.col("component").alias(as_))
@@ -476,9 +522,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     # Then all others of a signature meet each other where it still holds several components.
     rest = tables.write(labelled(others.select("signature", "class"), labels), "rest")
     sets = lambda wanted: sets_of(wanted, docs, of_class, n, clashes, text_col, tables)
-    with small_batches(docs.sparkSession, BLOCKS):
-        met = tables.write(in_blocks(rest, of_class, sets, num, den, tables), "met")
-    tables.drop("rest", "blocks", "mixed", "kept", "leaders")
+    met = links_of_rest(rest, of_class, sets, num, den, tables)
+    tables.drop("rest", "kept", "leaders")
     links = labelled(labelled(check(tables.write(open_, "open")).unionByName(met), labels, "a", "of_a"), labels, "b", "of_b")
     merged = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "jaccard-second")
 

@@ -752,6 +752,43 @@ def test_jaccard_blocks_give_fewer_links_than_classes():
     assert all(link in real for link in whole + sum(parts, []))
 
 
+def test_sets_of_classes_go_into_one_block_each(spark, monkeypatch):
+    """Classes that share many signatures are compared by sketches in each, and their sets meet once; those unlike all others send none."""
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    page = word(60)
+    docs = [" ".join(page + word(90)) for _ in range(30)]  # a common passage alone
+    for _ in range(8):  # chains: each is like the next, few like the first
+        long = word(400)
+        docs += [" ".join(long[i * 12 : i * 12 + 200]) for i in range(12)]
+    docs = list(enumerate(docs))
+    held, in_blocks = [], jaccard.in_blocks
+
+    def counted(members, group, fields, *rest):
+        held.append((fields[-1], members.count(), members.select("class").distinct().count()))
+        return in_blocks(members, group, fields, *rest)
+
+    monkeypatch.setattr(jaccard, "in_blocks", counted)
+    got = sorted((tuple(r) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80, 100).collect()), key=repr)
+    assert got == plain_classes(docs, 3, 80, 100)
+    (sketches, rows, classes), (elements, rows_of_sets, classes_of_sets) = held
+    assert (sketches, elements) == ("sketch", "elements") and rows > 2 * classes and 0 < rows_of_sets == classes_of_sets <= classes
+
+
+def test_candidates_of_blocks_connect_components():
+    """One row for each class with a partner of another component, also between two blocks."""
+    rng = np.random.default_rng(7)
+    far = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [far[i * 8 : i * 8 + 150] for i in range(10)] + [rng.integers(0, 1 << 63, 150, dtype=np.uint64) for _ in range(4)]
+    component = np.array([0, 0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13])
+    side = lambda of: (np.array(of), component[of], np.array([150] * len(of)), [jaccard.sketch(sets[i], 80, 100) for i in of])
+    assert sorted(jaccard.block_candidates(side(list(range(14))), None, 80, 100)) == [(i, component[i], 0) for i in range(10)]
+    mine, yours = side(list(range(0, 14, 2))), side(list(range(1, 14, 2)))
+    # Class 0 is near class 1 alone there, which is of its component.
+    assert sorted(jaccard.block_candidates(mine, yours, 80, 100)) == [(i, component[i], 0) for i in range(1, 10)]
+    assert jaccard.block_candidates(side([0, 1, 12, 13]), None, 80, 100) == []  # one component, and two like nothing
+
+
 def test_sets_with_one_hash_are_told_apart(spark):
     df = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "class long, check long")
     assert len({r["class"] for r in jaccard.told_apart(df, [5]).collect()}) == 3
