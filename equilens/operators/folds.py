@@ -35,13 +35,13 @@ def bucket_bits(rows: int, bucket_rows: int) -> int:
     return max(0, rows // bucket_rows).bit_length()
 
 
-def before_buckets(sums: DataFrame, keys: list[str], amount: str, bits: int, out: str) -> DataFrame:
-    """(keys, _bucket, out): what lies in the buckets before, inside ``keys``; summed up in two levels, each of the root of the buckets."""
+def before_buckets(sums: DataFrame, keys: list[str], amount: str, bits: int, out: str, also: list[str] | None = None) -> DataFrame:
+    """(keys, _bucket, also, out): what lies in the buckets before, inside ``keys``; summed up in two levels, each of the root of the buckets."""
     sums = sums.withColumn("_upper", F.shiftright("_bucket", bits // 2))
     over = lambda by, order: F.sum(amount).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)) - F.col(amount)
     uppers = sums.groupBy(*keys, "_upper").agg(F.sum(amount).alias(amount)).withColumn("_lower", over(keys, "_upper")).drop(amount)
     inside = sums.withColumn("_inside", over([*keys, "_upper"], "_bucket"))
-    return inside.join(uppers, [*keys, "_upper"]).select(*keys, "_bucket", (F.col("_lower") + F.col("_inside")).alias(out))
+    return inside.join(uppers, [*keys, "_upper"]).select(*keys, "_bucket", *(also or []), (F.col("_lower") + F.col("_inside")).alias(out))
 
 
 def numbered(df: DataFrame, keys: list[str], rank: Column, tie: str, out: str = "position") -> DataFrame:

@@ -81,11 +81,17 @@ def class_weights(df: DataFrame, label: str, classes: list, absent: float) -> Da
     return every.join(known, "class", "left").fillna(absent, ["weight"])
 
 
+#: Classes whose counts are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_CLASSES = 1_000_000
+
+
 def tile_weights(tiles: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """``tiles`` with 1 / n of the class, the mean of those where the class is unknown, scaled to mean 1."""
     counts = tiles.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     # The mean over known tiles of 1 / n is classes / known tiles; that over all tiles is then the same number.
     mean = counts.agg(F.coalesce(F.count("*") / F.sum("_n"), F.lit(1.0)).alias("_mean"))
+    # Dealt by class, all tiles would go to as few tasks as there are classes.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_CLASSES else counts
     return tiles.join(counts, label, "left").crossJoin(F.broadcast(mean)).withColumn(out, F.coalesce(1 / F.col("_n"), F.col("_mean")) / F.col("_mean")).drop("_n", "_mean")
 
 
@@ -106,17 +112,19 @@ def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> D
     bits = bucket_bits(found["rows"], BUCKET_ROWS)
     scale = 2.0 ** (WEIGHT_BITS - math.ceil(math.log2(found["total"]))) if found["rows"] else 1.0
     number = hash_number(seed, F.lit("draw"), F.col(key))
-    items = df.withColumns({"_w": F.round(F.col(weight) * scale).cast("long"), "_rank": hash_rank(seed, F.lit("draw"), F.col(key)), "_bucket": F.shiftright(number, 52 - bits)}).where("_w > 0")
+    items = df.withColumns({"_w": F.round(F.col(weight) * scale).cast("long"), "_bucket": F.shiftright(number, 52 - bits)}).where("_w > 0")
 
     sums = items.groupBy("_bucket").agg(F.sum("_w").alias("_sum"))
-    buckets = sums.join(before_buckets(sums, [], "_sum", bits, "_low"), "_bucket")
-    total = sums.agg(F.coalesce(F.sum("_sum"), F.lit(0)).alias("t")).first()["t"]
+    buckets = before_buckets(sums, [], "_sum", bits, "_low", ["_sum"])
+    total = items.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("t")).first()["t"]  # without hashes or buckets
     width = max(1, total >> bits)
     cell = lambda x: F.expr(f"({x}) div {width}")
     cells = buckets.select("_bucket", "_low", "_sum", F.explode(F.sequence(cell("_low"), cell("_low + _sum - 1"))).alias("_cell"))
     points = df.sparkSession.range(n if total else 0).select((hash_number(seed, F.lit("point"), F.col("id")) % max(1, total)).alias("_at"))
     placed = points.withColumn("_cell", cell("_at")).join(cells, "_cell").where("_at >= _low and _at < _low + _sum").select("_bucket", (F.col("_at") - F.col("_low")).alias("_at"))
     order = Window.partitionBy("_bucket").orderBy("_rank", key)
-    ends = items.withColumn("_end", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Hashes to order by are longer than the rows, so they are made where these have gone and do not go with them.
+    dealt = items.repartition("_bucket").withColumn("_rank", hash_rank(seed, F.lit("draw"), F.col(key)))
+    ends = dealt.withColumn("_end", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     drawn = placed.join(ends, "_bucket").where("_at < _end and _at >= _end - _w")
     return drawn.select(*df.columns)

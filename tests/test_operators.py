@@ -835,3 +835,20 @@ def test_sketches_of_runs_merge(spark):
     so_far = {(r["run"], r["step"]): r["unique_so_far"] for r in runlog.cumulative_sketches(kept, "run", "step", "user").collect()}
     exact = {(r["run"], r["step"]): r["unique_so_far"] for r in runlog.cumulative_uniques(df, "run", "step", "user").collect()}
     assert so_far.keys() == exact.keys() and all(abs(so_far[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
+
+
+def test_tiles_are_not_dealt_by_class(spark, monkeypatch):
+    """All tiles of a few classes would go to a few tasks; with too many classes to broadcast the weights are the same."""
+    tiles = spark.createDataFrame([(i, "abc"[min(i % 5, 2)] if i % 7 else None) for i in range(100)], "id int, label string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        weighted = sampling.tile_weights(tiles, "label")
+        assert "SortMergeJoin" not in weighted._jdf.queryExecution().sparkPlan().toString()
+        few = sorted(tuple(r) for r in weighted.select("id", "weight").collect())
+        monkeypatch.setattr(sampling, "BROADCAST_CLASSES", 0)
+        shuffled = sampling.tile_weights(tiles, "label")
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(tuple(r) for r in shuffled.select("id", "weight").collect()) == few and len(few) == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
